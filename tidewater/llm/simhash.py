@@ -210,3 +210,109 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, words: int = 3, radius:
     named = names.join(roots, "f0", "left").select("f0", F.coalesce("component_id", "first").alias("component_id"))
     named = scratch.keep(named, "named")
     return each.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Of the corpus stage: 64-bit words of a fingerprint, bits of a block (two a
+#: word), and bits of the first word that a candidate pair may differ in.
+WIDE, WIDE_BLOCK, WIDE_RADIUS = 5, 24, 20
+_ALL_PAIRS = 32
+
+
+def _meeting(radius: int):
+    """Candidate pairs of nodes that share a variant, near on f0."""
+
+    def solve(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[edge, len(key)])
+        two = edge[size == 2]
+        two = two[_near(fps[two], fps[two + 1]) <= radius]
+        a, b = [two], [two + 1]
+        for s, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
+            if got := _links_of(fps[s : s + n], radius, _ALL_PAIRS):
+                x = np.array(got, np.int64) + s
+                a.append(x[:, 0])
+                b.append(x[:, 1])
+        a, b = node[np.concatenate(a)], node[np.concatenate(b)]
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        return pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)[:, None]]
+            if kept is not None:
+                cols = [np.concatenate(x) for x in zip(kept, cols)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            kept = [x[cut:].copy() for x in cols]
+            if cut:
+                yield solve(*(x[:cut] for x in cols))
+        if kept is not None and len(kept[0]):
+            yield solve(*kept)
+
+    return run
+
+
+def shingles(text: bytes | None, words: int) -> set[int]:
+    w = (text or b"").lower().split()
+    k = min(words, len(w))
+    return {xxhash.xxh64_intdigest(b" ".join(w[i : i + k])) for i in range(len(w) - k + 1)} if w else set()
+
+
+def _similar(words: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, set())
+        for batch in batches:
+            ok = []
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").cast(pa.large_binary()), batch.column("y").cast(pa.large_binary())):
+                if a != last[0]:
+                    last = a, shingles(x.as_py(), words)
+                s, t = last[1], shingles(y.as_py(), words)
+                both = len(s & t)
+                ok.append(both >= least * (len(s) + len(t) - both))
+            yield batch.filter(pa.array(ok)).select(["a", "b"])
+
+    return run
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document (the least doc_id) of each group of near
+    copies: texts that are equal, or linked by a Jaccard similarity of
+    ``words``-word shingles of ``similarity`` or more.
+
+    Candidates come from balls around the blocks of a 320-bit fingerprint and
+    are verified on their whole texts. Wordless and null texts are all alike.
+    Rows stay unchanged, with all their columns.
+    """
+    scratch = Scratch(prepare(spark))
+    node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    each = fingerprints(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), words, WIDE)
+    fps = [f"f{j}" for j in range(WIDE)]
+    each = scratch.keep(each.withColumnRenamed("text_hash", "node"), "fingerprints")
+    nodes = scratch.keep(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in fps)), "nodes")
+    # texts of one fingerprint meet in every bucket, so one of them stands for all
+    same = scratch.keep(nodes.groupBy(*fps).agg(F.min("node").alias("node")), "same")
+    alike = nodes.join(same.withColumnRenamed("node", "first"), fps).where("node != first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+    blocks = [(w, b) for w in range(WIDE) for b in range(64 // WIDE_BLOCK)]
+    balls = F.concat(*(_ball(f"f{w}", b * WIDE_BLOCK, WIDE_BLOCK, i) for i, (w, b) in enumerate(blocks)))
+    met = same.select(F.explode(balls).alias("key"), "node", "f0").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting(WIDE_RADIUS), "a long, b long")
+    pairs = scratch.keep(met.union(alike).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ends = scratch.keep(ends.join(nodes, "node").select("node", F.col("doc_id").alias("_id")), "ends")
+    marked = docs.withColumn("_node", node)
+    texts = marked.join(ends, (F.col("_node") == F.col("node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).select("node", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = scratch.keep(texts, "texts")
+    with_x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    with_y = with_x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    links_ = scratch.keep(with_y.mapInArrow(_similar(words, similarity), "a long, b long").distinct(), "links")
+    parts = scratch.keep(components(spark, links_, scratch), "parts")
+    grouped = nodes.select("node", "doc_id", "n").join(parts, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
+    # null ids come last: a document with an id stays before one without
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("one")
+    stay = scratch.keep(grouped.groupBy("root").agg(first, F.sum("n").alias("n")).select(F.col("one.node").alias("_stay"), F.col("one.doc_id").alias("_id")), "stay")
+    out = marked.join(stay, (F.col("_node") == F.col("_stay")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    again = each.groupBy("node", "doc_id").count().where("count > 1").join(stay, (F.col("node") == F.col("_stay")) & each.doc_id.eqNullSafe(F.col("_id")))
+    if again.limit(1).count():  # whole rows repeat
+        out = out.dropDuplicates(["_node", "doc_id"])
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
