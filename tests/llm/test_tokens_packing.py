@@ -11,7 +11,7 @@ from tidewater.llm import packing, token_files
 from tidewater.llm.tokens import WordEncoder
 
 BYTE, WORD = (public_tokenizers.path(f"{x}.json") for x in ("byte_bpe_50k", "word_bpe_49k"))
-ODD = ["", " ", "a  b   c", "a\n\n  b \n", " x", "x ", "<|endoftext|> a<|startoftext|>", "\x1c a \x1f", "é ́", "it's  don't 12 3 ...!? ", "a b  c", "日本 語", "🙂 🙂🙂", "\t\t a\t b", "A B. C,\r\n D"]
+ODD = ["", " ", "a  b   c", "a\n\n  b \n", " x", "x ", "<|endoftext|> a<|startoftext|>", "\x1c a \x1f", "é ́", "it's  don't 12 3 ...!? ", "a b  c", "日本 語", "🙂 🙂🙂", "\t\t a\t b", "A B. C,\r\n D", "end. End, END! § it's§ o\u0301. É. İ. x_. 9.", "a.\nB. ... a..b"]
 ENCODERS = {p: WordEncoder(p) for p in (BYTE, WORD)}
 
 

@@ -14,11 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Words that a task remembers before it starts anew.
-CACHE_MOST = 600_000
-#: Characters of text split at a time.
-_AT_ONCE = 1 << 21
+#: Words that a task remembers; with so many, new ones are kept for the texts
+#: at hand only (words of a language come early, later ones hardly repeat).
+CACHE_MOST = 700_000
+#: Characters of text split at a time, and words encoded in one call.
+_AT_ONCE, _CALL = 1 << 21, 4000
+_SPACES = re.compile(r" \s")
 _SPACE = re.compile(r" (?=\S)")
+_TAILED = re.compile(r"([^\W\d_]+)([.,;:!?%*#$&|]+)")
 
 
 class WordEncoder:
@@ -28,47 +31,94 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.path, self.known = path, {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        probe = self.tokenizer.encode("a b", add_special_tokens=False).ids
-        glued = self.tokenizer.encode(" b", add_special_tokens=False).ids
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         #: whether a word's ids depend on the space before it
-        self.spaced = probe[-len(glued) :] == glued and glued != self.tokenizer.encode("b", add_special_tokens=False).ids
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_MOST:
-            self.known.clear()
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            ids = [x.ids for x in found]
-            flat = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
-            end = 0
-            for w, x in zip(part, ids):
-                self.known[w] = flat[end : (end := end + 4 * len(x))]
+        self.spaced = ids(" b") != ids("b")
+        self.known: dict[str, bytes] = {}  # after a space
+        self.first: dict[str, bytes] = {}  # at the start of a text
+        self.tails: dict[str, bytes] = {}  # end marks
+        self.lowers = ids("AB cD") == ids("ab cd")
+        #: a sign with an id of its own stands between the words of one call
+        self.sign, self.sign_id = next((c, ids(" " + c)[0]) for c in "\u00a7\u00b6\u2020\u2022\u00a4|~" if len(ids(" " + c)) == 1 and len(ids(f" a {c} b")) == len(ids(" a")) + 1 + len(ids(" b")))
+
+    def _encode(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Each word by itself."""
+        for w, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            into[w] = np.array(x.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Words after a space. Letters and the marks that end them are split
+        by every public tokenizer, so a word with an end mark takes its ids
+        from the two; ASCII capitals are one word with their small letters
+        where the tokenizer lowers them."""
+        parts: dict[str, tuple[str, str]] = {}
+        for w in words:
+            small = w.lower() if self.lowers and w.isascii() else w
+            m = _TAILED.fullmatch(small)
+            parts[w] = m.groups() if m and m[1].lower().isalpha() else (small, "")
+        heads = {h for h, _ in parts.values()}
+        known = self.known
+        got = {h: known[h] for h in heads if h in known}
+        self._call([h for h in heads if h not in got], got)
+        self._encode(list({t for _, t in parts.values() if t} - self.tails.keys()), self.tails)
+        tails = self.tails
+        into.update((w, got[h] + tails[t] if t else got[h]) for w, (h, t) in parts.items())
+        if len(tails) > CACHE_MOST // 10:
+            tails.clear()
+        if into is known and len(known) < CACHE_MOST:
+            known.update(got)
+
+    def _call(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Words after a space, many in a call."""
+        odd = [w for w in words if self.sign in w]
+        words = [w for w in words if self.sign not in w]
+        between = f" {self.sign} "
+        for at in range(0, len(words), _CALL):
+            part = words[at : at + _CALL]
+            ids = self.tokenizer.encode_batch_fast([" " + between.join(part)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            cut = np.flatnonzero(ids == self.sign_id)
+            raw = ids.tobytes()
+            starts, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]
+            into.update(zip(part, (raw[a:b] for a, b in zip(starts, ends))))
+        got: dict[str, bytes] = {}
+        self._encode([" " + w for w in odd], got)
+        into.update((w[1:], x) for w, x in got.items())
 
     def _words(self, text: str) -> list[str]:
-        parts = _SPACE.split(text)
-        return [parts[0], *(" " + x for x in parts[1:])] if self.spaced else parts
+        if not self.spaced:  # white space only parts words
+            return text.replace("\n", " ").split(" ")
+        return _SPACE.split(text) if _SPACES.search(text) else text.split(" ")
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """In order; null and empty texts have no ids."""
-        at = 0
+        at, known = 0, self.known
         while at < len(texts):
-            group, size = [], 0
+            group, size, new, first = [], 0, set(), set()
             while at < len(texts) and (size < _AT_ONCE or not group):
-                group.append(self._words(texts[at] or ""))
+                words = self._words(texts[at] or "")
+                if self.spaced:
+                    first.add(words[0])
+                    group.append((words[0], words[1:]))
+                else:
+                    group.append(("", words))
+                new.update(set(group[-1][1]).difference(known))
                 size += len(texts[at] or "")
                 at += 1
-            new = {w for words in group for w in words if w not in self.known}
-            if len(self.known) + len(new) > CACHE_MOST:
-                self.known.clear()
-                new = {w for words in group for w in words}
-            self._learn(list(new))
-            known = self.known
-            for words in group:
-                yield b"".join([known[w] for w in words])
+            some: dict[str, bytes] | None = None
+            if len(known) + len(new) <= CACHE_MOST:
+                self._learn(list(new), known)
+            else:
+                some = {}
+                self._learn(list(new), some)
+            if len(self.first) > CACHE_MOST // 10:
+                self.first.clear()
+            self._encode([w for w in first if w not in self.first], self.first)
+            for head, words in group:
+                ids = map(known.__getitem__, words) if some is None else [known[w] if w in known else some[w] for w in words]
+                yield b"".join(ids) if not self.spaced else self.first[head] + b"".join(ids)
 
 
 _encoders: dict[str, WordEncoder] = {}
