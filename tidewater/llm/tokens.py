@@ -16,7 +16,7 @@ import numpy as np
 
 #: Words that a task remembers; with so many, new ones are kept for the texts
 #: at hand only (words of a language come early, later ones hardly repeat).
-CACHE_MOST = 700_000
+CACHE_MOST = 900_000
 #: Characters of text split at a time, and words encoded in one call.
 _AT_ONCE, _CALL = 1 << 21, 4000
 _SPACES = re.compile(r" \s")
@@ -40,6 +40,7 @@ class WordEncoder:
         self.first: dict[str, bytes] = {}  # at the start of a text
         self.tails: dict[str, bytes] = {}  # end marks
         self.lowers = ids("AB cD") == ids("ab cd")
+        self.line_id = (ids("\n") or [-1])[0]
         #: a sign with an id of its own stands between the words of one call
         self.sign, self.sign_id = next((c, ids(" " + c)[0]) for c in "\u00a7\u00b6\u2020\u2022\u00a4|~" if len(ids(" " + c)) == 1 and len(ids(f" a {c} b")) == len(ids(" a")) + 1 + len(ids(" b")))
 
@@ -53,39 +54,51 @@ class WordEncoder:
         by every public tokenizer, so a word with an end mark takes its ids
         from the two; ASCII capitals are one word with their small letters
         where the tokenizer lowers them."""
-        parts: dict[str, tuple[str, str]] = {}
+        parts: dict[str, tuple[tuple[str, str], tuple[str, str]]] = {}
         for w in words:
             small = w.lower() if self.lowers and w.isascii() else w
-            m = _TAILED.fullmatch(small)
-            parts[w] = m.groups() if m and m[1].lower().isalpha() else (small, "")
-        heads = {h for h, _ in parts.values()}
-        known = self.known
+            lines = small.split("\n") if self.spaced else [small]
+            if len(lines) == 2 and all(lines) and not any(c.isspace() for c in lines[0] + lines[1]):
+                parts[w] = self._tailed(lines[0]), self._tailed(lines[1])
+            else:
+                parts[w] = self._tailed(small), ("", "")
+        known, first, tails = self.known, self.first, self.tails
+        heads = {h for (h, _), _ in parts.values()}
         got = {h: known[h] for h in heads if h in known}
-        self._call([h for h in heads if h not in got], got)
-        self._encode(list({t for _, t in parts.values() if t} - self.tails.keys()), self.tails)
-        tails = self.tails
-        into.update((w, got[h] + tails[t] if t else got[h]) for w, (h, t) in parts.items())
+        self._call([h for h in heads if h not in got], got, f" {self.sign} ", self.sign_id, " ")
+        if self.spaced:  # a word after a line's end has no space before it
+            starts = {u for _, (u, _) in parts.values() if u}
+            self._call([u for u in starts if u not in first], first, "\n", self.line_id, "")
+        self._encode(list({t for x in parts.values() for _, t in x if t} - tails.keys()), tails)
+        line = np.array([max(0, self.line_id)], "<u4").tobytes()
+        for w, ((h, t), (u, v)) in parts.items():
+            ids = got[h] + tails[t] if t else got[h]
+            into[w] = ids + line + first[u] + (tails[v] if v else b"") if u else ids
         if len(tails) > CACHE_MOST // 10:
             tails.clear()
         if into is known and len(known) < CACHE_MOST:
             known.update(got)
 
-    def _call(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Words after a space, many in a call."""
-        odd = [w for w in words if self.sign in w]
-        words = [w for w in words if self.sign not in w]
-        between = f" {self.sign} "
+    @staticmethod
+    def _tailed(word: str) -> tuple[str, str]:
+        m = _TAILED.fullmatch(word)
+        return m.groups() if m and m[1].lower().isalpha() else (word, "")
+
+    def _call(self, words: list[str], into: dict[str, bytes], between: str, cut_id: int, before: str) -> None:
+        """Words that stand between the same characters, many in a call."""
+        odd = [w for w in words if between.strip(" ") in w]
+        words = [w for w in words if between.strip(" ") not in w]
         for at in range(0, len(words), _CALL):
             part = words[at : at + _CALL]
-            ids = self.tokenizer.encode_batch_fast([" " + between.join(part)], add_special_tokens=False)[0].ids
+            ids = self.tokenizer.encode_batch_fast([before + between.join(part)], add_special_tokens=False)[0].ids
             ids = np.array(ids, "<u4")
-            cut = np.flatnonzero(ids == self.sign_id)
+            cut = np.flatnonzero(ids == cut_id)
             raw = ids.tobytes()
             starts, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]
             into.update(zip(part, (raw[a:b] for a, b in zip(starts, ends))))
         got: dict[str, bytes] = {}
-        self._encode([" " + w for w in odd], got)
-        into.update((w[1:], x) for w, x in got.items())
+        self._encode([before + w for w in odd], got)
+        into.update((w[len(before) :], x) for w, x in got.items())
 
     def _words(self, text: str) -> list[str]:
         if not self.spaced:  # white space only parts words
@@ -107,15 +120,17 @@ class WordEncoder:
                 new.update(set(group[-1][1]).difference(known))
                 size += len(texts[at] or "")
                 at += 1
+            if len(self.first) > CACHE_MOST // 4:
+                self.first.clear()
             some: dict[str, bytes] | None = None
             if len(known) + len(new) <= CACHE_MOST:
                 self._learn(list(new), known)
             else:
                 some = {}
                 self._learn(list(new), some)
-            if len(self.first) > CACHE_MOST // 10:
-                self.first.clear()
-            self._encode([w for w in first if w not in self.first], self.first)
+            fresh = [w for w in first if w not in self.first]
+            self._call([w for w in fresh if w and not any(c.isspace() for c in w)], self.first, "\n", self.line_id, "") if self.spaced else None
+            self._encode([w for w in fresh if w not in self.first], self.first)
             for head, words in group:
                 ids = map(known.__getitem__, words) if some is None else [known[w] if w in known else some[w] for w in words]
                 yield b"".join(ids) if not self.spaced else self.first[head] + b"".join(ids)
