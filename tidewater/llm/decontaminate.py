@@ -11,9 +11,10 @@ third).
 
 from __future__ import annotations
 
-import re
+import string
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +26,24 @@ from .common import Scratch, prepare
 from .words import WordTable, kept
 
 #: Hashed features, latent axes, words of a passage and its step.
-FEATURES, RANK, PASSAGE, STEP, SEED = 8192, 32, 32, 16, 9
+FEATURES, RANK, PASSAGE, STEP, SEED = 8192, 64, 32, 16, 9
 #: Words found in more than this part of the passages tell nothing.
 COMMON = 0.2
-COSINE, SAME, PARAPHRASE, ANSWER = 0.3, 0.75, 0.55, 0.5
+#: ... or in more than this part of the items (five items at least).
+COMMON_ITEMS = 0.03
+COSINE, SHARED, SAME, PARAPHRASE, ANSWER = 0.4, 0.5, 0.75, 0.55, 0.5
 #: Items of one search; more are searched in turns of so many.
 ITEMS_MOST = 20_000
-_WORD = re.compile(r"\w+")
+_EDGE = string.punctuation + "\u00ab\u00bb\u2018\u2019\u201c\u201d\u201e\u2026\u2013\u2014\u00a1\u00bf"
 _BUCKETS = 1 << 20
 
 
+def normal(word: str) -> str:
+    return word.strip(_EDGE).lower()
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    return [w for x in (text or "").split() if (w := normal(x))]
 
 
 def _hash(word: str) -> int:
@@ -48,12 +55,15 @@ class Vocabulary:
     share a bucket are taken too and cost time only. Gives a feature or -1."""
 
     def __init__(self, items: list[list[str]]):
+        seen = Counter(w for words in items for w in set(words))
+        most = max(COMMON_ITEMS * len(items), 5)
         bits = np.zeros(_BUCKETS, bool)
-        bits[[_hash(w) % _BUCKETS for words in items for w in words]] = True
+        bits[[_hash(w) % _BUCKETS for w, n in seen.items() if n <= most]] = True
         self.bits = np.packbits(bits)
 
     def features(self, words: list[str]) -> np.ndarray:
-        h = np.fromiter(map(_hash, words), np.int64, len(words))
+        """Of words as they stand in a text."""
+        h = np.fromiter((_hash(normal(w)) for w in words), np.int64, len(words))
         b = h % _BUCKETS
         used = self.bits[b >> 3] >> (7 - (b & 7)) & 1
         return np.where(used, h % FEATURES, -1).astype(np.int32)[:, None]
@@ -88,7 +98,7 @@ def _flat(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 def _groups(texts: list[str | None], table: WordTable) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Features of some texts at a time, from the position of the first."""
     some, size, first = [], 0, 0
-    for i, rows in enumerate(table.of(texts, words_of)):
+    for i, rows in enumerate(table.of(texts, str.split)):
         some.append(rows[:, 0] if len(rows) else np.zeros(0, np.int32))
         size += len(rows)
         if size > 200_000:
@@ -98,21 +108,6 @@ def _groups(texts: list[str | None], table: WordTable) -> Iterator[tuple[int, li
         yield first, some
 
 
-def _frequencies(vocabulary: Vocabulary, key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = kept(key, lambda: WordTable(vocabulary.features))
-        seen, n = np.zeros(FEATURES, np.int64), 0
-        for batch in batches:
-            for _, docs in _groups(batch.column("text").to_pylist(), table):
-                _, f, _, places = _flat(docs)
-                seen += np.bincount(f, minlength=FEATURES)
-                n += places.shape[1]
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used]), pa.array(np.r_[n, seen[used]])], ["feature", "n"])
-
-    return run
-
-
 def _vectors(docs: list[np.ndarray], idf: np.ndarray):
     p, f, count, places = _flat(docs)
     w = count * idf[f]
@@ -132,31 +127,48 @@ def _projected(p: np.ndarray, f: np.ndarray, w: np.ndarray, n: int, basis: np.nd
     return out
 
 
-def _sketched(vocabulary: Vocabulary, idf: np.ndarray, key: str):
-    """Each task's part of A'A Omega, in blocks of features."""
+def _sketched(vocabulary: Vocabulary, key: str):
+    """Each task's passages, passages of each feature (blocks -1 and -2), and
+    its part of A'A Omega in blocks of features; A holds plain counts, and the
+    weights of its columns are put in afterwards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = kept(key, lambda: WordTable(vocabulary.features))
         omega, total = _axes(SEED), np.zeros((FEATURES, RANK))
+        seen, n = np.zeros(FEATURES), 0
         for batch in batches:
             for _, docs in _groups(batch.column("text").to_pylist(), table):
-                p, f, w, places = _vectors(docs, idf)
+                p, f, count, places = _flat(docs)
+                n += places.shape[1]
                 if not len(p):
                     continue
-                norm = np.sqrt(np.bincount(p, w * w, places.shape[1])) + 1e-9
-                w = (w / norm[p]).astype(np.float32)
+                seen += np.bincount(f, minlength=FEATURES)
+                w = count.astype(np.float32)
                 y = _projected(p, f, w, places.shape[1], omega)
                 order = np.argsort(f, kind="stable")
                 first = np.flatnonzero(np.r_[True, np.diff(f[order]) > 0])
                 total[f[order][first]] += np.add.reduceat(y[p[order]] * w[order][:, None], first, axis=0)
-        block = 64
-        parts = total.reshape(-1, block * RANK)
+        parts = total.reshape(-1, 64 * RANK)
         used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["block", "part"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[-1, -2, used]), pa.array([np.array([n], float).tobytes(), seen.tobytes(), *(parts[i].tobytes() for i in used)], pa.binary())], ["block", "part"]
+        )
 
     return run
 
 
+def latent_basis(sketch: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Right singular vectors of A from A'A Omega (the Nystroem form of the
+    randomised SVD), each divided by its singular value: directions that all
+    texts share count no more than others."""
+    q, r = np.linalg.qr(sketch * idf[:, None])  # the test matrix is Omega / idf
+    core = _axes(SEED).astype(np.float64)[idf > 0].T @ sketch[idf > 0]
+    values, turn = np.linalg.eigh(r @ np.linalg.pinv((core + core.T) / 2, rcond=1e-8, hermitian=True) @ r.T)
+    good = values > values.max(initial=0) * 1e-6
+    scale = np.where(good, 1 / np.sqrt(np.where(good, values, 1)), 0)
+    return (q @ turn * scale * np.sqrt(max(values.max(initial=0), 1e-12))).astype(np.float32)
+
+
 def _added(key, rows):
     total = sum(np.frombuffer(x.as_py()) for x in rows.column("part"))
     return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([total.tobytes()], pa.binary())})
@@ -183,25 +195,48 @@ class Items:
     def __init__(self, rows: list[tuple[int, list[str]]], vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray):
         self.ids = [i for i, _ in rows]
         self.size = [len(w) for _, w in rows]
-        self.telling, self.answer = [], []
+        self.telling, self.answer, self.marks = [], [], []
         docs = [vocabulary.features(w)[:, 0] for _, w in rows]
-        self.used = [idf[f] > 0 for f in docs]
+        self.used = [(f >= 0) & (idf[f] > 0) for f in docs]
         self.words: list[list[str]] = []
-        vectors = np.zeros((len(rows), FEATURES), np.float32) if len(rows) <= 256 else None
-        latent = []
+        latent, self.holds = [], []
         for k, ((_, words), f, used) in enumerate(zip(rows, docs, self.used)):
             enough = used.sum() >= 4
             own = [w for w, u in zip(words, used) if u or not enough]
             self.telling.append(own)
+            self.marks.append(f[used].tolist() if enough else None)
             self.answer.append(own[-max(1, -(-len(own) // 3)) :])
-            part, count = np.unique(f, return_counts=True)
+            part, count = np.unique(f[f >= 0], return_counts=True)
             w = count * idf[part]
+            self.holds.append(part[w > 0])
             latent.append((basis[part] * w[:, None]).sum(axis=0) if len(part) else np.zeros(RANK))
-        del vectors
         z = np.array(latent, np.float32).reshape(-1, RANK)
         self.latent = z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)
         self.set = [set(x) for x in self.telling]
 
+    def shared(self, k: np.ndarray, size: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Part of the features that a passage (``size`` of ``f`` each) shares
+        with item k, of the fewer of the two."""
+        n = np.array([len(self.holds[i]) for i in k])
+        both = np.zeros(len(k), np.int64)
+        order = np.argsort(k, kind="stable")
+        ends = np.cumsum(size)
+        own = np.zeros(FEATURES, bool)
+        for group in np.split(order, np.flatnonzero(np.diff(k[order])) + 1):
+            own[self.holds[k[group[0]]]] = True
+            hit = own[np.concatenate([f[ends[i] - size[i] : ends[i]] for i in group])]
+            both[group] = np.add.reduceat(hit, np.r_[0, np.cumsum(size[group])[:-1]])
+            own[:] = False
+        return both / np.maximum(1, np.minimum(n, size))
+
+    def likely(self, k: int, ids: np.ndarray) -> bool:
+        """Whether a window's features, words apart, hold enough of the item in order."""
+        own = self.marks[k]
+        if own is None:
+            return True
+        mine = set(own)
+        return common_subsequence(own, [x for x in ids[ids >= 0].tolist() if x in mine]) >= PARAPHRASE * len(own)
+
     def check(self, k: int, window: list[str]) -> tuple[float, float]:
         """Common parts of the telling words and of the answer."""
         own = self.telling[k]
@@ -226,16 +261,26 @@ def _searched(vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray, items:
                 for at in range(0, len(some), 4096):
                     rows = some[at : at + 4096]
                     cosine = (z[rows] / norm[rows, None]) @ items.latent.T
-                    for i, k in zip(*np.nonzero(cosine >= COSINE)):
+                    i, k = np.nonzero(cosine >= COSINE)
+                    if not len(i):
+                        continue
+                    lo, hi = np.searchsorted(p, rows[i]), np.searchsorted(p, rows[i], side="right")
+                    size = hi - lo
+                    at_f = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                    ok = items.shared(k, size, f[at_f]) >= SHARED
+                    for i, k in zip(i[ok], k[ok]):
                         found.setdefault(int(owner[rows[i]]), {}).setdefault(int(k), []).append((float(cosine[i, k]), int(start[rows[i]])))
                 for i, hits in found.items():
                     words = None
                     for k, places in hits.items():
-                        words = words or words_of(texts[first + i])
                         best = (0.0, 0.0, 0.0)
                         for cosine, s in places:
                             extra = max(STEP, items.size[k] - PASSAGE)
-                            same, answer = items.check(k, words[max(0, s - extra) : s + PASSAGE + extra])
+                            window = slice(max(0, s - extra), s + PASSAGE + extra)
+                            if not items.likely(k, docs[i][window]):
+                                continue
+                            words = words or texts[first + i].split()
+                            same, answer = items.check(k, [normal(w) for w in words[window]])
                             best = max(best, (same, answer, cosine))
                         if best[0] >= SAME or (best[0] >= PARAPHRASE and best[1] >= ANSWER):
                             out.append((ids[first + i], items.ids[k], best[2], best[0], best[1]))
@@ -258,20 +303,15 @@ def _matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
         if not rows:
             continue
         vocabulary, key = Vocabulary([w for _, w in rows]), uuid.uuid4().hex
-        counted = docs.select("text").mapInArrow(_frequencies(vocabulary, key), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-        seen = np.zeros(FEATURES)
-        n = 0
-        for r in counted:  # FEATURES + 1 rows at most
-            if r.feature < 0:
-                n = r.n
-            else:
-                seen[r.feature] = r.n
-        idf = np.where(seen <= max(COMMON * n, 20), np.log((n + 1) / np.maximum(seen, 1)) + 0.1, 0.0)
-        sketch = docs.select("text").mapInArrow(_sketched(vocabulary, idf, key), "block long, part binary").groupBy("block").applyInArrow(_added, "block long, part binary").collect()
+        sketch = docs.select("text").mapInArrow(_sketched(vocabulary, key), "block long, part binary").groupBy("block").applyInArrow(_added, "block long, part binary").collect()
+        parts = {r.block: np.frombuffer(r.part) for r in sketch}  # FEATURES / 64 + 2 rows at most
+        n, seen = (parts[-1][0], parts[-2]) if parts else (0, np.zeros(FEATURES))
         total = np.zeros((FEATURES // 64, 64 * RANK))
-        for r in sketch:  # FEATURES / 64 rows at most
-            total[r.block] = np.frombuffer(r.part)
-        basis = np.linalg.qr(total.reshape(FEATURES, RANK))[0].astype(np.float32)
+        for k, part in parts.items():
+            if k >= 0:
+                total[k] = part
+        idf = np.where(seen <= max(COMMON * n, 20), np.log((n + 1) / np.maximum(seen, 1)) + 0.1, 0.0)
+        basis = latent_basis(total.reshape(FEATURES, RANK), idf)
         search = _searched(vocabulary, idf, basis, Items(rows, vocabulary, idf, basis), key)
         found.append(docs.select("row", "text").mapInArrow(search, "row string, item_id long, cosine double, same double, answer double"))
     if not found:
