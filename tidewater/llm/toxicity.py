@@ -35,7 +35,7 @@ ORDER, DISCOUNT, LEAST, SYMBOLS = 6, 0.75, 3, 62
 #: Part of the sample that fits the curve, not the counts.
 CURVE_PART = 3
 THRESHOLD = 0.7
-TOP = 3
+TOP, OVER, FEATURES = 6, 2.5, 7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -155,10 +155,11 @@ class Model:
 def features(rows: np.ndarray) -> list[float]:
     """Length-normalised ratios of the whole text and of its most toxic words."""
     if not len(rows):
-        return [0.0, 0.0, 0.0]
+        return [0.0] * FEATURES
     r = rows[:, 0]
     top = np.sort(r[np.argpartition(-r, min(TOP, len(r)) - 1)[:TOP]])[::-1]
-    return [float(r.sum() / rows[:, 1].sum()) * 10, float(top[0]), float(top.sum() / TOP)]
+    over = np.maximum(r - OVER, 0).sum()
+    return [float(r.sum() / rows[:, 1].sum()) * 10, float(top[0]), float(top[:3].sum() / 3), float(top.sum() / TOP), float(100 * over / (len(r) + 20)), float(np.log1p(over)), float(np.log1p(len(r)))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
@@ -182,10 +183,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(spark: SparkSession, labelled: DataFrame) -> tuple[Model, np.ndarray] | None:
-    """From rows (doc_id, text, toxic); None if a class is missing."""
-    prepare(spark)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", F.xxhash64("text"))
-    some = labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS)
+    """From rows (text, toxic, n), n counting each class; None if a class is missing."""
+    some = labelled
     counted = some.where(F.col("n") % CURVE_PART != 0).select("text", "toxic").mapInArrow(_counted, "toxic int, word string, n long")
     rows = counted.groupBy("toxic", "word").agg(F.sum("n").alias("n")).collect()  # of TRAIN_DOCS texts a class
     words: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -216,7 +215,7 @@ def _score(fitted: tuple[Model, np.ndarray] | None, key: str):
         table = kept(key, lambda: WordTable(fitted[0].ratios)) if fitted else None
         for batch in batches:
             if fitted:
-                x = np.array([features(r) for r in table.of(batch.column("text").to_pylist(), split)]).reshape(-1, 3)
+                x = np.array([features(r) for r in table.of(batch.column("text").to_pylist(), split)]).reshape(-1, FEATURES)
                 score = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ fitted[1], -30, 30)))
             else:
                 score = np.zeros(batch.num_rows)
@@ -232,9 +231,14 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     none). Null, empty and wordless texts get the score of no evidence; without
     both classes every score is 0.
     """
+    prepare(spark)
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id"), 3, 1).alias("held_out"))
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # the sample is drawn from ids first, so that only its texts move
-    known = cols.where("not held_out and text is not null").join(marks, "doc_id").select("doc_id", "text", "toxic")
+    # the sample is drawn from ids, so that only its texts move: at most TRAIN_DOCS ids a class are broadcast
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
+    ids = marks.where(~held_out(F.col("doc_id"), 3, 1)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS)
+    texts = cols.where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic", "n")
+    again = Window.partitionBy("toxic").orderBy("n", F.xxhash64("text"))  # rows may share an id
+    known = texts.withColumn("n", F.row_number().over(again)).where(F.col("n") <= TRAIN_DOCS).select("text", "toxic", "n")
     fitted = fit(spark, known)
     return cols.select("doc_id", "text", "held_out").mapInArrow(_score(fitted, uuid.uuid4().hex), "doc_id long, held_out boolean, score double, predicted int")
