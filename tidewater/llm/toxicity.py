@@ -186,10 +186,11 @@ def fit(spark: SparkSession, labelled: DataFrame) -> tuple[Model, np.ndarray] |
     """From rows (text, toxic, n), n counting each class; None if a class is missing."""
     some = labelled
     counted = some.where(F.col("n") % CURVE_PART != 0).select("text", "toxic").mapInArrow(_counted, "toxic int, word string, n long")
-    rows = counted.groupBy("toxic", "word").agg(F.sum("n").alias("n")).collect()  # of TRAIN_DOCS texts a class
+    rows = counted.groupBy("toxic", "word").agg(F.sum("n").alias("n")).toArrow()  # of TRAIN_DOCS texts a class
     words: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for r in rows:
-        words[r.toxic][r.word] = r.n
+    for part in rows.to_batches(max_chunksize=20_000):
+        for toxic, word, n in zip(*(c.to_pylist() for c in part.columns)):
+            words[toxic][word] = n
     if not words[0] or not words[1]:
         return None
     model = Model(words[1], words[0])
