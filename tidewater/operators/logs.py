@@ -302,3 +302,12 @@ def score_per_user(df: DataFrame, models: DataFrame, columns: Sequence[str]) ->
     dot = F.aggregate(F.zip_with(x, F.col("weights"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     scored = df.join(models, "account").withColumn("prediction", (dot + F.col("bias") > 0).cast("int"))
     return scored.where("prediction = 1").select("prediction", *df.columns)
+
+
+def with_label(df: DataFrame, name: str, value: int) -> DataFrame:
+    return df.withColumn(name, F.lit(value))
+
+
+def merge_counts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partial counters of one key added up."""
+    return parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in parts.columns if c not in keys))

@@ -326,3 +326,25 @@ def m11_score_per_user(spark, d):
     e = access_events(spark, d)
     m = e.select("account").distinct().select("account", F.array(F.lit(0.01), (F.substring("account", 2, 20).cast("long") % 5 - 2) * 0.02).alias("weights"), F.lit(-0.5).alias("bias"))
     return L.score_per_user(e, m, ["value", "k"]).select("event_id", "account", "prediction")
+
+
+@add(with_(ACC) + "SELECT event_id, 0 AS target FROM acc")
+def p6_with_label(spark, d):
+    return L.with_label(access_events(spark, d), "target", 0).select("event_id", "target")
+
+
+@add(with_(ACC, NEAR, SESS) + "SELECT account, host, " + _FMT.format("lock_time", "lock_time") + ", count(*) AS n FROM sess GROUP BY account, host, lock_time")
+def w2_one_session_a_lock(spark, d):
+    return _sessions(spark, d).groupBy("account", "host", text("lock_time").alias("lock_time")).agg(F.count("*").alias("n"))
+
+
+@add(with_(ACC, NEAR, SESS) + "SELECT dayname(unlock_time) AS day_unlock, dayname(lock_time) AS day_lock, count(*) AS n, CAST(sum(epoch(lock_time) - epoch(unlock_time)) AS BIGINT) AS seconds FROM sess GROUP BY 1, 2")
+def w3_session_durations(spark, d):
+    return _sessions(spark, d).groupBy("day_unlock", "day_lock").agg(F.count("*").alias("n"), F.sum("duration_ts").alias("seconds"))
+
+
+@add(with_(ACC) + "SELECT account, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM acc GROUP BY account")
+def a6_merge_partial_counts(spark, d):
+    """Counts of chunks of the log, added up: what partial aggregation does by itself."""
+    chunks = access_events(spark, d).groupBy("account", F.floor(F.col("event_id") / 1000).alias("chunk")).agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+    return L.merge_counts(chunks.drop("chunk"), ["account"])

@@ -249,3 +249,8 @@ def w14_pack_tokens(spark, d):
     t = load(spark, d, "documents").select("doc_id", F.split(F.trim("text"), r"\s+").alias("tokens"))
     o = R.pack_tokens(t, "doc_id", "tokens", F.floor(F.col("doc_id") / 100))
     return o.select("batch", "block", F.md5(F.array_join("tokens", " ")).alias("digest"), F.size("tokens").cast("long").alias("n"))
+
+
+@add(with_(TURNS) + "SELECT conv_id, turn, text || ' agent: ' AS prompt FROM turns")
+def f39_make_prompt(spark, d):
+    return R.make_prompt(turns(spark, d).select("conv_id", "turn", F.col("text").alias("context"))).select("conv_id", "turn", "prompt")

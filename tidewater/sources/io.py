@@ -10,8 +10,6 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import expressions as X
 
-CONVERSATION_FILE = "convo_id int, original array<array<string>>"
-
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType, sep: str = ",", header: bool = True, ts_format: str | None = None) -> DataFrame:
     options = {"sep": sep, "header": header} | ({"timestampFormat": ts_format} if ts_format else {})
@@ -39,8 +37,8 @@ def read_json_logs(spark: SparkSession, path: str, schema: str | StructType) ->
 
 def read_conversations(spark: SparkSession, path: str, splits: Sequence[str] = ("train", "dev", "test")) -> DataFrame:
     """split, convo_id, turn, role, text from (gzipped) JSON of splits."""
-    schema = "struct<" + ",".join(f"{s}: array<struct<convo_id: int, original: array<array<string>>>>" for s in splits) + ">"
-    raw = spark.read.schema(schema.removeprefix("struct<").removesuffix(">")).option("multiLine", True).json(path)
+    schema = ", ".join(f"{s} array<struct<convo_id: int, original: array<array<string>>>>" for s in splits)
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
     out = None
     for s in splits:
         part = raw.select(F.lit(s).alias("split"), F.explode(s).alias("c")).select("split", "c.convo_id", F.posexplode("c.original").alias("turn", "said"))
