@@ -73,15 +73,23 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release() -> None:
-    """Delete the scratch tables of all earlier operators, whose results have
-    been written elsewhere by now."""
-    while _live:
+def made_since(n: int) -> list[tuple[SparkSession, str]]:
+    """Scratch folders made after the first ``n``."""
+    return _live[n:]
+
+
+def made() -> int:
+    return len(_live)
+
+
+def release(some: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete scratch tables, all or some, whose results have been written
+    elsewhere by now."""
+    for spark, folder in list(_live) if some is None else some:
         try:
-            _delete(*_live.pop())
-        except Exception as gone:  # the session has ended
-            if "stopped" not in str(gone) and "Connection" not in str(gone):
-                continue
+            _delete(spark, folder)
+        except Exception:  # the session has ended, or the folder with it
+            pass
 
 
 atexit.register(release)

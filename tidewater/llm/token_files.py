@@ -91,9 +91,9 @@ def token_digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
     path = scratch.path("ids")
     write_tokens(spark, docs, path, tokenizer, end_id)
     rows = scratch.keep(token_index(spark, path), "index")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("lo"))
-    # one row a file: file names begin with the range's number
-    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    # one row a file: names begin with the range's number, in five digits or more
+    before = F.sum("n").over(Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1))
     files = files.select("file", F.coalesce(before, F.lit(0)).alias("base"))
     within = Window.partitionBy("file").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     return (
