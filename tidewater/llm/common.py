@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -95,6 +95,23 @@ def release(some: list[tuple[SparkSession, str]] | None = None) -> None:
 atexit.register(release)
 
 
+def drawn(df: DataFrame, by: str, key: list[str], n: int, most: int = 1000, seed: int = 3) -> DataFrame:
+    """``n`` rows of each value of ``by`` (of the ``most`` commonest values):
+    those of least hash of ``key``, numbered in column n.
+
+    Counts come first and give a threshold that eight times as many rows pass,
+    so what meets in a task does not grow with the table.
+    """
+    h = F.xxhash64(*key, F.lit(seed))
+    counts = df.groupBy(by).count().orderBy(F.desc("count"), by).limit(most).collect()
+    rate = F.lit(None).cast("double")
+    if counts:
+        rate = F.create_map(*(x for r in counts for x in (F.lit(r[by]), F.lit(min(1.0, 8.0 * n / r["count"])))))[F.col(by)]
+    some = df.where((h / F.lit(2.0**64)) + 0.5 <= rate)
+    place = F.row_number().over(Window.partitionBy(by).orderBy(h, *key))
+    return some.withColumn("n", place).where(F.col("n") <= n)
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): node, root (the least node).
 

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import drawn, prepare
 from .words import WordTable, kept
 
 TRAIN_DOCS, TRAIN_WORDS = 250, 60
@@ -178,9 +178,11 @@ def _sampled(n: int):
 def fit(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], Network | None]:
     """Train on rows (doc_id, text, lang), none of them null."""
     prepare(spark)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", F.xxhash64("text"))
-    some = labelled.select("lang", "doc_id", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS).select("lang", "text")
-    rows = some.mapInArrow(_sampled(TRAIN_WORDS), "lang string, words array<string>").collect()
+    # ids are drawn first, so that only the sample's texts move: at most TRAIN_DOCS ids a language are broadcast
+    named = labelled.select("lang", "doc_id", "text", F.xxhash64("text").alias("th"))
+    ids = drawn(named.select("lang", "doc_id", "th"), "lang", ["doc_id", "th"], TRAIN_DOCS).dropDuplicates(["lang", "doc_id", "th"])
+    some = named.join(F.broadcast(ids.drop("n")), ["lang", "doc_id", "th"]).dropDuplicates(["lang", "doc_id", "th"])  # whole rows may repeat
+    rows = some.select("lang", "text").mapInArrow(_sampled(TRAIN_WORDS), "lang string, words array<string>").collect()
     languages = sorted({r.lang for r in rows if r.words})
     if not languages:
         return [], None

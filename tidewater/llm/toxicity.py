@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import drawn, prepare
 from .langid import held_out
 from .words import WordTable, kept
 
@@ -236,10 +236,9 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id"), 3, 1).alias("held_out"))
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # the sample is drawn from ids, so that only its texts move: at most TRAIN_DOCS ids a class are broadcast
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    ids = marks.where(~held_out(F.col("doc_id"), 3, 1)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS)
-    texts = cols.where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic", "n")
-    again = Window.partitionBy("toxic").orderBy("n", F.xxhash64("text"))  # rows may share an id
+    ids = drawn(marks.where(~held_out(F.col("doc_id"), 3, 1)), "toxic", ["doc_id"], TRAIN_DOCS)
+    texts = cols.where("text is not null").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").select("doc_id", "text", "toxic")
+    again = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(3)), F.xxhash64("text"))  # rows may share an id
     known = texts.withColumn("n", F.row_number().over(again)).where(F.col("n") <= TRAIN_DOCS).select("text", "toxic", "n")
     fitted = fit(spark, known)
     return cols.select("doc_id", "text", "held_out").mapInArrow(_score(fitted, uuid.uuid4().hex), "doc_id long, held_out boolean, score double, predicted int")
