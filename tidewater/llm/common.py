@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+#: Bytes that Spark hands to a Python worker at a time.
+BATCH_BYTES = 4 << 20
 _live: list[tuple[SparkSession, str]] = []
 
 
@@ -21,6 +23,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
+    # long texts: a Python worker holds some MB of them at a time
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

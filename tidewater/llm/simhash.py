@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, prepare
+from .words import forget
 
 #: XXH64 seed of a shingle.
 SEED = 42
@@ -59,6 +60,7 @@ def fingerprint(text: bytes | None, words: int = 3, width: int = 1) -> np.ndarra
 
 def _fingerprints(words: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             text = batch.column("text").cast(pa.large_binary())
             out = np.array([fingerprint(x.as_py(), words, width) for x in text], np.uint64).reshape(-1, width).view(np.int64)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, prepare
+from .words import forget
 
 K = 32
 #: Stretches that one round sorts at a time, and beyond which an anchor's
@@ -91,6 +92,7 @@ _STRETCH = "doc_id long, text_hash long, anchor long, c1 long, c2 long, start in
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             rows = []

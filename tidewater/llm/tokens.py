@@ -14,11 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .words import forget
+
 #: Words that a task remembers; with so many, new ones are kept for the texts
 #: at hand only (words of a language come early, later ones hardly repeat).
-CACHE_MOST = 900_000
+CACHE_MOST = 500_000
 #: Characters of text split at a time, and words encoded in one call.
-_AT_ONCE, _CALL = 1 << 21, 4000
+_AT_ONCE, _CALL = 1 << 20, 4000
 _SPACES = re.compile(r" \s")
 _SPACE = re.compile(r" (?=\S)")
 _TAILED = re.compile(r"([^\W\d_]+)([.,;:!?%*#$&|]+)")
@@ -142,6 +144,6 @@ _encoders: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """One a worker process, kept between tasks."""
     if path not in _encoders:
-        _encoders.clear()
+        forget()
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

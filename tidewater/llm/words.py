@@ -4,17 +4,19 @@ text is a sum over its words."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 
-_AT_ONCE = 1 << 21
+_AT_ONCE = 1 << 20
 
 
 class WordTable:
-    """Rows of numbers by word. ``measure`` gives the rows of new words; when
-    ``most`` are known the table starts anew, which changes no value."""
+    """Rows of numbers by word. ``measure`` gives the rows of new words; with
+    ``most`` of them known, further ones are kept for the texts at hand only
+    (words of a language come early), which changes no value."""
 
-    def __init__(self, measure: Callable[[list[str]], np.ndarray], most: int = 500_000):
+    def __init__(self, measure: Callable[[list[str]], np.ndarray], most: int = 250_000):
         self.measure, self.most = measure, most
         self.place: dict[str, int] = {}
         self.rows: np.ndarray | None = None
@@ -38,27 +40,30 @@ class WordTable:
                 group.append(split(texts[at] or ""))
                 size += len(texts[at] or "")
                 at += 1
-            new = {w for words in group for w in words if w not in self.place}
-            if len(self.place) + len(new) > self.most:
-                self.place.clear()
-                self.rows = None
-                new = {w for words in group for w in words}
-            if new:
-                self._learn(sorted(new))
+            before = len(self.place)
+            self._learn(sorted({w for words in group for w in words if w not in self.place}))
             get = self.place.__getitem__
             for words in group:
-                if not words:
-                    yield np.zeros((0, 1 if self.rows is None else self.rows.shape[1]), np.float32)
-                else:
-                    yield self.rows[np.fromiter(map(get, words), np.int64, len(words))]
+                yield self.rows[np.fromiter(map(get, words), np.int64, len(words))]
+            if len(self.place) > self.most:  # the last come go first
+                for w in list(islice(reversed(self.place), len(self.place) - max(before, self.most))):
+                    del self.place[w]
 
 
 _tables: dict[str, WordTable] = {}
 
 
+def forget() -> None:
+    """Drop what other operators have left in this worker process."""
+    from . import tokens
+
+    _tables.clear()
+    tokens._encoders.clear()
+
+
 def kept(key: str, make: Callable[[], WordTable]) -> WordTable:
     """One table a worker process, kept between the tasks of one model."""
     if key not in _tables:
-        _tables.clear()
+        forget()
         _tables[key] = make()
     return _tables[key]
