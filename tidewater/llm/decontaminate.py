@@ -11,11 +11,11 @@ third).
 
 from __future__ import annotations
 
-import string
-import uuid
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, prepare
-from .words import WordTable, kept
 
 #: Hashed features, latent axes, words of a passage and its step.
 FEATURES, RANK, PASSAGE, STEP, SEED = 8192, 64, 32, 16, 9
@@ -34,16 +33,11 @@ COMMON_ITEMS = 0.03
 COSINE, SHARED, SAME, PARAPHRASE, ANSWER = 0.4, 0.5, 0.75, 0.55, 0.5
 #: Items of one search; more are searched in turns of so many.
 ITEMS_MOST = 20_000
-_EDGE = string.punctuation + "\u00ab\u00bb\u2018\u2019\u201c\u201d\u201e\u2026\u2013\u2014\u00a1\u00bf"
-_BUCKETS = 1 << 20
-
-
-def normal(word: str) -> str:
-    return word.strip(_EDGE).lower()
+_WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for x in (text or "").split() if (w := normal(x))]
+    return _WORD.findall((text or "").lower())
 
 
 def _hash(word: str) -> int:
@@ -51,22 +45,16 @@ def _hash(word: str) -> int:
 
 
 class Vocabulary:
-    """Which words the benchmark uses: a bitmap of fixed size, so words that
-    share a bucket are taken too and cost time only. Gives a feature or -1."""
+    """Features of the benchmark's words, of ITEMS_MOST items at most; other
+    words, and those that many items share, have none (-1)."""
 
     def __init__(self, items: list[list[str]]):
         seen = Counter(w for words in items for w in set(words))
         most = max(COMMON_ITEMS * len(items), 5)
-        bits = np.zeros(_BUCKETS, bool)
-        bits[[_hash(w) % _BUCKETS for w, n in seen.items() if n <= most]] = True
-        self.bits = np.packbits(bits)
+        self.feature = {w: _hash(w) % FEATURES for w, n in seen.items() if n <= most}
 
     def features(self, words: list[str]) -> np.ndarray:
-        """Of words as they stand in a text."""
-        h = np.fromiter((_hash(normal(w)) for w in words), np.int64, len(words))
-        b = h % _BUCKETS
-        used = self.bits[b >> 3] >> (7 - (b & 7)) & 1
-        return np.where(used, h % FEATURES, -1).astype(np.int32)[:, None]
+        return np.fromiter(map(self.feature.get, words, repeat(-1)), np.int32, len(words))
 
 
 def passages(n: int) -> np.ndarray:
@@ -95,12 +83,12 @@ def _flat(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return key // FEATURES, key % FEATURES, count, np.stack([np.concatenate(owner), np.concatenate(start)])
 
 
-def _groups(texts: list[str | None], table: WordTable) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _groups(texts: list[str | None], vocabulary: Vocabulary) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Features of some texts at a time, from the position of the first."""
     some, size, first = [], 0, 0
-    for i, rows in enumerate(table.of(texts, str.split)):
-        some.append(rows[:, 0] if len(rows) else np.zeros(0, np.int32))
-        size += len(rows)
+    for i, text in enumerate(texts):
+        some.append(vocabulary.features(words_of(text)))
+        size += len(some[-1])
         if size > 200_000:
             yield first, some
             some, size, first = [], 0, i + 1
@@ -127,17 +115,16 @@ def _projected(p: np.ndarray, f: np.ndarray, w: np.ndarray, n: int, basis: np.nd
     return out
 
 
-def _sketched(vocabulary: Vocabulary, key: str):
+def _sketched(vocabulary: Vocabulary):
     """Each task's passages, passages of each feature (blocks -1 and -2), and
     its part of A'A Omega in blocks of features; A holds plain counts, and the
     weights of its columns are put in afterwards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = kept(key, lambda: WordTable(vocabulary.features))
         omega, total = _axes(SEED), np.zeros((FEATURES, RANK))
         seen, n = np.zeros(FEATURES), 0
         for batch in batches:
-            for _, docs in _groups(batch.column("text").to_pylist(), table):
+            for _, docs in _groups(batch.column("text").to_pylist(), vocabulary):
                 p, f, count, places = _flat(docs)
                 n += places.shape[1]
                 if not len(p):
@@ -159,14 +146,14 @@ def _sketched(vocabulary: Vocabulary, key: str):
 
 def latent_basis(sketch: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Right singular vectors of A from A'A Omega (the Nystroem form of the
-    randomised SVD), each divided by its singular value: directions that all
+    randomised SVD), each divided by the root of its singular value: directions that all
     texts share count no more than others."""
     q, r = np.linalg.qr(sketch * idf[:, None])  # the test matrix is Omega / idf
     core = _axes(SEED).astype(np.float64)[idf > 0].T @ sketch[idf > 0]
     values, turn = np.linalg.eigh(r @ np.linalg.pinv((core + core.T) / 2, rcond=1e-8, hermitian=True) @ r.T)
     good = values > values.max(initial=0) * 1e-6
-    scale = np.where(good, 1 / np.sqrt(np.where(good, values, 1)), 0)
-    return (q @ turn * scale * np.sqrt(max(values.max(initial=0), 1e-12))).astype(np.float32)
+    scale = np.where(good, np.where(good, values, 1) ** -0.25, 0)
+    return (q @ turn * scale * max(values.max(initial=0), 1e-12) ** 0.25).astype(np.float32)
 
 
 def _added(key, rows):
@@ -196,7 +183,7 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.size = [len(w) for _, w in rows]
         self.telling, self.answer, self.marks = [], [], []
-        docs = [vocabulary.features(w)[:, 0] for _, w in rows]
+        docs = [vocabulary.features(w) for _, w in rows]
         self.used = [(f >= 0) & (idf[f] > 0) for f in docs]
         self.words: list[list[str]] = []
         latent, self.holds = [], []
@@ -246,13 +233,12 @@ class Items:
         return common_subsequence(own, near) / len(own), common_subsequence(self.answer[k], near) / len(self.answer[k])
 
 
-def _searched(vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray, items: Items, key: str):
+def _searched(vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray, items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = kept(key, lambda: WordTable(vocabulary.features))
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("row").to_pylist()
             out: list[tuple] = []
-            for first, docs in _groups(texts, table):
+            for first, docs in _groups(texts, vocabulary):
                 p, f, w, (owner, start) = _vectors(docs, idf)
                 z = _projected(p, f, w, len(owner), basis)
                 norm = np.linalg.norm(z, axis=1)
@@ -279,8 +265,8 @@ def _searched(vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray, items:
                             window = slice(max(0, s - extra), s + PASSAGE + extra)
                             if not items.likely(k, docs[i][window]):
                                 continue
-                            words = words or texts[first + i].split()
-                            same, answer = items.check(k, [normal(w) for w in words[window]])
+                            words = words or words_of(texts[first + i])
+                            same, answer = items.check(k, words[window])
                             best = max(best, (same, answer, cosine))
                         if best[0] >= SAME or (best[0] >= PARAPHRASE and best[1] >= ANSWER):
                             out.append((ids[first + i], items.ids[k], best[2], best[0], best[1]))
@@ -302,8 +288,8 @@ def _matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
         rows = [r for r in rows if r[1]]
         if not rows:
             continue
-        vocabulary, key = Vocabulary([w for _, w in rows]), uuid.uuid4().hex
-        sketch = docs.select("text").mapInArrow(_sketched(vocabulary, key), "block long, part binary").groupBy("block").applyInArrow(_added, "block long, part binary").collect()
+        vocabulary = Vocabulary([w for _, w in rows])
+        sketch = docs.select("text").mapInArrow(_sketched(vocabulary), "block long, part binary").groupBy("block").applyInArrow(_added, "block long, part binary").collect()
         parts = {r.block: np.frombuffer(r.part) for r in sketch}  # FEATURES / 64 + 2 rows at most
         n, seen = (parts[-1][0], parts[-2]) if parts else (0, np.zeros(FEATURES))
         total = np.zeros((FEATURES // 64, 64 * RANK))
@@ -312,7 +298,7 @@ def _matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
                 total[k] = part
         idf = np.where(seen <= max(COMMON * n, 20), np.log((n + 1) / np.maximum(seen, 1)) + 0.1, 0.0)
         basis = latent_basis(total.reshape(FEATURES, RANK), idf)
-        search = _searched(vocabulary, idf, basis, Items(rows, vocabulary, idf, basis), key)
+        search = _searched(vocabulary, idf, basis, Items(rows, vocabulary, idf, basis))
         found.append(docs.select("row", "text").mapInArrow(search, "row string, item_id long, cosine double, same double, answer double"))
     if not found:
         return spark.createDataFrame([], "row string, item_id long, cosine double, same double, answer double")
