@@ -55,3 +55,23 @@ def test_stages_pass_on_the_columns_of_documents(spark, sf):
     last = corpus_pipeline.run(spark, sf).toPandas()
     assert set(last.doc_id) == {r.doc_id for r in docs.select("doc_id").collect()}
     assert last.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def kept_ids(spark, docs_of, texts):
+    return {r.doc_id for r in simhash.keep_one(spark, docs_of(texts)).collect()}
+
+
+def test_near_copies_around_a_loose_centre_are_found(spark, docs_of):
+    rng = random.Random(8)
+    centre = [f"c{i}" for i in range(200)]
+    texts = [" ".join(centre)]
+    for i in range(100):  # 200 texts: pairs of near copies, each about 0.6 like the centre
+        w = list(centre)
+        at = 2 * (i % 50)
+        w[at : at + 45] = [f"p{i}x{j}" for j in range(45)]
+        texts.append(" ".join(w))
+        w[rng.randrange(160, 200)] = f"odd{i}"
+        texts.append(" ".join(w))
+    want = near_groups(texts)
+    assert len(want) == 101
+    assert kept_ids(spark, docs_of, texts) == want

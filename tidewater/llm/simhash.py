@@ -214,53 +214,172 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, words: int = 3, radius:
     return each.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the corpus stage: 64-bit words of a fingerprint, bits of a block (two a
-#: word), and bits that a candidate pair may differ in, of the first word and of
-#: all (a similarity of 0.8 differs in 15 % of the bits, unlike texts in half).
-WIDE, WIDE_BLOCK, WIDE_RADIUS, WIDE_MOST = 5, 24, 20, 80
-_ALL_PAIRS = 32
+#: Of the corpus stage: 64-bit words of a parity map; members of a bucket whose
+#: pairs are all compared at once; texts that tell which shingles are common, and
+#: how many of these are told to the tasks (both steer the work, not the result).
+MAP_WORDS, BUCKET_FEW, SAMPLE_TEXTS, COMMON_MOST = 5, 32, 10_000, 100_000
+_ROUND = 1e-9
 
 
-def _meeting(radius: int):
-    """Candidate pairs of nodes that share a variant, near on f0."""
+def _hashes(text: bytes | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text, hashed and sorted."""
+    found = (text or b"").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    lens = np.fromiter(map(len, found), np.int64, len(found)) + 1
+    starts = np.cumsum(lens) - lens
+    ends = (starts + lens - 1)[min(words, len(found)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e]) for s, e in zip(starts.tolist(), ends)), np.uint64, len(ends)))
 
-    def solve(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[edge, len(key)])
-        two = edge[size == 2]
-        two = two[_near(fps[two], fps[two + 1]) <= radius]
-        a, b = [two], [two + 1]
-        for s, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
-            if got := _links_of(fps[s : s + n], radius, _ALL_PAIRS):
-                x = np.array(got, np.int64) + s
-                a.append(x[:, 0])
-                b.append(x[:, 1])
-        a, b = node[np.concatenate(a)], node[np.concatenate(b)]
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-        return pa.RecordBatch.from_pandas(out, preserve_index=False)
 
+def shingles(text: bytes | None, words: int) -> set[int]:
+    return set(_hashes(text, words).tolist())
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """Map of a set: of each bit, whether an odd number of members falls on it.
+    Two maps differ in no more bits than the sets differ in members."""
+    odd = np.bincount(((h * _MIX) >> np.uint64(32)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def prefix(h: np.ndarray, common: np.ndarray, seen: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share, rare ones
+    first: so many that a set as similar as ``least`` has one of them among its
+    own first ones. Sets without members share the key 0."""
+    if not len(h):
+        return np.zeros(1, np.int64)
+    n = len(h) - int(np.ceil(least * len(h) - _ROUND)) + 1
+    count = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        count = np.where(common[at] == h, seen[at], 0)
+    return h[np.lexsort((h, count))[:n]].view(np.int64)
+
+
+def _sets(words: int, least: float, common: np.ndarray, seen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        forget()
         for batch in batches:
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)[:, None]]
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols)]
+            size, maps, first = [], [], []
+            for x in batch.column("text").cast(pa.large_binary()):
+                h = _hashes(x.as_py(), words)
+                size.append(len(h))
+                maps.append(parity(h))
+                first.append(prefix(h, common, seen, least))
+            maps = np.array(maps, np.int64).reshape(-1, MAP_WORDS)
+            ends = pa.array(np.r_[0, np.cumsum([len(x) for x in first])].astype(np.int32))
+            keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("node"), pa.array(size, pa.int32()), keys, *(pa.array(maps[:, j]) for j in range(MAP_WORDS))],
+                ["doc_id", "node", "size", "keys", *(f"f{j}" for j in range(MAP_WORDS))],
+            )
+
+    return run
+
+
+def _all_shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [_hashes(x.as_py(), words) for x in batch.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))], ["key"])
+
+    return run
+
+
+def _buckets(names: list[str], solve):
+    """Runs ``solve`` on whole keys of sorted batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = []
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in names]
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            kept = [x[cut:].copy() for x in cols]
-            if cut:
-                yield solve(*(x[:cut] for x in cols))
-        if kept is not None and len(kept[0]):
-            yield solve(*kept)
+            if kept and (cut or cols[0][0] != kept[0][0][0]):
+                # the key that began before ends here
+                yield from solve(*(np.concatenate(x) for x in zip(*kept, [c[:cut] for c in cols])))
+                kept = []
+            elif cut:
+                yield from solve(*(c[:cut] for c in cols))
+            kept.append([c[cut:].copy() for c in cols])
+        if kept:
+            yield from solve(*(np.concatenate(x) for x in zip(*kept)))
 
     return run
 
 
-def shingles(text: bytes | None, words: int) -> set[int]:
-    w = (text or b"").lower().split()
-    k = min(words, len(w))
-    return {xxhash.xxh64_intdigest(b" ".join(w[i : i + k])) for i in range(len(w) - k + 1)} if w else set()
+def _pairs(a: np.ndarray, b: np.ndarray, large: bool) -> pa.RecordBatch:
+    if not large:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+    out = pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+    return pa.RecordBatch.from_arrays([pa.array(out.a.to_numpy()), pa.array(out.b.to_numpy()), pa.array(np.full(len(out), large))], ["a", "b", "large"])
+
+
+def _meeting(least: float):
+    """Of each key's nodes (by size): all pairs of like size, or, of large
+    buckets, stars for a beginning and the members (key, node; ``large``)."""
+
+    def solve(key: np.ndarray, size: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[edge, len(key)])
+        of = np.repeat(count, count)
+        few = np.flatnonzero((of > 1) & (of <= BUCKET_FEW))
+        a, b = [], []
+        k, n, v = key[few], size[few], node[few]
+        for d in range(1, BUCKET_FEW):
+            met = np.flatnonzero(k[:-d] == k[d:])
+            if not len(met):
+                break
+            met = met[n[met] >= least * n[met + d] - _ROUND]
+            a.append(v[met])
+            b.append(v[met + d])
+        for s, c in zip(edge[count > BUCKET_FEW].tolist(), count[count > BUCKET_FEW].tolist()):
+            at = s
+            while at < s + c:
+                end = s + int(np.searchsorted(size[s : s + c] * least - _ROUND, size[at], side="right"))
+                a.append(np.full(end - at - 1, node[at]))
+                b.append(node[at + 1 : end])
+                at = max(end, at + 1)
+        if a:
+            yield _pairs(np.concatenate(a), np.concatenate(b), False)
+        if len(many := np.flatnonzero(of > BUCKET_FEW)):
+            yield _pairs(key[many], node[many], True)
+
+    return _buckets(["key", "size", "node"], solve)
+
+
+def _most(n: np.ndarray, least: float) -> np.ndarray:
+    """Members in which two sets of ``n`` in all may differ."""
+    return n - 2 * np.ceil(least / (1 + least) * n - _ROUND)
+
+
+def _across(least: float):
+    """Of each key's nodes, the pairs of unlike roots that sizes and maps allow."""
+
+    def solve(key: np.ndarray, root: np.ndarray, node: np.ndarray, size: np.ndarray, *maps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            _, part, count = np.unique(root[s:e], return_inverse=True, return_counts=True)
+            order = np.lexsort((part, count[part]))  # the largest component is last and is not compared with itself
+            part, v, n = part[order], node[s:e][order], size[s:e][order].astype(np.int64)
+            m = np.stack([x[s:e][order] for x in maps], axis=1).view(np.uint64)
+            for at in range(0, e - s, 128):
+                if part[at] == part[-1]:
+                    break
+                for to in range(at, e - s, 8192):
+                    i, j = slice(at, at + 128), slice(to, to + 8192)
+                    total = n[i, None] + n[None, j]
+                    ok = (part[i, None] != part[None, j]) & (np.minimum(n[i, None], n[None, j]) >= least * np.maximum(n[i, None], n[None, j]) - _ROUND)
+                    x, y = np.nonzero(ok)
+                    near = _near(m[at + x], m[to + y]) <= _most(total[x, y], least)
+                    if near.any():
+                        yield _pairs(v[at + x[near]], v[to + y[near]], False)
+
+    return _buckets(["key", "root", "node", "size", *(f"f{j}" for j in range(MAP_WORDS))], solve)
 
 
 def _similar(words: int, least: float):
@@ -279,41 +398,68 @@ def _similar(words: int, least: float):
     return run
 
 
+def _common(spark: SparkSession, texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that some texts of a sample share, sorted, and how many have them."""
+    n = texts.count()
+    h = (F.xxhash64("node", F.lit(5)) / F.lit(2.0**64)) + 0.5
+    some = texts.where(h <= SAMPLE_TEXTS / max(n, 1)).dropDuplicates(["node"]).select("text")
+    counts = some.mapInArrow(_all_shingles(words), "key long").groupBy("key").count().where("count > 1")
+    rows = counts.orderBy(F.desc("count"), "key").limit(COMMON_MOST).toArrow()
+    key, seen = rows.column("key").to_numpy().view(np.uint64), rows.column("count").to_numpy()
+    order = np.argsort(key)
+    return key[order], seen[order]
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document (the least doc_id) of each group of near
     copies: texts that are equal, or linked by a Jaccard similarity of
     ``words``-word shingles of ``similarity`` or more.
 
-    Candidates come from balls around the blocks of a 320-bit fingerprint and
-    are verified on their whole texts. Wordless and null texts are all alike.
-    Rows stay unchanged, with all their columns.
+    No pair is left to chance: two sets so similar share one of their first
+    shingles (prefix filter), and pairs that share one are sorted out by bounds
+    that hold for all (sizes, parity maps), then verified on their whole texts.
+    Where many texts share a shingle, stars of verified pairs come first; then
+    all pairs follow that these have not joined. Wordless and null texts are
+    all alike. Rows stay unchanged, with all their columns.
     """
     scratch = Scratch(prepare(spark))
-    node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    each = fingerprints(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), words, WIDE)
-    fps = [f"f{j}" for j in range(WIDE)]
-    each = scratch.keep(each.withColumnRenamed("text_hash", "node"), "fingerprints")
-    nodes = scratch.keep(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in fps)), "nodes")
-    # texts of one fingerprint meet in every bucket, so one of them stands for all
-    same = scratch.keep(nodes.groupBy(*fps).agg(F.min("node").alias("node")), "same")
-    alike = nodes.join(same.withColumnRenamed("node", "first"), fps).where("node != first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
-    blocks = [(w, b) for w in range(WIDE) for b in range(64 // WIDE_BLOCK)]
-    balls = F.concat(*(_ball(f"f{w}", b * WIDE_BLOCK, WIDE_BLOCK, i) for i, (w, b) in enumerate(blocks)))
-    met = same.select(F.explode(balls).alias("key"), "node", "f0").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting(WIDE_RADIUS), "a long, b long")
-    met = scratch.keep(met.distinct(), "met")
-    a, b = (nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}{c}") for c in fps)) for end in "ab")
-    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in fps), F.lit(0))
-    met = met.join(a, "a").join(b, "b").where(differ <= WIDE_MOST).select("a", "b")
-    pairs = scratch.keep(met.union(alike).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ends = scratch.keep(ends.join(nodes, "node").select("node", F.col("doc_id").alias("_id")), "ends")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    node = F.xxhash64(text)
+    read = docs.select(F.col("doc_id").cast("long"), node.alias("node"), text.alias("text"))
+    common, seen = _common(spark, read.select("node", "text"), words)
+    maps = [f"f{j}" for j in range(MAP_WORDS)]
+    each = read.mapInArrow(_sets(words, similarity, common, seen), "doc_id long, node long, size int, keys array<long>, " + ", ".join(f"{c} long" for c in maps))
+    each = scratch.keep(each, "sets")
+    nodes = scratch.keep(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "keys", *maps))), "nodes")
+    slim = nodes.select("node", "doc_id", "size", *maps)
+    met = nodes.select(F.explode("keys").alias("key"), "size", "node").repartition("key").sortWithinPartitions("key", "size", "node")
+    met = scratch.keep(met.mapInArrow(_meeting(similarity), "a long, b long, large boolean"), "met")
     marked = docs.withColumn("_node", node)
-    texts = marked.join(ends, (F.col("_node") == F.col("node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).select("node", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = scratch.keep(texts, "texts")
-    with_x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    with_y = with_x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    links_ = scratch.keep(with_y.mapInArrow(_similar(words, similarity), "a long, b long").distinct(), "links")
-    parts = scratch.keep(components(spark, links_, scratch), "parts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (slim.select(F.col("node").alias(end), F.col("size").alias(f"{end}n"), *(F.col(c).alias(f"{end}{c}") for c in maps)) for end in "ab")
+        differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in maps), F.lit(0))
+        total = F.col("an") + F.col("bn")
+        most = total - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * total - F.lit(_ROUND))
+        pairs = scratch.keep(pairs.distinct().join(a, "a").join(b, "b").where(differ <= most).select("a", "b"), "pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        ends = scratch.keep(ends.join(slim, "node").select("node", F.col("doc_id").alias("_id")), "ends")
+        texts = marked.join(ends, (F.col("_node") == F.col("node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).select("node", text.alias("text")).dropDuplicates(["node"])
+        texts = scratch.keep(texts, "texts")
+        with_x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        with_y = with_x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        return scratch.keep(with_y.mapInArrow(_similar(words, similarity), "a long, b long").distinct(), "links")
+
+    parts = scratch.keep(components(spark, verified(met.where("not large").select("a", "b")), scratch), "parts")
+    members = met.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    members = members.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    members = scratch.keep(members, "members")
+    mixed = scratch.keep(members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "mixed")
+    if mixed.limit(1).count():
+        rows = members.join(mixed, "key").join(slim.drop("doc_id"), "node").select("key", "root", "node", "size", *maps)
+        rows = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_across(similarity), "a long, b long, large boolean")
+        more = verified(rows.select("a", "b"))
+        parts = scratch.keep(components(spark, more.union(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch), "parts")
     grouped = nodes.select("node", "doc_id", "n").join(parts, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
     # null ids come last: a document with an id stays before one without
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("one")
