@@ -75,3 +75,19 @@ def test_near_copies_around_a_loose_centre_are_found(spark, docs_of):
     want = near_groups(texts)
     assert len(want) == 101
     assert kept_ids(spark, docs_of, texts) == want
+
+
+def test_pairs_just_above_the_limit_all_meet(spark, docs_of):
+    rng = random.Random(9)
+    texts = []
+    for g in range(150):
+        w = [f"g{g}w{rng.randrange(10**6)}" for _ in range(200)]
+        texts.append(" ".join(w))
+        for at in rng.sample(range(10, 190, 9), 4):  # 0.8 to 0.85
+            w[at] = f"new{g}x{at}"
+        texts.append(" ".join(w))
+    want = near_groups(texts)
+    assert len(want) == 150
+    assert kept_ids(spark, docs_of, texts) == want
+    body, line = " ".join(f"b{i}" for i in range(300)), " ".join(f"b{i}" for i in range(10, 20))
+    assert kept_ids(spark, docs_of, [body, body + (" " + line) * 100]) == {0}  # a line that repeats is one set of shingles
