@@ -121,3 +121,22 @@ def test_paraphrase_and_odd_rows(spark, docs_of):
     b = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, "x y z")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(spark, d, b).collect()) == [(0, 1), (1, 1)]
     assert decontaminate.leaks(spark, d, b.where("false")).count() == 0 and decontaminate.leaks(spark, d.where("false"), b).count() == 0
+
+
+def _held(spark, docs_of, texts, items):
+    b = spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark, docs_of(texts), b).collect()}
+
+
+def test_leaks_of_hot_and_repeated_items(spark, docs_of):
+    rng = np.random.default_rng(4)
+    item = "the quick copper engine turns seven silver wheels beneath an ancient granite bridge while patient herons observe"
+    other = [" ".join(f"v{x}" for x in rng.integers(0, 5000, 40)) for _ in range(60)]
+    hot = [f"{item} {i}" for i in range(40)]  # short, and in over a third of all passages
+    rows = [(1, item), *((10 + i, other[0]) for i in range(10)), *((100 + i, f"{other[1]} {i}") for i in range(10))]
+    got = _held(spark, docs_of, hot + other, rows)
+    assert got >= {(i, 1) for i in range(40)} | {(40, 10 + i) for i in range(10)}
+    changed = item.replace("seven", "nine").replace("ancient", "old")
+    assert _held(spark, docs_of, [f"{changed} {i}" for i in range(40)] + other, rows[:1]) == {(i, 1) for i in range(40)}
+    family = [(i, f"what is the capital of the land {i}") for i in range(300)]  # its common words have no feature
+    assert (0, 7) in _held(spark, docs_of, [f"{other[0]} What is the capital of the land 7? {other[1]}", *other], family)

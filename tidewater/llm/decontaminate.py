@@ -6,7 +6,8 @@ distributed power step from random directions and a QR of the small result,
 gives a latent basis. Items and passages are compared by cosine in that basis;
 candidates are checked word by word: the longest common subsequence with the
 item's telling words, and, for paraphrases, with the item's answer (its last
-third).
+third). Besides, an item is found wherever all its words stand in a row, by one of
+its word n-grams, whatever its words tell.
 """
 
 from __future__ import annotations
@@ -26,11 +27,15 @@ from .common import Scratch, prepare
 
 #: Hashed features, latent axes, words of a passage and its step.
 FEATURES, RANK, PASSAGE, STEP, SEED = 8192, 64, 32, 16, 9
-#: Words found in more than this part of the passages tell nothing.
+#: Words found in more than this part of the passages tell nothing, unless an
+#: item would lose half of its words so.
 COMMON = 0.2
 #: ... or in more than this part of the items (five items at least).
 COMMON_ITEMS = 0.03
 COSINE, SHARED, SAME, PARAPHRASE, ANSWER = 0.4, 0.5, 0.75, 0.55, 0.5
+#: Words of an n-gram of the verbatim search, and of the shortest item in it.
+GRAM, SHORTEST = 8, 4
+_BASE = 0x9E3779B97F4A7C15
 #: Items of one search; more are searched in turns of so many.
 ITEMS_MOST = 20_000
 _WORD = re.compile(r"\w+")
@@ -45,16 +50,61 @@ def _hash(word: str) -> int:
 
 
 class Vocabulary:
-    """Features of the benchmark's words, of ITEMS_MOST items at most; other
-    words, and those that many items share, have none (-1)."""
+    """Numbers and features of the benchmark's words, of ITEMS_MOST items at
+    most; other words have none (-1), and those that many different items share
+    have no feature."""
 
     def __init__(self, items: list[list[str]]):
-        seen = Counter(w for words in items for w in set(words))
-        most = max(COMMON_ITEMS * len(items), 5)
-        self.feature = {w: _hash(w) % FEATURES for w, n in seen.items() if n <= most}
+        seen = Counter(w for words in set(map(tuple, items)) for w in set(words))
+        most = max(COMMON_ITEMS * len(set(map(tuple, items))), 5)
+        self.number = {w: i for i, w in enumerate(seen)}
+        self.feature = np.array([_hash(w) % FEATURES if n <= most else -1 for w, n in seen.items()] + [-1], np.int32)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
 
     def features(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.feature.get, words, repeat(-1)), np.int32, len(words))
+        return self.feature[self.numbers(words)]
+
+
+def grams(numbers: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` words in a row."""
+    last = len(numbers) - n + 1
+    x, h = (numbers.astype(np.int64) + 2).view(np.uint64), np.zeros(max(last, 0), np.uint64)
+    for j in range(n if last > 0 else 0):
+        h = h * np.uint64(_BASE) + x[j : j + last]
+    return h
+
+
+class Verbatim:
+    """Items by one n-gram each, the one that the fewest items hold."""
+
+    def __init__(self, items: list[list[str]], vocabulary: Vocabulary):
+        self.items = [vocabulary.numbers(w) for w in items]
+        self.at: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        size = [min(len(w), GRAM) if len(w) >= SHORTEST else 0 for w in items]
+        for n in sorted(set(size) - {0}):
+            held = {k: grams(self.items[k], n).tolist() for k, m in enumerate(size) if m == n}
+            count = Counter(h for own in held.values() for h in set(own))
+            for k, own in held.items():
+                off = min(range(len(own)), key=lambda i: count[own[i]])
+                self.at.setdefault(n, {}).setdefault(own[off], []).append((k, off))
+        self.keys = {n: np.sort(np.array(list(x), np.uint64)) for n, x in self.at.items()}
+
+    def find(self, docs: list[np.ndarray]) -> dict[int, set[int]]:
+        """Items that stand whole in each of ``docs`` (numbers of words)."""
+        ends = np.cumsum([len(x) + 1 for x in docs])
+        flat = np.concatenate([np.r_[x, np.int32(-1)] for x in docs])
+        out: dict[int, set[int]] = {}
+        for n, keys in self.keys.items():
+            h = grams(flat, n)
+            for at in np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h).tolist():
+                i = int(np.searchsorted(ends, at, side="right"))
+                for k, off in self.at[n][int(h[at])]:
+                    first, own = at - off, self.items[k]
+                    if k not in out.get(i, ()) and first >= ends[i] - len(docs[i]) - 1 and np.array_equal(flat[first : first + len(own)], own):
+                        out.setdefault(i, set()).add(k)
+        return out
 
 
 def passages(n: int) -> np.ndarray:
@@ -83,17 +133,17 @@ def _flat(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return key // FEATURES, key % FEATURES, count, np.stack([np.concatenate(owner), np.concatenate(start)])
 
 
-def _groups(texts: list[str | None], vocabulary: Vocabulary) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Features of some texts at a time, from the position of the first."""
+def _groups(texts: list[str | None], vocabulary: Vocabulary) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """Features and numbers of some texts' words at a time, from the position of the first."""
     some, size, first = [], 0, 0
     for i, text in enumerate(texts):
-        some.append(vocabulary.features(words_of(text)))
+        some.append(vocabulary.numbers(words_of(text)))
         size += len(some[-1])
         if size > 200_000:
-            yield first, some
+            yield first, [vocabulary.feature[x] for x in some], some
             some, size, first = [], 0, i + 1
     if some:
-        yield first, some
+        yield first, [vocabulary.feature[x] for x in some], some
 
 
 def _vectors(docs: list[np.ndarray], idf: np.ndarray):
@@ -124,7 +174,7 @@ def _sketched(vocabulary: Vocabulary):
         omega, total = _axes(SEED), np.zeros((FEATURES, RANK))
         seen, n = np.zeros(FEATURES), 0
         for batch in batches:
-            for _, docs in _groups(batch.column("text").to_pylist(), vocabulary):
+            for _, docs, _ in _groups(batch.column("text").to_pylist(), vocabulary):
                 p, f, count, places = _flat(docs)
                 n += places.shape[1]
                 if not len(p):
@@ -179,24 +229,28 @@ def common_subsequence(a: list, b: list) -> int:
 class Items:
     """Benchmark items: words, telling words, answers and latent vectors."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]], vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray):
+    def __init__(self, rows: list[tuple[int, list[str]]], vocabulary: Vocabulary, idf: np.ndarray, common: np.ndarray, basis: np.ndarray):
         self.ids = [i for i, _ in rows]
         self.size = [len(w) for _, w in rows]
         self.telling, self.answer, self.marks = [], [], []
         docs = [vocabulary.features(w) for _, w in rows]
-        self.used = [(f >= 0) & (idf[f] > 0) for f in docs]
+        self.used = [(f >= 0) & ~common[f] for f in docs]
+        self.used = [u if 2 * u.sum() >= (f >= 0).sum() else f >= 0 for u, f in zip(self.used, docs)]
         self.words: list[list[str]] = []
-        latent, self.holds = [], []
+        latent, self.holds, of = [], [], []
         for k, ((_, words), f, used) in enumerate(zip(rows, docs, self.used)):
             enough = used.sum() >= 4
             own = [w for w, u in zip(words, used) if u or not enough]
             self.telling.append(own)
             self.marks.append(f[used].tolist() if enough else None)
             self.answer.append(own[-max(1, -(-len(own) // 3)) :])
-            part, count = np.unique(f[f >= 0], return_counts=True)
-            w = count * idf[part]
-            self.holds.append(part[w > 0])
-            latent.append((basis[part] * w[:, None]).sum(axis=0) if len(part) else np.zeros(RANK))
+            self.holds.append(np.unique(f[f >= 0]))
+            for s in passages(len(f)).tolist():  # a long item has a vector for each of its passages
+                part, count = np.unique(f[s : s + PASSAGE][f[s : s + PASSAGE] >= 0], return_counts=True)
+                latent.append((basis[part] * (count * idf[part])[:, None]).sum(axis=0) if len(part) else np.zeros(RANK))
+                of.append(k)
+        self.of = np.array(of, np.int64)
+        self.verbatim = Verbatim([w for _, w in rows], vocabulary)
         z = np.array(latent, np.float32).reshape(-1, RANK)
         self.latent = z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)
         self.set = [set(x) for x in self.telling]
@@ -238,37 +292,48 @@ def _searched(vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray, items:
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("row").to_pylist()
             out: list[tuple] = []
-            for first, docs in _groups(texts, vocabulary):
+            for first, docs, numbers in _groups(texts, vocabulary):
                 p, f, w, (owner, start) = _vectors(docs, idf)
                 z = _projected(p, f, w, len(owner), basis)
                 norm = np.linalg.norm(z, axis=1)
                 some = np.flatnonzero(norm > 1e-6)
+                whole = items.verbatim.find(numbers)
+                for i, hits in whole.items():
+                    lo, hi = np.searchsorted(owner, i), np.searchsorted(owner, i, side="right")
+                    near = (z[lo:hi] / (norm[lo:hi, None] + 1e-9)) @ items.latent.T
+                    for k in hits:
+                        out.append((ids[first + i], items.ids[k], float(near[:, items.of == k].max()), 1.0, 1.0))
                 found: dict[int, dict[int, list]] = {}
                 for at in range(0, len(some), 4096):
                     rows = some[at : at + 4096]
                     cosine = (z[rows] / norm[rows, None]) @ items.latent.T
-                    i, k = np.nonzero(cosine >= COSINE)
+                    i, c = np.nonzero(cosine >= COSINE)
                     if not len(i):
                         continue
+                    k = items.of[c]
                     lo, hi = np.searchsorted(p, rows[i]), np.searchsorted(p, rows[i], side="right")
                     size = hi - lo
                     at_f = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
                     ok = items.shared(k, size, f[at_f]) >= SHARED
-                    for i, k in zip(i[ok], k[ok]):
-                        found.setdefault(int(owner[rows[i]]), {}).setdefault(int(k), []).append((float(cosine[i, k]), int(start[rows[i]])))
+                    for i, c in zip(i[ok], c[ok]):
+                        doc, k, s = int(owner[rows[i]]), int(items.of[c]), int(start[rows[i]])
+                        if k not in whole.get(doc, ()):
+                            places = found.setdefault(doc, {}).setdefault(k, {})
+                            places[s] = max(places.get(s, 0.0), float(cosine[i, c]))
                 for i, hits in found.items():
                     words = None
                     for k, places in hits.items():
                         best = (0.0, 0.0, 0.0)
-                        for cosine, s in places:
+                        for s, cosine in places.items():
                             extra = max(STEP, items.size[k] - PASSAGE)
                             window = slice(max(0, s - extra), s + PASSAGE + extra)
                             if not items.likely(k, docs[i][window]):
                                 continue
                             words = words or words_of(texts[first + i])
                             same, answer = items.check(k, words[window])
-                            best = max(best, (same, answer, cosine))
-                        if best[0] >= SAME or (best[0] >= PARAPHRASE and best[1] >= ANSWER):
+                            if same >= SAME or (same >= PARAPHRASE and answer >= ANSWER):
+                                best = max(best, (same, answer, cosine))
+                        if best[0]:
                             out.append((ids[first + i], items.ids[k], best[2], best[0], best[1]))
             names = ["row", "item_id", "cosine", "same", "answer"]
             yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*out) if out else [[]] * 5)), schema=pa.schema(list(zip(names, [pa.string(), pa.int64()] + [pa.float64()] * 3))))
@@ -296,9 +361,9 @@ def _matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
         for k, part in parts.items():
             if k >= 0:
                 total[k] = part
-        idf = np.where(seen <= max(COMMON * n, 20), np.log((n + 1) / np.maximum(seen, 1)) + 0.1, 0.0)
+        idf = np.log((n + 1) / np.maximum(seen, 1)) + 0.1
         basis = latent_basis(total.reshape(FEATURES, RANK), idf)
-        search = _searched(vocabulary, idf, basis, Items(rows, vocabulary, idf, basis))
+        search = _searched(vocabulary, idf, basis, Items(rows, vocabulary, idf, seen > max(COMMON * n, 20), basis))
         found.append(docs.select("row", "text").mapInArrow(search, "row string, item_id long, cosine double, same double, answer double"))
     if not found:
         return spark.createDataFrame([], "row string, item_id long, cosine double, same double, answer double")
