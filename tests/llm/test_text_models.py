@@ -140,3 +140,15 @@ def test_leaks_of_hot_and_repeated_items(spark, docs_of):
     assert _held(spark, docs_of, [f"{changed} {i}" for i in range(40)] + other, rows[:1]) == {(i, 1) for i in range(40)}
     family = [(i, f"what is the capital of the land {i}") for i in range(300)]  # its common words have no feature
     assert (0, 7) in _held(spark, docs_of, [f"{other[0]} What is the capital of the land 7? {other[1]}", *other], family)
+
+
+def test_long_items_and_each_place_by_the_rule(spark, docs_of):
+    rng = np.random.default_rng(5)
+    long = [f"l{i}" for i in range(1500)]
+    filler = [" ".join(f"v{x}" for x in rng.integers(0, 5000, 60)) for _ in range(40)]
+    edited = [w if i % 20 else f"e{i}" for i, w in enumerate(long)]
+    texts = [f"{filler[0]} {' '.join(long)} {filler[1]}", f"{filler[2]} {' '.join(edited)} {filler[3]}", *filler[4:]]
+    assert _held(spark, docs_of, texts, [(1, " ".join(long))]) == {(0, 1), (1, 1)}
+    words = [f"q{i}" for i in range(30)]
+    more, less = words[:20] + ["x"] * 10, words[:10] + ["y"] * 4 + words[10:12] + ["y"] * 8 + words[24:]
+    assert (0, 1) in _held(spark, docs_of, [" ".join(more + [f"z{i}" for i in range(100)] + less), *filler], [(1, " ".join(words))])

@@ -32,7 +32,7 @@ FEATURES, RANK, PASSAGE, STEP, SEED = 8192, 64, 32, 16, 9
 COMMON = 0.2
 #: ... or in more than this part of the items (five items at least).
 COMMON_ITEMS = 0.03
-COSINE, SHARED, SAME, PARAPHRASE, ANSWER = 0.4, 0.5, 0.75, 0.55, 0.5
+COSINE, SHARED, SAME, PARAPHRASE, ANSWER = 0.3, 0.3, 0.75, 0.55, 0.5
 #: Words of an n-gram of the verbatim search, and of the shortest item in it.
 GRAM, SHORTEST = 8, 4
 _BASE = 0x9E3779B97F4A7C15
