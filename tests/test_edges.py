@@ -101,6 +101,29 @@ def test_grid_joins_at_cell_edges(spark):
     assert {(r.point_id, r.site_id) for r in near} == {(1, 1), (1, 2), (2, 4), (2, 2)} or len(near) == 4
 
 
+def test_nearest_sites_however_far_and_in_the_north(spark):
+    import random
+
+    from tidewater.functions.expressions import EARTH_KM
+
+    rng = random.Random(3)
+    sites = [(i, 20 + rng.random() * 0.2, 65 + rng.random() * 0.2) for i in range(60)] + [(60, 179.99, 0.0), (61, -179.97, 0.0), (62, 20.0, 85.0)]
+    points = [(i, 20 + rng.random() * 0.2, 65 + rng.random() * 0.2) for i in range(40)] + [(40, 24.0, 65.0), (41, 20.0, -65.0), (42, -179.99, 0.0), (43, 200.0 - 360, 89.9)]
+
+    def km(a, b):
+        import math
+
+        x, y, u, v = map(math.radians, (*a[1:], *b[1:]))
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+        return 2 * EARTH_KM * math.asin(min(1, math.sqrt(h)))
+
+    want = {(p[0], n + 1, q[0]) for p in points for n, q in enumerate(sorted(sites, key=lambda q: (km(p, q), q[0]))[:3])}
+    p = spark.createDataFrame(points, "point_id long, lon double, lat double")
+    s = spark.createDataFrame(sites, "site_id long, site_lon double, site_lat double")
+    assert {(r.point_id, r["rank"], r.site_id) for r in P.knn_join(p, s, 3).collect()} == want
+    assert P.knn_join(p, s.where("site_id < 2"), 3).count() == 2 * len(points)
+
+
 def test_raster_borders(spark):
     pix = spark.createDataFrame([(r, c, float(r * 4 + c)) for r in range(4) for c in range(4)], "row int, col int, value double")
     pts = spark.createDataFrame([(1, 0.5, 3.5), (2, 9.0, 9.0)], "point_id long, lon double, lat double")

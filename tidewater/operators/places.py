@@ -34,37 +34,40 @@ def radius_join(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame
     return p.join(s, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("_cx", "_cy")
 
 
-def knn_join(points: DataFrame, sites: DataFrame, k: int = 5, cell: float = 0.02, most_rings: int = 64) -> DataFrame:
+def knn_join(points: DataFrame, sites: DataFrame, k: int = 5, cell: float = 0.02) -> DataFrame:
     """The ``k`` sites nearest to each point by great-circle distance, ties by
-    site_id. Each point reads rings of grid cells around it until it has seen
-    ``k`` sites nearer than anything outside the ring can be; ring r is a join
-    on cells, so no point meets all sites. Points that no ring settles (fewer
-    than ``k`` sites near) are settled by the widest ring."""
-    cx, cy = F.floor(F.col("lon") / cell), F.floor(F.col("lat") / cell)
-    s = sites.select("site_id", "site_lon", "site_lat", F.floor(F.col("site_lon") / cell).alias("_cx"), F.floor(F.col("site_lat") / cell).alias("_cy"))
-    # sites a cell, summed over the square of each radius, tell how far a point has to look
-    count = s.groupBy("_cx", "_cy").agg(F.count("*").alias("_n"))
-    bounds = s.agg(F.min("_cx"), F.max("_cx"), F.min("_cy"), F.max("_cy")).first()
-    cells = points.select(cx.alias("_px"), cy.alias("_py")).distinct()
-    done, radius = None, 1
-    while True:
-        off = F.sequence(F.lit(-radius), F.lit(radius))
-        around = cells.withColumn("_dx", F.explode(off)).withColumn("_dy", F.explode(off))
-        seen = around.join(count, (F.col("_px") + F.col("_dx") == F.col("_cx")) & (F.col("_py") + F.col("_dy") == F.col("_cy")), "left").groupBy("_px", "_py").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
-        last = 2 * radius > most_rings or bounds[0] is None or (radius >= 2 + bounds[1] - bounds[0] and radius >= 2 + bounds[3] - bounds[2])
-        # k sites inside the square: the k-th is within the square's diagonal; look that far to be sure
-        settled = (seen if last else seen.where(F.col("_n") >= k)).select("_px", "_py", F.lit(int(np.ceil(1.5 * (radius + 1))) + 1 if not last else 2 * radius).alias("_r"))
-        done = settled if done is None else done.unionByName(settled)
-        if last:
-            break
-        cells = cells.join(settled, ["_px", "_py"], "left_anti")
-        if not cells.limit(1).count():
-            break
-        radius *= 2
-    p = points.withColumn("_px", cx).withColumn("_py", cy).join(done, ["_px", "_py"])
-    off = F.sequence(-F.col("_r"), F.col("_r"))
-    p = p.withColumn("_dx", F.explode(off)).withColumn("_dy", F.explode(off)).withColumn("_cx", F.col("_px") + F.col("_dx")).withColumn("_cy", F.col("_py") + F.col("_dy"))
-    pairs = p.join(s, ["_cx", "_cy"]).drop("_px", "_py", "_r", "_dx", "_dy", "_cx", "_cy")
+    site_id; all sites if there are fewer. Places are cubes in space, so
+    neither latitude nor the date line bends them, of ``cell`` degrees and
+    doubled until the 27 around a point hold ``k`` sites (at last the whole
+    globe). The ``k``-th is then within two cubes' diagonal, which is less than
+    four cubes, so the point meets the 27 of four times the size. A point
+    far from all sites meets many of them."""
+    edge = float(np.radians(cell))
+    top = max(0, int(np.ceil(np.log2(2 / edge))))
+
+    def cubes(lon: str, lat: str) -> list[Column]:
+        x, y = F.radians(lon), F.radians(lat)
+        return [F.floor(c / edge) for c in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))]
+
+    def around(df: DataFrame) -> DataFrame:
+        for c in "xyz":
+            df = df.withColumn(f"_c{c}", F.explode(F.array(*(F.col(f"_c{c}") + o for o in (-1, 0, 1)))))
+        return df
+
+    base, cube = ["_px", "_py", "_pz"], ["_cx", "_cy", "_cz"]
+    up = lambda frm, level: [F.floor(F.col(b) / F.pow(F.lit(2.0), level)).alias(c) for b, c in zip(frm, cube)]
+    s = sites.select("site_id", "site_lon", "site_lat", *(c.alias(n) for c, n in zip(cubes("site_lon", "site_lat"), ["_sx", "_sy", "_sz"])))
+    p = points.withColumns(dict(zip(base, cubes("lon", "lat"))))
+    each = lambda df: df.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    count = each(s.select("_sx", "_sy", "_sz")).select("_l", *up(["_sx", "_sy", "_sz"], F.col("_l"))).groupBy("_l", *cube).agg(F.count("*").alias("_n"))
+    marked = each(p.select(*base).distinct()).select(*base, "_l", *up(base, F.col("_l")))
+    here = marked.select("_l", *cube).distinct().select("_l", *cube, *(F.col(c).alias(f"_h{c}") for c in cube))
+    held = around(here).join(count, ["_l", *cube]).groupBy("_l", *(F.col(f"_h{c}").alias(c) for c in cube)).agg(F.sum("_n").alias("_n"))
+    full = held.where((F.col("_n") >= k) | (F.col("_l") == top)).select("_l", *cube)
+    done = marked.join(full, ["_l", *cube]).groupBy(*base).agg(F.least(F.min("_l") + 2, F.lit(top)).alias("_l"))
+    p = around(p.join(done, base).select("*", *up(base, F.col("_l"))))
+    s = each(s).select("site_id", "site_lon", "site_lat", "_l", *up(["_sx", "_sy", "_sz"], F.col("_l")))
+    pairs = p.join(s, ["_l", *cube]).drop("_l", *base, *cube)
     pairs = pairs.withColumn("distance", X.haversine(F.col("lon"), F.col("lat"), F.col("site_lon"), F.col("site_lat")))
     by = Window.partitionBy("point_id").orderBy("distance", "site_id")
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
