@@ -123,38 +123,46 @@ def hour_partition(ts: Column, tz: str = "America/New_York") -> Column:
 # -- ladders
 
 
+# The case of (working day, working hour, known computer).
+CASES = {
+    (True, False, False): "Case 1",
+    (False, True, False): "Case 2",
+    (True, True, False): "Case 3",
+    (False, False, True): "Case 4",
+    (True, False, True): "Case 5",
+    (False, True, True): "Case 6",
+    (False, False, False): "Case 7",
+}
+# Alerts, the severity each stands for, and the classes of messages.
+HIGH, MIDDLE, LOW, NORMAL = "HIGH : Call 911", "MIDDLE : Notify Doctor", "LOW : Ping User", "Normal Activity - No alerts"
+ALERT_SEVERITY = {HIGH: "emergency", MIDDLE: "high", LOW: "medium"}
+ALERT_CLASS = {"critical": "HIGH|Call 911", "high": "MIDDLE|Notify Doctor", "moderate": "LOW|Ping User"}
+
+
 def anomaly_case(day: Column, hour: Column, freq: Column) -> Column:
-    """Seven cases of working day, working hour and known computer."""
-    known = freq > 0
+    """The case of a row outside its profile; a working day and hour on a known computer is Normal."""
+    known = freq != 0
     case = F.lit("Normal")
-    table = {
-        (True, True, False): "Case 1: new computer",
-        (True, False, True): "Case 2: unusual hour",
-        (True, False, False): "Case 3: unusual hour, new computer",
-        (False, True, True): "Case 4: unusual day",
-        (False, True, False): "Case 5: unusual day, new computer",
-        (False, False, True): "Case 6: unusual day and hour",
-        (False, False, False): "Case 7: unusual day and hour, new computer",
-    }
-    for (d, h, k), name in table.items():
+    for (d, h, k), name in CASES.items():
         case = F.when((day == F.lit(d)) & (hour == F.lit(h)) & (known == F.lit(k)), name).otherwise(case)
     return case
 
 
 def guardian_alert(hours: Column, deviation: Column) -> Column:
-    return (
-        F.when((deviation > 0.8) & (hours >= 12), "HIGH ALERT: Call 911")
-        .when((deviation > 0.6) & (hours >= 6), "MODERATE ALERT: Call guardian")
-        .when((deviation > 0.3) & (hours >= 3), "LOW ALERT: Text guardian")
-        .otherwise("Normal activity")
-    )
+    """Deviation counts for the highest alert only; an unknown one (null) does not reach it."""
+    return F.when((deviation > 0.8) & (hours >= 12), HIGH).when(hours >= 6, MIDDLE).when(hours >= 3, LOW).otherwise(NORMAL)
+
+
+def alert_class(alert: Column) -> Column:
+    """critical, high, moderate, or low for all else."""
+    return reduce(lambda c, x: c.when(alert.rlike(x[1]), x[0]), ALERT_CLASS.items(), F).otherwise("low")
 
 
 def clinical_severity(hours: Column, deviation: Column) -> Column:
     return (
-        F.when((deviation > 0.8) & (hours > 72), "EMERGENCY")
-        .when((deviation > 0.6) & (hours > 48), "HIGH")
-        .when((deviation > 0.4) & (hours > 24), "MODERATE")
+        F.when((deviation > 0.8) & (hours > 72), "CRITICAL")
+        .when((deviation > 0.6) | (hours > 48), "HIGH")
+        .when((deviation > 0.4) | (hours > 24), "MODERATE")
         .otherwise("LOW")
     )
 

@@ -15,13 +15,6 @@ from ..functions import expressions as X
 UNLOCKS, LOCKS = ("Logon", "Privileged Logon", "Unlock"), ("Lock",)
 KEY = ["account", "host"]
 SESSION = [*KEY, "unlock_time", "lock_time"]
-#: Tables of at most so many rows are broadcast.
-SMALL_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; a plain join side beyond."""
-    return F.broadcast(df) if len(df.limit(SMALL_ROWS + 1).select(F.lit(1)).collect()) <= SMALL_ROWS else df
 
 
 # -- sessions
@@ -113,12 +106,13 @@ def web_counters(joined: DataFrame, start: str = "08:00:00", end: str = "19:00:0
 
 
 def activity_counters(joined: DataFrame, primary: DataFrame, start: str = "08:00:00", end: str = "19:00:00") -> DataFrame:
-    """Sixteen counters of a session: logon, device, document and executable
-    events, on the account's own or another host, in or out of hours."""
+    """Sixteen counters of a session: logon (of any kind, unlocks too), device,
+    document and executable events, on the account's own or another host, in
+    or out of hours."""
     off = X.off_hour(F.col("ts"), start, end)
     own = F.col("host").eqNullSafe(F.col("primary_host"))
     kinds = {
-        "logon": F.col("activity") == "Logon",
+        "logon": F.col("activity").isin(*UNLOCKS),
         "device": F.col("activity") == "PeFileWritten",
         "document": X.file_kind(F.col("details")) == "document",
         "executable": X.file_kind(F.col("details")) == "executable",
@@ -133,8 +127,8 @@ def activity_counters(joined: DataFrame, primary: DataFrame, start: str = "08:00
 
 
 def inject_default_logon(joined: DataFrame) -> DataFrame:
-    """Sessions that have events but no logon get one at their unlock time."""
-    none = joined.groupBy(*SESSION).agg(F.max((F.col("activity") == "Logon").cast("int")).alias("has")).where("has = 0 or has is null")
+    """Sessions that have events but no logon of any kind get one at their unlock time."""
+    none = joined.groupBy(*SESSION).agg(F.max(F.col("activity").isin(*UNLOCKS).cast("int")).alias("has")).where("has = 0 or has is null")
     default = none.select(*SESSION, F.col("unlock_time").alias("ts"), F.lit("Logon").alias("activity"), F.lit(None).cast("string").alias("details"))
     return joined.select(*SESSION, "ts", "activity", "details").unionByName(default)
 

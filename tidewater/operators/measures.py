@@ -4,13 +4,65 @@ metrics, curves, histograms, feature scores, sampling and validation."""
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 
+# -- order statistics and running sums of whole tables
+
+#: Rows of which one task takes a percentile.
+EXACT_ROWS = 1_000_000
+
+
+def quantiles(df: DataFrame, wanted: Sequence[tuple[str, float]], most: int = EXACT_ROWS) -> list[float | None]:
+    """The exact quantile q of a column, between two values in proportion, for
+    each (column, q); nulls and NaN do not count, None without any value.
+
+    Approximate quantiles, whose error of rank is bounded, bracket each; the
+    rows below and inside are counted, and again, until a bracket has ``most``
+    rows. Only its values meet in a task, and only numbers come to the driver.
+    """
+    v = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c, _ in wanted]
+    inside = list(df.agg(*(F.count(x).alias(f"n{i}") for i, x in enumerate(v))).first())
+    at = [q * (n - 1) for (_, q), n in zip(wanted, inside)]
+    ends, below = [(float("-inf"), float("inf"))] * len(v), [0] * len(v)
+    within = lambda i: F.when(v[i].between(*ends[i]), v[i])
+    wide, whole = [i for i, n in enumerate(inside) if n > most], list(inside)
+    while wide:
+        part = {i: (at[i] - below[i]) / (inside[i] - 1) for i in wide}
+        some = df.agg(*(F.percentile_approx(within(i), [max(0.0, part[i] - 3e-4), min(1.0, part[i] + 3e-4)], 10_000).alias(f"e{i}") for i in wide)).first()
+        for i in wide:
+            a, b = some[f"e{i}"]
+            ends[i] = (a if part[i] > 3e-4 else ends[i][0], b if part[i] < 1 - 3e-4 else ends[i][1])
+        n = df.agg(*(F.count_if(v[i] < ends[i][0]).alias(f"b{i}") for i in wide), *(F.count(within(i)).alias(f"n{i}") for i in wide)).first()
+        # where one value repeats, a bracket may keep most rows: these are few values then
+        again = [i for i in wide if most < n[f"n{i}"] < inside[i] / 2]
+        for i in wide:
+            below[i], inside[i] = n[f"b{i}"], n[f"n{i}"]
+        wide = again
+    share = lambda i: wanted[i][1] if inside[i] == whole[i] else min(1.0, max(0.0, (at[i] - below[i]) / max(1, inside[i] - 1)))
+    return list(df.agg(*(F.percentile(within(i), F.lit(share(i))).alias(f"q{i}") for i in range(len(v)))).first())
+
+
+def running_sums(df: DataFrame, by: str, sums: Mapping[str, str], descending: bool = False, cuts: int = 256) -> DataFrame:
+    """``df``, a row a value of ``by``, with sums (new name: column) over all
+    rows up to each in that order. Ranges between sampled values are summed up
+    by themselves, so no task sorts the whole table."""
+    drawn = df.select(by).where(F.col(by).isNotNull()).orderBy(F.xxhash64(by), by).limit(cuts).orderBy(by).collect()
+    own = F.size(F.filter(F.array(*(F.lit(r[0]) for r in drawn)), lambda e: e < F.col(by))) if drawn else F.lit(0)
+    ranged = df.withColumn("_r", own)
+    down = F.desc if descending else F.asc
+    ahead = Window.orderBy(down("_r")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = ranged.groupBy("_r").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    totals = totals.select("_r", *(F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_t_{n}") for n in sums))
+    here = Window.partitionBy("_r").orderBy(down(by)).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(totals), "_r")  # ``cuts`` + 1 rows
+    return out.select(*df.columns, *((F.sum(c).over(here) + F.col(f"_t_{n}")).alias(n) for n, c in sums.items()))
+
+
 # -- cleaning
 
 
@@ -22,25 +74,22 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    middle = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns))
-    out = df.crossJoin(F.broadcast(middle))  # one row
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*(f"_m_{c}" for c in columns))
+    middle = dict(zip(columns, quantiles(df, [(c, 0.5) for c in columns])))
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c]).cast("double")) for c in columns})
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    ends = df.agg(*(F.percentile(c, F.lit(q)).alias(f"_{n}_{c}") for c in columns for n, q in (("a", lo), ("b", hi))))
-    out = df.crossJoin(F.broadcast(ends))  # one row
-    out = out.withColumns({c: F.greatest(F.col(f"_a_{c}"), F.least(F.col(f"_b_{c}"), F.col(c))) for c in columns})
-    return out.drop(*(f"_{n}_{c}" for c in columns for n in "ab"))
+    ends = quantiles(df, [(c, q) for c in columns for q in (lo, hi)])
+    return df.withColumns({c: F.greatest(F.lit(a).cast("double"), F.least(F.lit(b).cast("double"), F.col(c))) for c, a, b in zip(columns, ends[::2], ends[1::2])})
 
 
 def calibrate(df: DataFrame, column: str, lo: float = 0.92, hi: float = 1.09) -> DataFrame:
     """To [lo, hi] by least and largest, then the tails beyond the 2nd and 98th percentile halved."""
     ends = df.agg(F.min(column).alias("_a"), F.max(column).alias("_b"))
     scaled = df.crossJoin(F.broadcast(ends)).withColumn("calibrated", lo + F.try_divide(F.col(column) - F.col("_a"), F.col("_b") - F.col("_a")) * (hi - lo)).drop("_a", "_b")
-    tails = scaled.agg(F.percentile("calibrated", F.lit(0.02)).alias("_p"), F.percentile("calibrated", F.lit(0.98)).alias("_q"))
-    c, p, q = F.col("calibrated"), F.col("_p"), F.col("_q")
-    return scaled.crossJoin(F.broadcast(tails)).withColumn("calibrated", F.when(c < p, p - (p - c) / 2).when(c > q, q + (c - q) / 2).otherwise(c)).drop("_p", "_q")
+    p, q = (F.lit(x).cast("double") for x in quantiles(scaled, [("calibrated", 0.02), ("calibrated", 0.98)]))
+    c = F.col("calibrated")
+    return scaled.withColumn("calibrated", F.when(c < p, p - (p - c) / 2).when(c > q, q + (c - q) / 2).otherwise(c))
 
 
 def min_max(df: DataFrame, column: str, top: float = 10.0, digits: int = 2) -> DataFrame:
@@ -62,9 +111,9 @@ def standard_scale(train: DataFrame, test: DataFrame, columns: Sequence[str]) ->
 
 
 def robust_scale(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
-    m = train.agg(*(F.percentile(c, F.lit(q)).alias(f"_{n}_{c}") for c in columns for n, q in (("a", 0.25), ("m", 0.5), ("b", 0.75))))
-    out = test.crossJoin(F.broadcast(m)).withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_b_{c}") - F.col(f"_a_{c}")), F.lit(0.0)) for c in columns})
-    return out.drop(*(f"_{n}_{c}" for c in columns for n in "amb"))
+    m = quantiles(train, [(c, q) for c in columns for q in (0.25, 0.5, 0.75)])
+    number = lambda x: F.lit(x).cast("double")
+    return test.withColumns({c: F.coalesce(F.try_divide(F.col(c) - number(m[3 * i + 1]), number(m[3 * i + 2]) - number(m[3 * i])), F.lit(0.0)) for i, c in enumerate(columns)})
 
 
 def polynomial(df: DataFrame, columns: Sequence[str], interaction_only: bool = False) -> DataFrame:
@@ -77,8 +126,9 @@ def polynomial(df: DataFrame, columns: Sequence[str], interaction_only: bool = F
 
 
 def label_encode(df: DataFrame, column: str) -> DataFrame:
-    """Rank of each value among the distinct values; only these are ordered."""
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    """Rank of each value among the distinct values; only these are ordered. Null has none."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    codes = running_sums(values, column, {"code": "_one"}).select(column, (F.col("code") - 1).cast("int").alias("code"))
     return df.join(codes, column, "left")
 
 
@@ -86,8 +136,9 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
 
 
 def prediction_stats(df: DataFrame, column: str) -> DataFrame:
+    (middle,) = quantiles(df, [(column, 0.5)])
     return df.agg(
-        F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("nulls"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("most")
+        F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("nulls"), F.avg(column).alias("mean"), F.lit(middle).cast("double").alias("median"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("most")
     )
 
 
@@ -154,18 +205,13 @@ def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: Sequence[
 
 
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """score, tp, fp: counts at or above each distinct score. Only the distinct
-    scores are ordered."""
-    counts = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    by = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(F.col(score).alias("score"), F.sum("p").over(by).alias("tp"), F.sum("n").over(by).alias("fp"))
+    """score, p, n, tp, fp: rows of each distinct score, and at or above it."""
+    counts = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    return running_sums(counts, "score", {"tp": "p", "fp": "n"}, descending=True)
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    curve = roc_curve(df, score, label)
-    by = Window.orderBy(F.desc("score"))
-    x, y = F.coalesce(F.lag("fp").over(by), F.lit(0)), F.coalesce(F.lag("tp").over(by), F.lit(0))
-    parts = curve.withColumn("area", (F.col("fp") - x) * (F.col("tp") + y) / 2)
+    parts = roc_curve(df, score, label).withColumn("area", F.col("n") * (2 * F.col("tp") - F.col("p")) / 2)
     return parts.agg(F.try_divide(F.sum("area"), (F.max("tp") * F.max("fp")).cast("double")).alias("auc"))
 
 
@@ -193,16 +239,12 @@ def f_scores(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     return long.select("feature", (F.try_divide(F.col("r") * F.col("r"), 1 - F.col("r") * F.col("r")) * (F.col("n") - 2)).alias("score"))
 
 
-def _below(column: str):
-    return lambda end: F.col(column) > end
-
-
 def mi_scores(df: DataFrame, columns: Sequence[str], y: str, bins: int = 8) -> DataFrame:
     """feature, score: mutual information of quantile bins of each feature and of y."""
     every = [*columns, y]
-    ends = df.agg(*(F.percentile(c, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias(f"_e_{c}") for c in every))
-    at = {c: F.size(F.filter(f"_e_{c}", _below(c))) for c in every}
-    binned = df.crossJoin(F.broadcast(ends)).select(at[y].alias("b"), *(at[c].alias(c) for c in columns))
+    ends = quantiles(df, [(c, i / bins) for c in every for i in range(1, bins)])
+    at = {c: sum((F.when(F.col(c) > e, 1).otherwise(0) for e in ends[(bins - 1) * i : (bins - 1) * (i + 1)]), F.lit(0)) for i, c in enumerate(every)}
+    binned = df.select(at[y].alias("b"), *(at[c].alias(c) for c in columns))
     counts = binned.unpivot("b", list(columns), "feature", "a").groupBy("feature", "a", "b").count()
     n = F.sum("count").over(Window.partitionBy("feature"))
     pa, pb = F.sum("count").over(Window.partitionBy("feature", "a")), F.sum("count").over(Window.partitionBy("feature", "b"))
@@ -232,10 +274,15 @@ def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFra
 
 
 def split_stratified(df: DataFrame, key: str, by: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """The first part of each class in an order by hash."""
-    w = Window.partitionBy(by)
-    place = F.row_number().over(w.orderBy(bucket(key, seed, 2**31 - 1), key))
-    return df.withColumn("is_test", place <= F.floor(F.count("*").over(w) * test))
+    """The first part of each class in an order by hash. Slices of the hash are
+    counted and placed by the rows before them; rows are ordered in their slice only."""
+    rows = df.withColumn("_b", bucket(key, seed, 2**31 - 1)).withColumn("_s", F.shiftright("_b", 11))
+    whole = Window.partitionBy(by)  # at most 2 ** 20 slices a class
+    slices = rows.groupBy(by, "_s").count()
+    slices = slices.select(F.col(by).alias("_c"), F.col("_s").alias("_k"), F.coalesce(F.sum("count").over(whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"), F.floor(F.sum("count").over(whole) * test).alias("_most"))
+    here = F.row_number().over(Window.partitionBy(by, "_s").orderBy("_b", key))
+    placed = rows.withColumn("_n", here).join(slices, F.col(by).eqNullSafe(F.col("_c")) & (F.col("_s") == F.col("_k")))
+    return placed.select(*df.columns, (F.col("_ahead") + F.col("_n") <= F.col("_most")).alias("is_test"))
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -247,14 +294,14 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 
 def sample_weights(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
-    """Weight 1, doubled beyond the 5th or 95th percentile of y, and times 1.5
-    where the spread of a row's features is above its 75th percentile."""
+    """Weight 4 at or beyond the 5th or 95th percentile of y; between them 2
+    where the variance of a row's features is above its 75th percentile, else 0.5."""
     every = F.array(*columns)
     mean = F.aggregate(every, F.lit(0.0), lambda s, x: s + x) / len(columns)
     rows = df.withColumn("_m", mean).withColumn("_v", F.aggregate(every, F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / len(columns))
-    ends = rows.agg(F.percentile(y, F.lit(0.05)).alias("_a"), F.percentile(y, F.lit(0.95)).alias("_b"), F.percentile("_v", F.lit(0.75)).alias("_c"))
-    w = F.when((F.col(y) < F.col("_a")) | (F.col(y) > F.col("_b")), 2.0).otherwise(1.0) * F.when(F.col("_v") > F.col("_c"), 1.5).otherwise(1.0)
-    return rows.crossJoin(F.broadcast(ends)).withColumn("weight", w).drop("_m", "_v", "_a", "_b", "_c")
+    low, high, wide = (F.lit(x).cast("double") for x in quantiles(rows, [(y, 0.05), (y, 0.95), ("_v", 0.75)]))
+    w = F.when((F.col(y) <= low) | (F.col(y) >= high), 4.0).when(F.col("_v") > wide, 2.0).otherwise(0.5)
+    return rows.withColumn("weight", w).drop("_m", "_v")
 
 
 def weighted_sample(df: DataFrame, weight: str, n: int, key: str, seed: int = 42) -> DataFrame:

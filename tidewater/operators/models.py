@@ -169,7 +169,7 @@ def augment(df: DataFrame, key: str, columns: Sequence[str], y: str, strategy: s
         gauss = lambda c: F.sqrt(-2 * F.log(F.greatest(u(c + "a"), F.lit(1e-12)))) * F.cos(2 * np.pi * u(c + "b"))
         out = copies.crossJoin(F.broadcast(spread))  # one row
         return out.withColumns({c: F.col(c) + gauss(c) * F.col(f"_s_{c}") * scale for c in columns}).drop(*(f"_s_{c}" for c in columns))
-    chunk = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(64))
+    chunk = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 + df.count() // 8192))  # of some thousand rows each
     by = Window.partitionBy("copy", chunk).orderBy(F.xxhash64(F.col(key), F.col("copy"), F.lit(seed)), key)
     every = [*columns, y]
     out = copies.withColumns({f"_n_{c}": F.lead(c).over(by) for c in every}).where(F.col(f"_n_{y}").isNotNull()).withColumn("_w", 0.5 + u("mix") / 2)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .measures import quantiles
 
 DEGREE_M = 111_000.0
 
@@ -34,79 +35,159 @@ def radius_join(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame
     return p.join(s, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("_cx", "_cy")
 
 
-def knn_join(points: DataFrame, sites: DataFrame, k: int = 5, cell: float = 0.02) -> DataFrame:
-    """The ``k`` sites nearest to each point by great-circle distance, ties by
-    site_id; all sites if there are fewer. Places are cubes in space, so
-    neither latitude nor the date line bends them, of ``cell`` degrees and
-    doubled until the 27 around a point hold ``k`` sites (at last the whole
-    globe). The ``k``-th is then within two cubes' diagonal, which is less than
-    four cubes, so the point meets the 27 of four times the size. A point
-    far from all sites meets many of them."""
-    edge = float(np.radians(cell))
-    top = max(0, int(np.ceil(np.log2(2 / edge))))
-
-    def cubes(lon: str, lat: str) -> list[Column]:
-        x, y = F.radians(lon), F.radians(lat)
-        return [F.floor(c / edge) for c in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))]
-
-    def around(df: DataFrame) -> DataFrame:
-        for c in "xyz":
-            df = df.withColumn(f"_c{c}", F.explode(F.array(*(F.col(f"_c{c}") + o for o in (-1, 0, 1)))))
-        return df
-
-    base, cube = ["_px", "_py", "_pz"], ["_cx", "_cy", "_cz"]
-    up = lambda frm, level: [F.floor(F.col(b) / F.pow(F.lit(2.0), level)).alias(c) for b, c in zip(frm, cube)]
-    s = sites.select("site_id", "site_lon", "site_lat", *(c.alias(n) for c, n in zip(cubes("site_lon", "site_lat"), ["_sx", "_sy", "_sz"])))
-    p = points.withColumns(dict(zip(base, cubes("lon", "lat"))))
-    each = lambda df: df.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    count = each(s.select("_sx", "_sy", "_sz")).select("_l", *up(["_sx", "_sy", "_sz"], F.col("_l"))).groupBy("_l", *cube).agg(F.count("*").alias("_n"))
-    marked = each(p.select(*base).distinct()).select(*base, "_l", *up(base, F.col("_l")))
-    here = marked.select("_l", *cube).distinct().select("_l", *cube, *(F.col(c).alias(f"_h{c}") for c in cube))
-    held = around(here).join(count, ["_l", *cube]).groupBy("_l", *(F.col(f"_h{c}").alias(c) for c in cube)).agg(F.sum("_n").alias("_n"))
-    full = held.where((F.col("_n") >= k) | (F.col("_l") == top)).select("_l", *cube)
-    done = marked.join(full, ["_l", *cube]).groupBy(*base).agg(F.least(F.min("_l") + 2, F.lit(top)).alias("_l"))
-    p = around(p.join(done, base).select("*", *up(base, F.col("_l"))))
-    s = each(s).select("site_id", "site_lon", "site_lat", "_l", *up(["_sx", "_sy", "_sz"], F.col("_l")))
-    pairs = p.join(s, ["_l", *cube]).drop("_l", *base, *cube)
-    pairs = pairs.withColumn("distance", X.haversine(F.col("lon"), F.col("lat"), F.col("site_lon"), F.col("site_lat")))
-    by = Window.partitionBy("point_id").orderBy("distance", "site_id")
-    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+def _on_sphere(lon: Column, lat: Column) -> list[Column]:
+    x, y = F.radians(lon), F.radians(lat)
+    return [F.cos(y) * F.cos(x) + 1, F.cos(y) * F.sin(x) + 1, F.sin(y) + 1]
+
+
+def _degrees(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    return F.sqrt(F.pow(lon1 - lon2, F.lit(2)) + F.pow(lat1 - lat2, F.lit(2)))
+
+
+def knn_join(points: DataFrame, sites: DataFrame, k: int = 5, cell: float = 0.0005, planar: bool = False) -> DataFrame:
+    """The ``k`` sites nearest to each point by great-circle distance (with
+    ``planar`` by plain distance in degrees), ties by site_id; all sites if
+    there are fewer. Points without a place have none.
+
+    Places are cubes in space, so neither latitude nor the date line bends
+    them (with ``planar`` squares), in levels of doubled size from ``cell``
+    degrees on. ``k`` sites of the smallest cube around a point that holds so
+    many bound the distance of its ``k``-th neighbour; the cubes of that
+    distance's size, the point's own and those around it, hold all nearer
+    ones. So a point meets a few times ``k`` sites where their density is
+    smooth, at any density; one beside a crowd may meet much of it. Of the
+    sites at one place only the ``k`` first can count, and points at one place
+    are searched once.
+    """
+    if planar:
+        edge, span, axes, distance = cell, 1024.0, lambda lon, lat: [lon + 512, lat + 512], _degrees
+    else:
+        edge, span, axes, distance = float(np.radians(cell)), 2.0, _on_sphere, X.haversine
+    top = max(0, int(np.ceil(np.log2(span / edge))))  # the whole globe is one cube
+    dims = range(2 if planar else 3)
+    base, cube, at = ([f"_{n}{i}" for i in dims] for n in "bcp")
+    up = [F.expr(f"shiftright({x}, _l)").alias(c) for x, c in zip(base, cube)]
+
+    def placed(df: DataFrame, lon: str, lat: str) -> DataFrame:
+        df = df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumns(dict(zip(at, axes(F.col(lon), F.col(lat)))))
+        return df.withColumns({x: F.floor(F.col(p) / edge) for x, p in zip(base, at)})
+
+    def levels(df: DataFrame) -> DataFrame:
+        return df.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(top))))
+
+    first = Window.partitionBy("site_lon", "site_lat").orderBy("site_id")
+    some = sites.select("site_id", "site_lon", "site_lat").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    every = levels(placed(some, "site_lon", "site_lat"))
+    seen = every.select("_l", *up, "site_id", *at)
+    any_k = Window.partitionBy("_l", *cube).orderBy("site_id")
+    held = seen.withColumn("_n", F.row_number().over(any_k)).where(F.col("_n") <= k).groupBy("_l", *cube).agg(F.collect_list(F.struct(*at)).alias("_some"))
+    held = held.where((F.size("_some") >= k) | (F.col("_l") == top))
+    spots = placed(points.select("lon", "lat").distinct(), "lon", "lat")
+    bounds = levels(spots).select("lon", "lat", *at, *base, "_l", *up).join(held, ["_l", *cube]).groupBy("lon", "lat").agg(
+        F.min_by(F.struct("_some", *at, *base), "_l").alias("_b")
+    )
+    away = F.array_max(F.transform("_b._some", lambda x: F.sqrt(sum((F.pow(x[p] - F.col(f"_b.{p}"), F.lit(2)) for p in at), F.lit(0.0)))))
+    size = F.ceil(F.log2(away * (1 + 1e-9) / edge))  # null at no distance at all
+    found = bounds.select("lon", "lat", *(F.col(f"_b.{x}").alias(x) for x in base), F.greatest(F.lit(0), F.least(F.lit(top), F.coalesce(size, F.lit(0)))).cast("int").alias("_l"))
+    near = found.select("lon", "lat", "_l", *up)
+    for c in cube:
+        near = near.withColumn(c, F.explode(F.array(*(F.col(c) + o for o in (-1, 0, 1)))))
+    pairs = near.join(every.select("site_id", "site_lon", "site_lat", "_l", *up), ["_l", *cube]).drop("_l", *cube)
+    pairs = pairs.withColumn("distance", distance(F.col("lon"), F.col("lat"), F.col("site_lon"), F.col("site_lat")))
+    by = Window.partitionBy("lon", "lat").orderBy("distance", "site_id")
+    best = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return points.join(best, ["lon", "lat"])
 
 
 def idw_features(neighbours: DataFrame, value: str) -> DataFrame:
     """Inverse-distance weighted mean of the neighbours' values, and their
-    mean, spread, least and largest."""
+    mean, spread, least and largest; value and distance of the nearest, the
+    values of the three nearest and their weights (null where there are fewer)."""
     w = 1 / (F.col("distance") + 1e-4)
     v = F.col(value)
-    return neighbours.groupBy("point_id").agg((F.sum(w * v) / F.sum(w)).alias("idw"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
+    nth = lambda c, n: F.max(F.when(F.col("rank") == n, c))
+    return neighbours.groupBy("point_id").agg(
+        (F.sum(w * v) / F.sum(w)).alias("idw"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), nth(v, 1).alias("nearest"), nth(F.col("distance"), 1).alias("nearest_km"),
+        *(nth(v, n).alias(f"value{n}") for n in (1, 2, 3)), *(nth(w, n).alias(f"weight{n}") for n in (1, 2, 3)),
+    )
 
 
-def knn_features(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, block: int = 2048) -> DataFrame:
-    """The ``k`` nearest rows of each row in feature space, itself included.
+def knn_features(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, block: int = 4096, pivots: int = 512) -> DataFrame:
+    """The ``k`` nearest rows of each row in feature space, itself included: id,
+    neighbour, distance, rank; ties to the smaller id. Rows with a null take no part.
 
-    Exact: every row meets every row, block against block in numpy, and each
-    block hands on its ``k`` best a row only. For tables of some hundred
-    thousand rows; the hashed search is for larger ones.
+    Exact, by pivots: each row lies in the cell of its nearest pivot. A row's
+    distance to a pivot plus that of the pivot's ``k`` nearest members bounds
+    its ``k``-th neighbour, so it asks only cells that reach into the bound; the
+    fewer features, the fewer cells. Equal rows are searched once. What goes
+    through the driver are ``pivots`` rows and ``k`` numbers of each.
     """
-    n = max(1, -(-df.count() // block))
-    rows = df.select(F.col(key).alias("id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
-    asks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "x", "block", "other", F.lit(True).alias("asks"))
-    has = rows.withColumn("from", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "x", F.col("from").alias("block"), F.col("block").alias("other"), F.lit(False).alias("asks"))
+    x = F.array(*(F.col(c).cast("double") for c in columns))
+    rows = df.select(F.col(key).alias("id"), x.alias("x")).where(F.col("id").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    same = Window.partitionBy("x").orderBy("id")
+    few = rows.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k)
+    one = few.groupBy("x").agg(F.min("id").alias("place"), F.sort_array(F.collect_list("id")).alias("ids"))  # ``k`` ids at most
+    centres = np.array([r.x for r in one.orderBy(F.xxhash64("place"), "place").select("x").limit(pivots).collect()], float).reshape(-1, len(columns))
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(((a[:, None] - b[None]) ** 2).sum(axis=2), 0))
+
+    def celled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in range(0, len(f), 1024):
+                g = f.iloc[i : i + 1024]
+                d = apart(np.stack(g.x.to_numpy()), centres)
+                at = d.argmin(axis=1)
+                yield g.assign(cell=at.astype("int32"), off=d[np.arange(len(g)), at])
+
+    cells = one.mapInPandas(celled, "x array<double>, place long, ids array<long>, cell int, off double")
+    counted = Window.partitionBy("cell").orderBy("off", "place")
+    inner = cells.withColumn("_n", F.row_number().over(counted)).where(F.col("_n") <= k).select("cell", "off")  # ``k`` rows a cell
+    stats = {r.cell: (r.far, r.n) for r in cells.groupBy("cell").agg(F.max("off").alias("far"), F.count("*").alias("n")).collect()}
+    offs = np.array([(r.cell, r.off) for r in inner.collect()], float).reshape(-1, 2)
+    far = np.array([stats.get(c, (-np.inf, 0))[0] for c in range(len(centres))])
+    parts = np.array([-(-stats.get(c, (0, 0))[1] // block) for c in range(len(centres))])
+
+    def asking(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in range(0, len(f), 256):
+                g = f.iloc[i : i + 256]
+                d = apart(np.stack(g.x.to_numpy()), centres)
+                sums = d[:, offs[:, 0].astype(int)] + offs[:, 1]
+                n = min(k, sums.shape[1])
+                bound = np.partition(sums, n - 1, axis=1)[:, n - 1] if sums.shape[1] >= k else np.full(len(g), np.inf)
+                ask, cell = np.nonzero(d - far <= bound[:, None] * (1 + 1e-9) + 1e-12)
+                times = parts[cell]
+                ask, cell = np.repeat(ask, times), np.repeat(cell, times)
+                part = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+                yield pd.DataFrame({"x": g.x.to_numpy()[ask], "place": g.place.to_numpy()[ask], "ids": g.ids.to_numpy()[ask], "cell": cell.astype("int32"), "part": part.astype("int32"), "asks": True})
+
+    shape = "x array<double>, place long, ids array<long>, cell int, part int, asks boolean"
+    sizes = F.array(*(F.lit(int(max(1, n))) for n in parts)) if len(parts) else F.array(F.lit(1))
+    has = cells.select("x", "place", "ids", "cell", F.pmod(F.xxhash64("place"), F.element_at(sizes, F.col("cell") + 1)).cast("int").alias("part"), F.lit(False).alias("asks"))
+    both = cells.select("x", "place", "ids").mapInPandas(asking, shape).unionByName(has)
 
     def best(f: pd.DataFrame) -> pd.DataFrame:
-        q, d = f[f.asks], f[~f.asks].sort_values("id")
-        out = []
+        q, d = f[f.asks], f[~f.asks].sort_values("place")
+        out = [pd.DataFrame({"place": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
         if len(q) and len(d):
-            x, y = np.stack(q.x.to_numpy()), np.stack(d.x.to_numpy())
-            for i in range(0, len(x), 256):
-                dist = np.sqrt(((x[i : i + 256, None] - y[None]) ** 2).sum(axis=2))
-                at = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"id": np.repeat(q.id.to_numpy()[i : i + 256], at.shape[1]), "neighbour": d.id.to_numpy()[at.ravel()], "distance": np.take_along_axis(dist, at, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-
-    found = asks.unionByName(has).groupBy("block", "other").applyInPandas(best, "id long, neighbour long, distance double")
-    by = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+            y, ids = np.stack(d.x.to_numpy()), d.ids.to_numpy()
+            for i in range(0, len(q), 64):
+                dist = apart(np.stack(q.x.to_numpy()[i : i + 64]), y)
+                n = min(k, dist.shape[1])
+                r, c = np.nonzero(dist <= np.partition(dist, n - 1, axis=1)[:, n - 1 : n])
+                size = np.array([len(ids[j]) for j in c])
+                out.append(pd.DataFrame({"place": np.repeat(q.place.to_numpy()[i : i + 64][r], size), "neighbour": np.concatenate([ids[j] for j in c]), "distance": np.repeat(dist[r, c], size)}))
+        return pd.concat(out)
+
+    # the rows of a cell's part, and all that ask it: a crowd of these is cut, with the part's rows repeated
+    crowd = both.where("asks").groupBy("cell", "part").count().select("cell", "part", F.ceil(F.col("count") / (16 * block)).cast("int").alias("cuts"))
+    cut = both.join(crowd, ["cell", "part"]).withColumn("cut", F.explode(F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("place"), F.col("cuts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))))
+    found = cut.drop("cuts").groupBy("cell", "part", "cut").applyInPandas(best, "place long, neighbour long, distance double")
+    by = Window.partitionBy("place").orderBy("distance", "neighbour")
+    top = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    own = rows.join(one.select("x", "place"), "x").select("id", "place")
+    return own.join(top, "place").select("id", "neighbour", "distance", "rank")
 
 
 # -- rasters
@@ -124,103 +205,126 @@ def sample_raster(points: DataFrame, pixels: DataFrame, affine: tuple[float, flo
 
 
 def raster_window(points: DataFrame, pixels: DataFrame, size: int, affine: tuple[float, float, float], shape: tuple[int, int]) -> DataFrame:
-    """Pixels of the size x size window around each point, cut at the raster's
-    borders: (point_id, dx, dy, pixel columns). Smaller windows are filters on
-    dx and dy of the largest."""
-    half = size // 2
+    """Pixels of the size x size window around each point: point_id, pr, pc (the
+    point's own pixel), row, col and the pixel columns, 0 where a pixel has
+    none. At the upper and left border a window is moved inside, at the lower
+    and right one it is cut. Smaller windows are parts of a large one (:func:`sub_window`)."""
     row, col = pixel_of(affine)
-    off = F.sequence(F.lit(-half), F.lit(half))
-    p = points.select("point_id", row.alias("_r"), col.alias("_c")).where(F.col("_r").between(0, shape[0] - 1) & F.col("_c").between(0, shape[1] - 1))
-    p = p.withColumn("dy", F.explode(off)).withColumn("dx", F.explode(off)).withColumn("row", F.col("_r") + F.col("dy")).withColumn("col", F.col("_c") + F.col("dx"))
-    return p.where(F.col("row").between(0, shape[0] - 1) & F.col("col").between(0, shape[1] - 1)).join(pixels, ["row", "col"]).drop("_r", "_c")
+    p = points.select("point_id", row.alias("pr"), col.alias("pc")).where(F.col("pr").between(0, shape[0] - 1) & F.col("pc").between(0, shape[1] - 1))
+    for name, own, most in (("row", "pr", shape[0] - 1), ("col", "pc", shape[1] - 1)):
+        start = _start(own, size)
+        p = p.withColumn(name, F.explode(F.sequence(start, F.least(start + size - 1, F.lit(most)))))
+    values = [c for c in pixels.columns if c not in ("row", "col")]
+    return p.join(pixels, ["row", "col"], "left").select("point_id", "pr", "pc", "row", "col", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in values))
+
+
+def _start(own: str, size: int) -> Column:
+    """First row or column of a window."""
+    return F.greatest(F.lit(0), F.col(own) - size // 2)
+
+
+def sub_window(windows: DataFrame, size: int) -> DataFrame:
+    ok = F.lit(True)
+    for name, own in (("row", "pr"), ("col", "pc")):
+        ok = ok & F.col(name).between(_start(own, size), _start(own, size) + size - 1)
+    return windows.where(ok)
 
 
 def window_stats(windows: DataFrame, value: str, by: Sequence[str] = ("point_id",)) -> DataFrame:
     v = F.col(value).cast("double")
     p = lambda q: F.percentile(v, q)
-    mean = F.avg(v)
+    varied = lambda c: F.when(F.min(v) < F.max(v), c).otherwise(F.lit(0.0))  # noqa: E731  a window of one value has no shape
     return windows.groupBy(*by).agg(
-        mean.alias("mean"), F.stddev_pop(v).alias("std"), p(F.lit(0.5)).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"),
-        p(F.lit(0.25)).alias("p25"), p(F.lit(0.75)).alias("p75"), p(F.lit(0.95)).alias("p95"), (p(F.lit(0.75)) - p(F.lit(0.25))).alias("iqr"), (F.max(v) - F.min(v)).alias("range"), F.sum(v * v).alias("energy"), F.var_pop(v).alias("contrast"),
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), p(F.lit(0.5)).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), varied(F.skewness(v)).alias("skew"), varied(F.kurtosis(v)).alias("kurt"),
+        p(F.lit(0.25)).alias("p25"), p(F.lit(0.75)).alias("p75"), p(F.lit(0.95)).alias("p95"), (p(F.lit(0.75)) - p(F.lit(0.25))).alias("iqr"), (F.max(v) - F.min(v)).alias("range"),
+        F.sum(v * v).alias("energy"), (F.var_pop(v) * F.count(v)).alias("contrast"), (-F.sum(v * F.log2(v + 1e-10))).alias("entropy"),
     )
 
 
-def window_entropy(windows: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """Entropy of a window's values in equal bins of its own range."""
-    v = F.col(value).cast("double")
-    by = Window.partitionBy("point_id")
-    lo, hi = F.min(v).over(by), F.max(v).over(by)
-    binned = windows.select("point_id", F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide((v - lo) * bins, hi - lo), F.lit(0.0)))).alias("bin"))
-    counts = binned.groupBy("point_id", "bin").count()
-    p = F.col("count") / F.sum("count").over(by)
-    return counts.select("point_id", (-p * F.log(p)).alias("h")).groupBy("point_id").agg(F.sum("h").alias("entropy"))
-
-
 def disc_stats(windows: DataFrame, value: str, radius: int) -> DataFrame:
-    """Statistics of the disc around a point; 0 where it is not complete."""
-    disc = windows.where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= radius * radius)
+    """Statistics of the disc in the window of size 2 * ``radius`` + 1 around a
+    point (moved inside with its window); 0 where the lower or right border cuts it."""
+    y, x = (F.col(name) - _start(own, 2 * radius + 1) - radius for name, own in (("row", "pr"), ("col", "pc")))
+    disc = windows.where(y * y + x * x <= radius * radius)
     full = sum(1 for x in range(-radius, radius + 1) for y in range(-radius, radius + 1) if x * x + y * y <= radius * radius)
     v = F.col(value).cast("double")
-    whole = F.count("*") == full
-    take = lambda c: F.when(whole, c).otherwise(F.lit(0.0))
+    take = lambda c: F.when(F.count("*") == full, c).otherwise(F.lit(0.0))
+    skew = F.when(F.min(v) < F.max(v), F.skewness(v)).otherwise(F.lit(0.0))
     return disc.groupBy("point_id").agg(
-        take(F.avg(v)).alias("mean"), take(F.stddev_pop(v)).alias("std"), take(F.percentile(v, F.lit(0.5))).alias("median"), take(F.min(v)).alias("least"), take(F.max(v)).alias("most"), take(F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))).alias("iqr")
+        take(F.avg(v)).alias("mean"), take(F.stddev_pop(v)).alias("std"), take(F.percentile(v, F.lit(0.5))).alias("median"), take(F.min(v)).alias("least"), take(F.max(v)).alias("most"), take(skew).alias("skew"), take(F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))).alias("iqr")
     )
 
 
-def _texture(size: int, value: str):
-    half = size // 2
-    smooth = np.array([1.0, 2.0, 1.0]) / 4
+#: Weights of a gaussian of one pixel's width, cut at four.
+_GAUSS = np.exp(-0.5 * np.arange(-4, 5) ** 2)
+_GAUSS /= _GAUSS.sum()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                img = np.full((size, size), np.nan)
-                for c in r.cells:
-                    img[c["dy"] + half, c["dx"] + half] = c["v"]
-                img = np.where(np.isnan(img), np.nanmean(img), img)
-                pad = np.pad(img, 1, mode="edge")
-                soft = sum(a * b * pad[i : i + size, j : j + size] for i, a in enumerate(smooth) for j, b in enumerate(smooth))
-                gx = sum(w * (pad[i : i + size, 2:] - pad[i : i + size, :-2]) for i, w in enumerate((1, 2, 1)))
-                gy = sum(w * (pad[2:, i : i + size] - pad[:-2, i : i + size]) for i, w in enumerate((1, 2, 1)))
-                edge = np.hypot(gx, gy)
-                lap = pad[:-2, 1:-1] + pad[2:, 1:-1] + pad[1:-1, :-2] + pad[1:-1, 2:] - 4 * img
-                out.append((r.point_id, soft.mean(), soft.std(), edge.mean(), edge.std(), edge.max(), float((edge > edge.mean()).mean()), np.abs(lap).mean(), np.abs(lap).std(), float((img - soft).std()), float(1 / (1 + img.var()))))
-            yield pd.DataFrame(out, columns=TEXTURE)
 
-    return run
+def _along(img: np.ndarray, weights: Sequence[float], axis: int) -> np.ndarray:
+    """Weighted sums of neighbours along an axis; the image is mirrored at its edges."""
+    r, n = len(weights) // 2, img.shape[axis]
+    pad = np.pad(img, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+    return sum(w * np.take(pad, np.arange(i, i + n), axis) for i, w in enumerate(weights))
+
+
+def texture(img: np.ndarray) -> tuple[float, ...]:
+    """Gradient, Laplace and edge statistics of the smoothed image."""
+    soft = _along(_along(img, _GAUSS, 0), _GAUSS, 1)
+    gy, gx = (_along(_along(soft, (-1, 0, 1), a), (1, 2, 1), 1 - a) for a in (0, 1))
+    slope = np.hypot(gx, gy)
+    lap = _along(soft, (1, -2, 1), 0) + _along(soft, (1, -2, 1), 1)
+    steps = [np.abs(np.diff(soft, axis=a)) for a in (1, 0)]
+    return (
+        slope.mean(), slope.std(), slope.max(), lap.mean(), lap.std(), *(float(s.mean()) if s.size else 0.0 for s in steps), np.abs(lap).mean(), (1 / (1 + slope)).mean(),
+    )
 
 
-TEXTURE = ["point_id", "smooth_mean", "smooth_std", "sobel_mean", "sobel_std", "sobel_max", "edge_share", "laplace_mean", "laplace_std", "roughness", "homogeneity"]
+TEXTURE = ["point_id", "gradient_mean", "gradient_std", "gradient_max", "laplace_mean", "laplace_std", "horizontal_edge", "vertical_edge", "roughness", "homogeneity"]
+
+
+def _textures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for r in f.itertuples():
+            y, x, v = (np.array([c[n] for c in r.cells]) for n in ("row", "col", "v"))
+            img = np.zeros((np.ptp(y) + 1, np.ptp(x) + 1))
+            img[y - y.min(), x - x.min()] = v
+            out.append((r.point_id, *map(float, texture(img))))
+        yield pd.DataFrame(out, columns=TEXTURE)
 
 
-def window_texture(windows: DataFrame, value: str, size: int) -> DataFrame:
-    """Smoothed, gradient and Laplace statistics of each point's window; cells
-    that are missing take the window's mean. A helper in numpy: one small
-    window a point."""
-    cells = windows.groupBy("point_id").agg(F.sort_array(F.collect_list(F.struct("dy", "dx", F.col(value).cast("double").alias("v")))).alias("cells"))
-    return cells.mapInPandas(_texture(size, value), "point_id long, " + ", ".join(f"{c} double" for c in TEXTURE[1:]))
+def window_texture(windows: DataFrame, value: str) -> DataFrame:
+    """Texture of each point's window. A helper in numpy: one small window a point."""
+    cells = windows.groupBy("point_id").agg(F.collect_list(F.struct("row", "col", F.col(value).cast("double").alias("v"))).alias("cells"))
+    return cells.mapInPandas(_textures, "point_id long, " + ", ".join(f"{c} double" for c in TEXTURE[1:]))
 
 
 # -- features
 
 
 def building_features(points: DataFrame, sites: DataFrame, radius_m: float = 500.0, default_height: float = 10.0) -> DataFrame:
+    """Sites a square kilometre, mean height (0 without sites; sites without a
+    height column have ``default_height``) and share of the covered area."""
     r = radius_m / DEGREE_M
-    area_m2 = np.pi * radius_m**2
+    area_km2 = np.pi * (radius_m / 1000) ** 2
+    if "height" not in sites.columns:
+        sites = sites.withColumn("height", F.lit(default_height))
     near = radius_join(points.select("point_id", "lon", "lat"), sites, r)
     found = near.groupBy("point_id").agg(F.count("*").alias("n"), F.avg("height").alias("height"), F.sum("area").alias("area"))
     return points.select("point_id").join(found, "point_id", "left").select(
-        "point_id", (F.coalesce("n", F.lit(0)) / F.lit(area_m2)).alias("density"), F.coalesce("height", F.lit(0.0)).alias("mean_height"), (F.coalesce("area", F.lit(0.0)) / F.lit(np.pi * r * r)).alias("coverage")
+        "point_id", (F.coalesce("n", F.lit(0)) / F.lit(area_km2)).alias("density"), F.coalesce("height", F.lit(0.0)).alias("mean_height"), (F.coalesce("area", F.lit(0.0)) / F.lit(np.pi * r * r)).alias("coverage")
     )
 
 
 def proximity_features(points: DataFrame, sites: DataFrame, near: float = 0.001, wide: float = 0.002) -> DataFrame:
-    """Nearest site (in degrees, within ``wide``; null beyond), sites within ``near``, area within ``wide``."""
-    j = radius_join(points.select("point_id", "lon", "lat"), sites, wide)
-    found = j.groupBy("point_id").agg(F.min("distance").alias("nearest"), F.count_if(F.col("distance") <= near).alias("n_near"), F.sum("area").alias("area_wide"))
-    return points.select("point_id").join(found, "point_id", "left").fillna(0, ["n_near"]).fillna(0.0, ["area_wide"])
+    """A hundred times the distance to the nearest site in degrees (1 without
+    any), sites nearer than ``near``, 10,000 times the area of those nearer than ``wide``."""
+    p = points.select("point_id", "lon", "lat")
+    first = knn_join(p, sites, 1, planar=True).select("point_id", "distance")
+    j = radius_join(p, sites, wide).where(F.col("distance") < wide)
+    found = j.groupBy("point_id").agg(F.count_if(F.col("distance") < near).alias("n_near"), (F.sum("area") * 10_000).alias("area_wide"))
+    out = p.select("point_id").join(first, "point_id", "left").join(found, "point_id", "left").fillna(0, ["n_near"]).fillna(0.0, ["area_wide"])
+    return out.select("point_id", (F.coalesce("distance", F.lit(0.01)) * 100).alias("nearest"), "n_near", "area_wide")
 
 
 def spectral_indices(df: DataFrame) -> DataFrame:
@@ -274,16 +378,25 @@ def thermal_features(points: DataFrame, hot: Sequence, green: Sequence, water: S
     dist = lambda places: F.array(*(X.haversine(lon, lat, F.lit(x), F.lit(y)) for _, x, y in places))
     h, g, w = dist(hot), dist(green), dist(water)
     inv = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + 1 / (x + 0.1))
-    within = lambda a, km: F.size(F.filter(a, lambda x: x <= km))
+    within = lambda a, km: F.size(F.filter(a, lambda x: x < km))
     three = F.slice(F.array_sort(h), 1, 3)
+    cool, heat = F.least(F.array_min(g), F.array_min(w)), F.array_min(h)
+    # the two nearest hot places, as (distance, lon, lat)
+    near = F.array_sort(F.array(*(F.struct(X.haversine(lon, lat, F.lit(x), F.lit(y)).alias("d"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for _, x, y in hot)))
+    a, b = near[0], near[1]
+    ux, uy = b["x"] - a["x"], b["y"] - a["y"]
+    norm = F.sqrt(ux * ux + uy * uy)
+    along = ((lon - a["x"]) * ux + (lat - a["y"]) * uy) / norm
+    aside = F.abs((lon - a["x"]) * uy - (lat - a["y"]) * ux)
+    between = (norm > 0) & (along > 0) & (along < X.haversine(a["x"], a["y"], b["x"], b["y"])) & (aside < 0.5) if len(hot) > 1 else F.lit(False)
     return points.withColumns(
         {
             "thermal_index": inv(h) / (inv(g) + inv(w) + 0.1),
-            "cool_heat_ratio": F.least(F.array_min(g), F.array_min(w)) / (F.array_min(h) + 0.1),
+            "cool_heat_ratio": F.when(heat > 0, cool / heat).otherwise(cool),
             "hot_1km": within(h, 1.0),
             "hot_3km": within(h, 3.0),
             "hot_mean3": F.aggregate(three, F.lit(0.0), lambda s, x: s + x) / F.size(three),
-            "between_hot": (F.array_sort(h)[0] + F.array_sort(h)[1] < 1.2 * X.haversine(F.lit(hot[0][1]), F.lit(hot[0][2]), F.lit(hot[1][1]), F.lit(hot[1][2]))).cast("int"),
+            "between_hot": F.coalesce(between.cast("int"), F.lit(0)),
         }
     )
 
@@ -316,8 +429,9 @@ def compare_predictions(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Data
 
 def comparison_metrics(compared: DataFrame) -> DataFrame:
     e = F.col("a") - F.col("b")
+    (middle,) = quantiles(compared, [("percent", 0.5)])
     return compared.agg(
-        F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop("a") * F.count("a"))).alias("r2"), F.avg("percent").alias("mean_percent"), F.percentile("percent", F.lit(0.5)).alias("median_percent"), (100 - F.avg("percent")).alias("similarity")
+        F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop("a") * F.count("a"))).alias("r2"), F.avg("percent").alias("mean_percent"), F.lit(middle).cast("double").alias("median_percent"), (100 - F.avg("percent")).alias("similarity")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -137,30 +138,47 @@ def guardian_alerts(df: DataFrame, as_of: str) -> DataFrame:
     return activity_deviation(df, as_of).withColumn("alert", X.guardian_alert(F.col("hours"), F.col("deviation"))).withColumn("severity", X.clinical_severity(F.col("hours"), F.col("deviation")))
 
 
-def alerts_by_severity(alerts: DataFrame, pattern: str = "HIGH|Call 911") -> DataFrame:
-    return alerts.where(F.coalesce(F.col("alert").rlike(pattern), F.lit(False)))
+def alerts_by_severity(alerts: DataFrame, cls: str = "critical") -> DataFrame:
+    return alerts.where(F.coalesce(X.alert_class(F.col("alert")) == cls, F.lit(False)))
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:
-    hit = lambda p: F.count_if(F.col("alert").rlike(p))
-    return alerts.agg(hit("HIGH").alias("critical"), hit("MODERATE").alias("high"), hit("LOW").alias("moderate"), F.count_if(~F.col("alert").startswith("Normal")).alias("active"), F.count("*").alias("total"))
+    """critical, high and moderate alerts, those of the three together (active), and all rows."""
+    n = [F.count_if(F.col("alert").rlike(pattern)).alias(cls) for cls, pattern in X.ALERT_CLASS.items()]
+    return alerts.agg(*n, F.count("*").alias("total")).select(*X.ALERT_CLASS, sum((F.col(c) for c in X.ALERT_CLASS), F.lit(0)).cast("long").alias("active"), "total")
 
 
 def interventions(alerts: DataFrame, as_of: str) -> DataFrame:
-    """What follows from each alert that is not normal."""
-    a = F.col("alert")
-    pick = lambda high, moderate, low: F.when(a.contains("HIGH"), high).when(a.contains("MODERATE"), moderate).otherwise(low)
-    rows = alerts.where(~a.startswith("Normal"))
+    """What follows from each alert of severity high or emergency; lower ones have none."""
+    severity = F.create_map(*(F.lit(x) for pair in X.ALERT_SEVERITY.items() for x in pair))[F.col("alert")]
+    urgent = F.col("severity") == "emergency"
+    # Type, recipient and contact of an emergency and of a high alert
+    pick = lambda emergency, high: F.when(urgent, emergency).otherwise(high)
+    rows = alerts.withColumn("severity", severity).where(F.col("severity").isin("high", "emergency"))
     return rows.select(
-        "user_id", pick("critical", "high", "moderate").alias("level"), pick("emergency_call", "phone_call", "text_message").alias("type"), pick("emergency_services", "guardian", "guardian").alias("recipient"),
-        pick("911", "phone", "sms").alias("contact"), (F.lit(as_of).cast("timestamp") + F.expr("INTERVAL 24 HOURS")).alias("follow_up_at"), F.lit(True).alias("follow_up_required"),
+        "user_id", "severity", pick("emergency_call", "doctor_notification").alias("type"), pick("emergency", "doctor").alias("recipient"), pick("phone", "email").alias("contact"),
+        F.concat(F.lit("Automated intervention for "), "alert").alias("description"), (F.lit(as_of).cast("timestamp") + F.expr("INTERVAL 24 HOURS")).alias("follow_up_at"), F.lit(True).alias("follow_up_required"),
     )
 
 
-def churn_report(df: DataFrame, p: str) -> DataFrame:
+# What is recommended for each tier of churn risk.
+RECOMMENDATIONS = {
+    "high": ("Immediate engagement required", "Personal trainer consultation", "Offer incentive program"),
+    "medium": ("Send motivational messages", "Suggest group activities", "Review fitness goals"),
+    "low": ("Continue monitoring", "Send weekly tips"),
+}
+
+
+def churn_report(df: DataFrame, p: str, importance: Mapping[str, float] | None = None) -> DataFrame:
+    """tier, confidence and recommendations; with a model's feature importances
+    also its three largest as contributing_factors."""
     tier = X.churn_tier(F.col(p))
-    advice = F.when(tier == "high", F.array(F.lit("call today"), F.lit("offer a class"), F.lit("assign a coach"))).when(tier == "medium", F.array(F.lit("send a message"), F.lit("offer a class"))).otherwise(F.array(F.lit("keep in touch")))
-    return df.withColumn("tier", tier).withColumn("confidence", F.greatest(F.col(p), 1 - F.col(p))).withColumn("recommendations", advice)
+    advice = F.create_map(*(x for t, texts in RECOMMENDATIONS.items() for x in (F.lit(t), F.array(*map(F.lit, texts)))))[tier]
+    out = df.withColumn("tier", tier).withColumn("confidence", F.greatest(F.col(p), 1 - F.col(p))).withColumn("recommendations", advice)
+    if importance is None:
+        return out
+    first = sorted(importance, key=lambda c: -importance[c])[:3]
+    return out.withColumn("contributing_factors", F.array(*map(F.lit, first)))
 
 
 def risk_counts(df: DataFrame, p: str) -> DataFrame:
@@ -171,20 +189,92 @@ def add_caregiver(alerts: DataFrame, people: DataFrame, default: str = "Unassign
     return alerts.join(people.select("user_id", "patient", "caregiver"), "user_id", "left").withColumns({"patient": F.coalesce("patient", F.concat(F.lit("Patient "), F.col("user_id").cast("string"))), "caregiver": F.coalesce("caregiver", F.lit(default))})
 
 
-def render_message(alerts: DataFrame) -> DataFrame:
-    """A message for each alert as a nested struct."""
-    a = F.col("alert")
-    urgent = a.contains("HIGH")
-    actions = F.when(urgent, F.array(F.lit("Call 911"), F.lit("Visit now"))).when(a.contains("MODERATE"), F.array(F.lit("Call today"))).otherwise(F.array(F.lit("Send a text")))
-    return alerts.withColumn(
-        "message",
-        F.struct(
-            F.format_string("Dear %s,", F.col("caregiver")).alias("greeting"),
-            F.format_string("%s has been inactive for %d hours (%s).", F.col("patient"), F.floor("hours"), F.col("severity")).alias("summary"),
-            actions.alias("actions"),
-            F.when(urgent, F.array(F.lit("911"), F.lit("guardian"))).otherwise(F.array(F.lit("guardian"))).alias("contacts"),
+# Texts of a message for each class of alert. {c} is the caregiver, {p} the patient, {h} the hours
+# without activity and {d} the percentage by which activity has dropped.
+MESSAGES = {
+    "critical": {
+        "greeting": "Dear {c}, we need your immediate attention regarding {p}.",
+        "summary": "{p} hasn't shown any activity for {h} hours, and their overall activity has dropped by {d}%. This is a critical situation that requires immediate action.",
+        "actions": (
+            "Call {p} right now - if no answer, go to their location immediately",
+            "Check if they have fallen or need emergency medical attention",
+            "Call 911 if you cannot reach them or if they appear to be in distress",
+            "Contact their primary care physician to alert them of the situation",
+            "Stay with them until their condition stabilizes",
+        ),
+        "reassurance": "Your quick action can make all the difference. We're here to support you through this.",
+        "next_steps": "After ensuring their immediate safety, schedule an urgent medical evaluation within 24 hours.",
+    },
+    "high": {
+        "greeting": "Hello {c}, we're concerned about {p} and wanted to alert you.",
+        "summary": "{p} has been inactive for {h} hours and their activity level has decreased by {d}%. This needs your attention today.",
+        "actions": (
+            "Call {p} to check on their wellbeing",
+            "If they don't answer, visit them within the next 2 hours",
+            "Ask about any pain, discomfort, or changes in their routine",
+            "Review their medications to ensure they're taking them properly",
+            "Consider arranging a telehealth appointment today",
+        ),
+        "reassurance": "Early intervention often prevents more serious issues. You're doing great by staying involved.",
+        "next_steps": "Schedule a check-up with their doctor this week and consider increasing daily check-ins.",
+    },
+    "moderate": {
+        "greeting": "Hi {c}, we wanted to update you about {p}'s activity patterns.",
+        "summary": "We've noticed {p} has been less active recently - {h} hours of inactivity and a {d}% decrease in movement. This might indicate they need some extra support.",
+        "actions": (
+            "Give {p} a friendly call to see how they're feeling",
+            "Ask if they need help with groceries, medications, or appointments",
+            "Encourage them to take a short walk or do light exercises",
+            "Check if they're eating and sleeping well",
         ),
+        "reassurance": "These changes might be temporary, but your attention helps ensure their wellbeing.",
+        "next_steps": "Monitor their activity over the next few days and schedule a routine check-up if the pattern continues.",
+    },
+    "low": {
+        "greeting": "Hello {c}, here's a routine update about {p}.",
+        "summary": "{p} has shown some minor changes in activity - about {d}% less movement than usual. This is likely normal variation but worth monitoring.",
+        "actions": (
+            "Check in with {p} during your next regular call",
+            "Encourage them to maintain their daily routines",
+            "Remind them about any upcoming appointments",
+        ),
+        "reassurance": "Small fluctuations in activity are normal. Your regular check-ins help maintain their health.",
+        "next_steps": "Continue your regular communication schedule and note any concerns for their next doctor visit.",
+    },
+}
+# Numbers to call, and pages to read; the first of each for critical and high alerts only.
+CONTACTS = (("Emergency Services", "911"), ("Primary Care Physician", "555-0100"), ("24/7 Nurse Hotline", "555-0199"), ("Support", "555-0150"))
+RESOURCES = ("/resources/urgent-response-guide", "/resources/activity-monitoring-guide", "/resources/emergency-checklist", "/community/caregiver-support")
+
+
+def render_message(alerts: DataFrame) -> DataFrame:
+    """A message for each alert as a nested struct, by the alert's class; an unknown deviation counts as 0 %."""
+    cls = X.alert_class(F.col("alert"))
+    fields = {"c": F.col("caregiver"), "p": F.col("patient"), "h": F.col("hours").cast("int").cast("string"), "d": (F.coalesce("deviation", F.lit(0.0)) * 100).cast("int").cast("string")}
+
+    def filled(text: str) -> Column:
+        parts = re.split(r"\{(\w)\}", text)
+        return F.concat(*(fields[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x))
+
+    def by_class(make) -> Column:
+        cases = F
+        for name, texts in MESSAGES.items():
+            cases = cases.when(cls == name, make(texts))
+        return cases
+
+    urgent = cls.isin("critical", "high")
+    contacts = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(x).alias("number")) for n, x in CONTACTS))
+    rest = lambda a: F.when(urgent, a).otherwise(F.slice(a, 2, F.size(a)))
+    message = F.struct(
+        by_class(lambda t: filled(t["greeting"])).alias("greeting"),
+        by_class(lambda t: filled(t["summary"])).alias("summary"),
+        by_class(lambda t: F.array(*map(filled, t["actions"]))).alias("actions"),
+        by_class(lambda t: F.lit(t["reassurance"])).alias("reassurance"),
+        by_class(lambda t: F.lit(t["next_steps"])).alias("next_steps"),
+        rest(contacts).alias("contacts"),
+        rest(F.array(*map(F.lit, RESOURCES))).alias("resources"),
     )
+    return alerts.withColumn("message", message)
 
 
 def analytics_report(users: DataFrame, alerts: DataFrame, predictions: DataFrame, actions: DataFrame) -> DataFrame:
@@ -199,10 +289,12 @@ def analytics_report(users: DataFrame, alerts: DataFrame, predictions: DataFrame
 # -- dialogues
 
 
-def conversation_lines(turns: DataFrame, keep_actions: bool = False, sep: str = "\t") -> DataFrame:
-    """One line a conversation: its turns as "role: text", in order."""
+def conversation_lines(turns: DataFrame, keep_actions: bool = False, sep: str = "\t", one_line: bool = False) -> DataFrame:
+    """One line a conversation: its turns as "role: text", in order; with
+    ``one_line`` each line end inside a turn becomes a space."""
     rows = turns if keep_actions else turns.where("role <> 'action'")
-    line = F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))
+    text = F.translate("text", "\n\r", "  ") if one_line else F.col("text")
+    line = F.struct("turn", F.concat_ws(": ", "role", text).alias("line"))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), sep).alias("line"))
 
 
@@ -252,11 +344,13 @@ def pack_tokens(df: DataFrame, key: str, tokens: str, batch: Column, block: int
     rows = df.select(key, batch.alias("batch"), F.col(tokens).alias("_t"))
     ahead = F.coalesce(F.sum(F.size("_t")).over(Window.partitionBy("batch").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum(F.size("_t")).over(Window.partitionBy("batch"))
-    each = rows.withColumn("_a", ahead).withColumn("_total", total).select("batch", "_a", "_total", F.posexplode("_t").alias("_p", "token"))
-    each = each.withColumn("pos", F.col("_a") + F.col("_p")).withColumn("block", F.floor(F.col("pos") / block))
+    each = rows.withColumn("_a", ahead).withColumn("_total", total).withColumn("_z", F.col("_a") + F.size("_t")).where("_z > _a")
+    # a row a list and block, not a row a token
+    each = each.withColumn("block", F.explode(F.sequence(F.floor(F.col("_a") / block), F.floor((F.col("_z") - 1) / block))))
     whole = each.where((F.col("_total") < block) | (F.col("block") < F.floor(F.col("_total") / block)))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
-    return whole.groupBy("batch", "block").agg(ordered.alias("tokens"))
+    first, end = F.greatest(F.col("block") * block, "_a"), F.least((F.col("block") + 1) * block, "_z")
+    pieces = whole.select("batch", "block", first.alias("at"), F.slice("_t", (first - F.col("_a") + 1).cast("int"), (end - first).cast("int")).alias("piece"))
+    return pieces.groupBy("batch", "block").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"])).alias("tokens"))
 
 
 def model_comparison(scores: DataFrame) -> DataFrame:

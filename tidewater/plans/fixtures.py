@@ -170,17 +170,18 @@ AFFINE = (-74.02, 40.90, 0.001)
 
 def wearables(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
-    return e.groupBy("user_id", F.to_date("ts").alias("date")).agg(
+    late = F.when(F.col("user_id") % 4 == 3, 1).otherwise(-F.col("user_id") % 4).cast("int")  # users fall silent on different days
+    return e.groupBy("user_id", F.date_add(F.to_date("ts"), late).alias("date")).agg(
         F.floor(F.round(F.sum("value") * 20, 3)).cast("int").alias("steps"),
         (F.lit(60) + F.floor(F.avg("k")).cast("int")).alias("heart_rate"),
         F.max((F.col("event_type") == "purchase").cast("int")).alias("class_attended"),
     ).withColumn("churned", (F.col("user_id") % 5 == 0).cast("int"))
 
 
-WEAR = """wear AS (SELECT user_id, CAST(ts AS DATE) AS date, CAST(floor(round(sum(value) * 20, 3)) AS INT) AS steps, 60 + CAST(floor(avg(k)) AS INT) AS heart_rate,
+WEAR = """wear AS (SELECT user_id, CAST(ts AS DATE) + CAST(CASE WHEN user_id % 4 = 3 THEN 1 ELSE -(user_id % 4) END AS INT) AS date, CAST(floor(round(sum(value) * 20, 3)) AS INT) AS steps, 60 + CAST(floor(avg(k)) AS INT) AS heart_rate,
  max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS class_attended, CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS churned
  FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events) GROUP BY user_id, CAST(ts AS DATE))"""
-AS_OF = "2024-01-31 00:00:00"
+AS_OF = "2024-01-30 04:00:00"
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,34 +114,44 @@ def j6_attach_counts(spark, d):
     return _texts(L.attach_counts(s.select(*L.SESSION), L.web_counters(L.events_in_sessions(access_events(spark, d), s))))
 
 
-_KIND = {"logon": "activity = 'Logon'", "device": "activity = 'PeFileWritten'", "document": "coalesce(regexp_matches(lower(details), '\\.docx?$'), false)", "executable": "coalesce(regexp_matches(lower(details), '\\.(dll|mui|exe|tmp)$'), false)"}
+_KIND = {"logon": "activity IN ('Logon','Privileged Logon','Unlock')", "device": "activity = 'PeFileWritten'", "document": "coalesce(regexp_matches(lower(details), '\\.docx?$'), false)", "executable": "coalesce(regexp_matches(lower(details), '\\.(dll|mui|exe|tmp)$'), false)"}
 _ACT = ", ".join(
     f"count(*) FILTER (WHERE ({c}) AND {'NOT ' if pc == 'other' else ''}(host IS NOT DISTINCT FROM primary_host) AND {'' if part == 'off' else 'NOT '}({_OFF})) AS {k}_{pc}_{part}"
     for k, c in _KIND.items() for pc in ("own", "other") for part in ("normal", "off")
 )
 _ACTN = [f"{k}_{pc}_{part}" for k in _KIND for pc in ("own", "other") for part in ("normal", "off")]
-_ACTC = f"actc AS (SELECT account, host, unlock_time, lock_time, {_ACT} FROM (SELECT j.*, p.primary_host FROM joined_left j LEFT JOIN prim p ON j.account = p.account) GROUP BY account, host, unlock_time, lock_time)"
+_ACTC = f"actc AS (SELECT account, host, unlock_time, lock_time, {_ACT} FROM (SELECT j.*, p.primary_host FROM injected j LEFT JOIN prim p ON j.account = p.account) GROUP BY account, host, unlock_time, lock_time)"
 
 
-@add(with_(ACC, NEAR, SESS, JOINED_LEFT, PRIM, _ACTC) + f"SELECT {_SK}, {', '.join(_ACTN)} FROM actc")
+def _injected(table):
+    """``table`` of events in sessions, and a logon for each session without one."""
+    return f"injected AS (SELECT account, host, unlock_time, lock_time, ts, activity, details FROM {table} UNION ALL SELECT account, host, unlock_time, lock_time, unlock_time, 'Logon', NULL FROM {table} GROUP BY account, host, unlock_time, lock_time HAVING count(*) FILTER (WHERE activity IN ('Logon','Privileged Logon','Unlock')) = 0)"
+
+
+@add(with_(ACC, NEAR, SESS, JOINED_LEFT, _injected("joined_left"), PRIM, _ACTC) + f"SELECT {_SK}, {', '.join(_ACTN)} FROM actc")
 def a3_activity_counters(spark, d):
-    return _texts(L.activity_counters(_joined(spark, d, "left"), L.primary_host(access_events(spark, d))))
+    return _texts(L.activity_counters(L.inject_default_logon(_joined(spark, d, "left")), L.primary_host(access_events(spark, d))))
 
 
-@add(with_(ACC, NEAR, SESS, JOINED, JOINED_LEFT, PRIM, _WEBC, _ACTC) + "SELECT w.account, w.host, " + ", ".join(_FMT.format("w." + c, c) for c in _S) + ", hour(w.unlock_time) AS logon_hour, isodow(w.unlock_time) - 1 AS weekday, " + ", ".join(_WEBN) + ", " + ", ".join(f"coalesce({c}, -1) AS {c}" for c in _ACTN) + " FROM webc w LEFT JOIN actc a ON w.account = a.account AND w.host = a.host AND w.unlock_time = a.unlock_time AND w.lock_time = a.lock_time")
+@add(with_(ACC, NEAR, SESS, JOINED, JOINED_LEFT, _injected("joined_left"), PRIM, _WEBC, _ACTC) + "SELECT w.account, w.host, " + ", ".join(_FMT.format("w." + c, c) for c in _S) + ", hour(w.unlock_time) AS logon_hour, isodow(w.unlock_time) - 1 AS weekday, " + ", ".join(_WEBN) + ", " + ", ".join(f"coalesce({c}, -1) AS {c}" for c in _ACTN) + " FROM webc w LEFT JOIN actc a ON w.account = a.account AND w.host = a.host AND w.unlock_time = a.unlock_time AND w.lock_time = a.lock_time")
 def j8_combine_features(spark, d):
     """The session feature table; joins events to sessions once for each closure."""
     e = access_events(spark, d)
     s = L.match_sessions(e)
     web = L.web_counters(L.events_in_sessions(e, s))
-    act = L.activity_counters(L.events_in_sessions(e, s, "left"), L.primary_host(e))
+    act = L.activity_counters(L.inject_default_logon(L.events_in_sessions(e, s, "left")), L.primary_host(e))
     out = L.attach_counts(web, act, -1).withColumn("logon_hour", F.hour("unlock_time")).withColumn("weekday", F.weekday("unlock_time"))
     return _texts(out)
 
 
-@add(with_(ACC, NEAR, SESS, JOINED_LEFT) + f"SELECT {_SK}, {_FMT.format('ts', 'ts')}, activity, details FROM (SELECT account, host, unlock_time, lock_time, ts, activity, details FROM joined_left UNION ALL SELECT account, host, unlock_time, lock_time, unlock_time, 'Logon', NULL FROM joined_left GROUP BY account, host, unlock_time, lock_time HAVING count(*) FILTER (WHERE activity = 'Logon') = 0)")
+_REST = "rest AS (SELECT * FROM joined_left WHERE activity IS DISTINCT FROM 'Unlock')"
+
+
+@add(with_(ACC, NEAR, SESS, JOINED_LEFT, _REST, _injected("rest")) + f"SELECT {_SK}, {_FMT.format('ts', 'ts')}, activity, details FROM injected")
 def j7_inject_default_logon(spark, d):
-    return _texts(L.inject_default_logon(_joined(spark, d, "left")))
+    """Events other than unlocks, so that sessions begun by an unlock have no logon of their own."""
+    rest = _joined(spark, d, "left").where("activity is null or activity <> 'Unlock'")
+    return _texts(L.inject_default_logon(rest))
 
 
 @add(with_(ACC, NEAR, SESS, ATTR) + f"SELECT {_SK.replace('account,', 's.account,')}, title, department, company FROM sess s LEFT JOIN (SELECT account, min(title) AS title, min(department) AS department, min(company) AS company FROM attr GROUP BY account) a ON s.account = a.account")
@@ -270,7 +280,11 @@ def j14_apply_profile(spark, d):
     return _profiled(spark, d).select("event_id", "working_day", "working_hour", r6("freq").alias("freq"))
 
 
-_CASES = [("NOT working_day AND NOT working_hour AND freq <= 0", "Case 7: unusual day and hour, new computer"), ("NOT working_day AND NOT working_hour", "Case 6: unusual day and hour"), ("NOT working_day AND freq <= 0", "Case 5: unusual day, new computer"), ("NOT working_day", "Case 4: unusual day"), ("NOT working_hour AND freq <= 0", "Case 3: unusual hour, new computer"), ("NOT working_hour", "Case 2: unusual hour"), ("freq <= 0", "Case 1: new computer")]
+_CASES = [
+    ("working_day AND NOT working_hour AND freq = 0", "Case 1"), ("NOT working_day AND working_hour AND freq = 0", "Case 2"), ("working_day AND working_hour AND freq = 0", "Case 3"),
+    ("NOT working_day AND NOT working_hour AND freq <> 0", "Case 4"), ("working_day AND NOT working_hour AND freq <> 0", "Case 5"), ("NOT working_day AND working_hour AND freq <> 0", "Case 6"),
+    ("NOT working_day AND NOT working_hour AND freq = 0", "Case 7"),
+]
 _CASE = "CASE " + " ".join(f"WHEN {a} THEN '{b}'" for a, b in _CASES) + " ELSE 'Normal' END"
 
 

@@ -225,7 +225,7 @@ def t7_sample_n(spark, d):
 _V = "((pow(x1 - (x1+x2+x3+x4)/4, 2) + pow(x2 - (x1+x2+x3+x4)/4, 2) + pow(x3 - (x1+x2+x3+x4)/4, 2) + pow(x4 - (x1+x2+x3+x4)/4, 2)) / 4)"
 
 
-@add(with_(FEAT) + f"SELECT vec_id, CASE WHEN y < a OR y > b THEN 2.0 ELSE 1.0 END * CASE WHEN {_V} > c THEN 1.5 ELSE 1.0 END AS weight FROM feat, (SELECT quantile_cont(y, 0.05) AS a, quantile_cont(y, 0.95) AS b, quantile_cont({_V}, 0.75) AS c FROM feat)")
+@add(with_(FEAT) + f"SELECT vec_id, CAST(CASE WHEN y <= a OR y >= b THEN 4.0 WHEN {_V} > c THEN 2.0 ELSE 0.5 END AS DOUBLE) AS weight FROM feat, (SELECT quantile_cont(y, 0.05) AS a, quantile_cont(y, 0.95) AS b, quantile_cont({_V}, 0.75) AS c FROM feat)")
 def t10_sample_weights(spark, d):
     return M.sample_weights(features(spark, d), "y", _F).select("vec_id", "weight")
 

@@ -53,12 +53,15 @@ def j20_knn_join(spark, d):
     return P.knn_join(geo_points(spark, d), sites(spark, d), 5).select("point_id", "site_id", r6("distance").alias("distance"), "rank")
 
 
-@add(with_(POINTS, SITES) + f"SELECT point_id, round(sum(area * 1e9 / (distance + 1e-4)) / sum(1 / (distance + 1e-4)), 4) AS idw, round(avg(area * 1e9), 4) AS mean, round(stddev_pop(area * 1e9), 4) AS std, round(min(area * 1e9), 4) AS least, round(max(area * 1e9), 4) AS most FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, site_id) AS rank FROM (SELECT point_id, site_id, area, {_hav('lon', 'lat', 'site_lon', 'site_lat')} AS distance FROM points, sites)) WHERE rank <= 5 GROUP BY point_id")
+_NTH = ", ".join([*(f"round(max(CASE WHEN rank = {n} THEN area * 1e9 END), 4) AS value{n}" for n in (1, 2, 3)), *(f"round(max(CASE WHEN rank = {n} THEN 1 / (distance + 1e-4) END), 2) AS weight{n}" for n in (1, 2, 3))])
+
+
+@add(with_(POINTS, SITES) + f"SELECT point_id, round(sum(area * 1e9 / (distance + 1e-4)) / sum(1 / (distance + 1e-4)), 4) AS idw, round(avg(area * 1e9), 4) AS mean, round(stddev_pop(area * 1e9), 4) AS std, round(min(area * 1e9), 4) AS least, round(max(area * 1e9), 4) AS most, round(max(CASE WHEN rank = 1 THEN area * 1e9 END), 4) AS nearest, round(max(CASE WHEN rank = 1 THEN distance END), 4) AS nearest_km, {_NTH} FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, site_id) AS rank FROM (SELECT point_id, site_id, area, {_hav('lon', 'lat', 'site_lon', 'site_lat')} AS distance FROM points, sites)) WHERE rank <= 5 GROUP BY point_id")
 def f19_idw_features(spark, d):
     s = sites(spark, d).withColumn("price", F.col("area") * 1e9)
     near = P.knn_join(geo_points(spark, d), s, 5).join(s.select("site_id", "price"), "site_id")
     out = P.idw_features(near, "price")
-    return out.select("point_id", *(F.round(c, 4).alias(c) for c in out.columns[1:]))
+    return out.select("point_id", *(F.round(c, 2 if c.startswith("weight") else 4).alias(c) for c in out.columns[1:]))
 
 
 @add(with_(POINTS, PIXELS, f"p AS (SELECT point_id, {_ROWCOL} FROM points)") + "SELECT point_id, p.row, p.col, round(value, 6) AS value FROM p LEFT JOIN pixels x ON p.row = x.row AND p.col = x.col")
@@ -69,8 +72,9 @@ def j22_sample_raster(spark, d):
 def _win(size, extra=""):
     h = size // 2
     return with_(
-        POINTS, PIXELS, f"p AS (SELECT point_id, {_ROWCOL} FROM points)",
-        f"win AS (SELECT point_id, x.col - p.col AS dx, x.row - p.row AS dy, x.* FROM p JOIN pixels x ON x.row BETWEEN p.row - {h} AND p.row + {h} AND x.col BETWEEN p.col - {h} AND p.col + {h} WHERE p.row BETWEEN 0 AND 199 AND p.col BETWEEN 0 AND 199)",
+        POINTS, PIXELS, f"p AS (SELECT point_id, {_ROWCOL} FROM points)", f"n AS (SELECT unnest(range({size})) AS i)",
+        f"spot AS (SELECT point_id, p.row AS pr, p.col AS pc, greatest(0, p.row - {h}) + a.i AS r, greatest(0, p.col - {h}) + b.i AS c, a.i AS y, b.i AS x FROM p, n a, n b WHERE p.row BETWEEN 0 AND 199 AND p.col BETWEEN 0 AND 199)",
+        "win AS (SELECT s.*, coalesce(value, 0) AS v FROM spot s LEFT JOIN pixels q ON q.row = s.r AND q.col = s.c WHERE r <= 199 AND c <= 199)",
     )
 
 
@@ -78,50 +82,71 @@ def _window(spark, d, size):
     return P.raster_window(geo_points(spark, d), pixels(spark, d).select("row", "col", "value"), size, AFFINE, _SHAPE)
 
 
-@add(_win(5) + "SELECT point_id, count(*) FILTER (WHERE abs(dx) <= 1 AND abs(dy) <= 1) AS n3, count(*) AS n5, round(sum(value), 4) AS total FROM win GROUP BY point_id")
+@add(_win(5) + "SELECT point_id, count(*) FILTER (WHERE near) AS n3, count(*) AS n5, round(sum(CASE WHEN near THEN v ELSE 0 END), 4) AS total3, round(sum(v), 4) AS total FROM (SELECT *, r - greatest(0, pr - 1) BETWEEN 0 AND 2 AND c - greatest(0, pc - 1) BETWEEN 0 AND 2 AS near FROM win) GROUP BY point_id")
 def j23_raster_window(spark, d):
+    """Windows of five and, as a part of them, three pixels."""
     w = _window(spark, d, 5)
-    return w.groupBy("point_id").agg(F.count_if((F.abs("dx") <= 1) & (F.abs("dy") <= 1)).alias("n3"), F.count("*").alias("n5"), F.round(F.sum("value"), 4).alias("total"))
-
+    sums = lambda df, n: df.groupBy("point_id").agg(F.count("*").alias(f"n{n}"), F.round(F.sum("value"), 4).alias("total" if n == 5 else "total3"))
+    return sums(w, 5).join(sums(P.sub_window(w, 3), 3), "point_id")
 
-_M2 = "avg(v * v) - avg(v) * avg(v)"
 
-
-@add(_win(5).replace("x.* FROM p", "x.*, value AS v FROM p") + """SELECT point_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.5), 6) AS median, round(min(v), 6) AS least, round(max(v), 6) AS most,
- round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(max(v) - min(v), 6) AS "range", round(sum(v * v) + 1.3e-6, 2) AS energy, round(var_pop(v) + 1.3e-6, 4) AS contrast,
- round(avg(pow(v - m, 3)) / pow(avg(pow(v - m, 2)), 1.5), 5) AS skew, round(avg(pow(v - m, 4)) / pow(avg(pow(v - m, 2)), 2) - 3, 5) AS kurt
+@add(_win(5) + """SELECT point_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.5), 6) AS median, round(min(v), 6) AS least, round(max(v), 6) AS most,
+ round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(max(v) - min(v), 6) AS "range", round(sum(v * v) + 1.3e-6, 2) AS energy, round(sum(pow(v - m, 2)) + 1.3e-6, 3) AS contrast, round(-sum(v * log2(v + 1e-10)) + 1.3e-6, 3) AS entropy,
+ round(CASE WHEN min(v) < max(v) THEN avg(pow(v - m, 3)) / pow(avg(pow(v - m, 2)), 1.5) ELSE 0 END, 5) AS skew, round(CASE WHEN min(v) < max(v) THEN avg(pow(v - m, 4)) / pow(avg(pow(v - m, 2)), 2) - 3 ELSE 0 END, 5) AS kurt
  FROM (SELECT *, avg(v) OVER (PARTITION BY point_id) AS m FROM win) GROUP BY point_id""")
 def a23_window_stats(spark, d):
     out = P.window_stats(_window(spark, d, 5), "value")
-    digits = {"energy": 2, "contrast": 4, "skew": 5, "kurt": 5}  # sums in another order may differ in their last bits
+    digits = {"energy": 2, "contrast": 3, "entropy": 3, "skew": 5, "kurt": 5}  # sums in another order may differ in their last bits
     return out.select("point_id", *(F.round(F.col(c) + (1.3e-6 if digits.get(c, 6) < 5 else 0), digits.get(c, 6)).alias(c) for c in out.columns[1:]))
 
 
-@add(_win(5) + "SELECT point_id, round(sum(-p * ln(p)), 5) AS entropy FROM (SELECT point_id, bin, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY point_id) AS p FROM (SELECT point_id, least(9, CAST(floor(coalesce((value - lo) * 10 / nullif(hi - lo, 0), 0)) AS INT)) AS bin FROM (SELECT *, min(value) OVER (PARTITION BY point_id) AS lo, max(value) OVER (PARTITION BY point_id) AS hi FROM win)) GROUP BY point_id, bin) GROUP BY point_id")
+@add(_win(3) + "SELECT point_id, round(-sum(v * log2(v + 1e-10)) + 1.3e-6, 3) AS entropy FROM win GROUP BY point_id")
 def a23_window_entropy(spark, d):
-    return P.window_entropy(_window(spark, d, 5), "value").select("point_id", F.round("entropy", 5).alias("entropy"))
+    o = P.window_stats(P.sub_window(_window(spark, d, 5), 3), "value")
+    return o.select("point_id", F.round(F.col("entropy") + 1.3e-6, 3).alias("entropy"))
 
 
-@add(_win(7) + "SELECT point_id, CASE WHEN count(*) = 13 THEN round(avg(value), 6) ELSE 0 END AS mean, CASE WHEN count(*) = 13 THEN round(stddev_pop(value), 6) ELSE 0 END AS std, CASE WHEN count(*) = 13 THEN round(quantile_cont(value, 0.5), 6) ELSE 0 END AS median, CASE WHEN count(*) = 13 THEN round(min(value), 6) ELSE 0 END AS least, CASE WHEN count(*) = 13 THEN round(max(value), 6) ELSE 0 END AS most, CASE WHEN count(*) = 13 THEN round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) ELSE 0 END AS iqr FROM win WHERE dx * dx + dy * dy <= 4 GROUP BY point_id")
-def a24_disc_stats(spark, d):
-    return _round(P.disc_stats(_window(spark, d, 7), "value", 2), "point_id")
+_DISC = {"mean": "avg(v)", "std": "stddev_pop(v)", "median": "quantile_cont(v, 0.5)", "least": "min(v)", "most": "max(v)", "skew": "CASE WHEN min(v) < max(v) THEN avg(pow(v - m, 3)) / pow(avg(pow(v - m, 2)), 1.5) ELSE 0 END", "iqr": "quantile_cont(v, 0.75) - quantile_cont(v, 0.25)"}
 
 
-@add()
+@add(_win(5) + "SELECT point_id, " + ", ".join(f"CASE WHEN count(*) = 13 THEN round({e}, 5) ELSE 0 END AS {n}" for n, e in _DISC.items()) + " FROM (SELECT *, avg(v) OVER (PARTITION BY point_id) AS m FROM win WHERE pow(y - 2, 2) + pow(x - 2, 2) <= 4) GROUP BY point_id")
+def a24_disc_stats(spark, d):
+    o = P.disc_stats(_window(spark, d, 7), "value", 2)
+    return o.select("point_id", *(F.round(c, 5).alias(c) for c in o.columns[1:]))
+
+
+def _texture_sql(size):
+    """The same sums as joins of cells with weights of their neighbours; ``mirror`` folds an index back into 0..n-1."""
+    mirror = lambda i, n: f"(CASE WHEN ({i}) < 0 THEN -1 - ({i}) WHEN ({i}) >= {n} THEN 2 * {n} - 1 - ({i}) ELSE ({i}) END)"
+    return _win(size) + f"""
+ , cell AS (SELECT point_id, y, x, v, max(y) OVER (PARTITION BY point_id) + 1 AS h, max(x) OVER (PARTITION BY point_id) + 1 AS w FROM win)
+ , g AS (SELECT o, exp(-0.5 * o * o) / sum(exp(-0.5 * o * o)) OVER () AS k FROM (SELECT unnest(range(-4, 5)) AS o))
+ , down AS (SELECT a.point_id, a.y, a.x, a.h, a.w, sum(b.v * k) AS v FROM cell a CROSS JOIN g JOIN cell b ON b.point_id = a.point_id AND b.x = a.x AND b.y = {mirror('a.y + o', 'a.h')} GROUP BY ALL)
+ , soft AS (SELECT a.point_id, a.y, a.x, a.h, a.w, sum(b.v * k) AS v FROM down a CROSS JOIN g JOIN down b ON b.point_id = a.point_id AND b.y = a.y AND b.x = {mirror('a.x + o', 'a.w')} GROUP BY ALL)
+ , n3 AS (SELECT unnest(range(-1, 2)) AS o)
+ , slope AS (SELECT a.point_id, a.y, a.x, sum(b.v * i.o * (2 - abs(j.o))) AS gy, sum(b.v * j.o * (2 - abs(i.o))) AS gx, sum(b.v * CASE WHEN i.o = 0 AND j.o = 0 THEN -4 WHEN i.o = 0 OR j.o = 0 THEN 1 ELSE 0 END) AS lap
+   FROM soft a CROSS JOIN n3 i CROSS JOIN n3 j JOIN soft b ON b.point_id = a.point_id AND b.y = {mirror('a.y + i.o', 'a.h')} AND b.x = {mirror('a.x + j.o', 'a.w')} GROUP BY ALL)
+ , step AS (SELECT a.point_id, avg(CASE WHEN b.y = a.y THEN abs(a.v - b.v) END) AS across, avg(CASE WHEN b.x = a.x THEN abs(a.v - b.v) END) AS along FROM soft a JOIN soft b ON b.point_id = a.point_id AND ((b.y = a.y AND b.x = a.x + 1) OR (b.x = a.x AND b.y = a.y + 1)) GROUP BY a.point_id)
+ SELECT point_id, round(avg(m), 4) AS gradient_mean, round(stddev_pop(m), 4) AS gradient_std, round(max(m), 4) AS gradient_max, round(avg(lap) + 1.3e-7, 4) + 0.0 AS laplace_mean, round(stddev_pop(lap), 4) AS laplace_std,
+  round(any_value(across), 4) AS horizontal_edge, round(any_value(along), 4) AS vertical_edge, round(avg(abs(lap)), 4) AS roughness, round(avg(1 / (1 + m)), 4) AS homogeneity FROM (SELECT *, sqrt(gx * gx + gy * gy) AS m FROM slope) JOIN step USING (point_id) GROUP BY point_id"""
+
+
+@add(_texture_sql(7))
 def a25_window_texture(spark, d):
-    return P.window_texture(_window(spark, d, 7), "value", 7)
+    o = P.window_texture(_window(spark, d, 7), "value")
+    return o.select("point_id", *((F.round(F.col(c) + (1.3e-7 if c == "laplace_mean" else 0), 4) + 0.0).alias(c) for c in o.columns[1:]))
 
 
-@add(with_(POINTS, SITES) + f"SELECT p.point_id, round(coalesce(n, 0) / (pi() * 500.0 * 500.0), 12) AS density, round(coalesce(h, 0), 6) AS mean_height, round(coalesce(a, 0) / (pi() * {_R} * {_R}), 6) AS coverage FROM points p LEFT JOIN (SELECT point_id, count(*) AS n, avg(height) AS h, sum(area) AS a FROM points, sites WHERE abs(lon - site_lon) <= 0.0051 AND {_DIST} <= {_R} GROUP BY point_id) x ON p.point_id = x.point_id")
+@add(with_(POINTS, SITES) + f"SELECT p.point_id, round(coalesce(n, 0) / (pi() * 0.25), 6) AS density, round(coalesce(h, 0), 6) AS mean_height, round(coalesce(a, 0) / (pi() * {_R} * {_R}), 6) AS coverage FROM points p LEFT JOIN (SELECT point_id, count(*) AS n, avg(height) AS h, sum(area) AS a FROM points, sites WHERE abs(lon - site_lon) <= 0.0051 AND {_DIST} <= {_R} GROUP BY point_id) x ON p.point_id = x.point_id")
 def a21_building_features(spark, d):
     o = P.building_features(geo_points(spark, d), sites(spark, d), 500.0)
-    return o.select("point_id", F.round("density", 12).alias("density"), r6("mean_height").alias("mean_height"), r6("coverage").alias("coverage"))
+    return o.select("point_id", r6("density").alias("density"), r6("mean_height").alias("mean_height"), r6("coverage").alias("coverage"))
 
 
-@add(with_(POINTS, SITES) + f"SELECT p.point_id, round(nearest, 9) AS nearest, coalesce(n, 0) AS n_near, round(coalesce(a, 0), 12) AS area_wide FROM points p LEFT JOIN (SELECT point_id, min(x) AS nearest, count(*) FILTER (WHERE x <= 0.001) AS n, sum(area) AS a FROM (SELECT point_id, area, {_DIST} AS x FROM points, sites WHERE abs(lon - site_lon) <= 0.0021) WHERE x <= 0.002 GROUP BY point_id) q ON p.point_id = q.point_id")
+@add(with_(POINTS, SITES) + f"SELECT point_id, round(min(x) * 100, 7) AS nearest, count(*) FILTER (WHERE x < 0.001) AS n_near, round(coalesce(sum(area) FILTER (WHERE x < 0.002), 0) * 10000, 9) AS area_wide FROM (SELECT point_id, area, {_DIST} AS x FROM points, sites) GROUP BY point_id")
 def a22_proximity_features(spark, d):
     o = P.proximity_features(geo_points(spark, d), sites(spark, d))
-    return o.select("point_id", F.round("nearest", 9).alias("nearest"), "n_near", F.round("area_wide", 12).alias("area_wide"))
+    return o.select("point_id", F.round("nearest", 7).alias("nearest"), "n_near", F.round("area_wide", 9).alias("area_wide"))
 
 
 def _sqlratio(a, b):
@@ -129,16 +154,18 @@ def _sqlratio(a, b):
 
 
 _NDVI, _NDBI = _sqlratio("nir - red", "nir + red"), _sqlratio("swir1 - nir", "swir1 + nir")
+_EVI = "nir + red * 6 - blue * 7.5 + 1"
 _INDEX = {
     "ndvi": _NDVI, "evi": _sqlratio("(nir - red) * 2.5", "nir + red * 6 - blue * 7.5 + 1"), "savi": _sqlratio("(nir - red) * 1.5", "nir + red + 0.5"), "ndbi": _NDBI, "bui": f"{_NDBI} - {_NDVI}", "ndwi": _sqlratio("green - nir", "green + nir"),
     "mndwi": _sqlratio("green - swir1", "green + swir1"), "ui": _sqlratio("swir2 - nir", "swir2 + nir"), "ebi": _sqlratio("swir1 + red - nir - blue", "swir1 + red + nir + blue"), "ndmi": _sqlratio("nir - swir1", "nir + swir1"),
 }
 
 
-@add(with_(PIXELS) + "SELECT row, col, " + ", ".join(f"round({e} + 1.3e-7, 4) + 0.0 AS {n}" for n, e in _INDEX.items()) + " FROM pixels WHERE abs(nir + red * 6 - blue * 7.5 + 1) > 0.5")
+@add(with_(PIXELS) + "SELECT row, col, " + ", ".join(f"round({e} + 1.3e-7, 4) + 0.0 AS {n}" if n != "evi" else f"CASE WHEN abs({_EVI}) > 1e-6 THEN round({e} + 1.3e-7, 2) + 0.0 END AS evi" for n, e in _INDEX.items()) + " FROM pixels")
 def f21_spectral_indices(spark, d):
-    p = pixels(spark, d).where("abs(nir + red * 6 - blue * 7.5 + 1) > 0.5")
-    return P.spectral_indices(p).select("row", "col", *((F.round(F.col(c) + 1.3e-7, 4) + 0.0).alias(c) for c in _INDEX))
+    """All pixels; near its singularity EVI is null, since its digits there hang on the order of a sum."""
+    p = P.spectral_indices(pixels(spark, d)).withColumn("evi", F.when(F.abs(F.expr(_EVI)) > 1e-6, F.col("evi")))
+    return p.select("row", "col", *((F.round(F.col(c) + 1.3e-7, 2 if c == "evi" else 4) + 0.0).alias(c) for c in _INDEX))
 
 
 @add(with_(PIXELS) + "SELECT row, col, round(nir * 1000 * 2.75e-5 - 0.2, 6) AS nir, round(swir2 * 1000 * 0.00341802 + 149.0 - 273.15, 6) AS swir2 FROM pixels")
@@ -180,15 +207,16 @@ def _inv(ps):
     return "(" + " + ".join(f"1 / ({_hav('lon', 'lat', str(x), str(y))} + 0.1)" for _, x, y in ps) + ")"
 
 
-_HLIST = "list_sort([" + ", ".join(_D) + "])"
 _COOL = "least(" + ", ".join(_hav("lon", "lat", str(x), str(y)) for _, x, y in _GREEN + _WATER) + ")"
-_HH = _hav(*(str(v) for v in (_POIS[0][1], _POIS[0][2], _POIS[1][1], _POIS[1][2])))
+# the two nearest hot places a and b of each point
+_AB = "(SELECT *, h[1].x AS ax, h[1].y AS ay, h[2].x AS bx, h[2].y AS by_, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS norm FROM (SELECT *, list_sort([" + ", ".join(f"{{'d': {e}, 'x': CAST({x} AS DOUBLE), 'y': CAST({y} AS DOUBLE)}}" for e, (_, x, y) in zip(_D, _POIS)) + "]) AS h FROM points))"
+_ALONG = "((lon - ax) * (bx - ax) + (lat - ay) * (by_ - ay)) / norm"
 
 
-@add(with_(POINTS) + f"SELECT point_id, round({_inv(_HOT)} / ({_inv(_GREEN)} + {_inv(_WATER)} + 0.1), 5) AS thermal_index, round({_COOL} / ({_MIN} + 0.1), 5) AS cool_heat_ratio, " + ", ".join(f"{' + '.join(f'CAST({e} <= {km} AS INT)' for e in _D)} AS hot_{km}km" for km in (1, 3)) + f", round(({' + '.join(_D)}) / 3, 5) AS hot_mean3, CAST({_HLIST}[1] + {_HLIST}[2] < 1.2 * {_HH} AS INT) AS between_hot FROM points")
+@add(with_(POINTS) + f"SELECT point_id, round({_inv(_HOT)} / ({_inv(_GREEN)} + {_inv(_WATER)} + 0.1), 5) AS thermal_index, round(CASE WHEN {_MIN} > 0 THEN {_COOL} / {_MIN} ELSE {_COOL} END, 4) AS cool_heat_ratio, " + ", ".join(f"{' + '.join(f'CAST({e} < {km} AS INT)' for e in _D)} AS hot_{km}km" for km in (1, 3)) + f", round(({' + '.join(_D)}) / 3, 5) AS hot_mean3, CAST({_ALONG} > 0 AND {_ALONG} < {_hav('ax', 'ay', 'bx', 'by_')} AND abs((lon - ax) * (by_ - ay) - (lat - ay) * (bx - ax)) < 0.5 AS INT) AS between_hot FROM {_AB}")
 def f18_thermal_features(spark, d):
     o = P.thermal_features(geo_points(spark, d), _HOT, _GREEN, _WATER)
-    return o.select("point_id", *(F.round(c, 5).alias(c) for c in ("thermal_index", "cool_heat_ratio")), "hot_1km", "hot_3km", F.round("hot_mean3", 5).alias("hot_mean3"), "between_hot")
+    return o.select("point_id", F.round("thermal_index", 5).alias("thermal_index"), F.round("cool_heat_ratio", 4).alias("cool_heat_ratio"), "hot_1km", "hot_3km", F.round("hot_mean3", 5).alias("hot_mean3"), "between_hot")
 
 
 @add(with_(POINTS) + f"SELECT point_id, round({_hav('lon', 'lat', 'cx', 'cy')}, 5) AS centroid_km FROM points, (SELECT avg(lon) AS cx, avg(lat) AS cy FROM points)")

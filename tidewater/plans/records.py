@@ -41,7 +41,7 @@ def t5_latest_n(spark, d):
 
 
 _DEV = f"dev AS (SELECT *, (avg_steps - latest_steps) / nullif(avg_steps, 0) AS deviation FROM (SELECT user_id, max(date) AS last_date, avg(steps) AS avg_steps, arg_max(steps, date) AS latest_steps, (epoch(TIMESTAMP '{AS_OF}') - epoch(CAST(max(date) AS TIMESTAMP))) / 3600.0 AS hours FROM wear GROUP BY user_id))"
-_ALERT = "alerts AS (SELECT *, CASE WHEN deviation > 0.8 AND hours >= 12 THEN 'HIGH ALERT: Call 911' WHEN deviation > 0.6 AND hours >= 6 THEN 'MODERATE ALERT: Call guardian' WHEN deviation > 0.3 AND hours >= 3 THEN 'LOW ALERT: Text guardian' ELSE 'Normal activity' END AS alert, CASE WHEN deviation > 0.8 AND hours > 72 THEN 'EMERGENCY' WHEN deviation > 0.6 AND hours > 48 THEN 'HIGH' WHEN deviation > 0.4 AND hours > 24 THEN 'MODERATE' ELSE 'LOW' END AS severity FROM dev)"
+_ALERT = "alerts AS (SELECT *, CASE WHEN deviation > 0.8 AND hours >= 12 THEN 'HIGH : Call 911' WHEN hours >= 6 THEN 'MIDDLE : Notify Doctor' WHEN hours >= 3 THEN 'LOW : Ping User' ELSE 'Normal Activity - No alerts' END AS alert, CASE WHEN deviation > 0.8 AND hours > 72 THEN 'CRITICAL' WHEN deviation > 0.6 OR hours > 48 THEN 'HIGH' WHEN deviation > 0.4 OR hours > 24 THEN 'MODERATE' ELSE 'LOW' END AS severity FROM dev)"
 
 
 def _alerts(spark, d):
@@ -64,29 +64,30 @@ def f32_clinical_severity(spark, d):
     return _alerts(spark, d).select("user_id", "severity")
 
 
-@add(with_(WEAR, _DEV, _ALERT) + "SELECT user_id, alert FROM alerts WHERE regexp_matches(alert, 'HIGH|Call 911')")
+@add(with_(WEAR, _DEV, _ALERT) + "SELECT user_id, alert FROM alerts WHERE alert LIKE '%Call 911' OR alert LIKE '%Notify Doctor'")
 def p14_alerts_by_severity(spark, d):
-    return R.alerts_by_severity(_alerts(spark, d)).select("user_id", "alert")
+    a = _alerts(spark, d)
+    return R.alerts_by_severity(a).union(R.alerts_by_severity(a, "high")).select("user_id", "alert")
 
 
-@add(with_(WEAR, _DEV, _ALERT) + "SELECT count(*) FILTER (WHERE alert LIKE 'HIGH%') AS critical, count(*) FILTER (WHERE alert LIKE 'MOD%') AS high, count(*) FILTER (WHERE alert LIKE 'LOW%') AS moderate, count(*) FILTER (WHERE alert NOT LIKE 'Normal%') AS active, count(*) AS total FROM alerts")
+@add(with_(WEAR, _DEV, _ALERT) + "SELECT count(*) FILTER (WHERE alert LIKE 'HIGH%') AS critical, count(*) FILTER (WHERE alert LIKE 'MIDDLE%') AS high, count(*) FILTER (WHERE alert LIKE 'LOW%') AS moderate, count(*) FILTER (WHERE alert NOT LIKE 'Normal%') AS active, count(*) AS total FROM alerts")
 def a16_alert_summary(spark, d):
     return R.alert_summary(_alerts(spark, d))
 
 
-_LV = "CASE WHEN contains(alert, 'HIGH') THEN '{}' WHEN contains(alert, 'MODERATE') THEN '{}' ELSE '{}' END AS {}"
-_IV = ", ".join((_LV.format("critical", "high", "moderate", "level"), _LV.format("emergency_call", "phone_call", "text_message", "type"), _LV.format("emergency_services", "guardian", "guardian", "recipient"), _LV.format("911", "phone", "sms", "contact")))
+_LV = "CASE WHEN alert = 'HIGH : Call 911' THEN '{}' ELSE '{}' END AS {}"
+_IV = ", ".join((_LV.format("emergency", "high", "severity"), _LV.format("emergency_call", "doctor_notification", "type"), _LV.format("emergency", "doctor", "recipient"), _LV.format("phone", "email", "contact")))
 
 
-@add(with_(WEAR, _DEV, _ALERT) + f"SELECT user_id, {_IV}, '2024-02-01 00:00:00' AS follow_up_at, true AS follow_up_required FROM alerts WHERE alert NOT LIKE 'Normal%'")
+@add(with_(WEAR, _DEV, _ALERT) + f"SELECT user_id, {_IV}, 'Automated intervention for ' || alert AS description, '2024-01-31 04:00:00' AS follow_up_at, true AS follow_up_required FROM alerts WHERE alert IN ('HIGH : Call 911', 'MIDDLE : Notify Doctor')")
 def f33_interventions(spark, d):
     return R.interventions(_alerts(spark, d), AS_OF).withColumn("follow_up_at", text("follow_up_at"))
 
 
 @add(with_(WEAR, _DEV, _ALERT) + "SELECT user_id, alert FROM (SELECT *, row_number() OVER (PARTITION BY split_part(alert, ' ', 1) ORDER BY user_id) AS n FROM alerts WHERE alert NOT LIKE 'Normal%') WHERE alert NOT LIKE 'LOW%' OR n <= 5")
 def t6_cap_per_class(spark, d):
-    a = _alerts(spark, d).withColumn("cls", F.split("alert", " ")[0])
-    return R.cap_per_class(a, "cls", {"HIGH": None, "MODERATE": None, "LOW": 5}, [F.col("user_id")]).select("user_id", "alert")
+    a = _alerts(spark, d).withColumn("cls", X.alert_class(F.col("alert")))
+    return R.cap_per_class(a, "cls", {"critical": None, "high": None, "moderate": 5}, [F.col("user_id")]).select("user_id", "alert")
 
 
 def _people(spark, d):
@@ -101,10 +102,32 @@ def j24_add_caregiver(spark, d):
     return R.add_caregiver(_alerts(spark, d), _people(spark, d)).select("user_id", "patient", "caregiver")
 
 
-@add(with_(WEAR, _DEV, _ALERT, _PEOPLE) + "SELECT a.user_id, 'Dear ' || coalesce(caregiver, 'Unassigned') || ',' AS greeting, coalesce(patient, 'Patient ' || a.user_id) || ' has been inactive for ' || CAST(floor(hours) AS BIGINT) || ' hours (' || severity || ').' AS summary, CASE WHEN contains(alert, 'HIGH') THEN 'Call 911;Visit now' WHEN contains(alert, 'MODERATE') THEN 'Call today' ELSE 'Send a text' END AS actions FROM alerts a LEFT JOIN people p ON a.user_id = p.user_id")
+_NAMED = "named AS (SELECT a.user_id, alert, coalesce(patient, 'Patient ' || a.user_id) AS p, coalesce(caregiver, 'Unassigned') AS c, CAST(trunc(hours) AS BIGINT) AS h, CAST(trunc(coalesce(deviation, 0) * 100) AS BIGINT) AS d FROM alerts a LEFT JOIN people p ON a.user_id = p.user_id)"
+_MESSAGE = {
+    "greeting": (
+        "'Dear ' || c || ', we need your immediate attention regarding ' || p || chr(46)", "'Hello ' || c || ', we''re concerned about ' || p || ' and wanted to alert you.'",
+        "'Hi ' || c || ', we wanted to update you about ' || p || chr(39) || 's activity patterns.'", "'Hello ' || c || ', here''s a routine update about ' || p || '.'",
+    ),
+    "summary": (
+        "p || ' hasn''t shown any activity for ' || h || ' hours, and their overall activity has dropped by ' || d || '%. This is a critical situation that requires immediate action.'",
+        "p || ' has been inactive for ' || h || ' hours and their activity level has decreased by ' || d || '%. This needs your attention today.'",
+        "'We''ve noticed ' || p || ' has been less active recently - ' || h || ' hours of inactivity and a ' || d || '% decrease in movement. This might indicate they need some extra support.'",
+        "p || ' has shown some minor changes in activity - about ' || d || '% less movement than usual. This is likely normal variation but worth monitoring.'",
+    ),
+    "first_action": (
+        "'Call ' || p || ' right now - if no answer, go to their location immediately'", "'Call ' || p || ' to check on their wellbeing'",
+        "'Give ' || p || ' a friendly call to see how they''re feeling'", "'Check in with ' || p || ' during your next regular call'",
+    ),
+    "actions": ("5", "5", "4", "3"), "contacts": ("'911;555-0100;555-0199;555-0150'", "'911;555-0100;555-0199;555-0150'", "'555-0100;555-0199;555-0150'", "'555-0100;555-0199;555-0150'"),
+    "resources": ("4", "4", "3", "3"),
+}
+_MESSAGES = ", ".join(f"CASE WHEN alert LIKE 'HIGH%' THEN {a} WHEN alert LIKE 'MIDDLE%' THEN {b} WHEN alert LIKE 'LOW%' THEN {c} ELSE {e} END AS {n}" for n, (a, b, c, e) in _MESSAGE.items())
+
+
+@add(with_(WEAR, _DEV, _ALERT, _PEOPLE, _NAMED) + f"SELECT user_id, {_MESSAGES} FROM named")
 def f35_render_message(spark, d):
     m = R.render_message(R.add_caregiver(_alerts(spark, d), _people(spark, d)))
-    return m.select("user_id", "message.greeting", "message.summary", F.array_join("message.actions", ";").alias("actions"))
+    return m.select("user_id", "message.greeting", "message.summary", F.col("message.actions")[0].alias("first_action"), F.size("message.actions").alias("actions"), F.array_join("message.contacts.number", ";").alias("contacts"), F.size("message.resources").alias("resources"))
 
 
 _CHURN = "churn AS (SELECT user_id, (user_id * 37 % 100) / 100.0 AS p FROM (SELECT DISTINCT user_id FROM events))"
@@ -114,9 +137,10 @@ def _churn(spark, d):
     return load(spark, d, "events").select("user_id").distinct().withColumn("p", (F.col("user_id") * 37 % 100) / 100.0)
 
 
-@add(with_(_CHURN) + "SELECT user_id, CASE WHEN p > 0.7 THEN 'high' WHEN p > 0.4 THEN 'medium' ELSE 'low' END AS tier, round(greatest(p, 1 - p), 6) AS confidence, CASE WHEN p > 0.7 THEN 3 WHEN p > 0.4 THEN 2 ELSE 1 END AS n FROM churn")
+@add(with_(_CHURN) + "SELECT user_id, CASE WHEN p > 0.7 THEN 'high' WHEN p > 0.4 THEN 'medium' ELSE 'low' END AS tier, round(greatest(p, 1 - p), 6) AS confidence, CASE WHEN p > 0.7 THEN 'Immediate engagement required;Personal trainer consultation;Offer incentive program' WHEN p > 0.4 THEN 'Send motivational messages;Suggest group activities;Review fitness goals' ELSE 'Continue monitoring;Send weekly tips' END AS recommendations, 'steps_mean;heart_rate_mean;steps_std' AS contributing_factors FROM churn")
 def f34_churn_tier(spark, d):
-    return R.churn_report(_churn(spark, d), "p").select("user_id", "tier", r6("confidence").alias("confidence"), F.size("recommendations").alias("n"))
+    o = R.churn_report(_churn(spark, d), "p", {"steps_std": 0.2, "steps_mean": 0.5, "class_attended_sum": 0.05, "heart_rate_mean": 0.25})
+    return o.select("user_id", "tier", r6("confidence").alias("confidence"), *(F.array_join(c, ";").alias(c) for c in ("recommendations", "contributing_factors")))
 
 
 @add(with_(_CHURN) + "SELECT count(*) FILTER (WHERE p > 0.7) AS high, count(*) FILTER (WHERE p > 0.3 AND p <= 0.7) AS medium, count(*) FILTER (WHERE p <= 0.3) AS low FROM churn")
@@ -124,7 +148,7 @@ def a40_risk_counts(spark, d):
     return R.risk_counts(_churn(spark, d), "p")
 
 
-@add(with_(WEAR, _DEV, _ALERT, _CHURN) + "SELECT (SELECT count(DISTINCT user_id) FROM wear) AS users, (SELECT count(*) FROM alerts) AS alerts, (SELECT count(*) FROM alerts WHERE severity = 'LOW') AS low, (SELECT count(*) FROM churn WHERE p > 0.4) AS at_risk, (SELECT count(*) FROM alerts WHERE alert NOT LIKE 'Normal%') AS interventions")
+@add(with_(WEAR, _DEV, _ALERT, _CHURN) + "SELECT (SELECT count(DISTINCT user_id) FROM wear) AS users, (SELECT count(*) FROM alerts) AS alerts, (SELECT count(*) FROM alerts WHERE severity = 'LOW') AS low, (SELECT count(*) FROM churn WHERE p > 0.4) AS at_risk, (SELECT count(*) FROM alerts WHERE alert LIKE 'HIGH%' OR alert LIKE 'MIDDLE%') AS interventions")
 def a17_analytics_report(spark, d):
     a = _alerts(spark, d)
     r = R.analytics_report(wearables(spark, d), a, R.churn_report(_churn(spark, d), "p"), R.interventions(a, AS_OF))
@@ -181,10 +205,10 @@ def u6_retain(spark, d):
     return R.retain(load(spark, d, "events"), "ts", "2024-01-30 00:00:00", 2).select("event_id")
 
 
-@add(with_(_T) + "SELECT t.id, CASE WHEN n.notes IS NULL THEN 'first' ELSE 'first|' || n.notes END AS history FROM t LEFT JOIN (SELECT user_id AS id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type, '|' ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S'), event_type) AS notes FROM events WHERE event_id % 20 = 0 GROUP BY user_id) n ON t.id = n.id")
+@add(with_(_T) + "SELECT t.id, CASE WHEN n.notes IS NULL THEN 'first' ELSE 'first|' || n.notes END AS history FROM t LEFT JOIN (SELECT user_id AS id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type, '|' ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S'), event_type) AS notes FROM events GROUP BY user_id) n ON t.id = n.id")
 def u7_append_history(spark, d):
     t = _t(spark, d).select("id", F.array(F.lit("first")).alias("history"))
-    e = load(spark, d, "events").where("event_id % 20 = 0").select(F.col("user_id").alias("id"), text("ts").alias("at"), F.col("event_type").alias("note"))
+    e = load(spark, d, "events").select(F.col("user_id").alias("id"), text("ts").alias("at"), F.col("event_type").alias("note"))
     return R.append_history(t, e, "id", "history").select("id", F.array_join("history", "|").alias("history"))
 
 
