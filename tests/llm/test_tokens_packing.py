@@ -11,14 +11,12 @@ from tidewater.llm import packing, token_files
 from tidewater.llm.tokens import WordEncoder
 
 BYTE, WORD = (public_tokenizers.path(f"{x}.json") for x in ("byte_bpe_50k", "word_bpe_49k"))
-ODD = ["", " ", "a  b   c", "a\n\n  b \n", " x", "x ", "<|endoftext|> a<|startoftext|>", "\x1c a \x1f", "é ́", "it's  don't 12 3 ...!? ", "a b  c", "日本 語", "🙂 🙂🙂", "\t\t a\t b", "A B. C,\r\n D", "end. End, END! § it's§ o\u0301. É. İ. x_. 9.", "a.\nB. ... a..b"]
+ODD = ["", " ", "a  b   c", "a\n\n  b \n", " x", "x ", "<|endoftext|> a<|startoftext|>", "x <|endoftext|> y", "<|ENDOFTEXT|>", "ｘ.\nｙ! \nz", "ab1. a\u0301b, \ua7cb\u1c89 x", "\nab.\ncd", "ab\n", "\n", "\x1c a \x1f", "é ́", "it's  don't 12 3 ...!? ", "a b  c", "日本 語", "🙂 🙂🙂", "\t\t a\t b", "A B. C,\r\n D", "end. End, END! § it's§ o\u0301. É. İ. x_. 9.", "a.\nB. ... a..b"]
 ENCODERS = {p: WordEncoder(p) for p in (BYTE, WORD)}
 
 
 def plain(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -86,3 +84,32 @@ def test_orc_round_trip(spark, docs_of, tmp_path):
     back = token_files.read_tokens(spark, str(tmp_path / "o"))
     assert back.where("doc_id = 0").first().ids == [*plain(WORD, "a b"), 2]
     assert token_files.token_digest(spark, docs.where("false"), WORD).count() == 0
+
+
+def test_starts_point_at_the_stored_ids(spark, docs_of):
+    """Also where rows share an id: the ids of all rows in order of start are the files' ids in order."""
+    texts = [(5, f"{x} same id") for x in ("b", "a", "c", "a", "")] + [(i, f"row {i} " * (i % 7)) for i in range(200)]
+    docs = docs_of(texts)
+    rows = token_files.token_digest(spark, docs, WORD).toPandas().sort_values(["start"])
+    assert rows.start.tolist() == [0, *rows.n_tokens.cumsum().tolist()[:-1]] and rows.doc_id.is_monotonic_increasing
+
+
+def test_readers_prune_by_doc_id(spark, docs_of, tmp_path):
+    import glob
+
+    from pyarrow import orc
+
+    path = str(tmp_path / "o")
+    texts = [" ".join(f"w{i * 7 + k}" for k in range(60)) for i in range(12_000)]
+    token_files.write_tokens(spark, docs_of(texts), path, WORD, 2, files=2, stripe_bytes=1 << 18)
+    files = sorted(glob.glob(path + "/part-*"))
+    ends = []
+    for f in files:
+        ids = orc.ORCFile(f).read(["doc_id"]).column("doc_id").to_pylist()
+        ends.append((ids[0], ids[-1]))
+        assert ids == sorted(ids)
+    assert len(files) == 2 and ends[0][1] < ends[1][0]  # ranges do not meet, so footers tell which file holds an id
+    assert sum(orc.ORCFile(f).nstripes for f in files) > 2  # stripes to be read in parallel
+    back = token_files.read_tokens(spark, path).where("doc_id = 4321")
+    assert "EqualTo(doc_id,4321)" in back._jdf.queryExecution().executedPlan().toString()
+    assert back.count() == 1 and back.first().ids == [*plain(WORD, texts[4321]), 2]

@@ -2,15 +2,16 @@
 
 A public tokenizer splits a text before it merges, and never merges across the
 split before a space, so ``encode(text)`` is the concatenation of its words'
-ids. Words repeat; each task remembers theirs (a bounded cache, refilled when
-full, which changes no id) and hands only new words to the library.
+ids. Words repeat; each task remembers theirs (a bounded cache, which changes no
+id) and hands only new words to the library, many in a call. A text that holds
+the string of a special token is encoded whole, as the library does.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 
 import numpy as np
 
@@ -21,9 +22,10 @@ from .words import forget
 CACHE_MOST = 500_000
 #: Characters of text split at a time, and words encoded in one call.
 _AT_ONCE, _CALL = 1 << 20, 4000
-_SPACES = re.compile(r" \s")
+#: Marks that end a word.
+_ENDS = ".,;:!?%*#$&|"
+_RUNS = re.compile(r"\s\s|[^\S \n]")
 _SPACE = re.compile(r" (?=\S)")
-_TAILED = re.compile(r"([^\W\d_]+)([.,;:!?%*#$&|]+)")
 
 
 class WordEncoder:
@@ -34,108 +36,102 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         #: whether a word's ids depend on the space before it
         self.spaced = ids(" b") != ids("b")
-        self.known: dict[str, bytes] = {}  # after a space
-        self.first: dict[str, bytes] = {}  # at the start of a text
-        self.tails: dict[str, bytes] = {}  # end marks
         self.lowers = ids("AB cD") == ids("ab cd")
         self.line_id = (ids("\n") or [-1])[0]
-        #: a sign with an id of its own stands between the words of one call
-        self.sign, self.sign_id = next((c, ids(" " + c)[0]) for c in "\u00a7\u00b6\u2020\u2022\u00a4|~" if len(ids(" " + c)) == 1 and len(ids(f" a {c} b")) == len(ids(" a")) + 1 + len(ids(" b")))
-
-    def _encode(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Each word by itself."""
-        for w, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            into[w] = np.array(x.ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Words after a space. Letters and the marks that end them are split
-        by every public tokenizer, so a word with an end mark takes its ids
-        from the two; ASCII capitals are one word with their small letters
-        where the tokenizer lowers them."""
-        parts: dict[str, tuple[tuple[str, str], tuple[str, str]]] = {}
-        for w in words:
-            small = w.lower() if self.lowers and w.isascii() else w
-            lines = small.split("\n") if self.spaced else [small]
-            if len(lines) == 2 and all(lines) and not any(c.isspace() for c in lines[0] + lines[1]):
-                parts[w] = self._tailed(lines[0]), self._tailed(lines[1])
-            else:
-                parts[w] = self._tailed(small), ("", "")
-        known, first, tails = self.known, self.first, self.tails
-        heads = {h for (h, _), _ in parts.values()}
-        got = {h: known[h] for h in heads if h in known}
-        self._call([h for h in heads if h not in got], got, f" {self.sign} ", self.sign_id, " ")
-        if self.spaced:  # a word after a line's end has no space before it
-            starts = {u for _, (u, _) in parts.values() if u}
-            self._call([u for u in starts if u not in first], first, "\n", self.line_id, "")
-        self._encode(list({t for x in parts.values() for _, t in x if t} - tails.keys()), tails)
-        line = np.array([max(0, self.line_id)], "<u4").tobytes()
-        for w, ((h, t), (u, v)) in parts.items():
-            ids = got[h] + tails[t] if t else got[h]
-            into[w] = ids + line + first[u] + (tails[v] if v else b"") if u else ids
-        if len(tails) > CACHE_MOST // 10:
-            tails.clear()
-        if into is known and len(known) < CACHE_MOST:
-            known.update(got)
-
-    @staticmethod
-    def _tailed(word: str) -> tuple[str, str]:
-        m = _TAILED.fullmatch(word)
-        return m.groups() if m and m[1].lower().isalpha() else (word, "")
-
-    def _call(self, words: list[str], into: dict[str, bytes], between: str, cut_id: int, before: str) -> None:
-        """Words that stand between the same characters, many in a call."""
-        odd = [w for w in words if between.strip(" ") in w]
-        words = [w for w in words if between.strip(" ") not in w]
+        #: of each id, whether it begins a word after a space, or ends a word
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        space, end = (self.tokenizer.id_to_token(ids(x)[0]) if self.spaced == (x == " ") else "\n" for x in (" ", "a"))
+        self.begins = np.array([x.startswith(space) for x in names])
+        self.ends = np.array([x.endswith(end[1:] or "\n") for x in names])
+        #: ids by word: a string stands after a space (or begins with its line end), a 1-tuple at the start of a text
+        self.known: dict[Hashable, bytes] = {}
+
+    def _words(self, text: str) -> list[Hashable]:
+        if not self.spaced:  # white space only parts words
+            text = text.replace("\n", " ")
+            return (text.lower() if self.lowers and text.isascii() else text).split(" ")
+        # lone line ends part words too, and begin the next one
+        words = _SPACE.split(text) if _RUNS.search(text) else text.replace("\n", " \n").split(" ")
+        words[0] = (words[0],)
+        return words
+
+    def _letters(self, words: list[str], before: str) -> dict[str, bytes]:
+        """Words of letters alone, each after the same character: the library
+        takes such a word for one unit, so ids that begin one part them."""
+        out: dict[str, bytes] = {}
         for at in range(0, len(words), _CALL):
             part = words[at : at + _CALL]
-            ids = self.tokenizer.encode_batch_fast([before + between.join(part)], add_special_tokens=False)[0].ids
-            ids = np.array(ids, "<u4")
-            cut = np.flatnonzero(ids == cut_id)
-            raw = ids.tobytes()
-            starts, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]
-            into.update(zip(part, (raw[a:b] for a, b in zip(starts, ends))))
-        got: dict[str, bytes] = {}
-        self._encode([before + w for w in odd], got)
-        into.update((w[len(before) :], x) for w, x in got.items())
-
-    def _words(self, text: str) -> list[str]:
-        if not self.spaced:  # white space only parts words
-            return text.replace("\n", " ").split(" ")
-        return _SPACE.split(text) if _SPACES.search(text) else text.split(" ")
+            x = self.tokenizer.encode_batch_fast([before + before.join(part)], add_special_tokens=False)[0]
+            ids = np.array(x.ids, "<u4")
+            raw, first = ids.tobytes(), ids == self.line_id if before == "\n" else self.begins[ids] if self.spaced else np.r_[True, self.ends[ids[:-1]]]
+            cut = [*(4 * np.flatnonzero(first)).tolist(), len(raw)]
+            if len(cut) == len(part) + 1 and not cut[0]:
+                out.update(zip(part, map(raw.__getitem__, map(slice, cut[:-1], cut[1:]))))
+            else:  # a letter that the library does not take for one
+                out.update(self._singly(part, [before + w for w in part]))
+        return out
+
+    def _singly(self, keys: list, texts: list[str]) -> dict:
+        return {k: np.array(x.ids, "<u4").tobytes() for k, x in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))}
+
+    def _encoded(self, words: list[Hashable]) -> dict[Hashable, bytes]:
+        """New words. Letters and the marks that end them are parted by every
+        public tokenizer, so these take their ids from the two."""
+        spaced, known = self.spaced, self.known
+        heads: dict[str, str] = {}
+        lines: dict[str, str] = {}
+        odd: list[Hashable] = []
+        for w in words:
+            h = w.rstrip(_ENDS) if isinstance(w, str) else ""
+            if h.isalpha() and (spaced or h.isascii() or h.lower().isalpha()):  # lowering may give a mark
+                heads[w] = h
+            elif spaced and h[:1] == "\n" and h[1:].isalpha():
+                lines[w] = h
+            else:
+                odd.append(w)
+        before = " " if spaced else ""
+        out = self._singly(odd, [w[0] if isinstance(w, tuple) else w if spaced and w[:1] == "\n" else before + w for w in odd])
+        new = {h for h in heads.values() if h not in known}
+        out |= self._letters(list(new), " ")
+        new = {h for h in lines.values() if h not in known}
+        out |= {"\n" + h: x for h, x in self._letters([h[1:] for h in new], "\n").items()}
+        ends = {w[len(h) :] for some in (heads, lines) for w, h in some.items()}
+        marks = self._singly(list(ends), list(ends))
+        for some in (heads, lines):
+            for w, h in some.items():
+                if w is not h:
+                    out[w] = (out[h] if h in out else known[h]) + marks[w[len(h) :]]
+        return out
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """In order; null and empty texts have no ids."""
-        at, known = 0, self.known
+        at, get = 0, self.known.get
         while at < len(texts):
-            group, size, new, first = [], 0, set(), set()
+            group: list[bytes | tuple[list, list]] = []
+            size, new = 0, set()
             while at < len(texts) and (size < _AT_ONCE or not group):
-                words = self._words(texts[at] or "")
-                if self.spaced:
-                    first.add(words[0])
-                    group.append((words[0], words[1:]))
+                text = texts[at] or ""
+                at, size = at + 1, size + len(text)
+                low = text.lower()
+                if any(s in low for s in self.special):
+                    group.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                    continue
+                words = self._words(text)
+                ids = list(map(get, words))
+                if None in ids:
+                    new.update([w for w, x in zip(words, ids) if x is None])
+                    group.append((words, ids))
                 else:
-                    group.append(("", words))
-                new.update(set(group[-1][1]).difference(known))
-                size += len(texts[at] or "")
-                at += 1
-            if len(self.first) > CACHE_MOST // 4:
-                self.first.clear()
-            some: dict[str, bytes] | None = None
-            if len(known) + len(new) <= CACHE_MOST:
-                self._learn(list(new), known)
-            else:
-                some = {}
-                self._learn(list(new), some)
-            fresh = [w for w in first if w not in self.first]
-            self._call([w for w in fresh if w and not any(c.isspace() for c in w)], self.first, "\n", self.line_id, "") if self.spaced else None
-            self._encode([w for w in fresh if w not in self.first], self.first)
-            for head, words in group:
-                ids = map(known.__getitem__, words) if some is None else [known[w] if w in known else some[w] for w in words]
-                yield b"".join(ids) if not self.spaced else self.first[head] + b"".join(ids)
+                    group.append(b"".join(ids))
+            fresh = self._encoded(list(new))
+            if len(self.known) + len(fresh) <= CACHE_MOST:
+                self.known.update(fresh)
+            for x in group:
+                yield x if isinstance(x, bytes) else b"".join([fresh[w] if i is None else i for w, i in zip(*x)])
 
 
 _encoders: dict[str, WordEncoder] = {}
