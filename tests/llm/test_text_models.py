@@ -28,6 +28,43 @@ def test_odd_pages_end(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+def test_open_blocks_follow_their_nearest_neighbours():
+    """Against looking outwards from each open block."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        kinds = [("x" * 80 + " the of and is", 0.0, False), ("ab", 0.0, False), ("menu", 0.9, False), ("the of", 0.0, True), ("word " * 20, 0.0, False)]
+        found = [(kinds[k][0], kinds[k][1], int(z), kinds[k][2]) for k, z in zip(rng.integers(0, 5, 12), rng.integers(0, 2, 12))]
+        alone = [html_text.labels([*found[:i], found[i], *found[i + 1 :]])[i] for i in range(len(found))]
+        assert alone == html_text.labels(found)
+        one_zone = [(t, x, 0, b) for t, x, _, b in found]
+        got = html_text.labels(one_zone)
+        words = [t.split() for t, *_ in one_zone]
+        first = []
+        for (t, linked, _, bad), w in zip(one_zone, words):
+            density = sum(x in html_text.STOP for x in w) / len(w)
+            first.append(False if bad or linked > 0.34 else None if len(t) < 70 or 0.1 <= density < 0.2 and len(t) < 200 else density >= 0.1 or len(t) >= 200 and density >= 0.05)
+        for i, x in enumerate(first):
+            if x is None:
+                for step in range(1, 13):
+                    sides = [first[j] for j in (i - step, i + step) if 0 <= j < 12 and first[j] is not None and not one_zone[j][3]]
+                    if sides:
+                        break
+                x = any(sides) if sides else True
+            assert got[i] == x
+
+
+@pytest.mark.parametrize("part", ["<p>hi</p>", "<div><b>hi", "<i>x</p>", "</b><b>y", "<li>z<a href=q>w"])
+def test_time_follows_the_length(part):
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        t = time.process_time()
+        html_text.main_text(part * n)
+        took.append(time.process_time() - t)
+    assert took[1] < 20 * max(took[0], 0.05)
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     rows = html_text.extract(df).collect()
@@ -67,6 +104,54 @@ def test_language_of_held_out_documents(spark):
     assert kept.count() == docs.count() + 1
 
 
+def test_unlearnt_languages_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(1)
+    odd = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+        "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства",
+        " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(60)),
+    ]
+    extra = spark.createDataFrame([(10**6 + i, x, None) for i, x in enumerate(odd)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.keep_identified(spark, docs.union(extra).withColumn("clear", F.lit(1))).collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_a_very_long_text_and_word(spark, docs_of):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    long = " ".join(r.text for r in docs.where("lang = 'de'").limit(60).collect()) * 8
+    extra = spark.createDataFrame([(10**6, long, None), (10**6 + 1, "x" * 200_000, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(spark, docs.union(extra)).where(f"doc_id >= {10**6}").collect()}
+    assert got[10**6].lang_pred == "de" and got[10**6 + 1].lang_pred in {"de", "en", "es", "fr"}
+
+
+def test_network_by_plain_steps():
+    """The batched network against one word at a time, a byte at a time."""
+    net = langid.Network(3, hidden=5, seed=3)
+    w, h = {k: v.astype(np.float64) for k, v in net.w.items()}, 5
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def walk(raw, d):
+        s, out = np.zeros(h), []
+        for c in raw if d == "f" else raw[::-1]:
+            x, g = w[f"x{d}"][c], s @ w[f"h{d}"]
+            z, r = sig(x[:h] + g[:h]), sig(x[h : 2 * h] + g[h : 2 * h])
+            s = z * s + (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :])
+            out.append(s)
+        return out if d == "f" else out[::-1]
+
+    words = ["ab", "zürich", "q", "12", "x" * 70]
+    got = langid.measure(net, words)
+    for word, row in zip(words, got):
+        total, n = np.zeros(3), 0
+        for piece in langid.spans(word) if word != "12" else []:
+            raw = b" " + piece + b" "
+            for f, b in zip(walk(raw, "f"), walk(raw, "b")):
+                y = np.r_[f, b] @ w["o"] + w["c"]
+                total, n = total + y - np.log(np.exp(y).sum()), n + 1
+        assert np.allclose(row, [*total, n], atol=1e-3)
+
+
 def test_language_without_anything_to_learn(spark, docs_of):
     d = docs_of(["a b", None]).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(spark, d).collect()} == {"und"}
@@ -108,7 +193,7 @@ def test_leaks_equal_a_search_for_the_items(spark):
     items = [(r.item_id, " " + " ".join(decontaminate.words_of(r.text)) + " ") for r in bench.collect()]
     low = [(r.doc_id, " " + " ".join(decontaminate.words_of(r.text)) + " ") for r in docs.collect()]
     want = {(d, i) for d, t in low for i, s in items if s in t}
-    assert len(want - got) <= 0.03 * len(want) and not got - want
+    assert got == want
     clean = decontaminate.without_leaks(spark, docs, bench)
     assert clean.columns == docs.columns and clean.count() == docs.count() - len({d for d, _ in got})
 
@@ -123,6 +208,34 @@ def test_paraphrase_and_odd_rows(spark, docs_of):
     assert decontaminate.leaks(spark, d, b.where("false")).count() == 0 and decontaminate.leaks(spark, d.where("false"), b).count() == 0
 
 
+def test_edited_copies_are_found_whatever_the_turns(spark, docs_of, monkeypatch):
+    """Every item with a seventh of its words changed, in a text of other words: at least nine in ten are found."""
+    rng = np.random.default_rng(6)
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150).collect()]
+    rows = [(r.item_id, decontaminate.words_of(r.text)) for r in bench.collect()]
+    texts, want = [], set()
+    for n, (i, words) in enumerate(rows):
+        if len(words) >= 12:
+            edited = [f"zq{n}" if x < 1 / 7 else w for w, x in zip(words, rng.random(len(words)))]
+            want.add((len(texts), i))
+            texts.append(f"{docs[n % len(docs)][:400]} {' '.join(edited)} {docs[(n + 7) % len(docs)][:400]}")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark, docs_of(texts), bench).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    monkeypatch.setattr(decontaminate, "ITEMS_MOST", 60)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark, docs_of(texts), bench).collect()} == got
+
+
+def test_a_leak_in_a_very_long_text_and_clashing_columns(spark, docs_of):
+    item = "the quick copper engine turns seven silver wheels beneath an ancient granite bridge while patient herons observe"
+    filler = " ".join(f"w{i % 9000}" for i in range(400_000))
+    d = docs_of([f"{filler} {item} {filler}", filler, None, ""]).withColumn("_row", F.lit("own")).withColumn("row", F.lit("own"))
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(spark, d, b).collect()] == [(0, 1)]
+    kept = decontaminate.without_leaks(spark, d, b)
+    assert kept.columns == d.columns and {r._row for r in kept.select("_row").collect()} == {"own"} and kept.count() == 3
+
+
 def _held(spark, docs_of, texts, items):
     b = spark.createDataFrame(items, "item_id long, text string")
     return {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark, docs_of(texts), b).collect()}

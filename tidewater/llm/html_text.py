@@ -83,6 +83,8 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
     """(text, link density, zone, stands in boilerplate) in page order."""
     found: list[Block] = []
     open_: list[tuple[str, bool, int]] = []  # tag, opens boilerplate, opens a zone
+    places: dict[str, list[int]] = {}  # of each tag, where it stands in open_
+    opened: list[int] = []  # where block tags stand
     bad = zones = links = at = 0
     zone = 0
     now = Block(0, False)
@@ -101,12 +103,15 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
 
     def close(k: int) -> None:
         nonlocal bad, zone, links
-        for tag, was_bad, was_zone in reversed(open_[k:]):
+        while len(open_) > k:
+            tag, was_bad, was_zone = open_.pop()
+            places[tag].pop()
+            if tag in BLOCKS:
+                opened.pop()
             bad -= was_bad
             links -= tag == "a"
             if was_zone:
                 zone = 0
-        del open_[k:]
 
     for m in _TOKEN.finditer(page):
         say(page[at : m.start()])
@@ -115,12 +120,12 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
         if not tag:
             continue
         if m["end"]:
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
+            k = places[tag][-1] if places.get(tag) else None
             if tag in BLOCKS:
                 if k is not None:
                     close(k)
                 cut()
-            elif k is not None and not any(t in BLOCKS for t, *_ in open_[k:]):
+            elif k is not None and not (opened and opened[-1] > k):
                 close(k)
             continue
         if tag == "br":
@@ -144,6 +149,9 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
         is_bad = _boilerplate(tag, m["attrs"], zone > 0)
         bad += is_bad
         links += tag == "a"
+        places.setdefault(tag, []).append(len(open_))
+        if tag in BLOCKS:
+            opened.append(len(open_))
         open_.append((tag, is_bad, zone if new_zone else 0))
         if tag in BLOCKS:
             cut()
@@ -179,18 +187,23 @@ def labels(found: list[tuple[str, float, int, bool]]) -> list[bool]:
             first.append(True if len(text) >= LONG or density >= 2 * STOPPED else None)
         else:
             first.append(len(text) >= LONG and density >= STOPPED / 2)
+    # nearest decided block of the zone on either side, in two sweeps
+    n, near = len(found), []
+    for order in (range(n), range(n - 1, -1, -1)):
+        last: dict[int, int] = {}
+        side = [-1] * n
+        for i in order:
+            zone, bad = found[i][2:]
+            side[i] = last.get(zone, -1)
+            if first[i] is not None and not bad:
+                last[zone] = i
+        near.append(side)
     out = []
-    for i, (_, _, zone, _) in enumerate(found):
-        if first[i] is not None:
-            out.append(bool(first[i]))
-            continue
-        near = None
-        for step in range(1, len(found)):
-            sides = [first[j] for j in (i - step, i + step) if 0 <= j < len(found) and found[j][2] == zone and first[j] is not None and not found[j][3]]
-            if sides:
-                near = any(sides)
-                break
-        out.append(True if near is None else near)
+    for i, (decided, a, b) in enumerate(zip(first, *near)):
+        if decided is None:
+            far = [abs(i - j) if j >= 0 else n for j in (a, b)]
+            decided = any(first[j] for j, d in zip((a, b), far) if j >= 0 and d == min(far)) if min(far) < n else True
+        out.append(bool(decided))
     return out
 
 

@@ -1,10 +1,14 @@
 """Language of whole texts by a bidirectional gated recurrent network on bytes.
 
 The network reads each word's bytes between two spaces, in both directions,
-from a fresh state (white space resets it), and labels every byte position. A
-text's label pools the log-probabilities of all its positions. It is trained in
-numpy by backpropagation through time on a bounded sample: ``TRAIN_DOCS``
-documents a language and ``TRAIN_WORDS`` words spread over each.
+from a fresh state, and labels every byte position. A text's label pools the
+log-probabilities of all positions of its words with a letter. It is trained in
+numpy by backpropagation through time on whole texts of a bounded sample,
+``TRAIN_DOCS`` documents a language.
+
+White space resets the state so that a word is read once for all texts that
+hold it: one state over whole texts reads some 1.2 MB a second and core in
+numpy, about 1,500 CPU seconds for what Parquet stores in a GB.
 """
 
 from __future__ import annotations
@@ -21,12 +25,15 @@ from pyspark.sql import functions as F
 from .common import drawn, prepare
 from .words import WordTable, kept
 
-TRAIN_DOCS, TRAIN_WORDS = 250, 60
+TRAIN_DOCS = 250
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 500, 384, 0.01, 5
 #: Bytes read from one state; longer words are read in pieces of so many.
 SPAN = 30
 #: Positions after which more text no longer raises the certainty.
 EVIDENCE = 48
+#: A text is rejected if, of so many positions or more, less than this part
+#: lies in words that the network reads as the text's language.
+LEAST_POSITIONS, LEAST_READ = 150, 1 / 3
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -109,23 +116,27 @@ class Network:
                 carry = np.where(m, dh * z, dh) + dg @ u.T
         return loss, grads
 
-    def train(self, words: list[bytes], label: np.ndarray, steps: int = STEPS, seed: int = SEED) -> list[float]:
-        """Adam on batches drawn evenly from the languages."""
+    def train(self, words: list[bytes], label: np.ndarray, count: np.ndarray, steps: int = STEPS, seed: int = SEED) -> list[float]:
+        """Adam on batches drawn evenly from the languages, and from a
+        language's words as often as they occur. Bytes never seen stay mute."""
         rng = np.random.Generator(np.random.PCG64(seed + 1))
-        ids, mask = as_columns(words)
         of = [np.flatnonzero(label == k) for k in range(len(self.w["c"]))]
+        often = [np.cumsum(count[x]) / max(1, count[x].sum()) for x in of]
         m1, m2 = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         losses = []
         for step in range(1, steps + 1):
-            at = np.concatenate([rng.choice(x, max(1, BATCH // len(of))) for x in of if len(x)])
-            most = int(mask[:, at].sum(axis=0).max())
-            loss, grads = self.gradients(ids[:most, at], mask[:most, at], label[at])
+            at = np.concatenate([x[np.searchsorted(c, rng.random(max(1, BATCH // len(of))))] for x, c in zip(of, often) if len(x)])
+            loss, grads = self.gradients(*as_columns([words[i] for i in at]), label[at])
             losses.append(loss)
             rate = RATE * (1 - 0.9 * step / steps)
             for k, g in grads.items():
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.99 * m2[k] + 0.01 * g * g
                 self.w[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-7)
+        seen = np.zeros(256, bool)
+        seen[[32, *set(b"".join(words))]] = True
+        for d in "fb":
+            self.w[f"x{d}"][~seen] = 0
         return losses
 
 
@@ -137,14 +148,19 @@ def as_columns(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat.T, np.arange(width)[:, None] < (size + 2)[None]
 
 
+def spans(word: str) -> list[bytes]:
+    raw = word.encode()
+    return [raw[at : at + SPAN] for at in range(0, len(raw), SPAN)]
+
+
 def measure(net: Network, words: list[str]) -> np.ndarray:
-    """For each word: the sum of its positions' log-probabilities, and their number."""
+    """For each word: the sum of its positions' log-probabilities, and their
+    number; nothing for a word without a letter."""
     pieces, owner = [], []
     for i, w in enumerate(words):
-        raw = w.encode()
-        for at in range(0, len(raw), SPAN):
-            pieces.append(raw[at : at + SPAN])
-            owner.append(i)
+        own = spans(w) if _LETTER.search(w) else []
+        pieces += own
+        owner += [i] * len(own)
     order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
     out = np.zeros((len(words), len(net.w["c"]) + 1), np.float32)
     for at in range(0, len(order), 2048):  # of like length
@@ -163,16 +179,26 @@ def pooled(rows: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def _sampled(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                words = [w for w in text.split() if _LETTER.search(w)]
-                out.append([words[i * len(words) // n] for i in range(n)] if len(words) > n else words)
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.list_(pa.string()))], ["lang", "words"])
+def read_share(rows: np.ndarray) -> tuple[float, float]:
+    """Part of a text's positions that lie in words whose label for the text's
+    language is likelier than not, and the number of positions."""
+    n, total = rows[:, -1], rows.sum(axis=0, dtype=np.float64)
+    if not total[-1]:
+        return 0.0, 0.0
+    good = rows[:, int(total[:-1].argmax())] >= np.log(0.5) * n
+    return float(n[good].sum() / total[-1]), float(total[-1])
 
-    return run
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with a letter of whole texts, by language, in pieces of SPAN bytes."""
+    seen: dict[tuple[str, bytes], int] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for w in text.split():
+                if _LETTER.search(w):
+                    for x in spans(w):
+                        seen[lang, x] = seen.get((lang, x), 0) + 1
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
 
 def fit(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], Network | None]:
@@ -182,33 +208,38 @@ def fit(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], Network |
     named = labelled.select("lang", "doc_id", "text", F.xxhash64("text").alias("th"))
     ids = drawn(named.select("lang", "doc_id", "th"), "lang", ["doc_id", "th"], TRAIN_DOCS).dropDuplicates(["lang", "doc_id", "th"])
     some = named.join(F.broadcast(ids.drop("n")), ["lang", "doc_id", "th"]).dropDuplicates(["lang", "doc_id", "th"])  # whole rows may repeat
-    rows = some.select("lang", "text").mapInArrow(_sampled(TRAIN_WORDS), "lang string, words array<string>").collect()
-    languages = sorted({r.lang for r in rows if r.words})
-    if not languages:
+    words = some.select("lang", "text").mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    rows = sorted(zip(*(words.column(c).to_pylist() for c in ("lang", "word", "n"))))  # the distinct words of the sample
+    if not rows:
         return [], None
-    pairs = sorted((languages.index(r.lang), w) for r in rows for w in r.words)
+    languages = sorted({r[0] for r in rows})
+    place = {x: i for i, x in enumerate(languages)}
     net = Network(len(languages))
-    net.train([w.encode()[:SPAN] for _, w in pairs], np.array([k for k, _ in pairs]))
+    net.train([r[1] for r in rows], np.array([place[r[0]] for r in rows]), np.array([r[2] for r in rows]))
     return languages, net
 
 
-def _predict(languages: list[str], net: Network | None, key: str):
+def _predict(languages: list[str], net: Network | None, key: str, with_clear: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = kept(key, lambda: WordTable(lambda words: measure(net, words)))
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            lang, score = [], []
+            lang, score, clear = [], [], []
             found = table.of(texts, str.split) if net else iter([None] * len(texts))
             for text, rows in zip(texts, found):
                 if rows is None or not len(rows) or not _LETTER.search(text):
                     lang.append(UNKNOWN)
                     score.append(0.0)
+                    clear.append(False)
                     continue
-                p = pooled(rows)
+                p, (share, n) = pooled(rows), read_share(rows)
                 lang.append(languages[int(p.argmax())])
                 score.append(float(p.max()))
+                clear.append(n < LEAST_POSITIONS or share >= LEAST_READ)
             out = {n: batch.column(n) for n in batch.schema.names if n != "text"}
             out |= {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
+            if with_clear:
+                out["clear"] = pa.array(clear, pa.bool_())
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
@@ -232,18 +263,20 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _keep(languages: list[str], net: Network | None, key: str):
-    predict = _predict(languages, net, key)
+    predict = _predict(languages, net, key, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang = next(predict(iter([batch.select(["text"])]))).column("lang_pred")
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang.to_pylist()]))
+            yield batch.filter(next(predict(iter([batch.select(["text"])]))).column("clear"))
 
     return run
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, unchanged."""
+    """The rows of ``docs`` whose language can be told, unchanged: null texts
+    and texts without a letter go, and longer texts that the network reads as
+    no learnt language (``LEAST_POSITIONS``, ``LEAST_READ``). Repeated rows go
+    or stay together; if nothing can be learnt, texts with a letter stay."""
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), held_out(F.col("doc_id"), 4, 2).alias("held_out"))
     languages, net = fit(spark, cols.where("not held_out and text is not null and lang is not null"))
     if net is None:

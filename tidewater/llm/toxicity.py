@@ -195,8 +195,8 @@ def fit(spark: SparkSession, labelled: DataFrame) -> tuple[Model, np.ndarray] |
         return None
     model = Model(words[1], words[0])
     curve = some.where(F.col("n") % CURVE_PART == 0).select("text", "toxic").mapInArrow(_features(model, uuid.uuid4().hex), "toxic int, x array<double>").collect()
-    if not curve:
-        return model, np.array([1.0, 0.5, 0.5, -4.0])
+    if not curve:  # too few rows for a curve: the ratios of the text and of its worst words alone
+        return model, np.array([0.5, 0.5, *[0.0] * (FEATURES - 2), -1.0])
     x, y = np.array([r.x for r in curve]), np.array([r.toxic for r in curve], float)
     return model, logistic(x, y)
 
