@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -10,17 +11,18 @@ from tidewater.llm import suffix_dedup as S
 
 
 def covered(texts, length):
-    """Removed spans of each text by counting every window."""
+    """Removed spans of each text by counting every window (by its checksum)."""
     raw = [(t or "").encode() for t in texts]
-    seen = {}
+    seen, digest = {}, xxhash.xxh3_128_digest
     for b in raw:
         for i in range(len(b) - length + 1):
-            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
+            w = digest(b[i : i + length])
+            seen[w] = seen.get(w, 0) + 1
     out = []
     for b in raw:
         c = np.zeros(len(b) + 1, int)
         for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
+            if seen[digest(b[i : i + length])] > 1:
                 c[i] += 1
                 c[i + length] -= 1
         out.append(np.cumsum(c)[:-1] > 0)
@@ -35,7 +37,7 @@ def check(spark, docs_of, texts, length):
         kept = bytes(np.frombuffer(b, np.uint8)[~c])
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(b), int(c.sum()), int((np.diff(np.r_[0, c.astype(int)]) == 1).sum()))
-        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest() and r.text == kept.decode(errors="replace")
 
 
 def sample(rng):
@@ -57,6 +59,19 @@ def test_matches_counting_all_windows(spark, docs_of):
     check(spark, docs_of, sample(random.Random(3)), 100)
 
 
+def test_four_hundred_bytes_on_documents_with_planted_passages(spark, docs_of, sf):
+    """The query's length, on given texts: passages of over fifty words in several texts, copies, and short repeats that stay."""
+    rng = random.Random(9)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    passage = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    long, short = [passage(75) for _ in range(5)], passage(50)[:399]
+    for k, x in enumerate(long):
+        for i in rng.sample(range(len(texts)), 4):
+            texts[i] = f"{texts[i][: 100 * k]} {x} {texts[i][100 * k :]}"
+    texts += [f"{passage(20)} {short} {passage(20)}" for _ in range(3)] + [texts[3], texts[3] + " more"]
+    check(spark, docs_of, texts, 400)
+
+
 def test_a_crowded_anchor_goes_window_by_window(spark, docs_of, monkeypatch):
     monkeypatch.setattr(S, "ANCHOR_MOST", 3)
     check(spark, docs_of, sample(random.Random(4)), 100)

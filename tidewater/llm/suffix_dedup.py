@@ -3,7 +3,9 @@
 A string of ``length`` bytes holds ``length - K + 1`` K-grams; the least of
 their hashes (the leftmost on ties) is its anchor. Strings that are equal have
 equal anchors at equal places, so runs of neighbouring strings with one anchor
-("stretches") can be dealt out by the anchor's hash and compared there.
+("stretches") can be dealt out by the anchor's hash and compared there. Anchors
+are counted first: a stretch whose anchor stands nowhere else repeats nothing
+and never moves.
 
 Only stretches that share an anchor and differ travel as bytes. A task lines
 them up at the anchor, writes them column by column to a sequential file, and
@@ -87,6 +89,16 @@ def stretches(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return first, np.diff(np.r_[first, n]), anchor, key
 
 
+def _anchors(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            keys = [stretches(np.frombuffer(x.as_py() or b"", np.uint8), length)[3] for x in batch.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))], ["anchor"])
+
+    return run
+
+
 _STRETCH = "doc_id long, text_hash long, anchor long, c1 long, c2 long, start int, starts int, lead int"
 
 
@@ -227,7 +239,9 @@ _KEY = ["anchor", "c1", "c2"]
 def repeats(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """doc_id, text_hash, runs: array of (start, runs): starts of ``length``-byte
     strings that occur more than once. One row a distinct (doc_id, text)."""
-    all_ = scratch.keep(docs.mapInArrow(_cut(length), _STRETCH), "stretches")
+    shared = docs.select("text").mapInArrow(_anchors(length), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
+    shared = scratch.keep(shared, "shared")
+    all_ = scratch.keep(docs.mapInArrow(_cut(length), _STRETCH).join(shared, "anchor"), "stretches")
     each = all_.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "starts", "lead")).alias("one"))
     each = scratch.keep(each, "distinct")
     mixed = scratch.keep(each.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
@@ -283,15 +297,20 @@ def kept_bytes(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
 def _digest(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, number, sha = [], [], [], []
+            n, gone, number, sha, kept = [], [], [], [], []
             for text, marks in zip(batch.column("text").cast(pa.large_binary()), batch.column("repeats")):
                 raw = text.as_py() or b""
                 cut = spans(marks.as_py(), length)
                 n.append(len(raw))
                 gone.append(sum(b - a for a, b in cut))
                 number.append(len(cut))
-                sha.append(hashlib.sha256(kept_bytes(raw, cut)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(number, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rest = kept_bytes(raw, cut)
+                sha.append(hashlib.sha256(rest).hexdigest())
+                kept.append(rest.decode(errors="replace"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(number, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
+            )
 
     return run
 
@@ -321,32 +340,36 @@ def _marked(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeat_digest(spark: SparkSession, docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text of each
+    row (a character cut in two shows as a replacement sign there; the checksum
+    is of the bytes).
 
     Repeated rows are documents of their own: each repeats the other. Null
     texts are empty; texts under ``length`` bytes stay whole.
     """
     rows = _marked(spark, docs, length).select(F.col("d.doc_id").cast("long").alias("doc_id"), F.col("d.text").cast("string").alias("text"), F.col("m.repeats").alias("repeats"))
-    return rows.mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def _without(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, marks in zip(batch.column("text").cast(pa.large_binary()), batch.column("_repeats")):
+            out, last = [], batch.num_columns - 1  # the repeats come last, whatever the other columns are called
+            at = batch.schema.get_field_index("text")
+            for text, marks in zip(batch.column(at).cast(pa.large_binary()), batch.column(last)):
                 raw = text.as_py()
                 cut = raw and spans(marks.as_py(), length)
                 out.append(kept_bytes(raw, clean_edges(raw, cut)).decode() if cut else None if raw is None else raw.decode())
-            at = batch.schema.get_field_index("text")
             table = batch.set_column(at, "text", pa.array(out, pa.string()))
-            yield table.select([c for c in table.schema.names if c != "_repeats"])
+            yield pa.RecordBatch.from_arrays(table.columns[:last], table.schema.names[:last])
 
     return run
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text`` (spans are drawn in to
-    whole characters). Every row and column stays."""
-    rows = _marked(spark, docs, length).select(*(F.col(f"d.{c}").cast("string").alias(c) if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns), F.col("m.repeats").alias("_repeats"))
+    whole characters). Every row and column stays, whatever it is called; null
+    and short texts are unchanged, and an empty table stays empty. Repeated
+    rows repeat each other and lose their texts."""
+    rows = _marked(spark, docs, length).select(*(F.col(f"d.{c}").cast("string").alias(c) if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns), F.col("m.repeats").alias("\u0001repeats"))
     return rows.mapInArrow(_without(length), docs.withColumn("text", F.col("text").cast("string")).schema)
