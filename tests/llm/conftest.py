@@ -13,7 +13,7 @@ def docs_of(spark):
         df = spark.createDataFrame(rows, DOC_SCHEMA)
         from pyspark.sql import functions as F
 
-        for clash in ("text_hash", "key", "bucket", "size", "count", "start", "root", "score", "f0"):
+        for clash in ("text_hash", "key", "bucket", "size", "count", "start", "root", "score", "f0", "node", "id", "_id", "_repeats", "_row", "row", "anchor", "place", "fingerprint", "d", "clear"):
             df = df.withColumn(clash, F.lit("x"))
         return df.repartition(parts)
 

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, prepare
@@ -215,9 +215,10 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, words: int = 3, radius:
 
 
 #: Of the corpus stage: 64-bit words of a parity map; members of a bucket whose
-#: pairs are all compared at once; texts that tell which shingles are common, and
-#: how many of these are told to the tasks (both steer the work, not the result).
-MAP_WORDS, BUCKET_FEW, SAMPLE_TEXTS, COMMON_MOST = 5, 32, 10_000, 100_000
+#: pairs are all compared at once; centres of a larger bucket in each round of
+#: stars, and rounds; texts that tell which shingles are common, and how many of
+#: these are told to the tasks (all of these steer the work, not the result).
+MAP_WORDS, BUCKET_FEW, CENTRES, ROUNDS, SAMPLE_TEXTS, COMMON_MOST = 5, 32, 8, 6, 10_000, 100_000
 _ROUND = 1e-9
 
 
@@ -312,76 +313,25 @@ def _buckets(names: list[str], solve):
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, large: bool) -> pa.RecordBatch:
-    if not large:
-        a, b = np.minimum(a, b), np.maximum(a, b)
-    out = pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-    return pa.RecordBatch.from_arrays([pa.array(out.a.to_numpy()), pa.array(out.b.to_numpy()), pa.array(np.full(len(out), large))], ["a", "b", "large"])
-
-
 def _meeting(least: float):
-    """Of each key's nodes (by size): all pairs of like size, or, of large
-    buckets, stars for a beginning and the members (key, node; ``large``)."""
+    """Of each key's nodes (by size), all pairs of like size."""
 
     def solve(key: np.ndarray, size: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        count = np.diff(np.r_[edge, len(key)])
-        of = np.repeat(count, count)
-        few = np.flatnonzero((of > 1) & (of <= BUCKET_FEW))
-        a, b = [], []
-        k, n, v = key[few], size[few], node[few]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d in range(1, BUCKET_FEW):
-            met = np.flatnonzero(k[:-d] == k[d:])
+            met = np.flatnonzero(key[:-d] == key[d:])
             if not len(met):
                 break
-            met = met[n[met] >= least * n[met + d] - _ROUND]
-            a.append(v[met])
-            b.append(v[met + d])
-        for s, c in zip(edge[count > BUCKET_FEW].tolist(), count[count > BUCKET_FEW].tolist()):
-            at = s
-            while at < s + c:
-                end = s + int(np.searchsorted(size[s : s + c] * least - _ROUND, size[at], side="right"))
-                a.append(np.full(end - at - 1, node[at]))
-                b.append(node[at + 1 : end])
-                at = max(end, at + 1)
-        if a:
-            yield _pairs(np.concatenate(a), np.concatenate(b), False)
-        if len(many := np.flatnonzero(of > BUCKET_FEW)):
-            yield _pairs(key[many], node[many], True)
+            met = met[size[met] >= least * size[met + d] - _ROUND]
+            a.append(node[met])
+            b.append(node[met + d])
+        a, b = np.concatenate(a), np.concatenate(b)
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        yield pa.RecordBatch.from_arrays([pa.array(out.a.to_numpy()), pa.array(out.b.to_numpy())], ["a", "b"])
 
     return _buckets(["key", "size", "node"], solve)
 
 
-def _most(n: np.ndarray, least: float) -> np.ndarray:
-    """Members in which two sets of ``n`` in all may differ."""
-    return n - 2 * np.ceil(least / (1 + least) * n - _ROUND)
-
-
-def _across(least: float):
-    """Of each key's nodes, the pairs of unlike roots that sizes and maps allow."""
-
-    def solve(key: np.ndarray, root: np.ndarray, node: np.ndarray, size: np.ndarray, *maps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            _, part, count = np.unique(root[s:e], return_inverse=True, return_counts=True)
-            order = np.lexsort((part, count[part]))  # the largest component is last and is not compared with itself
-            part, v, n = part[order], node[s:e][order], size[s:e][order].astype(np.int64)
-            m = np.stack([x[s:e][order] for x in maps], axis=1).view(np.uint64)
-            for at in range(0, e - s, 128):
-                if part[at] == part[-1]:
-                    break
-                for to in range(at, e - s, 8192):
-                    i, j = slice(at, at + 128), slice(to, to + 8192)
-                    total = n[i, None] + n[None, j]
-                    ok = (part[i, None] != part[None, j]) & (np.minimum(n[i, None], n[None, j]) >= least * np.maximum(n[i, None], n[None, j]) - _ROUND)
-                    x, y = np.nonzero(ok)
-                    near = _near(m[at + x], m[to + y]) <= _most(total[x, y], least)
-                    if near.any():
-                        yield _pairs(v[at + x[near]], v[to + y[near]], False)
-
-    return _buckets(["key", "root", "node", "size", *(f"f{j}" for j in range(MAP_WORDS))], solve)
-
-
 def _similar(words: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, set())
@@ -418,9 +368,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     No pair is left to chance: two sets so similar share one of their first
     shingles (prefix filter), and pairs that share one are sorted out by bounds
     that hold for all (sizes, parity maps), then verified on their whole texts.
-    Where many texts share a shingle, stars of verified pairs come first; then
-    all pairs follow that these have not joined. Wordless and null texts are
-    all alike. Rows stay unchanged, with all their columns.
+    Where many texts share a shingle, rounds of stars around a few of them come
+    first; what these have joined is not compared again, and at last every
+    text outside the largest component of its shingle meets all others there.
+    Wordless and null texts are all alike. Rows stay unchanged, with all their
+    columns, whatever they are called; of whole rows that repeat one stays; an
+    empty table stays empty.
     """
     scratch = Scratch(prepare(spark))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -431,41 +384,76 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     each = read.mapInArrow(_sets(words, similarity, common, seen), "doc_id long, node long, size int, keys array<long>, " + ", ".join(f"{c} long" for c in maps))
     each = scratch.keep(each, "sets")
     nodes = scratch.keep(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "keys", *maps))), "nodes")
-    slim = nodes.select("node", "doc_id", "size", *maps)
-    met = nodes.select(F.explode("keys").alias("key"), "size", "node").repartition("key").sortWithinPartitions("key", "size", "node")
-    met = scratch.keep(met.mapInArrow(_meeting(similarity), "a long, b long, large boolean"), "met")
-    marked = docs.withColumn("_node", node)
+    slim = nodes.select("node", "size", *maps)
+    keys = nodes.select(F.explode("keys").alias("key"), "size", "node")
+    met = scratch.keep(keys.groupBy("key").count().where("count > 1"), "met")
+    rows = keys.join(met, "key")
+    few = rows.where(F.col("count") <= BUCKET_FEW).select("key", "size", "node").repartition("key").sortWithinPartitions("key", "size", "node")
+    few = few.mapInArrow(_meeting(similarity), "a long, b long").distinct()
+    a, b = (slim.select(*(F.col(c).alias(f"{end}{c}" if c != "node" else end) for c in slim.columns)) for end in "ab")
+
+    def near(x: str, y: str) -> F.Column:
+        """Whether the sizes and maps of two nodes allow the similarity."""
+        n, m = F.col(f"{x}size"), F.col(f"{y}size")
+        differ = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in maps), F.lit(0))
+        most = n + m - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(_ROUND))
+        return (F.least(n, m) >= similarity * F.greatest(n, m) - F.lit(_ROUND)) & (differ <= most)
+
+    few = scratch.keep(few.join(a, "a").join(b, "b").where(near("a", "b")).select("a", "b"), "few")
+    large = scratch.keep(rows.where(F.col("count") > BUCKET_FEW).select("key", "node").join(slim, "node"), "large")
+    ends = few.select(F.col("a").alias("node")).union(few.select("b")).union(large.select("node")).distinct()
+    ends = scratch.keep(ends.join(nodes.select("node", "doc_id"), "node").select("node", F.col("doc_id").alias("id")), "ends")
+    # columns of docs may have any name: they are read as d's
+    own_text = F.coalesce(F.col("d.text").cast("string"), F.lit(""))
+    own, own_id = F.xxhash64(own_text), F.col("d.doc_id").cast("long")
+    texts = docs.alias("d").join(ends.alias("e"), (own == F.col("e.node")) & own_id.eqNullSafe(F.col("e.id"))).select(F.col("e.node").alias("node"), own_text.alias("text")).dropDuplicates(["node"])
+    texts = scratch.keep(texts, "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (slim.select(F.col("node").alias(end), F.col("size").alias(f"{end}n"), *(F.col(c).alias(f"{end}{c}") for c in maps)) for end in "ab")
-        differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in maps), F.lit(0))
-        total = F.col("an") + F.col("bn")
-        most = total - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * total - F.lit(_ROUND))
-        pairs = scratch.keep(pairs.distinct().join(a, "a").join(b, "b").where(differ <= most).select("a", "b"), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ends = scratch.keep(ends.join(slim, "node").select("node", F.col("doc_id").alias("_id")), "ends")
-        texts = marked.join(ends, (F.col("_node") == F.col("node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).select("node", text.alias("text")).dropDuplicates(["node"])
-        texts = scratch.keep(texts, "texts")
         with_x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         with_y = with_x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        return scratch.keep(with_y.mapInArrow(_similar(words, similarity), "a long, b long").distinct(), "links")
-
-    parts = scratch.keep(components(spark, verified(met.where("not large").select("a", "b")), scratch), "parts")
-    members = met.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    members = members.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    members = scratch.keep(members, "members")
-    mixed = scratch.keep(members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "mixed")
-    if mixed.limit(1).count():
-        rows = members.join(mixed, "key").join(slim.drop("doc_id"), "node").select("key", "root", "node", "size", *maps)
-        rows = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_across(similarity), "a long, b long, large boolean")
-        more = verified(rows.select("a", "b"))
-        parts = scratch.keep(components(spark, more.union(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch), "parts")
+        return scratch.keep(with_y.mapInArrow(_similar(words, similarity), "a long, b long"), "links")
+
+    def crossing(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of unlike roots that share a key, of ``left`` and ``right``."""
+        other = right.select("key", *(F.col(c).alias(f"b{c}") for c in right.columns if c != "key"))
+        mine = left.select("key", *(F.col(c).alias(f"a{c}") for c in left.columns if c != "key"))
+        pairs = mine.join(other, "key").where((F.col("aroot") != F.col("broot")) & near("a", "b"))
+        return scratch.keep(pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct(), "pairs")
+
+    links = verified(few)
+    parts = scratch.keep(components(spark, links, scratch), "parts")
+    useful = True
+    for turn in range(ROUNDS + 1):
+        joined = large.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        counts = scratch.keep(joined.groupBy("key", "root").count(), "roots")
+        mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.count("*").alias("kinds"), F.sum("count").alias("n"), F.max("count").alias("most")).where("kinds > 1")
+        mixed = scratch.keep(mixed, "mixed")
+        # texts outside the largest components, times the texts they would meet, against the work of a round
+        rest, todo, members = mixed.agg(F.sum(F.col("n") - F.col("most")), F.sum((F.col("n") - F.col("most")) * F.col("n")), F.sum("n")).first()
+        if not rest:
+            break
+        left = scratch.keep(joined.join(mixed.select("key", "big"), "key"), "crowd")
+        last = turn == ROUNDS or not useful or todo <= CENTRES * members
+        if last:
+            links = verified(crossing(left.where("root <> big").drop("big"), left.drop("big")))
+        else:
+            first = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+            centres = left.withColumn("place", F.row_number().over(first)).where(F.col("place") <= CENTRES).drop("place", "big")
+            links = verified(crossing(left.drop("big"), centres))
+            useful = 64 * links.count() >= members
+        parts = scratch.keep(components(spark, links.union(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch), "parts")
+        if last:
+            break
     grouped = nodes.select("node", "doc_id", "n").join(parts, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
     # null ids come last: a document with an id stays before one without
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("one")
-    stay = scratch.keep(grouped.groupBy("root").agg(first, F.sum("n").alias("n")).select(F.col("one.node").alias("_stay"), F.col("one.doc_id").alias("_id")), "stay")
-    out = marked.join(stay, (F.col("_node") == F.col("_stay")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    again = each.groupBy("node", "doc_id").count().where("count > 1").join(stay, (F.col("node") == F.col("_stay")) & each.doc_id.eqNullSafe(F.col("_id")))
-    if again.limit(1).count():  # whole rows repeat
-        out = out.dropDuplicates(["_node", "doc_id"])
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    stay = scratch.keep(grouped.groupBy("root").agg(first, F.sum("n").alias("n")).select(F.col("one.node").alias("node"), F.col("one.doc_id").alias("id")), "stay")
+    out = docs.alias("d").join(stay.alias("s"), (own == F.col("s.node")) & own_id.eqNullSafe(F.col("s.id")))
+    same = each.groupBy("node", "doc_id").count().where("count > 1").alias("e")
+    again = same.join(stay.alias("s"), (F.col("e.node") == F.col("s.node")) & F.col("e.doc_id").eqNullSafe(F.col("s.id")))
+    if again.limit(1).count():  # whole rows repeat: one of each goes on
+        columns = [F.col(f"d.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+        out = out.select(*columns, own.alias("node"), own_id.alias("id")).dropDuplicates(["node", "id"])
+        return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return out.select(*(F.col(f"d.`{c}`").alias(c) for c in docs.columns))
