@@ -32,8 +32,9 @@ SPAN = 30
 #: Positions after which more text no longer raises the certainty.
 EVIDENCE = 48
 #: A text is rejected if, of so many positions or more, less than this part
-#: lies in words that the network reads as the text's language.
-LEAST_POSITIONS, LEAST_READ = 150, 1 / 3
+#: lies in words that the network reads as the text's language; a network that
+#: reads some held-out labelled text worse asks for no more than SLACK of that.
+LEAST_POSITIONS, LEAST_READ, SLACK = 150, 1 / 3, 0.75
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -201,14 +202,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
 
-def fit(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], Network | None]:
-    """Train on rows (doc_id, text, lang), none of them null."""
-    prepare(spark)
+def _sample(labelled: DataFrame) -> DataFrame:
+    """lang and text of at most TRAIN_DOCS rows a language."""
     # ids are drawn first, so that only the sample's texts move: at most TRAIN_DOCS ids a language are broadcast
     named = labelled.select("lang", "doc_id", "text", F.xxhash64("text").alias("th"))
     ids = drawn(named.select("lang", "doc_id", "th"), "lang", ["doc_id", "th"], TRAIN_DOCS).dropDuplicates(["lang", "doc_id", "th"])
     some = named.join(F.broadcast(ids.drop("n")), ["lang", "doc_id", "th"]).dropDuplicates(["lang", "doc_id", "th"])  # whole rows may repeat
-    words = some.select("lang", "text").mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    return some.select("lang", "text")
+
+
+def fit(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], Network | None]:
+    """Train on rows (doc_id, text, lang), none of them null."""
+    prepare(spark)
+    words = _sample(labelled).mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     rows = sorted(zip(*(words.column(c).to_pylist() for c in ("lang", "word", "n"))))  # the distinct words of the sample
     if not rows:
         return [], None
@@ -219,7 +225,7 @@ def fit(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], Network |
     return languages, net
 
 
-def _predict(languages: list[str], net: Network | None, key: str, with_clear: bool = False):
+def _predict(languages: list[str], net: Network | None, key: str, least: float | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = kept(key, lambda: WordTable(lambda words: measure(net, words)))
         for batch in batches:
@@ -235,10 +241,10 @@ def _predict(languages: list[str], net: Network | None, key: str, with_clear: bo
                 p, (share, n) = pooled(rows), read_share(rows)
                 lang.append(languages[int(p.argmax())])
                 score.append(float(p.max()))
-                clear.append(n < LEAST_POSITIONS or share >= LEAST_READ)
+                clear.append(n < LEAST_POSITIONS or share >= (least or 0.0))
             out = {n: batch.column(n) for n in batch.schema.names if n != "text"}
             out |= {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
-            if with_clear:
+            if least is not None:
                 out["clear"] = pa.array(clear, pa.bool_())
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
@@ -262,8 +268,18 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return cols.select("doc_id", "held_out", "text").mapInArrow(_predict(languages, net, uuid.uuid4().hex), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def _keep(languages: list[str], net: Network | None, key: str):
-    predict = _predict(languages, net, key, True)
+def _shares(net: Network, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = kept(key, lambda: WordTable(lambda words: measure(net, words)))
+        for batch in batches:
+            got = np.array([read_share(rows) for rows in table.of(batch.column("text").to_pylist(), str.split)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["share", "n"])
+
+    return run
+
+
+def _keep(languages: list[str], net: Network | None, key: str, least: float):
+    predict = _predict(languages, net, key, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,10 +291,14 @@ def _keep(languages: list[str], net: Network | None, key: str):
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language can be told, unchanged: null texts
     and texts without a letter go, and longer texts that the network reads as
-    no learnt language (``LEAST_POSITIONS``, ``LEAST_READ``). Repeated rows go
+    no learnt language (``LEAST_POSITIONS``, ``LEAST_READ``, ``SLACK``). Repeated rows go
     or stay together; if nothing can be learnt, texts with a letter stay."""
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), held_out(F.col("doc_id"), 4, 2).alias("held_out"))
     languages, net = fit(spark, cols.where("not held_out and text is not null and lang is not null"))
     if net is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_keep(languages, net, uuid.uuid4().hex), docs.withColumn("text", F.col("text").cast("string")).schema)
+    key = uuid.uuid4().hex
+    read = _sample(cols.where("held_out and text is not null and lang is not null")).mapInArrow(_shares(net, key), "share double, n double")
+    worst = read.where(F.col("n") >= LEAST_POSITIONS).agg(F.min("share")).first()[0]
+    least = LEAST_READ if worst is None else min(LEAST_READ, SLACK * worst)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_keep(languages, net, key, least), docs.withColumn("text", F.col("text").cast("string")).schema)

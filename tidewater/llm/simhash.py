@@ -218,7 +218,7 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, words: int = 3, radius:
 #: pairs are all compared at once; centres of a larger bucket in each round of
 #: stars, and rounds; texts that tell which shingles are common, and how many of
 #: these are told to the tasks (all of these steer the work, not the result).
-MAP_WORDS, BUCKET_FEW, CENTRES, ROUNDS, SAMPLE_TEXTS, COMMON_MOST = 5, 32, 8, 6, 10_000, 100_000
+MAP_WORDS, BUCKET_FEW, CENTRES, ROUNDS, SAMPLE_TEXTS, COMMON_MOST = 16, 32, 8, 6, 10_000, 100_000
 _ROUND = 1e-9
 
 
@@ -414,6 +414,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
         with_y = with_x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return scratch.keep(with_y.mapInArrow(_similar(words, similarity), "a long, b long"), "links")
 
+    def grown(links: DataFrame, parts: DataFrame) -> DataFrame:
+        return scratch.keep(components(spark, links.union(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch), "parts")
+
     def crossing(left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs of unlike roots that share a key, of ``left`` and ``right``."""
         other = right.select("key", *(F.col(c).alias(f"b{c}") for c in right.columns if c != "key"))
@@ -421,8 +424,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
         pairs = mine.join(other, "key").where((F.col("aroot") != F.col("broot")) & near("a", "b"))
         return scratch.keep(pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct(), "pairs")
 
-    links = verified(few)
-    parts = scratch.keep(components(spark, links, scratch), "parts")
+    # first each node's least partner, then what these have not joined: pairs inside a component need no look
+    parts = spark.createDataFrame([], "node long, root long")
+    for turn in range(3):
+        some = few.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if turn < 2 else few
+        parts = grown(verified(some), parts)
+        if turn < 2:
+            root = lambda end: parts.select(F.col("node").alias(end), F.col("root").alias(f"{end}r"))
+            rest = few.join(some.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done is null").join(root("a"), "a", "left").join(root("b"), "b", "left")
+            few = scratch.keep(rest.where(F.coalesce("ar", "a") != F.coalesce("br", "b")).select("a", "b"), "few")
     useful = True
     for turn in range(ROUNDS + 1):
         joined = large.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -442,7 +452,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
             centres = left.withColumn("place", F.row_number().over(first)).where(F.col("place") <= CENTRES).drop("place", "big")
             links = verified(crossing(left.drop("big"), centres))
             useful = 64 * links.count() >= members
-        parts = scratch.keep(components(spark, links.union(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch), "parts")
+        parts = grown(links, parts)
         if last:
             break
     grouped = nodes.select("node", "doc_id", "n").join(parts, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
