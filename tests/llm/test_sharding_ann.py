@@ -66,6 +66,41 @@ def test_few_rows_and_none(spark):
     assert ann.neighbours(spark, df.where("false"), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def exact(rows, k):
+    """query, neighbours in order, by comparing all."""
+    v = {i: np.array(x, float) for i, x in rows}
+    return {q: sorted((o for o in v if o != q), key=lambda o: (-float((v[q] * v[o]).sum()), o))[:k] for q in v if q % 20 == 0}
+
+
+def found(spark, rows, k=20):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(spark, df, F.col("vec_id") % 20 == 0, k).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    return {q: [x[n] for n in sorted(x)] for q, x in got.items()}
+
+
+def test_all_candidates_if_there_are_fewer(spark):
+    rng = np.random.default_rng(4)
+    few = [(i, rng.normal(size=64).tolist()) for i in range(15)]
+    assert found(spark, few) == exact(few, 20)
+    away = [(0, [1.0, 0.0, 0.0]), *((i, [-1.0, 0.01 * i, 0.0]) for i in range(1, 6))]
+    assert found(spark, away) == exact(away, 20)
+
+
+def test_recall_with_a_few_very_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= rng.uniform(0.5, 2, (2000, 1))
+    x[7] *= 1000
+    x[11] *= 1e6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = found(spark, rows), exact(rows, 20)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+
+
 def test_rotation_keeps_lengths_and_axes_are_nearest():
     x = np.random.default_rng(0).normal(size=(5, 9))
     y = ann.rotate(x, ann.rotations(9, 1, 1)[0])

@@ -8,8 +8,11 @@ with its vectors exactly and hands on only its best, so what is shuffled is a
 bounded list for each query, table and block.
 
 Inner products of vectors of any length become angles by one more coordinate
-(Bachrach et al., RecSys 2014), from the largest norm of all vectors. Equal
-vectors are searched once and keep the ids that can reach a result.
+(Bachrach et al., RecSys 2014). Vectors are hashed in bands of like norm (powers
+of two), each by its own largest, so a few long vectors do not flatten the
+others; a query looks into every band. Equal vectors are searched once and keep
+the ids that can reach a result. Queries that meet fewer vectors than they ask
+for are compared with all of them, block by block.
 """
 
 from __future__ import annotations
@@ -76,8 +79,9 @@ def _rows(bucket: np.ndarray, asks: bool, place: np.ndarray, x: np.ndarray) -> p
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(x), asks)), pa.array(place), vectors], schema=_HASHED)
 
 
-def _hashed(dim: int, largest: float, tables: int, probes: int, seed: int):
+def _hashed(dim: int, bands: list[int], tables: int, probes: int, seed: int):
     signs = rotations(dim + 1, tables, seed)
+    band_of, step = np.array(bands), tables * 2 * signs.shape[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,15 +89,21 @@ def _hashed(dim: int, largest: float, tables: int, probes: int, seed: int):
                 continue
             x, place = matrix(batch.column("vector"), dim), np.asarray(batch.column("place"))
             asks = np.asarray(batch.column("asks").to_numpy(zero_copy_only=False), bool)
-            norm = np.linalg.norm(x, axis=1)
-            data = np.c_[x / largest, np.sqrt(np.clip(1 - (norm / largest) ** 2, 0, None))]
-            query = np.c_[x[asks] / norm[asks, None], np.zeros(asks.sum())]
+            band = np.asarray(batch.column("band"))
+            top = np.abs(x).max(axis=1, keepdims=True)  # before squares, which may leave the range of numbers
+            norm = top[:, 0] * np.linalg.norm(x / top, axis=1)
+            unit = x / top / np.linalg.norm(x / top, axis=1, keepdims=True)
+            part = np.ldexp(norm, -(band + 1))  # of the band's largest norm
+            data = np.c_[unit * part[:, None], np.sqrt(np.clip(1 - part**2, 0, None))]
+            at = np.searchsorted(band_of, band)
+            query = np.c_[unit[asks], np.zeros(asks.sum())]
             for t in range(tables):
                 base = t * 2 * signs.shape[-1]
-                yield _rows(base + axes(rotate(data, signs[t]), 1)[:, 0], False, place, x)
+                yield _rows(at * step + base + axes(rotate(data, signs[t]), 1)[:, 0], False, place, x)
                 if len(query):
                     look = axes(rotate(query, signs[t]), probes)
-                    yield _rows(base + look.ravel(), True, np.repeat(place[asks], look.shape[1]), np.repeat(x[asks], look.shape[1], axis=0))
+                    for b in range(len(bands)):
+                        yield _rows(b * step + base + look.ravel(), True, np.repeat(place[asks], look.shape[1]), np.repeat(x[asks], look.shape[1], axis=0))
 
     return run
 
@@ -142,7 +152,7 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: i
         & F.exists("vector", lambda x: x != 0)
     )
     good = scratch.keep(good.withColumn("vh", F.xxhash64("vector")), "vectors")
-    dim, largest = good.agg(F.max(F.size("vector")), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    dim = good.agg(F.max(F.size("vector"))).first()[0]
     result = "query_id long, rank int, vec_id long, score double"
     if dim is None:
         return spark.createDataFrame([], result)
@@ -155,7 +165,11 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: i
     ids = scratch.keep(ids.join(unique, ["vh", "vector"]).select("place", "vec_id"), "ids")
     asked = good.where("asks").select(F.col("vec_id").alias("query_id"), "vh", "vector").join(unique, ["vh", "vector"]).select("query_id", "place")
     rows = unique.select("place", F.coalesce("asks", F.lit(False)).alias("asks"), F.concat("vector", pad).alias("vector"))
-    hashed = rows.mapInArrow(_hashed(dim, float(largest), tables, probes, seed), "bucket long, asks boolean, place long, vector array<double>")
+    most = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    length = F.log2(most) + F.log2(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / most) * (x / most))) / 2
+    rows = rows.withColumn("band", F.floor(length + 1e-9).cast("long"))
+    bands = sorted(r.band for r in rows.select("band").distinct().collect())  # powers of two: some two thousand at most
+    hashed = rows.mapInArrow(_hashed(dim, bands, tables, probes, seed), "bucket long, asks boolean, place long, vector array<double>")
     hashed = scratch.keep(hashed, "hashed")
     # a large bucket is split into blocks; queries go to each of its blocks
     size = hashed.where("not asks").groupBy("bucket").count()
@@ -163,6 +177,20 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: i
     dealt = hashed.join(F.broadcast(blocks), "bucket")  # at most tables * 2 * padded dimension rows
     dealt = dealt.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")))))
     best = dealt.groupBy("bucket", "block").applyInArrow(_best(k + 1, dim), "place long, other long, score double").distinct()
+    best = scratch.keep(best, "best")
+    # queries that have met too few: as many as asked for, or all there are, and themselves
+    n = unique.count()
+    short = rows.where("asks").join(best.groupBy("place").agg(F.count("*").alias("met")), "place", "left").where(F.coalesce("met", F.lit(0)) < min(k + 1, n)).drop("met", "band")
+    short = scratch.keep(short, "short")
+    asking = short.count()
+    if asking:
+        parts, groups = -(-n // BLOCK), -(-asking // BLOCK)
+        part = lambda m: F.pmod(F.xxhash64("place"), F.lit(m)).cast("long")
+        every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        q = short.select(every(parts).alias("bucket"), part(groups).alias("block"), "place", "vector", F.lit(True).alias("asks"))
+        d = rows.select(part(parts).alias("bucket"), every(groups).alias("block"), "place", "vector", F.lit(False).alias("asks"))
+        whole = q.unionByName(d).groupBy("bucket", "block").applyInArrow(_best(k + 1, dim), "place long, other long, score double")
+        best = best.join(short.select("place"), "place", "left_anti").union(whole)
     top = Window.partitionBy("place").orderBy(F.desc("score"), "other")
     near = best.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1).select("place", "other", "score")
     near = near.join(ids.select(F.col("place").alias("other"), "vec_id"), "other")
