@@ -151,7 +151,8 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: i
         & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
         & F.exists("vector", lambda x: x != 0)
     )
-    good = scratch.keep(good.withColumn("vh", F.xxhash64("vector")), "vectors")
+    good = good.withColumns({"vh": F.xxhash64("vector"), "top": F.array_max(F.transform("vector", lambda x: F.abs(x)))})
+    good = scratch.keep(good, "vectors")
     dim = good.agg(F.max(F.size("vector"))).first()[0]
     result = "query_id long, rank int, vec_id long, score double"
     if dim is None:
@@ -160,14 +161,14 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: i
     # one place for equal vectors; the k + 1 least ids of each can reach a result
     order = Window.partitionBy("vh", "vector").orderBy("vec_id")
     ids = scratch.keep(good.select("vh", "vector", "vec_id", F.row_number().over(order).alias("n")).where(F.col("n") <= k + 1), "ids")
-    unique = good.groupBy("vh", "vector").agg(F.max("asks").alias("asks"), F.min("vec_id").alias("place"))
+    unique = good.groupBy("vh", "vector").agg(F.max("asks").alias("asks"), F.min("vec_id").alias("place"), F.first("top").alias("top"))
     unique = scratch.keep(unique, "unique")
     ids = scratch.keep(ids.join(unique, ["vh", "vector"]).select("place", "vec_id"), "ids")
     asked = good.where("asks").select(F.col("vec_id").alias("query_id"), "vh", "vector").join(unique, ["vh", "vector"]).select("query_id", "place")
-    rows = unique.select("place", F.coalesce("asks", F.lit(False)).alias("asks"), F.concat("vector", pad).alias("vector"))
-    most = F.array_max(F.transform("vector", lambda x: F.abs(x)))
-    length = F.log2(most) + F.log2(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / most) * (x / most))) / 2
-    rows = rows.withColumn("band", F.floor(length + 1e-9).cast("long"))
+    rows = unique.select("place", F.coalesce("asks", F.lit(False)).alias("asks"), F.concat("vector", pad).alias("vector"), "top")
+    # the largest component first: squares of very large or small ones leave the range of numbers
+    length = F.log2("top") + F.log2(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top")))) / 2
+    rows = rows.withColumn("band", F.floor(length + 1e-9).cast("long")).drop("top")
     bands = sorted(r.band for r in rows.select("band").distinct().collect())  # powers of two: some two thousand at most
     hashed = rows.mapInArrow(_hashed(dim, bands, tables, probes, seed), "bucket long, asks boolean, place long, vector array<double>")
     hashed = scratch.keep(hashed, "hashed")
