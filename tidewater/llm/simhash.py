@@ -387,7 +387,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     slim = nodes.select("node", "size", *maps)
     keys = nodes.select(F.explode("keys").alias("key"), "size", "node")
     met = scratch.keep(keys.groupBy("key").count().where("count > 1"), "met")
-    rows = keys.join(met, "key")
+    # read twice: all first shingles move once for it, those that meet nobody stay behind
+    rows = scratch.keep(keys.join(met, "key"), "rows")
     few = rows.where(F.col("count") <= BUCKET_FEW).select("key", "size", "node").repartition("key").sortWithinPartitions("key", "size", "node")
     few = few.mapInArrow(_meeting(similarity), "a long, b long").distinct()
     a, b = (slim.select(*(F.col(c).alias(f"{end}{c}" if c != "node" else end) for c in slim.columns)) for end in "ab")
@@ -410,8 +411,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     texts = scratch.keep(texts, "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-        with_y = with_x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        # later rounds have few pairs: only their texts move
+        asked = texts.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+        with_x = pairs.join(asked.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        with_y = with_x.join(asked.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return scratch.keep(with_y.mapInArrow(_similar(words, similarity), "a long, b long"), "links")
 
     def grown(links: DataFrame, parts: DataFrame) -> DataFrame:
