@@ -37,6 +37,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: what a text with a special string holds as it stands (letters may be in either case)
+        self.signs = {next((c for c in x if not c.isalpha()), "") for x in self.special}
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         #: whether a word's ids depend on the space before it
         self.spaced = ids(" b") != ids("b")
@@ -54,8 +56,10 @@ class WordEncoder:
         if not self.spaced:  # white space only parts words
             text = text.replace("\n", " ")
             return (text.lower() if self.lowers and text.isascii() else text).split(" ")
-        # lone line ends part words too, and begin the next one
-        words = _SPACE.split(text) if _RUNS.search(text) else text.replace("\n", " \n").split(" ")
+        # lone line ends part words too, and begin the next one; of white space only the space is printable
+        flat = text.replace("\n", " ")
+        runs = ("  " in flat or not flat.isprintable()) and _RUNS.search(text)
+        words = _SPACE.split(text) if runs else text.replace("\n", " \n").split(" ")
         words[0] = (words[0],)
         return words
 
@@ -111,27 +115,32 @@ class WordEncoder:
         """In order; null and empty texts have no ids."""
         at, get = 0, self.known.get
         while at < len(texts):
-            group: list[bytes | tuple[list, list]] = []
+            group: list[bytes | tuple[list, list, list]] = []
             size, new = 0, set()
             while at < len(texts) and (size < _AT_ONCE or not group):
                 text = texts[at] or ""
                 at, size = at + 1, size + len(text)
-                low = text.lower()
-                if any(s in low for s in self.special):
+                if any(c in text for c in self.signs) and any(s in text.lower() for s in self.special):
                     group.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
                     continue
                 words = self._words(text)
                 ids = list(map(get, words))
                 if None in ids:
-                    new.update([w for w, x in zip(words, ids) if x is None])
-                    group.append((words, ids))
+                    gaps = [i for i, x in enumerate(ids) if x is None]
+                    new.update(map(words.__getitem__, gaps))
+                    group.append((words, ids, gaps))
                 else:
                     group.append(b"".join(ids))
             fresh = self._encoded(list(new))
             if len(self.known) + len(fresh) <= CACHE_MOST:
                 self.known.update(fresh)
             for x in group:
-                yield x if isinstance(x, bytes) else b"".join([fresh[w] if i is None else i for w, i in zip(*x)])
+                if isinstance(x, tuple):
+                    words, ids, gaps = x
+                    for i in gaps:
+                        ids[i] = fresh[words[i]]
+                    x = b"".join(ids)
+                yield x
 
 
 _encoders: dict[str, WordEncoder] = {}
