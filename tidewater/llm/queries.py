@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, langid, packing, sharding, simhash, suffix_dedup, token_files, toxicity
+from . import ann, decontaminate, html_text, langid, lexical, packing, sharding, simhash, suffix_dedup, token_files, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_nra_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,9 +69,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_orc_tokens,
         op9_recurrent_language,
         op10_kneser_ney_toxicity,
+        op12_nra_lexical_search,
     )
 }
 
-#: None has SQL: each needs a trained model, a tokenizer, a sketch, or more
-#: than DuckDB does over whole tables; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+#: The others need a trained model, a tokenizer, a sketch, or more than DuckDB
+#: does over whole tables; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op12_nra_lexical_search": f"""
+WITH docs AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
+words AS (SELECT r, doc_id, {_TERMS} AS t FROM docs),
+counts AS (SELECT r, doc_id, t, count(*) AS tf FROM words GROUP BY r, doc_id, t),
+lengths AS (SELECT r, count(*) AS n FROM words GROUP BY r),
+corpus AS (SELECT count(*) AS rows_n, CAST(sum(n) AS BIGINT) AS terms_n FROM lengths),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * rows_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, corpus GROUP BY t, rows_n),
+asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, {_TERMS} AS t FROM benchmark) GROUP BY item_id, t),
+scores AS (
+  SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * rows_n) // terms_n)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN counts USING (t) JOIN lengths USING (r), corpus GROUP BY item_id, r, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20""",
+}
