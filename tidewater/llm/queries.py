@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, langid, lexical, packing, sharding, simhash, suffix_dedup, token_files, toxicity
+from . import ann, decontaminate, html_text, langid, lexical, packing, pii, sharding, simhash, suffix_dedup, token_files, toxicity
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op12_nra_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_recurrent_language,
         op10_kneser_ney_toxicity,
         op12_nra_lexical_search,
+        op13_weak_supervision_pii,
     )
 }
 
