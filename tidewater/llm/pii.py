@@ -40,8 +40,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NUMBER = re.compile(r"[0-9](?:[ ().\-/  ‑]{0,3}[0-9])*+")
-_PARTS = re.compile(r"[0-9](?:[().\-/  ‑]{0,2}[0-9])*+")
+_NUMBER = re.compile(r"[0-9](?:[ ().\-/\xa0\u2009\u2011]{0,3}[0-9])*+")
+_PARTS = re.compile(r"[0-9](?:[().\-/\xa0\u2009\u2011]{0,2}[0-9])*+")
 _PARTED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?: ?\[\.\] ?| ?\(\.\) ?| \. )[0-9]{1,3}){3}(?![0-9])")
 _AT = re.compile(r" ?[\[({<] ?at ?[\])}>] ?| @ ", re.I)
 _HOST = re.compile(r"[\w-]{1,63}(?:(?: ?[\[({<] ?(?:dot|\.) ?[\])}>] ?|\.)[\w-]{1,63}){1,8}", re.I)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, langid, lexical, packing, pii, sharding, simhash, suffix_dedup, token_files, toxicity
+from . import alignment, ann, decontaminate, html_text, langid, lexical, packing, pii, sharding, simhash, suffix_dedup, token_files, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_perfect_hash_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_nra_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_orc_tokens,
         op9_recurrent_language,
         op10_kneser_ney_toxicity,
+        op11_perfect_hash_alignment,
         op12_nra_lexical_search,
         op13_weak_supervision_pii,
     )
