@@ -157,16 +157,6 @@ def test_history_and_upsert_are_repeatable(spark):
     assert sorted(map(tuple, R.upsert(once, new, ["id"]).collect())) == sorted(map(tuple, once.collect())) == [(1, 1), (2, 9), (3, 3)]
 
 
-def test_synthetic_rows_are_repeatable_and_off_profile(spark, sf):
-    from tidewater.plans.fixtures import access_events
-
-    e = access_events(spark, sf)
-    h = L.hour_profile(e)
-    a = ML.synthesize_anomalies(e, h, 3)
-    assert sorted(map(tuple, a.select("event_id", "ts", "host").collect())) == sorted(map(tuple, ML.synthesize_anomalies(e, h, 3).select("event_id", "ts", "host").collect()))
-    assert a.count() == e.count() and a.where("scenario in (3,5,6,7) and host not like 'PCX%'").count() == 0
-
-
 def test_metrics_without_positives(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "y int, p int")
     r = M.classification_metrics(df, "y", "p").first()

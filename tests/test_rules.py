@@ -195,3 +195,115 @@ def test_models_against_numpy(spark):
     assert all(r.r2 > 0.9 for r in folds)
     stacked = ML.stack_predict(df.where("id % 5 <> 0"), df.where("id % 5 = 0"), "id", ["a", "b"], "y").collect()
     assert np.corrcoef([r.y for r in stacked], [r.p for r in stacked])[0, 1] > 0.95
+
+
+# -- synthetic rows, augmentation, quantile mapping, draws
+
+
+def test_scenarios_come_back_as_their_case(spark, sf):
+    """Every realised row, run through the profile of its account, is of the case that its scenario names."""
+    from tidewater.operators import models as ML
+    from tidewater.plans.fixtures import access_events
+
+    e = access_events(spark, sf)
+    days, hours, hosts = L.weekday_class(L.day_profile(e)), L.hour_profile(e), L.host_profile(e)
+    made = ML.synthesize_anomalies(e, hours, days, 3)
+    rows = L.working_hour(L.working_day(made, days).drop("day"), hours).join(hosts, ["account", "host"], "left").fillna(0.0, ["freq"])
+    got = rows.select("event_id", "scenario", "realised", X.anomaly_case(F.col("working_day"), F.col("working_hour"), F.col("freq")).alias("case")).collect()
+    assert len(got) == e.count() and sum(r.realised for r in got) > 0.7 * len(got)
+    assert all(r["case"] == f"Case {r.scenario}" for r in got if r.realised)
+    assert {r.scenario for r in got if r.realised} == set(range(1, 8))
+    again = {r.event_id: r for r in ML.synthesize_anomalies(e.repartition(3), hours, days, 3).collect()}
+    assert all(again[r.event_id] == r for r in made.collect())
+    span = {r.account: (r.a, r.b) for r in e.groupBy("account").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b")).collect()}
+    assert all(span[r.account][0] <= r.ts.date() <= span[r.account][1] and r.unlocks + r.locks == 1 for r in again.values())
+    both = ML.with_anomalies(e, 3)
+    assert both.groupBy("target").count().orderBy("target").collect() == [(0, e.count()), (1, e.count())]
+
+
+def test_scenarios_of_odd_accounts(spark):
+    """Two weeks of mornings, one row, and rows without account or host."""
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1, 9)  # a Monday
+    rows = [(i, "a", "PC1", t0 + dt.timedelta(days=i % 14, hours=i // 14 % 3), "Unlock") for i in range(70) if i % 7 < 5 or i < 14]
+    rows += [(900, "one", "PC2", t0, "Lock"), (901, None, "PC3", t0, "Lock"), (902, "none", None, t0, None)]
+    e = spark.createDataFrame(rows, "event_id long, account string, host string, ts timestamp, activity string")
+    made = {r.event_id: r for r in ML.synthesize_anomalies(e, L.hour_profile(e), L.weekday_class(L.day_profile(e)), 1).collect()}
+    assert set(made) == {r[0] for r in rows} - {901}
+    for r in made.values():
+        if r.account == "a" and r.realised:
+            work = r.ts.weekday() < 5  # from 9 to 11; at weekends 9 only
+            assert work == (r.scenario in (1, 3, 5)) and (9 <= r.ts.hour <= (11 if work else 9)) == (r.scenario in (2, 3, 6))
+            assert (r.host == "PC1") == (r.scenario in (4, 5, 6)) and r.unlocks == 1
+    assert sum(r.realised for r in made.values() if r.account == "a") > 40
+    assert made[900].ts.date() == t0.date() and made[902].host.startswith("NEW")
+    empty = e.where("false")
+    assert ML.with_anomalies(empty).count() == 0
+
+
+def test_beta_weights_and_normals(spark):
+    df = spark.range(20_000).select(M.beta_variate(0.5, 0.5, 1, "id").alias("a"), M.beta_variate(0.4, 0.4, 2, "id").alias("b"), M.beta_variate(0.3, 0.9, 2, "id").alias("c"), M.normal_variate(3, "id").alias("z"), M.uniform(4, "id").alias("u")).toPandas()
+    for name, a, b in (("a", 0.5, 0.5), ("b", 0.4, 0.4), ("c", 0.3, 0.9)):
+        mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
+        assert abs(df[name].mean() - mean) < 0.01 and abs(df[name].var() - var) < 0.005 and df[name].between(0, 1).all()
+    assert abs(np.quantile(df.a, 0.25) - np.sin(np.pi / 8) ** 2) < 0.01  # the arcsine law
+    assert abs(df.z.mean()) < 0.03 and abs(df.z.std() - 1) < 0.02 and abs(df.u.mean() - 0.5) < 0.01
+
+
+def test_new_rows_lie_between_neighbours(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 2))
+    x[10] = x[11]
+    y = x.sum(axis=1)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "id long, p double, q double, y double")
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    near = np.argsort(apart, axis=1, kind="stable")[:, :4]
+    out = ML.augment(df, "id", ["p", "q"], "y", "mixup", 6).collect()
+    assert len(out) == 360
+    for r in out:
+        assert r.neighbour in near[r.id]
+        assert np.allclose([r.p, r.q], r.share * x[r.id] + (1 - r.share) * x[r.neighbour]) and np.isclose(r.y, r.share * y[r.id] + (1 - r.share) * y[r.neighbour])
+    assert {r.neighbour for r in out if r.id == 5} >= set(near[5][:2])
+    low, high = np.quantile(y, [0.1, 0.9])
+    tails = set(np.flatnonzero((y <= low) | (y >= high)).tolist())
+    out = ML.augment(df, "id", ["p", "q"], "y", "extremes", 2).collect()
+    assert {r.id for r in out} == tails and {r.neighbour for r in out} <= tails
+    assert all(np.allclose([r.p, r.q], r.share * x[r.id] + (1 - r.share) * x[r.neighbour], atol=0.003) for r in out)
+    with pytest.raises(ValueError):
+        ML.augment(df, "id", ["p"], "y", "other")
+
+
+def test_quantile_normal(spark):
+    """Against numpy's quantiles and interpolation, and the standard library's normal quantile."""
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(3)
+    train = np.r_[np.repeat(1.0, 400), rng.exponential(size=2600), np.repeat(7.5, 100)].round(3)
+    test = np.r_[train[:300], -1.0, 100.0, 1.0, 1.0005, 7.5, train.min(), train.max()]
+    frame = lambda v: spark.createDataFrame([(i, float(a)) for i, a in enumerate(v)], "id long, v double")
+    marks = M.landmarks(frame(train), "v", 1000)
+    assert np.allclose(marks, np.quantile(train, np.linspace(0, 1, 1000)), atol=1e-12)
+    refs = np.linspace(0, 1, 1000)
+    share = (np.interp(test, marks, refs) - np.interp(-test, -np.array(marks)[::-1], -refs[::-1])) / 2
+    share = np.where(test - 1e-7 < marks[0], 0, np.where(test + 1e-7 > marks[-1], 1, share)).clip(1e-7, 1 - 1e-7)
+    want = [NormalDist().inv_cdf(p) for p in share]
+    got = [r.v for r in M.quantile_normal(frame(train), frame(test), ["v"]).orderBy("id").collect()]
+    assert np.allclose(got, want, atol=1e-9)
+    odd = spark.createDataFrame([(1, None), (2, float("nan")), (3, 2.0)], "id long, v double")
+    assert [r.v for r in M.quantile_normal(odd.where("id < 3"), odd, ["v"]).orderBy("id").collect()] == [None, None, None]
+    assert [r.v is None for r in M.quantile_normal(odd, odd, ["v"]).orderBy("id").collect()] == [True, True, False]
+    p = spark.createDataFrame([(x,) for x in (1e-7, 1e-3, 0.02, 0.074, 0.076, 0.3, 0.5, 0.9, 0.99999)], "p double")
+    assert np.allclose([r[0] for r in p.select(M.normal_quantile(F.col("p"))).collect()], [NormalDist().inv_cdf(r.p) for r in p.collect()], atol=1e-12)
+
+
+def test_weighted_sample_draws_exactly_n(spark):
+    rows = [(i, w) for i, w in enumerate([1.0, 0.0, 3.0, None, 1000.0, 2.0, -1.0] + [0.5] * 200)]
+    df = spark.createDataFrame(rows, "id long, w double")
+    got = M.weighted_sample(df, "w", 5000, "id", 7)
+    count = {r.id: r["count"] for r in got.groupBy("id").count().collect()}
+    total = sum(w for _, w in rows if w and w > 0)
+    assert got.count() == 5000 and not {1, 3, 6} & set(count)
+    assert abs(count[4] / 5000 - 1000 / total) < 0.02 and got.where("id = 4").select("copy").distinct().count() == count[4]
+    assert M.weighted_sample(df.where("w is null"), "w", 5, "id").count() == 0

@@ -3,8 +3,10 @@ metrics, curves, histograms, feature scores, sampling and validation."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,6 +118,98 @@ def robust_scale(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> D
     return test.withColumns({c: F.coalesce(F.try_divide(F.col(c) - number(m[3 * i + 1]), number(m[3 * i + 2]) - number(m[3 * i])), F.lit(0.0)) for i, c in enumerate(columns)})
 
 
+#: The numerators and denominators of algorithm AS 241 (Wichura, Applied Statistics 1988), by rising powers.
+NORMAL_MIDDLE = (
+    (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+    (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+)
+NORMAL_NEAR = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+NORMAL_FAR = (
+    (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
+
+
+def normal_quantile(p: Column) -> Column:
+    """The inverse of the normal distribution function, for p between 0 and 1."""
+
+    def ratio(parts: tuple, x: Column) -> Column:
+        up, down = (reduce(lambda s, c: s * x + c, reversed(y[:-1]), F.lit(y[-1])) for y in parts)
+        return up / down
+
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.when(q < 0, p).otherwise(1 - p)))
+    tail = F.when(r <= 5, ratio(NORMAL_NEAR, r - 1.6)).otherwise(ratio(NORMAL_FAR, r - 5))
+    return F.when(F.abs(q) <= 0.425, q * ratio(NORMAL_MIDDLE, 0.180625 - q * q)).otherwise(F.when(q < 0, -tail).otherwise(tail))
+
+
+def landmarks(df: DataFrame, column: str, most: int = 1000) -> list[float]:
+    """Up to ``most`` exact quantiles of a column at equal steps from its least
+    to its largest value, between two values in proportion. Equal values are
+    counted first and running sums give their ranks; what comes to the driver
+    are the values at the wanted ranks."""
+    v = F.col(column).cast("double")
+    counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("_v")).agg(F.count("*").alias("_n"))
+    n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    m = min(most, n)
+    if n < 2:
+        return [r[0] for r in counts.select("_v").collect()]
+    # landmark i stands at i * (n - 1) / (m - 1); of it the whole part and, if anything is left, the next rank
+    low = lambda rank: F.expr(f"({rank} * {m - 1}L + {n - 2}L) div {n - 1}L")  # noqa: E731  (first i at or behind a rank)
+    ranked = running_sums(counts, "_v", {"_upto": "_n"}).withColumn("_from", F.col("_upto") - F.col("_n"))
+    at = ranked.withColumns({"a": low("_from"), "b": low("_upto") - 1})
+    whole = at.where("a <= b").select("_v", F.explode(F.sequence("a", "b")).alias("i"), F.lit(0).alias("next"))
+    part = at.withColumns({"a": F.greatest(low("(_from - 1)"), F.lit(0)), "b": low("(_upto - 1)") - 1}).where("a <= b")
+    part = part.select("_v", F.explode(F.sequence("a", "b")).alias("i"), F.lit(1).alias("next"))
+    found = {(r["i"], r["next"]): r["_v"] for r in whole.unionByName(part).collect()}  # 2 * ``most`` rows
+    out = []
+    for i in range(m):
+        rest = i * (n - 1) % (m - 1) / (m - 1)
+        a = found[i, 0]
+        out.append(a + (found[i, 1] - a) * rest if rest else a)
+    return out
+
+
+def quantile_normal(train: DataFrame, test: DataFrame, columns: Sequence[str], most: int = 1000) -> DataFrame:
+    """``test`` with each column mapped to a normal distribution: its place
+    among the :func:`landmarks` of ``train`` (where several are equal, the
+    middle of them), then the normal quantile, within those of 10^-7 and
+    1 - 10^-7. Nulls stay; without values in ``train`` all become null."""
+    for c in columns:
+        marks = landmarks(train, c, most)
+        x = F.col(c).cast("double")
+        if len(marks) < 2:
+            at = F.when(x.isNotNull(), F.when(x < marks[0], 0.0).when(x > marks[0], 1.0).otherwise(0.0)) if marks else F.lit(None).cast("double")
+        else:
+            array = F.array(*map(F.lit, marks))
+
+            def below(or_equal: bool) -> Column:
+                """How many landmarks are below x, by halving."""
+                start = F.struct(F.lit(0).alias("lo"), F.lit(len(marks)).alias("hi"))
+
+                def halve(s: Column, _: Column) -> Column:
+                    mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+                    mark = F.element_at(array, F.least(mid, F.lit(len(marks) - 1)) + 1)
+                    goes = (s["lo"] < s["hi"]) & ((mark <= x) if or_equal else (mark < x))
+                    return F.struct(F.when(goes, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(goes, s["hi"]).otherwise(mid).alias("hi"))
+
+                return F.aggregate(F.sequence(F.lit(1), F.lit(len(marks).bit_length())), start, halve, lambda s: s["lo"])
+
+            # columns of their own, so that each is worked out once
+            test = test.withColumns({"_lo": below(False), "_hi": below(True)})
+            lo, hi = F.col("_lo"), F.col("_hi")
+            mark = lambda i: F.element_at(array, F.greatest(F.least(i, F.lit(len(marks))), F.lit(1)))
+            between = lo - 1 + X.ratio(x - mark(lo), mark(lo + 1) - mark(lo))
+            at = F.when(hi > lo, (lo + hi - 1) / 2).otherwise(between) / (len(marks) - 1)
+            at = F.when(x.isNotNull() & ~F.isnan(x), F.when(x - 1e-7 < marks[0], 0.0).when(x + 1e-7 > marks[-1], 1.0).otherwise(at))
+        test = test.withColumn("_p", F.when(at.isNotNull(), F.greatest(F.least(at, F.lit(1 - 1e-7)), F.lit(1e-7))))
+        test = test.withColumn(c, normal_quantile(F.col("_p"))).drop("_lo", "_hi", "_p")
+    return test
+
+
 def polynomial(df: DataFrame, columns: Sequence[str], interaction_only: bool = False) -> DataFrame:
     """Products of two columns, and squares."""
     out = {}
@@ -269,6 +363,27 @@ def bucket(key: Column | str, seed: int, n: int) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
+def uniform(seed: int, *keys: Column | str) -> Column:
+    """A number in (0, 1) that depends on seed and keys only, like :func:`bucket`."""
+    parts = [F.col(k) if isinstance(k, str) else k for k in keys]
+    whole = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in parts))), 1, 8), 16, 10)
+    return (whole.cast("double") + 0.5) / 2.0**32
+
+
+def beta_variate(a: float, b: float, seed: int, *keys: Column | str, tries: int = 24) -> Column:
+    """A beta(a, b) number for shapes up to 1, by Johnk's rejection: the first
+    pair of powers of uniform numbers with a sum of at most 1. At shapes of 1/2
+    one key in 10^16 uses all ``tries``; the last pair is then taken as it is."""
+    both = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: F.struct(F.pow(uniform(seed, *keys, i, F.lit("a")), F.lit(1 / a)).alias("x"), F.pow(uniform(seed, *keys, i, F.lit("b")), F.lit(1 / b)).alias("y")))
+    first = F.coalesce(F.try_element_at(F.filter(both, lambda p: p["x"] + p["y"] <= 1), F.lit(1)), F.element_at(both, -1))
+    return first["x"] / (first["x"] + first["y"])
+
+
+def normal_variate(seed: int, *keys: Column | str) -> Column:
+    """A standard normal number, by Box and Muller."""
+    return F.sqrt(-2 * F.log(uniform(seed, *keys, F.lit("a")))) * F.cos(F.lit(2 * math.pi) * uniform(seed, *keys, F.lit("b")))
+
+
 def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     return df.withColumn("is_test", bucket(key, seed, 10_000) < F.lit(int(round(test * 10_000))))
 
@@ -290,7 +405,7 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(bucket(key, seed, 2**31 - 1), key).limit(n)
 
 
 def sample_weights(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
@@ -305,19 +420,24 @@ def sample_weights(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
 
 
 def weighted_sample(df: DataFrame, weight: str, n: int, key: str, seed: int = 42) -> DataFrame:
-    """About ``n`` rows drawn with replacement: each row as often as a Poisson
-    variable of its share says, by inversion of a number hashed from its key."""
-    total = df.agg(F.sum(weight).alias("_t"))
-    u = (F.xxhash64(F.col(key), F.lit(seed)) / F.lit(2.0**64)) + 0.5
-    rows = df.crossJoin(F.broadcast(total)).withColumn("_l", F.col(weight) / F.col("_t") * n).withColumn("_u", u)
-    # count the steps of the distribution function that lie below u
-    state = F.aggregate(
-        F.sequence(F.lit(1), F.lit(64)),
-        F.struct(F.exp(-F.col("_l")).alias("p"), F.exp(-F.col("_l")).alias("c"), F.lit(0).alias("k")),
-        lambda s, i: F.struct((s["p"] * F.col("_l") / i).alias("p"), (s["c"] + s["p"] * F.col("_l") / i).alias("c"), (s["k"] + F.when(F.col("_u") > s["c"], 1).otherwise(0)).alias("k")),
-        lambda s: s["k"],
-    )
-    return rows.withColumn("_k", state).where("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k", "_l", "_u", "_t")
+    """Exactly ``n`` rows drawn with replacement, each in proportion to its
+    weight; a row's draws are numbered in ``copy``. ``key`` is unique.
+
+    ``n`` points are thrown on the line of all weights, laid end to end in the
+    order of the key. Points and rows meet in cells of equal length, of which
+    there are as many as rows, so neither a heavy row nor a crowd of light ones
+    gathers many pairs. Rows without a positive weight are never drawn.
+    """
+    rows = df.where(F.col(weight) > 0).withColumn("_w", F.col(weight).cast("double"))
+    whole, count = rows.agg(F.sum("_w"), F.count("*")).first()
+    if not count:
+        return df.limit(0).withColumn("copy", F.lit(1))
+    cell = float(whole) / count
+    ahead = running_sums(rows, key, {"_end": "_w"}).withColumn("_start", F.col("_end") - F.col("_w"))
+    held = ahead.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_start") / cell), F.floor(F.col("_end") / cell))))
+    points = df.sparkSession.range(n).select(F.col("id").alias("_j"), (uniform(seed, "id") * float(whole)).alias("_at"))
+    met = points.withColumn("_cell", F.floor(F.col("_at") / cell)).join(held, "_cell").where("_at > _start AND _at <= _end")
+    return met.withColumn("copy", F.row_number().over(Window.partitionBy(key).orderBy("_j"))).select(*df.columns, "copy")
 
 
 # -- columns and validation

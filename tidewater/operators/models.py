@@ -14,8 +14,11 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .logs import assign_scenario
-from .measures import bucket, folds, regression_metrics, weighted_sample
+from ..functions import expressions as X
+from ..functions.expressions import CASES
+from .logs import LOCKS, UNLOCKS, assign_scenario, day_profile, hour_profile, unlock_ratio, weekday_class
+from .measures import beta_variate, bucket, folds, normal_variate, quantiles, regression_metrics, uniform, weighted_sample
+from .places import knn_features
 
 REGRESSORS = {
     "forest": lambda seed: RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed),
@@ -137,43 +140,113 @@ def fit_per_user(df: DataFrame, key: str, user: str, columns: Sequence[str], lab
     return some.select(user, label, *columns).groupBy(user).applyInPandas(fit, f"{user} string, weights array<double>, bias double, n long")
 
 
-def synthesize_anomalies(df: DataFrame, hours: DataFrame, seed: int = 1) -> DataFrame:
-    """One anomalous row for each row: account, host, ts, scenario, target 1.
-
-    The scenario comes from the row's place among its account's rows. It moves
-    the row to another day, out of the account's hours, and/or to an unseen
-    host; all draws are hashes of the row, so a rerun draws the same.
+#: Of each scenario: whether the day and the hour are normal, and the host known.
+SCENARIOS = {int(name[-1]): pattern for pattern, name in CASES.items()}
+
+
+def _week(df: DataFrame, hours: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of an account and scenario, the days that its rows can be drawn from:
+    first date, number of dates, and hours. At most seven a row."""
+    span = df.groupBy("account").agg(F.to_date(F.min("ts")).alias("_a"), F.to_date(F.max("ts")).alias("_b"))
+    long = classes.unpivot("account", [d.lower() for d in X.DAYS], "_day", "_class")
+    week = hours.withColumn("_day", F.lower("day")).join(long, ["account", "_day"]).join(span, "account")
+    number = F.array_position(F.array(*(F.lit(d.lower()) for d in X.DAYS)), F.col("_day")).cast("int") - 1
+    first = F.date_add("_a", F.pmod(number - F.weekday("_a"), F.lit(7)).cast("int"))
+    dates = F.when(first <= F.col("_b"), F.floor(F.datediff("_b", first) / 7).cast("int") + 1).otherwise(0)
+    start, end, every = F.col("start_hour"), F.col("end_hour"), F.sequence(F.lit(0), F.lit(23))
+    profiled = ~((start == 0) & (end == 23))
+    well_out, out = (F.filter(every, lambda h: (h < start - d) | (h > end + d)) for d in (1, 0))
+    usual = F.when(profiled, F.filter(every, lambda h: (h >= start) & (h <= end))).otherwise(F.array().cast("array<int>"))
+    unusual = F.when(profiled, F.when(F.size(well_out) > 0, well_out).otherwise(out)).otherwise(every)
+    day = F.struct(number.alias("i"), (F.col("_class") == "normal").alias("normal"), first.alias("first"), dates.alias("dates"), usual.alias("usual"), unusual.alias("unusual"))
+    return week.where(dates > 0).groupBy("account").agg(F.sort_array(F.collect_list(day)).alias("week"))
+
+
+def synthesize_anomalies(df: DataFrame, hours: DataFrame, classes: DataFrame, seed: int = 1) -> DataFrame:
+    """One anomalous row for each row with an account and a time: event_id,
+    account, host, ts, unlocks, locks, scenario, realised, target 1.
+
+    The scenario comes from the row's place among its account's rows. It says
+    whether the weekday is one of the account's normal or abnormal ones
+    (:func:`logs.weekday_class`), the hour inside that day's hours or, if there
+    is one, more than an hour outside (:func:`logs.hour_profile`), and the host
+    one of the account's (each in proportion to its rows) or a new one. The date
+    lies between the account's first and last; locks follow its unlock ratio.
+    ``realised`` is false where an account has no such day or hour: any day and
+    hour is drawn then. Draws depend on event_id and seed only.
+    """
+    rows = df.where("account is not null and ts is not null")
+    draw = lambda tag, n: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}{tag}"), F.col("event_id").cast("string"))), 1, 8), 16, 10).cast("long") % n).cast("int")
+    planned = assign_scenario(rows, [F.col("ts"), F.col("event_id")]).join(_week(rows, hours, classes), "account").join(unlock_ratio(rows), "account", "left")
+    want = lambda i: F.element_at(F.create_map(*(F.lit(x) for n, p in SCENARIOS.items() for x in (n, p[i]))), F.col("scenario"))
+    of = lambda d: F.when(want(1), d["usual"]).otherwise(d["unusual"])
+    fit = F.filter("week", lambda d: (d["normal"] == want(0)) & (F.size(of(d)) > 0))
+    planned = planned.withColumn("_fit", fit).withColumn("realised", F.size("_fit") > 0)
+    any_day = F.transform("week", lambda d: F.struct(d["first"].alias("first"), d["dates"].alias("dates"), F.sequence(F.lit(0), F.lit(23)).alias("hours")))
+    own_days = F.transform("_fit", lambda d: F.struct(d["first"].alias("first"), d["dates"].alias("dates"), of(d).alias("hours")))
+    days = F.when(F.col("realised"), own_days).otherwise(any_day)
+    planned = planned.withColumn("_days", days).withColumn("_d", F.element_at("_days", draw("day", F.size("_days")) + 1))
+    date = F.date_add(F.col("_d")["first"], 7 * draw("date", F.col("_d")["dates"]))
+    hour = F.element_at(F.col("_d")["hours"], draw("hour", F.size(F.col("_d")["hours"])) + 1)
+    ts = F.timestamp_seconds(F.unix_timestamp(date.cast("timestamp")) + hour * 3600 + draw("second", F.lit(3600)))
+    # a known host is that of another row of the account, found by its number
+    hosts = rows.where("host is not null").withColumn("_j", F.row_number().over(Window.partitionBy("account").orderBy("ts", "event_id")) - 1).select("account", "_j", F.col("host").alias("_host"))
+    many = rows.where("host is not null").groupBy("account").agg(F.count("*").alias("_m"))
+    planned = planned.join(many, "account", "left").withColumn("_j", F.when(want(2), draw("host", F.col("_m"))))
+    new = F.concat(F.lit("NEW"), F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}new"), F.col("event_id").cast("string"))), 1, 12))
+    unlocks = (draw("lock", F.lit(1_000_000)) < F.coalesce("unlock_ratio", F.lit(0.5)) * 1_000_000).cast("int")
+    made = planned.join(hosts, ["account", "_j"], "left").withColumn("_new", ~want(2) | F.col("_host").isNull())
+    return made.select(
+        "event_id", "account", F.when(F.col("_new"), new).otherwise(F.col("_host")).alias("host"), ts.alias("ts"), unlocks.alias("unlocks"), (1 - unlocks).alias("locks"), "scenario", (F.col("realised") & (F.col("_new") == ~want(2))).alias("realised"), F.lit(1).alias("target"),
+    )
+
+
+def with_anomalies(df: DataFrame, seed: int = 1) -> DataFrame:
+    """The rows (target 0) and as many anomalous ones (target 1): event_id,
+    account, host, ts, unlocks, locks, scenario (0: as it was), target. The
+    profiles are those of the rows themselves."""
+    own = df.where("account is not null and ts is not null")
+    new = synthesize_anomalies(own, hour_profile(own), weekday_class(day_profile(own)), seed)
+    flag = lambda some: F.coalesce(F.col("activity").isin(*some), F.lit(False)).cast("int")
+    old = own.select("event_id", "account", "host", "ts", flag(UNLOCKS).alias("unlocks"), flag(LOCKS).alias("locks"), F.lit(0).alias("scenario"), F.lit(0).alias("target"))
+    return old.unionByName(new.drop("realised"))
+
+
+def augment(df: DataFrame, key: str, columns: Sequence[str], y: str, strategy: str = "noise", n: int = 1, seed: int = 1, scale: float = 0.05, nearest: int = 4, shape: float | None = None, jitter: float = 0.0005, tails: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
+    """``n`` new rows for each row, numbered in ``copy``.
+
+    ``noise``: gaussian noise of ``scale`` standard deviations. ``mixup``: a
+    point between the row and one of its ``nearest`` neighbours in feature
+    space, at a beta(0.5, 0.5) share of the row; features and y alike.
+    ``extremes``: the same among the rows whose y lies at or beyond the
+    quantiles ``tails``, with neighbours among these, beta(0.4, 0.4) shares and
+    gaussian noise of ``jitter`` on the features. Rows with a null feature have
+    no neighbours and give no new row; draws depend on key, copy and seed.
     """
-    draw = lambda tag, n: F.pmod(F.xxhash64("event_id", F.lit(seed), F.lit(tag)), F.lit(n))
-    rows = assign_scenario(df, [F.col("ts"), F.col("event_id")]).withColumn("day", F.date_format("ts", "EEEE")).join(hours, ["account", "day"], "left")
-    s = F.col("scenario")
-    other_day, other_hour, other_host = s.isin(2, 4, 6, 7), s.isin(1, 4, 5, 7), s.isin(3, 5, 6, 7)
-    before, after = F.coalesce("start_hour", F.lit(0)), F.lit(23) - F.coalesce("end_hour", F.lit(23))
-    free = F.greatest(F.lit(1), before + after)
-    pick = draw("hour", 24 * 7 * 11) % free
-    hour = F.when(pick < before, pick).otherwise(F.least(F.lit(23), F.coalesce("end_hour", F.lit(23)) + 1 + pick - before))
-    day0 = F.date_trunc("day", "ts")
-    seconds = F.when(other_hour, hour * 3600 + draw("second", 3600)).otherwise(F.unix_timestamp("ts") - F.unix_timestamp(day0))
-    shift = F.when(other_day, 1 + draw("day", 5)).otherwise(0)
-    moved = F.timestamp_seconds(F.unix_timestamp(day0) + shift * 86_400 + seconds)
-    return rows.select("event_id", "account", F.when(other_host, F.concat(F.lit("PCX"), draw("host", 1000).cast("string"))).otherwise(F.col("host")).alias("host"), moved.alias("ts"), "scenario", F.lit(1).alias("target"))
-
-
-def augment(df: DataFrame, key: str, columns: Sequence[str], y: str, strategy: str = "noise", n: int = 1, seed: int = 1, scale: float = 0.05) -> DataFrame:
-    """``n`` new rows for each row: with gaussian noise of ``scale`` standard
-    deviations, or mixed with the row next to it in a hash order (``mixup``)."""
+    if strategy not in ("noise", "mixup", "extremes"):
+        raise ValueError(f"no strategy {strategy}")
+    if strategy == "extremes":
+        low, high = (F.lit(x).cast("double") for x in quantiles(df, [(y, tails[0]), (y, tails[1])]))
+        df = df.where((F.col(y) <= low) | (F.col(y) >= high))
     copies = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = lambda tag: (F.xxhash64(F.col(key), F.col("copy"), F.lit(seed), F.lit(tag)) / F.lit(2.0**64)) + 0.5
+    gauss = lambda c: normal_variate(seed, key, "copy", F.lit(c))
     if strategy == "noise":
         spread = df.agg(*(F.stddev_pop(c).alias(f"_s_{c}") for c in columns))
-        gauss = lambda c: F.sqrt(-2 * F.log(F.greatest(u(c + "a"), F.lit(1e-12)))) * F.cos(2 * np.pi * u(c + "b"))
         out = copies.crossJoin(F.broadcast(spread))  # one row
         return out.withColumns({c: F.col(c) + gauss(c) * F.col(f"_s_{c}") * scale for c in columns}).drop(*(f"_s_{c}" for c in columns))
-    chunk = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 + df.count() // 8192))  # of some thousand rows each
-    by = Window.partitionBy("copy", chunk).orderBy(F.xxhash64(F.col(key), F.col("copy"), F.lit(seed)), key)
+    shape = shape or (0.5 if strategy == "mixup" else 0.4)
+    near = knn_features(df, key, columns, nearest + 1).where("id <> neighbour")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
+    near = near.withColumn("_p", place).where(F.col("_p") <= nearest).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_p", "neighbour"))).alias("_near"))
     every = [*columns, y]
-    out = copies.withColumns({f"_n_{c}": F.lead(c).over(by) for c in every}).where(F.col(f"_n_{y}").isNotNull()).withColumn("_w", 0.5 + u("mix") / 2)
-    return out.withColumns({c: F.col("_w") * F.col(c) + (1 - F.col("_w")) * F.col(f"_n_{c}") for c in every}).drop("_w", *(f"_n_{c}" for c in every))
+    other = df.select(F.col(key).alias("_o"), *(F.col(c).alias(f"_n_{c}") for c in every))
+    out = copies.join(near.withColumnRenamed("id", key), key)
+    pick = F.least(F.floor(uniform(seed, key, "copy", F.lit("near")) * F.size("_near")).cast("int"), F.size("_near") - 1) + 1
+    out = out.withColumn("_o", F.element_at("_near", pick)["neighbour"]).join(other, "_o").withColumn("_w", beta_variate(shape, shape, seed, key, "copy"))
+    mixed = {c: F.col("_w") * F.col(c) + (1 - F.col("_w")) * F.col(f"_n_{c}") for c in every}
+    if strategy == "extremes":
+        mixed |= {c: mixed[c] + gauss(c) * jitter for c in columns}
+    return out.withColumns(mixed).withColumnsRenamed({"_o": "neighbour", "_w": "share"}).drop("_near", *(f"_n_{c}" for c in every))
 
 
-__all__ = ["assembled", "augment", "cluster_points", "fit_churn", "fit_per_user", "fit_regressor", "moments", "pca_reduce", "regional_predict", "ridge", "stack_predict", "synthesize_anomalies", "weighted_sample"]
+__all__ = ["assembled", "augment", "cluster_points", "fit_churn", "fit_per_user", "fit_regressor", "moments", "pca_reduce", "regional_predict", "ridge", "stack_predict", "synthesize_anomalies", "weighted_sample", "with_anomalies"]

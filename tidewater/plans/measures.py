@@ -85,6 +85,30 @@ def m2_robust_scale(spark, d):
     return M.robust_scale(f.where("vec_id % 5 <> 0"), f.where("vec_id % 5 = 0"), ["x1"]).select("vec_id", F.round("x1", 5).alias("x1"))
 
 
+def _poly(c, x):
+    out = repr(c[-1])
+    for v in reversed(c[:-1]):
+        out = f"({out} * {x} + {v!r})"
+    return out
+
+
+def _ratio(parts, x):
+    return f"{_poly(parts[0], x)} / {_poly(parts[1], x)}"
+
+
+_RANKED = f"""sorted AS (SELECT list(x1 ORDER BY x1) AS v, count(*) AS rows_n, least(1000, count(*)) AS n FROM ({_TR})),
+marks AS (SELECT n, list_transform(range(n), lambda i: v[(i * (rows_n - 1)) // (n - 1) + 1] + (v[least(rows_n, (i * (rows_n - 1)) // (n - 1) + 2)] - v[(i * (rows_n - 1)) // (n - 1) + 1]) * (((i * (rows_n - 1)) % (n - 1)) / CAST(n - 1 AS DOUBLE))) AS q FROM sorted),
+placed AS (SELECT vec_id, x1, q, n, len(list_filter(q, lambda v: v < x1)) AS lo, len(list_filter(q, lambda v: v <= x1)) AS hi FROM {_TE}, marks),
+share AS (SELECT vec_id, least(1 - 1e-7, greatest(1e-7, CASE WHEN x1 - 1e-7 < q[1] THEN 0.0 WHEN x1 + 1e-7 > q[n] THEN 1.0 WHEN hi > lo THEN (lo + hi - 1) / 2.0 / (n - 1) ELSE (lo - 1 + (x1 - q[lo]) / (q[lo + 1] - q[lo])) / (n - 1) END)) AS p FROM placed),
+side AS (SELECT vec_id, p, CAST(p AS DOUBLE) - 0.5 AS s, sqrt(-ln(CASE WHEN p < 0.5 THEN p ELSE 1 - p END)) AS r FROM share)"""
+
+
+@add(with_(FEAT, _RANKED) + f"SELECT vec_id, round(CASE WHEN abs(s) <= 0.425 THEN s * {_ratio(M.NORMAL_MIDDLE, '(0.180625 - s * s)')} ELSE sign(s) * CASE WHEN r <= 5 THEN {_ratio(M.NORMAL_NEAR, '(r - 1.6)')} ELSE {_ratio(M.NORMAL_FAR, '(r - 5)')} END END, 5) AS x1 FROM side")
+def m2_quantile_normal(spark, d):
+    f = features(spark, d)
+    return M.quantile_normal(f.where("vec_id % 5 <> 0"), f.where("vec_id % 5 = 0"), ["x1"]).select("vec_id", F.round("x1", 5).alias("x1"))
+
+
 @add(with_(FEAT) + "SELECT vec_id, round(x1 * x1, 6) AS x1_x1, round(x1 * x2, 6) AS x1_x2, round(x2 * x2, 6) AS x2_x2 FROM feat")
 def f26_polynomial(spark, d):
     o = M.polynomial(features(spark, d).select("vec_id", "x1", "x2"), ["x1", "x2"])
@@ -217,7 +241,7 @@ def t9_folds(spark, d):
     return M.folds(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 5)
 
 
-@add()
+@add(f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {_bucket('o_orderkey', 1, 2**31 - 1)}, o_orderkey LIMIT 1000")
 def t7_sample_n(spark, d):
     return M.sample_n(load(spark, d, "orders"), 1000, 1, "o_orderkey").select("o_orderkey", "o_custkey")
 
@@ -230,7 +254,13 @@ def t10_sample_weights(spark, d):
     return M.sample_weights(features(spark, d), "y", _F).select("vec_id", "weight")
 
 
-@add()
+#: Points thrown on the line of all weights, in the order of vec_id.
+_DRAWN = f"""feat2 AS (SELECT *, CAST(CASE WHEN y <= a OR y >= b THEN 4.0 WHEN {_V} > c THEN 2.0 ELSE 0.5 END AS DOUBLE) AS weight FROM feat, (SELECT quantile_cont(y, 0.05) AS a, quantile_cont(y, 0.95) AS b, quantile_cont({_V}, 0.75) AS c FROM feat)),
+line AS (SELECT vec_id, weight, sum(weight) OVER (ORDER BY vec_id) AS e FROM feat2),
+points AS (SELECT j, (CAST('0x' || substr(md5('42:' || j), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 * (SELECT sum(weight) FROM feat2) AS spot FROM (SELECT unnest(range((SELECT count(*) FROM embeddings))) AS j))"""
+
+
+@add(with_(FEAT, _DRAWN) + "SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY j) AS INT) AS copy FROM points JOIN line ON spot > e - weight AND spot <= e")
 def t10_weighted_sample(spark, d):
     f = features(spark, d)
     w = M.sample_weights(f, "y", _F)
