@@ -182,9 +182,10 @@ def quantile_normal(train: DataFrame, test: DataFrame, columns: Sequence[str], m
         marks = landmarks(train, c, most)
         x = F.col(c).cast("double")
         if len(marks) < 2:
-            at = F.when(x.isNotNull(), F.when(x < marks[0], 0.0).when(x > marks[0], 1.0).otherwise(0.0)) if marks else F.lit(None).cast("double")
+            at = F.when(x.isNotNull() & ~F.isnan(x), F.when(x < marks[0], 0.0).when(x > marks[0], 1.0).otherwise(0.0)) if marks else F.lit(None).cast("double")
         else:
-            array = F.array(*map(F.lit, marks))
+            test = test.crossJoin(F.broadcast(test.sparkSession.createDataFrame([(marks,)], "_marks array<double>")))  # one row
+            array = F.col("_marks")
 
             def below(or_equal: bool) -> Column:
                 """How many landmarks are below x, by halving."""
@@ -206,7 +207,7 @@ def quantile_normal(train: DataFrame, test: DataFrame, columns: Sequence[str], m
             at = F.when(hi > lo, (lo + hi - 1) / 2).otherwise(between) / (len(marks) - 1)
             at = F.when(x.isNotNull() & ~F.isnan(x), F.when(x - 1e-7 < marks[0], 0.0).when(x + 1e-7 > marks[-1], 1.0).otherwise(at))
         test = test.withColumn("_p", F.when(at.isNotNull(), F.greatest(F.least(at, F.lit(1 - 1e-7)), F.lit(1e-7))))
-        test = test.withColumn(c, normal_quantile(F.col("_p"))).drop("_lo", "_hi", "_p")
+        test = test.withColumn(c, normal_quantile(F.col("_p"))).drop("_lo", "_hi", "_p", "_marks")
     return test
 
 
