@@ -21,7 +21,7 @@ def _folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/streams-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return tempfile.mkdtemp(prefix="spark-streams-")
 
@@ -69,6 +69,16 @@ def x2_stream_sliding_counts(spark, d):
 
 @add(with_(ACC, NEAR, SESS) + "SELECT account, host, strftime(unlock_time, '%Y-%m-%d %H:%M:%S') AS unlock_time, strftime(lock_time, '%Y-%m-%d %H:%M:%S') AS lock_time, CAST(epoch(lock_time) - epoch(unlock_time) AS BIGINT) AS duration_ts FROM sess")
 def x3_stream_sessions(spark, d):
+    return _sessions(spark, d).where("lock_time IS NOT NULL").select("account", "host", text("unlock_time").alias("unlock_time"), text("lock_time").alias("lock_time"), "duration_ts")
+
+
+@add(with_(ACC, NEAR) + "SELECT account, host, strftime(ts, '%Y-%m-%d %H:%M:%S') AS unlock_time FROM near WHERE opens AND next_lock IS NULL")
+def x3_stream_open_unlocks(spark, d):
+    """Unlocks that no lock has followed, put out by their timers."""
+    return _sessions(spark, d).where("lock_time IS NULL").select("account", "host", text("unlock_time").alias("unlock_time"))
+
+
+def _sessions(spark, d):
     """A last row in the far future moves the watermark past all others."""
     e = access_events(spark, d).select("account", "host", F.col("ts").cast("timestamp").alias("ts"), "activity")
     end = spark.createDataFrame([("~", "~", "Lock")], "account string, host string, activity string").select("account", "host", F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts"), "activity")
@@ -76,8 +86,7 @@ def x3_stream_sessions(spark, d):
     e.repartition(3).write.parquet(path)
     end.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(e.schema).parquet(path)
-    o = _drained(spark, S.stream_sessions(stream, "0 seconds"))
-    return o.select("account", "host", text("unlock_time").alias("unlock_time"), text("lock_time").alias("lock_time"), "duration_ts")
+    return _drained(spark, S.stream_sessions(stream, "0 seconds", limit="3650 days"))
 
 
 @add("SELECT user_id, CASE WHEN event_type = 'error' THEN 'HIGH' ELSE 'CRITICAL' END AS severity, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS follow_up_at FROM events WHERE event_type IN ('error', 'purchase')")
@@ -94,13 +103,10 @@ def x5_stream_gap_sessions(spark, d):
     return o.select("user_id", text("start").alias("start"), "n")
 
 
-@add("SELECT user_id, max(event_id) AS last_event, count(*) AS n FROM events GROUP BY user_id")
+@add("SELECT user_id, event_id AS last_event, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def x6_stream_upsert(spark, d):
-    """Per-user profiles, put into a table by one micro-batch after another."""
-    e = load(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count("*").alias("n"))
+    """Each user's last event, by micro-batches in which users come again and again."""
+    e = load(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     folder = _folder(spark)
-    S.stream_upsert(_source(spark, e), f"{folder}/table", ["user_id"], f"{folder}/checkpoint").awaitTermination()
-    last = 0
-    while S._exists(spark, f"{folder}/table/g{last + 1}/_SUCCESS"):
-        last += 1
-    return spark.read.parquet(f"{folder}/table/g{last}")
+    S.stream_upsert(_source(spark, e), f"{folder}/table", ["user_id"], f"{folder}/checkpoint", ["ts", "event_id"], 16).awaitTermination()
+    return S.read_upserted(spark, f"{folder}/table", e.schema).select("user_id", F.col("event_id").alias("last_event"), "event_type", text("ts").alias("ts"))
