@@ -8,9 +8,10 @@ with its vectors exactly and hands on only its best, so what is shuffled is a
 bounded list for each query, table and block.
 
 Inner products of vectors of any length become angles by one more coordinate
-(Bachrach et al., RecSys 2014). Vectors are hashed in bands of like norm (powers
-of two), each by its own largest, so a few long vectors do not flatten the
-others; a query looks into every band. Equal vectors are searched once and keep
+(Bachrach et al., RecSys 2014). Vectors are hashed in bands of like norm (from
+2^(b - 1/2) to 2^(b + 1/2), so those of length 1 lie in the middle of one), each
+by its own largest, so a few long vectors do not flatten the others; a query
+looks into every band. Equal vectors are searched once and keep
 the ids that can reach a result. Queries that meet fewer vectors than they ask
 for are compared with all of them, block by block.
 """
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, prepare
 
 TABLES, PROBES, SEED = 16, 16, 11
-#: Vectors of a bucket that one task compares at a time.
-BLOCK = 4096
+#: Vectors of a bucket that one task compares with, and queries of it that one task asks, at a time.
+BLOCK, ASKS = 4096, 16_384
 
 
 def _padded(dim: int) -> int:
@@ -79,9 +80,11 @@ def _rows(bucket: np.ndarray, asks: bool, place: np.ndarray, x: np.ndarray) -> p
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(x), asks)), pa.array(place), vectors], schema=_HASHED)
 
 
-def _hashed(dim: int, bands: list[int], tables: int, probes: int, seed: int):
+def _hashed(dim: int, bands: list[tuple[int, float]], tables: int, probes: int, seed: int):
+    """``bands``: number, and logarithm (base 2) of the largest norm."""
     signs = rotations(dim + 1, tables, seed)
-    band_of, step = np.array(bands), tables * 2 * signs.shape[-1]
+    band_of, longest = np.array([b for b, _ in bands]), np.array([x for _, x in bands])
+    step = tables * 2 * signs.shape[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,9 +96,9 @@ def _hashed(dim: int, bands: list[int], tables: int, probes: int, seed: int):
             top = np.abs(x).max(axis=1, keepdims=True)  # before squares, which may leave the range of numbers
             norm = top[:, 0] * np.linalg.norm(x / top, axis=1)
             unit = x / top / np.linalg.norm(x / top, axis=1, keepdims=True)
-            part = np.ldexp(norm, -(band + 1))  # of the band's largest norm
-            data = np.c_[unit * part[:, None], np.sqrt(np.clip(1 - part**2, 0, None))]
             at = np.searchsorted(band_of, band)
+            part = np.exp2(np.minimum(np.log2(norm) - longest[at], 0))  # of the band's largest norm
+            data = np.c_[unit * part[:, None], np.sqrt(np.clip(1 - part**2, 0, None))]
             query = np.c_[unit[asks], np.zeros(asks.sum())]
             for t in range(tables):
                 base = t * 2 * signs.shape[-1]
@@ -168,16 +171,20 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: i
     rows = unique.select("place", F.coalesce("asks", F.lit(False)).alias("asks"), F.concat("vector", pad).alias("vector"), "top")
     # the largest component first: squares of very large or small ones leave the range of numbers
     length = F.log2("top") + F.log2(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top")))) / 2
-    rows = rows.withColumn("band", F.floor(length + 1e-9).cast("long")).drop("top")
-    bands = sorted(r.band for r in rows.select("band").distinct().collect())  # powers of two: some two thousand at most
+    rows = rows.withColumn("length", length).withColumn("band", F.floor(F.col("length") + 0.5).cast("long")).drop("top")
+    bands = sorted((r["band"], r["longest"]) for r in rows.groupBy("band").agg(F.max("length").alias("longest")).collect())  # powers of two: some two thousand at most
+    rows = rows.drop("length")
     hashed = rows.mapInArrow(_hashed(dim, bands, tables, probes, seed), "bucket long, asks boolean, place long, vector array<double>")
     hashed = scratch.keep(hashed, "hashed")
-    # a large bucket is split into blocks; queries go to each of its blocks
-    size = hashed.where("not asks").groupBy("bucket").count()
-    blocks = size.select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = hashed.join(F.broadcast(blocks), "bucket")  # at most tables * 2 * padded dimension rows
-    dealt = dealt.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")))))
-    best = dealt.groupBy("bucket", "block").applyInArrow(_best(k + 1, dim), "place long, other long, score double").distinct()
+    # a large bucket is split into blocks of vectors and parts of queries; each part meets each block
+    size = hashed.groupBy("bucket").agg(F.count_if(~F.col("asks")).alias("held"), F.count_if("asks").alias("asked")).where("held > 0 AND asked > 0")
+    cuts = size.select("bucket", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / ASKS).cast("int").alias("parts"))
+    dealt = hashed.join(F.broadcast(cuts), "bucket")  # at most tables * 2 * padded dimension rows a band
+    one = lambda n: F.array(F.pmod(F.xxhash64("place"), n).cast("int"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    dealt = dealt.withColumn("block", F.explode(F.when(F.col("asks"), each(F.col("blocks"))).otherwise(one(F.col("blocks")))))
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("asks"), one(F.col("parts"))).otherwise(each(F.col("parts"))))).drop("blocks", "parts")
+    best = dealt.groupBy("bucket", "block", "part").applyInArrow(_best(k + 1, dim), "place long, other long, score double").distinct()
     best = scratch.keep(best, "best")
     # queries that have met too few: as many as asked for, or all there are, and themselves
     n = unique.count()
