@@ -40,8 +40,12 @@ def test_open_blocks_follow_their_nearest_neighbours():
         got = html_text.labels(one_zone)
         words = [t.split() for t, *_ in one_zone]
         first = []
-        for (t, linked, _, bad), w in zip(one_zone, words):
-            density = sum(x in html_text.STOP for x in w) / len(w)
+        share = [sum(x in html_text.STOP for x in w) / len(w) for w in words]
+        foreign = all(d < 0.05 for d, (t, linked, _, bad) in zip(share, one_zone) if len(t) >= 70 and linked <= 0.34 and not bad)
+        for (t, linked, _, bad), density in zip(one_zone, share):
+            if foreign and not bad and linked <= 0.34 and len(t) >= 70:
+                first.append(True)
+                continue
             first.append(False if bad or linked > 0.34 else None if len(t) < 70 or 0.1 <= density < 0.2 and len(t) < 200 else density >= 0.1 or len(t) >= 200 and density >= 0.05)
         for i, x in enumerate(first):
             if x is None:

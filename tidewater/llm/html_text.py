@@ -24,12 +24,13 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-OUTSIDE = frozenset("head title nav footer aside form menu button dialog search".split())
+OUTSIDE = frozenset("head title nav footer aside menu button dialog search".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies "
     "respond rail search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+COMMENTS = frozenset("comment comments disqus replies respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 STOP = frozenset(
     "a an and are as at be by for from has he in is it its of on or that the this to was were which with you "
@@ -40,6 +41,7 @@ STOP = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>"
     rf"|<(?P<raw>{RAW.replace(' ', '|')})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
@@ -52,48 +54,83 @@ SHORT, LONG = 70, 200
 LINKED, STOPPED = 0.34, 0.1
 
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
+#: Shares of the text around it from which on a suspect is not boilerplate: one with
+#: a heading, any other, and one that is named for comments.
+HEADED, HOLDS, DISCUSSED = 0.3, 0.5, 0.9
+
+
+def _suspicion(tag: str, attrs: str, inside: bool) -> int:
+    """0: none, 1: its name speaks against it (2: for comments), 3: boilerplate whatever it holds."""
     if tag in OUTSIDE or (tag == "header" and not inside):
-        return True
+        return 3
+    found = int(tag == "form")
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for name, value in _NAMED.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             own = {x.lower() for x in _PARTS.findall(value)} & HINTS
             if own and not (inside and own == {"header"}):
-                return True
+                found = max(found, 2 if own & COMMENTS else 1)
         elif name == "role" and value.lower() in ROLES:
-            return True
+            return 3
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return 3
+    return found
+
+
+class Suspect:
+    """An element whose name speaks against it. What it holds decides."""
+
+    __slots__ = ("outer", "zone", "comments", "size", "article", "heading")
+
+    def __init__(self, outer: int, zone: int, comments: bool):
+        self.outer, self.zone, self.comments = outer, zone, comments
+        self.size, self.article, self.heading = 0, False, False
+
+
+def _condemned(suspects: list[Suspect], sizes: dict[int, int]) -> list[bool]:
+    """A suspect is spared if it holds the article, or most of the text that
+    stands beside it: of its article if it lies in one, else of the page."""
+    for x in reversed(suspects):  # inner ones come later
+        if x.outer >= 0:
+            outer = suspects[x.outer]
+            outer.size += x.size
+            outer.article |= x.article
+            outer.heading |= x.heading
+    whole, out = sum(sizes.values()), []
+    for x in suspects:
+        share = x.size / max(1, sizes.get(x.zone, 0) if x.zone else whole)
+        spared = x.article or share >= (DISCUSSED if x.comments else HEADED if x.heading else HOLDS)
+        out.append(not spared or (x.outer >= 0 and out[x.outer]))
+    return out
 
 
 class Block:
-    __slots__ = ("parts", "linked", "zone", "bad")
+    __slots__ = ("parts", "linked", "zone", "bad", "suspect")
 
-    def __init__(self, zone: int, bad: bool):
+    def __init__(self, zone: int, bad: bool, suspect: int):
         self.parts: list[str] = []
         self.linked = 0
-        self.zone, self.bad = zone, bad
+        self.zone, self.bad, self.suspect = zone, bad, suspect
 
 
 def blocks(page: str) -> list[tuple[str, float, int, bool]]:
     """(text, link density, zone, stands in boilerplate) in page order."""
     found: list[Block] = []
-    open_: list[tuple[str, bool, int]] = []  # tag, opens boilerplate, opens a zone
+    open_: list[tuple[str, bool, int, int]] = []  # tag, opens boilerplate, opens a zone, the suspect around it (-2: it is none itself)
+    suspects: list[Suspect] = []
     places: dict[str, list[int]] = {}  # of each tag, where it stands in open_
     opened: list[int] = []  # where block tags stand
     bad = zones = links = at = 0
-    zone = 0
-    now = Block(0, False)
+    zone, suspect = 0, -1
+    now = Block(0, False, -1)
 
     def cut() -> None:
         nonlocal now
         if now.parts:
             found.append(now)
-        now = Block(zone, bad > 0)
+        now = Block(zone, bad > 0, suspect)
 
     def say(raw: str) -> None:
         if raw:
@@ -102,9 +139,10 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
                 now.linked += len(raw.strip())
 
     def close(k: int) -> None:
-        nonlocal bad, zone, links
+        nonlocal bad, zone, links, suspect
+        ends = False
         while len(open_) > k:
-            tag, was_bad, was_zone = open_.pop()
+            tag, was_bad, was_zone, around = open_.pop()
             places[tag].pop()
             if tag in BLOCKS:
                 opened.pop()
@@ -112,6 +150,11 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
             links -= tag == "a"
             if was_zone:
                 zone = 0
+            if around > -2:
+                suspect = around
+            ends |= was_bad or around > -2
+        if ends:  # what follows stands outside
+            cut()
 
     for m in _TOKEN.finditer(page):
         say(page[at : m.start()])
@@ -146,43 +189,60 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
         if new_zone:
             zones += 1
             zone = zones
-        is_bad = _boilerplate(tag, m["attrs"], zone > 0)
+        level = _suspicion(tag, m["attrs"], zone > 0)
+        is_bad, around = level == 3, -2
         bad += is_bad
+        if level in (1, 2):
+            suspects.append(Suspect(suspect, zone, level == 2))
+            around, suspect = suspect, len(suspects) - 1
+        elif suspect >= 0 and not bad:
+            suspects[suspect].article |= bool(new_zone)
+            suspects[suspect].heading |= tag == "h1"
         links += tag == "a"
         places.setdefault(tag, []).append(len(open_))
         if tag in BLOCKS:
             opened.append(len(open_))
-        open_.append((tag, is_bad, zone if new_zone else 0))
-        if tag in BLOCKS:
-            cut()
-        elif is_bad:
+        open_.append((tag, is_bad, zone if new_zone else 0, around))
+        if tag in BLOCKS or level:
             cut()
     say(page[at:])
     cut()
-    out = []
-    for b in found:
-        text = " ".join(html.unescape("".join(b.parts)).split())
-        if text:
-            out.append((text, b.linked / max(1, len(text)), b.zone, b.bad))
-    return out
+    texts = [" ".join(html.unescape("".join(b.parts)).split()) for b in found]
+    sizes: dict[int, int] = {}
+    for b, text in zip(found, texts):
+        if not b.bad:
+            sizes[b.zone] = sizes.get(b.zone, 0) + len(text)
+            if b.suspect >= 0:
+                suspects[b.suspect].size += len(text)
+    gone = _condemned(suspects, sizes)
+    return [(text, b.linked / len(text), b.zone, b.bad or (b.suspect >= 0 and gone[b.suspect])) for b, text in zip(found, texts) if text]
+
+
+def _density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
 
 
 def labels(found: list[tuple[str, float, int, bool]]) -> list[bool]:
     """Whether each block is main text."""
     first: list[bool | None] = []
     zoned = any(zone and not bad for *_, zone, bad in found)
+    # longer blocks almost without these stop words: another language, so length and links decide
+    long = [_density(text) for text, linked, _, bad in found if len(text) >= SHORT and linked <= LINKED and not bad]
+    foreign = bool(long) and max(long) < STOPPED / 2
     for text, linked, zone, bad in found:
         if bad or linked > LINKED:
             first.append(False)
             continue
-        words = text.lower().split()
-        density = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
+        density = _density(text)
         if zone:  # an article keeps what nothing speaks against
             first.append(True if len(text) >= SHORT or density >= STOPPED else None)
         elif zoned:  # the page names its article; what stands elsewhere needs strong signs
             first.append(True if len(text) >= LONG and density >= 2 * STOPPED and not linked else False)
         elif len(text) < SHORT:
             first.append(None)
+        elif foreign:
+            first.append(True)
         elif density >= STOPPED:
             first.append(True if len(text) >= LONG or density >= 2 * STOPPED else None)
         else:
