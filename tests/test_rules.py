@@ -307,3 +307,93 @@ def test_weighted_sample_draws_exactly_n(spark):
     assert got.count() == 5000 and not {1, 3, 6} & set(count)
     assert abs(count[4] / 5000 - 1000 / total) < 0.02 and got.where("id = 4").select("copy").distinct().count() == count[4]
     assert M.weighted_sample(df.where("w is null"), "w", 5, "id").count() == 0
+
+
+def test_zones_are_dense_cells_that_touch(spark):
+    """Against walking from cell to cell: a long winding zone, a corner, a single cell, thin cells between."""
+    rng = np.random.default_rng(4)
+    cells = {(i, 0) for i in range(40)} | {(39, j) for j in range(30)} | {(40, 30), (41, 31), (-9, -9)} | {(int(a), int(b)) for a, b in rng.integers(50, 62, (60, 2))}
+    rows = [((x + 0.5) * 0.1, (y + 0.5) * 0.1) for x, y in cells for _ in range(5 if x != 20 else 6)] + [(0.05, 9.05)] * 4 + [(None, 1.0)]
+    got = {(r.zone_x, r.zone_y): (r.zone, r.n) for r in P.zones(spark.createDataFrame(rows, "lon double, lat double"), 0.1, 5).collect()}
+    left, groups = set(cells), []
+    while left:
+        todo, group = [left.pop()], set()
+        while todo:
+            x, y = todo.pop()
+            group.add((x, y))
+            for c in [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                if c in left:
+                    left.discard(c)
+                    todo.append(c)
+        groups.append(group)
+    assert set(got) == cells and len({z for z, _ in got.values()}) == len(groups)
+    assert all(len({got[c][0] for c in g}) == 1 for g in groups)
+    sizes = {got[next(iter(g))][0]: sum(got[c][1] for c in g) for g in groups}
+    assert [sizes[z] for z in sorted(sizes)] == sorted(sizes.values(), reverse=True)
+    trips = spark.createDataFrame([(0.05, 0.05, "2024-01-01 07:30:00"), (9.9, 0.0, "2024-01-01 07:10:00")], "lon double, lat double, p string").withColumn("pickup", F.to_timestamp("p"))
+    zone = got[0, 0][0]
+    assert {tuple(r) for r in P.demand_by_zone(trips, spark.createDataFrame([(zone, 0, 0)], "zone int, zone_x long, zone_y long"), 0.1).collect()} == {(zone, 7, 1), (0, 7, 1)}
+
+
+def test_site_and_water_features(spark):
+    site = spark.createDataFrame([(0.5, 2.0, 10.0, 20.0, 4.0, 3.0), (0.5, 0.0, None, 20.0, 4.0, 3.0)], "building_coverage double, building_density double, avg_building_height double, temp_mean double, temp_std double, wind_speed_mean double")
+    a, b = P.interactions(site).collect()
+    assert (a.building_coverage_ratio, a.building_density_squared, a.height_to_coverage_ratio, a.temp_building_interaction, a.temp_std_coverage_ratio, a.temp_wind_building, a.wind_energy, a.building_volume, a.temp_variation_coefficient) == (0.25, 4.0, 20.0, 40.0, 1.0, 120.0, 9.0, 20.0, 0.2)
+    assert (b.building_coverage_ratio, b.height_to_coverage_ratio, b.temp_std_coverage_ratio, b.temp_building_interaction) == (None, None, None, 0.0) and "lst_building_interaction" not in a.asDict()
+    w = spark.createDataFrame([(0.3, 0.1, 0.2, 0.0, 7.0, "2024-04-10")], "nir double, green double, swir16 double, swir22 double, pet double, sample_date string")
+    r = P.water_features(w).first()
+    assert np.allclose([r.ndwi, r.ndmi, r.mndwi, r.nir_swir16, r.pet_ndmi, r.pet_mndwi, r.ndmi_squared, r.log_nir, r.month_sin, r.month_cos], [-0.5, 0.2, -1 / 3, 1.5, 1.4, -7 / 3, 0.04, math.log(1.3), math.sin(2 * math.pi / 3), math.cos(2 * math.pi / 3)])
+    assert r.green_swir22 is None and r.day_of_year == 101
+
+
+def test_report_over_a_period_and_default_caregiver(spark):
+    users = spark.createDataFrame([(1,), (2,), (2,)], "user_id long")
+    alerts = spark.createDataFrame([("2024-01-03 00:00:00", "high"), ("2024-01-10 00:00:00", "high"), ("2024-01-05 00:00:00", None), ("2024-01-02 23:59:59", "low"), ("2024-01-10 00:00:01", "low"), (None, "low")], "timestamp string, severity string")
+    tiers = spark.createDataFrame([(1, "high"), (1, "medium"), (2, "low")], "user_id long, tier string")
+    r = R.analytics_report(users, alerts, tiers, users, "2024-01-10 00:00:00").first()
+    assert (r.users, r.alerts, r.by_severity, r.at_risk, r.interventions, str(r.period_start), str(r.period_end)) == (2, 3, {"high": 2, "unknown": 1}, 1, 3, "2024-01-03 00:00:00", "2024-01-10 00:00:00")
+    none = R.analytics_report(users, alerts, tiers, users, "2020-01-10 00:00:00").first()
+    assert (none.alerts, none.by_severity) == (0, {})
+    people = spark.createDataFrame([(1, "Ann", "Bo", "daughter"), (3, "Cy", None, None)], "user_id long, patient string, caregiver string, relationship string")
+    got = {r.user_id: (r.patient, r.caregiver, r.relationship) for r in R.add_caregiver(spark.createDataFrame([(1,), (2,), (3,)], "user_id long"), people).collect()}
+    assert got == {1: ("Ann", "Bo", "daughter"), 2: ("Patient 2", "Family Member", "family member"), 3: ("Cy", "Family Member", "family member")}
+
+
+def test_each_user_gets_the_model_that_fits(spark):
+    """Classes apart by a line, by spread, and by a step; scored as chosen; metrics on rows held out."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for user in ("line", "spread", "step"):
+        for i in range(400):
+            a, b = rng.normal(size=2)
+            if user == "line":
+                y = int(a + b + 0.05 * rng.normal() > 0)
+            elif user == "spread":
+                y = i % 2
+                a, b = (a * 0.1, b * 0.1) if y else (a * 4, b * 4)
+            else:
+                y = int((a > 0.3) != (rng.random() < 0.02))
+            rows.append((f"{user}{i}", user, float(a), float(b), y))
+    rows += [("n1", "line", None, 1.0, 1), ("n2", "line", float("nan"), 1.0, 0), *((f"o{i}", "one", 1.0, 2.0, 0) for i in range(3))]
+    df = spark.createDataFrame(rows, "id string, user string, a double, b double, y int")
+    models = ML.choose_per_user(df, "id", "user", ["a", "b"], "y").cache()
+    got = {r.user: r for r in models.collect()}
+    assert set(got) == {"line", "spread", "step", "one"} and got["spread"].chosen != "logistic" and got["step"].chosen in ("stumps", "vote")
+    for user in ("line", "spread", "step"):
+        r = got[user]
+        assert r.n + r.n_unseen == 400 and 5 < r.n_unseen < 40 and r.score > 0.9 and r.f1 > 0.85
+    scored = ML.score_chosen(df, models, "user", ["a", "b"])
+    right = {r.user: r.share for r in scored.where("user <> 'one' AND prediction IS NOT NULL").groupBy("user").agg(F.avg((F.col("prediction") == F.col("y")).cast("int")).alias("share")).collect()}
+    assert min(right.values()) > 0.93
+    assert [r.prediction for r in scored.where("id = 'n1' OR user = 'one'").orderBy("id").collect()] == [None, 0, 0, 0]
+    again = {r.user: r for r in ML.choose_per_user(df.repartition(5), "id", "user", ["a", "b"], "y").collect()}
+    assert {u: (r.chosen, r.score, r.f1) for u, r in again.items()} == {u: (r.chosen, r.score, r.f1) for u, r in got.items()}
+    assert set(L.passing_models(models.select(F.col("user").alias("account")), models.select(F.col("user").alias("account"), "precision", "recall", "f1"), 0.85).select("account").collect()) >= {("spread",)}
+
+
+def test_churn_is_scored_on_rows_held_out(spark):
+    rows = [(i, float(i % 10), i % 10 // 7) for i in range(200)]
+    got = ML.fit_churn(spark.createDataFrame(rows, "user_id long, x double, churned_max int"), ["x"])
+    share = {(r.churned_max, r.is_test): r["count"] for r in got.groupBy("churned_max", "is_test").count().collect()}
+    assert share == {(0, True): 28, (0, False): 112, (1, True): 12, (1, False): 48}
+    assert got.where("is_test AND (p > 0.5) <> (churned_max = 1)").count() == 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions.expressions import CASES
 from .logs import LOCKS, UNLOCKS, assign_scenario, day_profile, hour_profile, unlock_ratio, weekday_class
-from .measures import beta_variate, bucket, folds, normal_variate, quantiles, regression_metrics, uniform, weighted_sample
+from .measures import beta_variate, bucket, folds, normal_variate, quantiles, regression_metrics, split_stratified, uniform, weighted_sample
 from .places import knn_features
 
 REGRESSORS = {
@@ -55,10 +57,12 @@ def fit_regressor(df: DataFrame, key: str, columns: Sequence[str], y: str, kind:
     return out
 
 
-def fit_churn(df: DataFrame, columns: Sequence[str], y: str = "churned_max", seed: int = 1) -> DataFrame:
-    data = assembled(df, columns)
-    model = GBTClassifier(featuresCol="features", labelCol=y, maxIter=10, maxDepth=3, seed=seed).fit(data)
-    return model.transform(data).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
+def fit_churn(df: DataFrame, columns: Sequence[str], y: str = "churned_max", key: str = "user_id", test: float = 0.2, seed: int = 1) -> DataFrame:
+    """Every row with its probability ``p`` and ``is_test``: the model has not
+    seen the rows held out, ``test`` of each class."""
+    data = split_stratified(assembled(df, columns), key, y, test, seed)
+    model = GBTClassifier(featuresCol="features", labelCol=y, maxIter=10, maxDepth=3, seed=seed).fit(data.where("NOT is_test"))
+    return model.transform(data).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def ridge(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -140,6 +144,137 @@ def fit_per_user(df: DataFrame, key: str, user: str, columns: Sequence[str], lab
     return some.select(user, label, *columns).groupBy(user).applyInPandas(fit, f"{user} string, weights array<double>, bias double, n long")
 
 
+#: Candidates of a user's model; ``vote`` is what at least two of them say.
+CANDIDATES = ("logistic", "bayes", "stumps")
+_CHOSEN = "chosen string, score double, precision double, recall double, f1 double, n long, n_unseen long, weights array<double>, bias double, squares array<double>, linear array<double>, base double, feature array<int>, edge array<double>, amount array<double>, level double"
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    z, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+    for _ in range(15):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + 0.1 * np.eye(len(w))
+        w = w + np.linalg.solve(h, z.T @ (y - p) - 0.1 * w)
+    return w[:-1], float(w[-1])
+
+
+def _bayes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log odds of two classes of independent normal features, a quadratic in each."""
+    squares, linear, base = np.zeros(x.shape[1]), np.zeros(x.shape[1]), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    for sign, c in ((1, x[y == 1]), (-1, x[y == 0])):
+        m, v = (c.mean(axis=0), c.var(axis=0) + 1e-2) if len(c) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        squares += sign * -0.5 / v
+        linear += sign * m / v
+        base += sign * float((-0.5 * m * m / v - 0.5 * np.log(v)).sum())
+    return squares, linear, base
+
+
+def _stumps(x: np.ndarray, y: np.ndarray, rounds: int = 20, edges: int = 16) -> tuple[list[int], list[float], list[float], float]:
+    """Boosted steps: each adds an amount where a feature is above an edge."""
+    w, t = np.full(len(y), 1 / len(y)), 2 * y - 1
+    cuts = [(j, float(e)) for j in range(x.shape[1]) for e in np.unique(np.quantile(x[:, j], np.linspace(0.02, 0.98, edges)))]
+    above = np.stack([x[:, j] > e for j, e in cuts])
+    feature, edge, amount, level = [], [], [], 0.0
+    for _ in range(rounds):
+        right = above @ (w * t) * 2 - (w * t).sum()  # of saying yes above and no below
+        i = int(np.argmax(np.abs(right)))
+        error = min(max((1 - abs(right[i])) / 2, 1e-6), 0.5)
+        a = 0.5 * math.log((1 - error) / error) * float(np.sign(right[i]) or 1)
+        feature.append(cuts[i][0])
+        edge.append(cuts[i][1])
+        amount.append(2 * a)
+        level -= a
+        w = w * np.exp(-a * t * np.where(above[i], 1, -1))
+        w /= w.sum()
+    return feature, edge, amount, level
+
+
+def _says(x: np.ndarray, logistic: tuple, bayes: tuple, stumps: tuple) -> dict[str, np.ndarray]:
+    out = {"logistic": x @ logistic[0] + logistic[1] > 0, "bayes": x**2 @ bayes[0] + x @ bayes[1] + bayes[2] > 0}
+    out["stumps"] = sum(a * (x[:, j] > e) for j, e, a in zip(*stumps[:3])) + stumps[3] > 0
+    return out | {"vote": sum(v.astype(int) for v in out.values()) >= 2}
+
+
+def _metrics(y: np.ndarray, p: np.ndarray) -> tuple[float, float, float]:
+    """Precision, recall and F1, 0 where there is nothing to divide by."""
+    hit = float((p & (y == 1)).sum())
+    precision, recall = hit / max(1, p.sum()), hit / max(1, y.sum())
+    return precision, recall, 2 * precision * recall / (precision + recall) if hit else 0.0
+
+
+def choose_per_user(df: DataFrame, key: str, user: str, columns: Sequence[str], label: str, most: int = 20_000, k: int = 5, unseen: float = 0.05, seed: int = 1) -> DataFrame:
+    """The best of several models for each user: user, ``chosen``, its mean F1
+    over ``k`` folds (``score``), precision, recall and F1 on the rows held out
+    (``unseen`` of the user's), row counts, and the models' numbers for
+    :func:`score_chosen`.
+
+    Candidates are a logistic model, naive Bayes, boosted stumps and the vote of
+    the three, on features scaled by the training rows; on a tie the earlier
+    one, the vote last. A hash sample bounds what one user brings to a task; it
+    is drawn before the grouping. Rows with a null or NaN take no part.
+    """
+    whole = df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (*columns, label))))
+    share = whole.groupBy(user).count().select(user, (F.lit(most) / F.greatest("count", F.lit(most))).alias("_s"))
+    some = whole.join(share, user).where(bucket(key, seed, 1_000_000) < F.col("_s") * 1_000_000)
+    some = some.withColumns({"_held": bucket(key, seed + 1, 10_000) < int(round(unseen * 10_000)), "_fold": bucket(key, seed + 2, k), "_key": F.col(key).cast("string")})
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("_key", kind="stable")  # the same sums wherever rows come from
+        x, y = f[list(columns)].to_numpy(float), f[label].to_numpy(float)
+        held, fold = f["_held"].to_numpy(bool), f["_fold"].to_numpy()
+        if held.all():
+            held = ~held
+        m, s = x[~held].mean(axis=0), x[~held].std(axis=0)
+        s[s == 0] = 1
+        z = (x - m) / s
+        models = lambda rows: (_logistic(z[rows], y[rows]), _bayes(z[rows], y[rows]), _stumps(z[rows], y[rows]))
+        scores: dict[str, list[float]] = {}
+        for i in range(k):
+            train, test = ~held & (fold != i), ~held & (fold == i)
+            if train.any() and test.any():
+                for name, p in _says(z[test], *models(train)).items():
+                    scores.setdefault(name, []).append(_metrics(y[test], p)[2])
+        mean = {name: float(np.mean(v)) for name, v in scores.items()}
+        chosen = max(mean, key=lambda name: round(mean[name], 9)) if mean else CANDIDATES[0]
+        (w, b), (sq, li, base), (feature, edge, amount, level) = models(~held)
+        precision, recall, f1 = _metrics(y[held], _says(z[held], (w, b), (sq, li, base), (feature, edge, amount, level))[chosen])
+        # back to features as they come
+        flat = w / s
+        return pd.DataFrame(
+            {
+                user: [f[user].iloc[0]], "chosen": chosen, "score": mean.get(chosen, 0.0), "precision": precision, "recall": recall, "f1": f1, "n": int((~held).sum()), "n_unseen": int(held.sum()),
+                "weights": [flat.tolist()], "bias": float(b - (flat * m).sum()),
+                "squares": [(sq / s**2).tolist()], "linear": [(li / s - 2 * sq * m / s**2).tolist()], "base": float(base + (sq * m**2 / s**2 - li * m / s).sum()),
+                "feature": [feature], "edge": [[float(e * s[j] + m[j]) for j, e in zip(feature, edge)]], "amount": [amount], "level": float(level),
+            }
+        )
+
+    kind = df.schema[user].dataType.simpleString()
+    return some.select("_key", "_held", "_fold", user, label, *columns).groupBy(user).applyInPandas(fit, f"{user} {kind}, {_CHOSEN}")
+
+
+def score_chosen(df: DataFrame, models: DataFrame, user: str, columns: Sequence[str]) -> DataFrame:
+    """``df`` with ``prediction`` (0 or 1) by each user's chosen model; rows of
+    users without one, or with a null feature, have null."""
+    x = F.array(*(F.col(c).cast("double") for c in columns))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    dot = lambda w, v: total(F.zip_with(w, v, lambda a, b: a * b))
+    j = df.join(models.select(F.col(user).alias("_user"), *(F.col(c).alias(f"_{c}") for c in ("chosen", "weights", "bias", "squares", "linear", "base", "feature", "edge", "amount", "level"))), F.col(user) == F.col("_user"), "left").withColumn("_x", x)
+    steps = F.transform(F.sequence(F.lit(1), F.size("_feature")), lambda i: F.when(F.element_at("_x", F.element_at("_feature", i) + 1) > F.element_at("_edge", i), F.element_at("_amount", i)).otherwise(0.0))
+    says = {
+        "logistic": dot(F.col("_weights"), F.col("_x")) + F.col("_bias") > 0,
+        "bayes": dot(F.col("_squares"), F.transform("_x", lambda v: v * v)) + dot(F.col("_linear"), F.col("_x")) + F.col("_base") > 0,
+        "stumps": total(steps) + F.col("_level") > 0,
+    }
+    j = j.withColumns({f"_says_{n}": c.cast("int") for n, c in says.items()})
+    votes = sum((F.col(f"_says_{n}") for n in says), F.lit(0)) >= 2
+    prediction = F.when(F.col("_chosen") == "vote", votes.cast("int"))
+    for n in says:
+        prediction = prediction.when(F.col("_chosen") == n, F.col(f"_says_{n}"))
+    some_null = F.exists("_x", lambda v: v.isNull())
+    return j.withColumn("prediction", F.when(~some_null, prediction)).select(*df.columns, "prediction")
+
+
 #: Of each scenario: whether the day and the hour are normal, and the host known.
 SCENARIOS = {int(name[-1]): pattern for pattern, name in CASES.items()}
 
@@ -249,4 +384,4 @@ def augment(df: DataFrame, key: str, columns: Sequence[str], y: str, strategy: s
     return out.withColumns(mixed).withColumnsRenamed({"_o": "neighbour", "_w": "share"}).drop("_near", *(f"_n_{c}" for c in every))
 
 
-__all__ = ["assembled", "augment", "cluster_points", "fit_churn", "fit_per_user", "fit_regressor", "moments", "pca_reduce", "regional_predict", "ridge", "stack_predict", "synthesize_anomalies", "weighted_sample", "with_anomalies"]
+__all__ = ["assembled", "augment", "choose_per_user", "cluster_points", "fit_churn", "fit_per_user", "fit_regressor", "moments", "pca_reduce", "regional_predict", "ridge", "score_chosen", "stack_predict", "synthesize_anomalies", "weighted_sample", "with_anomalies"]

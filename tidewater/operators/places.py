@@ -7,6 +7,7 @@ col and bands. Metres are counted as 111,000 a degree, as the inputs do.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..session import settle
 from .measures import quantiles
 
 DEGREE_M = 111_000.0
@@ -236,7 +238,7 @@ def window_stats(windows: DataFrame, value: str, by: Sequence[str] = ("point_id"
     varied = lambda c: F.when(F.min(v) < F.max(v), c).otherwise(F.lit(0.0))  # noqa: E731  a window of one value has no shape
     return windows.groupBy(*by).agg(
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), p(F.lit(0.5)).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), varied(F.skewness(v)).alias("skew"), varied(F.kurtosis(v)).alias("kurt"),
-        p(F.lit(0.25)).alias("p25"), p(F.lit(0.75)).alias("p75"), p(F.lit(0.95)).alias("p95"), (p(F.lit(0.75)) - p(F.lit(0.25))).alias("iqr"), (F.max(v) - F.min(v)).alias("range"),
+        p(F.lit(0.1)).alias("p10"), p(F.lit(0.25)).alias("p25"), p(F.lit(0.75)).alias("p75"), p(F.lit(0.9)).alias("p90"), p(F.lit(0.95)).alias("p95"), (p(F.lit(0.75)) - p(F.lit(0.25))).alias("iqr"), (F.max(v) - F.min(v)).alias("range"),
         F.sum(v * v).alias("energy"), (F.var_pop(v) * F.count(v)).alias("contrast"), (-F.sum(v * F.log2(v + 1e-10))).alias("entropy"),
     )
 
@@ -437,3 +439,74 @@ def comparison_metrics(compared: DataFrame) -> DataFrame:
 
 def zone_demand(trips: DataFrame, cell: float = 0.02) -> DataFrame:
     return trips.groupBy(F.floor(F.col("lon") / cell).alias("zone_x"), F.floor(F.col("lat") / cell).alias("zone_y"), F.hour("pickup").alias("hour")).agg(F.count("*").alias("trips"))
+
+
+def zones(places: DataFrame, cell: float = 0.02, least: float = 5) -> DataFrame:
+    """Zones by density: zone, zone_x, zone_y (its cells), n. Cells of ``cell``
+    degrees with ``least`` places or more are dense; dense cells that touch, at
+    a side or a corner, are one zone. Zones are numbered by size, largest first
+    (ties by their first cell). Rows without coordinates take no part."""
+    x, y = (F.floor(F.col(c) / cell).alias(n) for c, n in (("lon", "zone_x"), ("lat", "zone_y")))
+    dense = settle(places.where("lon IS NOT NULL AND lat IS NOT NULL").groupBy(x, y).agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    around = dense.select("zone_x", "zone_y", F.explode(steps).alias("s")).select("zone_x", "zone_y", (F.col("zone_x") + F.col("s.i")).alias("ox"), (F.col("zone_y") + F.col("s.j")).alias("oy"))
+    links = settle(around.join(dense.select(F.col("zone_x").alias("ox"), F.col("zone_y").alias("oy")), ["ox", "oy"]))
+    # each cell takes the least label around it, then the label of that cell: long zones settle in few rounds
+    label = dense.select("zone_x", "zone_y", F.struct("zone_x", "zone_y").alias("zone"))
+    while True:
+        near = links.join(label.select(F.col("zone_x").alias("ox"), F.col("zone_y").alias("oy"), "zone"), ["ox", "oy"])
+        least_near = near.groupBy("zone_x", "zone_y").agg(F.min("zone").alias("m"))
+        jump = least_near.select(F.struct("zone_x", "zone_y").alias("m"), F.col("m").alias("beyond"))
+        new = settle(least_near.join(jump, "m").select("zone_x", "zone_y", F.least("m", "beyond").alias("zone")))
+        if not new.join(label.withColumnRenamed("zone", "old"), ["zone_x", "zone_y"]).where("zone <> old").limit(1).count():
+            break
+        label = new
+    sized = new.join(dense, ["zone_x", "zone_y"])
+    whole = sized.groupBy("zone").agg(F.sum("n").alias("_n"))
+    order = whole.select("zone", F.row_number().over(Window.orderBy(F.desc("_n"), "zone")).alias("_zone"))  # a row a zone
+    return sized.join(order, "zone").select(F.col("_zone").alias("zone"), "zone_x", "zone_y", "n")
+
+
+def demand_by_zone(trips: DataFrame, found: DataFrame, cell: float = 0.02) -> DataFrame:
+    """Trips by zone and hour; those outside all zones, or without a place, are zone 0."""
+    own = trips.withColumns({"zone_x": F.floor(F.col("lon") / cell), "zone_y": F.floor(F.col("lat") / cell)})
+    return own.join(found.select("zone", "zone_x", "zone_y"), ["zone_x", "zone_y"], "left").groupBy(F.coalesce("zone", F.lit(0)).alias("zone"), F.hour("pickup").alias("hour")).agg(F.count("*").alias("trips"))
+
+
+# -- features of buildings, climate and water
+
+# Names of features and the columns that each multiplies or divides.
+PRODUCTS = {
+    "building_density_squared": ("building_density", "building_density"), "temp_building_interaction": ("temp_mean", "building_density"), "temp_coverage_interaction": ("temp_mean", "building_coverage"),
+    "lst_building_interaction": ("lst", "building_density"), "lst_coverage_interaction": ("lst", "building_coverage"), "wind_building_interaction": ("wind_direction_mean", "building_density"),
+    "surface_exposure_index": ("building_coverage", "solar_flux_mean", "building_density"), "temp_wind_building": ("temp_mean", "wind_speed_mean", "building_density"),
+    "temp_std_coverage_ratio": ("temp_std", "building_coverage_ratio"), "wind_speed_coverage_ratio": ("wind_speed_mean", "building_coverage_ratio"), "solar_building_exposure": ("solar_flux_mean", "building_coverage_ratio"),
+    "temp_humidity_interaction": ("temp_mean", "humidity_mean"), "temp_humidity_range": ("temp_range", "humidity_range"), "wind_energy": ("wind_speed_mean", "wind_speed_mean"), "wind_solar_interaction": ("wind_speed_mean", "solar_flux_mean"),
+    "building_volume": ("building_density", "avg_building_height"), "building_solar_exposure": ("building_coverage", "solar_flux_mean"),
+}
+RATIOS = {"building_coverage_ratio": ("building_coverage", "building_density"), "height_to_coverage_ratio": ("avg_building_height", "building_coverage"), "temp_variation_coefficient": ("temp_std", "temp_mean")}
+RANGES = {"temp_range": ("temp_max", "temp_min"), "humidity_range": ("humidity_max", "humidity_min")}
+
+
+def interactions(df: DataFrame) -> DataFrame:
+    """Adds every product, ratio and range whose columns ``df`` has. A ratio to
+    0 is null, and so is what is made of a null."""
+    out = df
+    for made, make in ((RANGES, lambda a, b: a - b), (RATIOS, X.ratio), (PRODUCTS, lambda *c: math.prod(c[1:], start=c[0]))):
+        out = out.withColumns({n: make(*map(F.col, c)) for n, c in made.items() if set(c) <= set(out.columns)})
+    return out
+
+
+def water_features(df: DataFrame, date: str = "sample_date") -> DataFrame:
+    """Of bands nir, green, swir16, swir22 and evapotranspiration pet: indices,
+    band ratios, products with pet, logarithms (of 1 + x; null for x of -1 or
+    less), squares, and the place in the year."""
+    nir, green, swir16, swir22, pet = map(F.col, ("nir", "green", "swir16", "swir22", "pet"))
+    index = lambda a, b: X.ratio(a - b, a + b)
+    out = df.withColumns({"ndwi": index(green, nir), "ndmi": index(nir, swir16), "mndwi": index(green, swir16), "nir_swir16": X.ratio(nir, swir16), "green_swir22": X.ratio(green, swir22), "green_nir": X.ratio(green, nir)})
+    indices = ("ndwi", "ndmi", "mndwi")
+    out = out.withColumns({f"pet_{c}": pet * F.col(c) for c in indices} | {f"{c}_squared": F.col(c) * F.col(c) for c in indices})
+    out = out.withColumns({f"log_{c}": F.when(F.col(c) > -1, F.log1p(F.col(c))) for c in ("nir", "green", "swir16", "swir22", "pet")})
+    turn = lambda x, n: F.lit(2 * math.pi) * x / n
+    month, day = F.month(date), F.dayofyear(date)
+    return out.withColumns({"month_sin": F.sin(turn(month, 12)), "month_cos": F.cos(turn(month, 12)), "day_sin": F.sin(turn(day, 365.25)), "day_cos": F.cos(turn(day, 365.25)), "day_of_year": day})

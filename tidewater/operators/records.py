@@ -185,8 +185,13 @@ def risk_counts(df: DataFrame, p: str) -> DataFrame:
     return df.agg(F.count_if(F.col(p) > 0.7).alias("high"), F.count_if((F.col(p) > 0.3) & (F.col(p) <= 0.7)).alias("medium"), F.count_if(F.col(p) <= 0.3).alias("low"))
 
 
-def add_caregiver(alerts: DataFrame, people: DataFrame, default: str = "Unassigned") -> DataFrame:
-    return alerts.join(people.select("user_id", "patient", "caregiver"), "user_id", "left").withColumns({"patient": F.coalesce("patient", F.concat(F.lit("Patient "), F.col("user_id").cast("string"))), "caregiver": F.coalesce("caregiver", F.lit(default))})
+def add_caregiver(alerts: DataFrame, people: DataFrame, default: tuple[str, str] = ("Family Member", "family member")) -> DataFrame:
+    """Adds patient, caregiver and relationship from ``people``; a user who is
+    not there gets ``default``, as does one without a caregiver."""
+    relation = F.col("relationship") if "relationship" in people.columns else F.lit(None).cast("string")
+    known = people.select("user_id", "patient", "caregiver", relation.alias("relationship"))
+    found = alerts.join(known, "user_id", "left").withColumn("patient", F.coalesce("patient", F.concat(F.lit("Patient "), F.col("user_id").cast("string"))))
+    return found.withColumns({"caregiver": F.coalesce("caregiver", F.lit(default[0])), "relationship": F.coalesce("relationship", F.lit(default[1]))})
 
 
 # Texts of a message for each class of alert. {c} is the caregiver, {p} the patient, {h} the hours
@@ -277,13 +282,19 @@ def render_message(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("message", message)
 
 
-def analytics_report(users: DataFrame, alerts: DataFrame, predictions: DataFrame, actions: DataFrame) -> DataFrame:
-    """One row: users, alerts by severity, users at risk, interventions."""
-    severity = alerts.groupBy("severity").count().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "count")))).alias("by_severity"), F.coalesce(F.sum("count"), F.lit(0)).alias("alerts"))
+def analytics_report(users: DataFrame, alerts: DataFrame, predictions: DataFrame, actions: DataFrame, as_of: str, days: int = 7, at: str = "timestamp") -> DataFrame:
+    """One row: the period of ``days`` up to ``as_of``, users, the alerts whose
+    time ``at`` lies in it (both ends count) by severity, users at risk,
+    interventions. Alerts without a time lie outside, those without a severity
+    count as unknown; risk and interventions are those of all time."""
+    end = F.lit(as_of).cast("timestamp")
+    start = end - F.expr(f"INTERVAL {int(days)} DAY")
+    inside = alerts.where(F.col(at).cast("timestamp").between(start, end)).groupBy(F.coalesce("severity", F.lit("unknown")).alias("severity")).count()
+    severity = inside.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "count")))).alias("by_severity"), F.coalesce(F.sum("count"), F.lit(0)).alias("alerts"))
     u = users.agg(F.count_distinct("user_id").alias("users"))
     r = predictions.where("tier in ('high', 'medium')").agg(F.count_distinct("user_id").alias("at_risk"))
     i = actions.agg(F.count("*").alias("interventions"))
-    return u.crossJoin(severity).crossJoin(r).crossJoin(i)  # one row each
+    return u.crossJoin(severity).crossJoin(r).crossJoin(i).withColumns({"period_start": start, "period_end": end})  # one row each
 
 
 # -- dialogues

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import logs as L
 from ..operators import models as M
 from ..operators import records as R
+from ..operators.measures import classification_metrics
 from .fixtures import ACC, DAYC, DAYP, DAYS7, FEAT, HOURP, LONGP, Registry, access_events, features, geo_points, r6, wearables, with_
 
 add = Registry()
@@ -31,7 +32,14 @@ def m6_fit_regressor(spark, d):
 
 @add()
 def m7_fit_churn(spark, d):
-    return M.fit_churn(R.user_features(wearables(spark, d)).fillna(0), ["steps_mean", "steps_std", "heart_rate_mean", "class_attended_sum"]).select("user_id", "churned_max", r6("p").alias("p"))
+    return M.fit_churn(R.user_features(wearables(spark, d)).fillna(0), ["steps_mean", "steps_std", "heart_rate_mean", "class_attended_sum"]).select("user_id", "churned_max", "is_test", r6("p").alias("p"))
+
+
+@add()
+def m7_churn_metrics(spark, d):
+    """On the fifth of each class that the model has not seen."""
+    scored = M.fit_churn(R.user_features(wearables(spark, d)).fillna(0), ["steps_mean", "steps_std", "heart_rate_mean", "class_attended_sum"])
+    return classification_metrics(scored.where("is_test").withColumn("predicted", (F.col("p") > 0.5).cast("int")), "churned_max", "predicted")
 
 
 @add()
@@ -81,6 +89,30 @@ _SYNTH = with_(ACC, DAYP, LONGP, DAYC, HOURP, _MADE)
 _AT = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 
 
+@add()
+def m10_choose_per_user(spark, d):
+    """Anomalous rows told from the others by each account's own best model."""
+    return M.choose_per_user(_profiled(spark, d), "row_id", "account", _PROFILE, "target").select("account", "chosen", *(r6(c).alias(c) for c in ("score", "precision", "recall", "f1")), "n", "n_unseen")
+
+
+@add()
+def m10_passing_models(spark, d):
+    """The quality gate reads these metrics."""
+    m = M.choose_per_user(_profiled(spark, d), "row_id", "account", _PROFILE, "target")
+    return L.passing_models(m.select("account", "chosen"), m.select("account", "precision", "recall", "f1"), 0.6).select("account", "chosen", *(r6(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+_PROFILE = ["day_ok", "hour_ok", "freq", "hour"]
+
+
+def _profiled(spark, d):
+    e = access_events(spark, d)
+    days, hours, hosts = L.weekday_class(L.day_profile(e)), L.hour_profile(e), L.host_profile(e)
+    rows = L.apply_profile(M.with_anomalies(e), hosts, days, hours)
+    flag = lambda c: F.col(c).cast("int")
+    return rows.select(F.concat_ws(":", "event_id", "target").alias("row_id"), "account", flag("working_day").alias("day_ok"), flag("working_hour").alias("hour_ok"), "freq", F.hour("ts").alias("hour"), "target")
+
+
 @add(_SYNTH + f"SELECT event_id, account, host, {_AT}, unlocks, 1 - unlocks AS locks, scenario, realised, 1 AS target FROM made")
 def m12_synthesize_anomalies(spark, d):
     e = access_events(spark, d)

@@ -91,7 +91,7 @@ def j23_raster_window(spark, d):
 
 
 @add(_win(5) + """SELECT point_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.5), 6) AS median, round(min(v), 6) AS least, round(max(v), 6) AS most,
- round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(max(v) - min(v), 6) AS "range", round(sum(v * v) + 1.3e-6, 2) AS energy, round(sum(pow(v - m, 2)) + 1.3e-6, 3) AS contrast, round(-sum(v * log2(v + 1e-10)) + 1.3e-6, 3) AS entropy,
+ round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(max(v) - min(v), 6) AS "range", round(sum(v * v) + 1.3e-6, 2) AS energy, round(sum(pow(v - m, 2)) + 1.3e-6, 3) AS contrast, round(-sum(v * log2(v + 1e-10)) + 1.3e-6, 3) AS entropy,
  round(CASE WHEN min(v) < max(v) THEN avg(pow(v - m, 3)) / pow(avg(pow(v - m, 2)), 1.5) ELSE 0 END, 5) AS skew, round(CASE WHEN min(v) < max(v) THEN avg(pow(v - m, 4)) / pow(avg(pow(v - m, 2)), 2) - 3 ELSE 0 END, 5) AS kurt
  FROM (SELECT *, avg(v) OVER (PARTITION BY point_id) AS m FROM win) GROUP BY point_id""")
 def a23_window_stats(spark, d):
@@ -292,6 +292,74 @@ def a44_zone_demand(spark, d):
     return P.zone_demand(_trips(spark, d))
 
 
+#: Dense cells, and the least cell that each can reach over cells that touch.
+_ZONES = """cells AS (SELECT CAST(floor(lon / 0.02) AS BIGINT) AS zone_x, CAST(floor(lat / 0.02) AS BIGINT) AS zone_y, count(*) AS n FROM trips GROUP BY 1, 2),
+dense AS (SELECT *, row_number() OVER (ORDER BY zone_x, zone_y) AS id FROM cells WHERE n >= (SELECT 1.15 * avg(n) FROM cells)),
+touch AS (SELECT a.id AS a, b.id AS b FROM dense a JOIN dense b ON abs(a.zone_x - b.zone_x) <= 1 AND abs(a.zone_y - b.zone_y) <= 1),
+reach AS (SELECT a, b FROM touch UNION SELECT r.a, t.b FROM reach r JOIN touch t ON r.b = t.a),
+rooted AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+sized AS (SELECT root, row_number() OVER (ORDER BY sum(n) DESC, root) AS zone FROM rooted JOIN dense USING (id) GROUP BY root),
+zones AS (SELECT zone, zone_x, zone_y, n FROM dense JOIN rooted USING (id) JOIN sized USING (root))"""
+
+
+def _dense(spark, d):
+    """Dense cells have 15 % more trips than the mean cell."""
+    t = _trips(spark, d)
+    mean = t.groupBy(F.floor(F.col("lon") / 0.02), F.floor(F.col("lat") / 0.02)).count().agg(F.avg("count")).first()[0]
+    return t, P.zones(t, 0.02, 1.15 * (mean or 0))
+
+
+@add(with_(_TRIPS, _ZONES).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT zone, zone_x, zone_y, n FROM zones")
+def a44_density_zones(spark, d):
+    return _dense(spark, d)[1]
+
+
+@add(with_(_TRIPS, _ZONES).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT coalesce(zone, 0) AS zone, hour(pickup) AS hour, count(*) AS trips FROM trips LEFT JOIN zones ON zone_x = floor(lon / 0.02) AND zone_y = floor(lat / 0.02) GROUP BY 1, 2")
+def a44_demand_by_zone(spark, d):
+    return P.demand_by_zone(*_dense(spark, d))
+
+
+_SITES = "sites AS (SELECT p_partkey AS site_id, CAST(p_size % 13 AS DOUBLE) AS building_density, CAST(p_size % 7 AS DOUBLE) / 10 AS building_coverage, p_retailprice / 100 AS avg_building_height, 20 + p_size % 15 + 0.5 AS temp_mean, 35.0 + p_size % 5 AS temp_max, 12.0 + p_size % 4 AS temp_min, 1.5 + (p_partkey % 9) / 10.0 AS temp_std, 25.0 + p_partkey % 20 AS lst, CAST(p_partkey % 360 AS DOUBLE) AS wind_direction_mean, CAST(p_partkey % 11 AS DOUBLE) AS wind_speed_mean, 200.0 + p_partkey % 300 AS solar_flux_mean, 40.0 + p_size AS humidity_mean, 60.0 + p_size AS humidity_max, 20.0 + p_size % 9 AS humidity_min FROM part)"
+_MADE = ("building_coverage_ratio", "height_to_coverage_ratio", "temp_variation_coefficient", "temp_range", *P.PRODUCTS)
+
+
+def _sites(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return load(spark, d, "part").select(
+        k.alias("site_id"), (s % 13).cast("double").alias("building_density"), ((s % 7) / 10).alias("building_coverage"), (F.col("p_retailprice") / 100).alias("avg_building_height"), (20 + s % 15 + F.lit(0.5)).alias("temp_mean"), (35.0 + s % 5).alias("temp_max"), (12.0 + s % 4).alias("temp_min"),
+        (1.5 + (k % 9) / 10.0).alias("temp_std"), (25.0 + k % 20).alias("lst"), (k % 360).cast("double").alias("wind_direction_mean"), (k % 11).cast("double").alias("wind_speed_mean"), (200.0 + k % 300).alias("solar_flux_mean"), (40.0 + s).alias("humidity_mean"), (60.0 + s).alias("humidity_max"), (20.0 + s % 9).alias("humidity_min"),
+    )
+
+
+def _interaction_sql() -> str:
+    """Each feature spelt out from the columns of a site."""
+    ratio = "(building_coverage / nullif(building_density, 0))"
+    plain = {"building_coverage_ratio": ratio, "height_to_coverage_ratio": "avg_building_height / nullif(building_coverage, 0)", "temp_variation_coefficient": "temp_std / temp_mean", "temp_range": "temp_max - temp_min"}
+    spelt = {"building_coverage_ratio": ratio, "temp_range": "(temp_max - temp_min)", "humidity_range": "(humidity_max - humidity_min)"}
+    plain |= {n: " * ".join(spelt.get(x, x) for x in c) for n, c in P.PRODUCTS.items()}
+    return ", ".join(f"round({plain[n]} + 1.3e-6, 4) AS {n}" for n in _MADE)
+
+
+@add(with_(_SITES) + f"SELECT site_id, {_interaction_sql()} FROM sites")
+def f23_site_interactions(spark, d):
+    return P.interactions(_sites(spark, d)).select("site_id", *(F.round(F.col(c) + 1.3e-6, 4).alias(c) for c in _MADE))
+
+
+_BANDS = "bands AS (SELECT o_orderkey, (o_orderkey % 97 + 3) / 1e3 AS nir, (o_orderkey % 89 + 5) / 1e3 AS green, (o_orderkey % 83) / 1e3 AS swir16, (o_orderkey % 79) / 1e3 AS swir22, CAST(o_orderkey % 53 AS DOUBLE) AS pet, CAST(o_orderdate AS DATE) AS sample_date FROM orders)"
+_WATER = {
+    "ndwi": "(green - nir) / (green + nir)", "ndmi": "(nir - swir16) / (nir + swir16)", "mndwi": "(green - swir16) / (green + swir16)", "nir_swir16": "nir / nullif(swir16, 0)", "green_swir22": "green / nullif(swir22, 0)",
+    "pet_ndmi": "pet * (nir - swir16) / (nir + swir16)", "pet_mndwi": "pet * (green - swir16) / (green + swir16)", "ndmi_squared": "pow((nir - swir16) / (nir + swir16), 2)", "mndwi_squared": "pow((green - swir16) / (green + swir16), 2)",
+    "log_nir": "ln(1 + nir)", "log_green": "ln(1 + green)", "log_pet": "ln(1 + pet)", "day_sin": "sin(2 * pi() * dayofyear(sample_date) / 365.25)", "day_cos": "cos(2 * pi() * dayofyear(sample_date) / 365.25)",
+}
+
+
+@add(with_(_BANDS) + "SELECT o_orderkey, " + ", ".join(f"round({e} + 1.3e-7, 5) + 0.0 AS {n}" for n, e in _WATER.items()) + " FROM bands")
+def f25_water_bands(spark, d):
+    k = F.col("o_orderkey")
+    b = load(spark, d, "orders").select(k, ((k % 97 + 3) / 1e3).alias("nir"), ((k % 89 + 5) / 1e3).alias("green"), ((k % 83) / 1e3).alias("swir16"), ((k % 79) / 1e3).alias("swir22"), (k % 53).cast("double").alias("pet"), F.col("o_orderdate").cast("date").alias("sample_date"))
+    return P.water_features(b).select("o_orderkey", *((F.round(F.col(c) + 1.3e-7, 5) + 0.0).alias(c) for c in _WATER))
+
+
 _KEYED = "-74.02 + (o_custkey * 7919 % 2000) / 10000.0 AS lon, 40.70 + (o_custkey * 6007 % 2000) / 10000.0 AS lat, strftime(o_orderdate, '%d-%m-%Y') AS sample_date"
 
 

@@ -97,12 +97,12 @@ def _people(spark, d):
 _PEOPLE = "people AS (SELECT c_custkey AS user_id, c_name AS patient, 'Nurse ' || c_nationkey AS caregiver FROM customer WHERE c_custkey % 3 <> 0)"
 
 
-@add(with_(WEAR, _DEV, _ALERT, _PEOPLE) + "SELECT a.user_id, coalesce(patient, 'Patient ' || a.user_id) AS patient, coalesce(caregiver, 'Unassigned') AS caregiver FROM alerts a LEFT JOIN people p ON a.user_id = p.user_id")
+@add(with_(WEAR, _DEV, _ALERT, _PEOPLE) + "SELECT a.user_id, coalesce(patient, 'Patient ' || a.user_id) AS patient, coalesce(caregiver, 'Family Member') AS caregiver, 'family member' AS relationship FROM alerts a LEFT JOIN people p ON a.user_id = p.user_id")
 def j24_add_caregiver(spark, d):
-    return R.add_caregiver(_alerts(spark, d), _people(spark, d)).select("user_id", "patient", "caregiver")
+    return R.add_caregiver(_alerts(spark, d), _people(spark, d)).select("user_id", "patient", "caregiver", "relationship")
 
 
-_NAMED = "named AS (SELECT a.user_id, alert, coalesce(patient, 'Patient ' || a.user_id) AS p, coalesce(caregiver, 'Unassigned') AS c, CAST(trunc(hours) AS BIGINT) AS h, CAST(trunc(coalesce(deviation, 0) * 100) AS BIGINT) AS d FROM alerts a LEFT JOIN people p ON a.user_id = p.user_id)"
+_NAMED = "named AS (SELECT a.user_id, alert, coalesce(patient, 'Patient ' || a.user_id) AS p, coalesce(caregiver, 'Family Member') AS c, CAST(trunc(hours) AS BIGINT) AS h, CAST(trunc(coalesce(deviation, 0) * 100) AS BIGINT) AS d FROM alerts a LEFT JOIN people p ON a.user_id = p.user_id)"
 _MESSAGE = {
     "greeting": (
         "'Dear ' || c || ', we need your immediate attention regarding ' || p || chr(46)", "'Hello ' || c || ', we''re concerned about ' || p || ' and wanted to alert you.'",
@@ -148,11 +148,14 @@ def a40_risk_counts(spark, d):
     return R.risk_counts(_churn(spark, d), "p")
 
 
-@add(with_(WEAR, _DEV, _ALERT, _CHURN) + "SELECT (SELECT count(DISTINCT user_id) FROM wear) AS users, (SELECT count(*) FROM alerts) AS alerts, (SELECT count(*) FROM alerts WHERE severity = 'LOW') AS low, (SELECT count(*) FROM churn WHERE p > 0.4) AS at_risk, (SELECT count(*) FROM alerts WHERE alert LIKE 'HIGH%' OR alert LIKE 'MIDDLE%') AS interventions")
+_PERIOD = f"recent AS (SELECT * FROM alerts WHERE CAST(last_date AS TIMESTAMP) BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 2 DAY AND TIMESTAMP '{AS_OF}')"
+
+
+@add(with_(WEAR, _DEV, _ALERT, _CHURN, _PERIOD) + f"SELECT strftime(TIMESTAMP '{AS_OF}' - INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS period_start, strftime(TIMESTAMP '{AS_OF}', '%Y-%m-%d %H:%M:%S') AS period_end, (SELECT count(DISTINCT user_id) FROM wear) AS users, (SELECT count(*) FROM recent) AS alerts, (SELECT count(*) FROM recent WHERE severity = 'LOW') AS low, (SELECT count(*) FROM churn WHERE p > 0.4) AS at_risk, (SELECT count(*) FROM alerts WHERE alert LIKE 'HIGH%' OR alert LIKE 'MIDDLE%') AS interventions")
 def a17_analytics_report(spark, d):
     a = _alerts(spark, d)
-    r = R.analytics_report(wearables(spark, d), a, R.churn_report(_churn(spark, d), "p"), R.interventions(a, AS_OF))
-    return r.select("users", "alerts", F.coalesce(F.try_element_at("by_severity", F.lit("LOW")), F.lit(0)).alias("low"), "at_risk", "interventions")
+    r = R.analytics_report(wearables(spark, d), a, R.churn_report(_churn(spark, d), "p"), R.interventions(a, AS_OF), AS_OF, 2, "last_date")
+    return r.select(text("period_start").alias("period_start"), text("period_end").alias("period_end"), "users", "alerts", F.coalesce(F.try_element_at("by_severity", F.lit("LOW")), F.lit(0)).alias("low"), "at_risk", "interventions")
 
 
 @add(with_(WEAR) + "SELECT user_id, round(avg(steps), 5) AS steps_mean, round(stddev_samp(steps), 5) AS steps_std, min(steps) AS steps_min, max(steps) AS steps_max, round(avg(heart_rate), 5) AS heart_rate_mean, max(heart_rate) AS heart_rate_max, CAST(sum(class_attended) AS BIGINT) AS class_attended_sum, max(churned) AS churned_max FROM wear GROUP BY user_id")
