@@ -99,6 +99,12 @@ def release(some: list[tuple[SparkSession, str]] | None = None) -> None:
 atexit.register(release)
 
 
+def renamed(df: DataFrame) -> DataFrame:
+    """Columns by number, but for doc_id and text: names with dots do not pass
+    into Python by name."""
+    return df.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(df.columns)))
+
+
 def drawn(df: DataFrame, by: str, key: list[str], n: int, most: int = 1000, seed: int = 3) -> DataFrame:
     """``n`` rows of each value of ``by`` (of the ``most`` commonest values):
     those of least hash of ``key``, numbered in column n.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drawn, prepare
+from .common import drawn, prepare, renamed
 from .words import WordTable, kept
 
 TRAIN_DOCS = 250
@@ -39,6 +39,13 @@ _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def _lettered(text: str) -> bool:
+    """Whether a text has a letter; signs for numbers are none."""
+    first = _LETTER.search(text)
+    return first is not None and (first[0].isalpha() or any(map(str.isalpha, text)))
+
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
@@ -159,7 +166,7 @@ def measure(net: Network, words: list[str]) -> np.ndarray:
     number; nothing for a word without a letter."""
     pieces, owner = [], []
     for i, w in enumerate(words):
-        own = spans(w) if _LETTER.search(w) else []
+        own = spans(w) if _lettered(w) else []
         pieces += own
         owner += [i] * len(own)
     order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
@@ -196,7 +203,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             for w in text.split():
-                if _LETTER.search(w):
+                if _lettered(w):
                     for x in spans(w):
                         seen[lang, x] = seen.get((lang, x), 0) + 1
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
@@ -233,7 +240,7 @@ def _predict(languages: list[str], net: Network | None, key: str, least: float |
             lang, score, clear = [], [], []
             found = table.of(texts, str.split) if net else iter([None] * len(texts))
             for text, rows in zip(texts, found):
-                if rows is None or not len(rows) or not _LETTER.search(text):
+                if rows is None or not len(rows) or not _lettered(text):
                     lang.append(UNKNOWN)
                     score.append(0.0)
                     clear.append(False)
@@ -301,4 +308,5 @@ def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     read = _sample(cols.where("held_out and text is not null and lang is not null")).mapInArrow(_shares(net, key), "share double, n double")
     worst = read.where(F.col("n") >= LEAST_POSITIONS).agg(F.min("share")).first()[0]
     least = LEAST_READ if worst is None else min(LEAST_READ, SLACK * worst)
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_keep(languages, net, key, least), docs.withColumn("text", F.col("text").cast("string")).schema)
+    plain = renamed(docs.withColumn("text", F.col("text").cast("string")))
+    return plain.mapInArrow(_keep(languages, net, key, least), plain.schema).toDF(*docs.columns)

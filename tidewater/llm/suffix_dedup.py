@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, prepare, renamed
 from .words import forget
 
 K = 32
@@ -371,5 +371,6 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int) -> DataFr
     whole characters). Every row and column stays, whatever it is called; null
     and short texts are unchanged, and an empty table stays empty. Repeated
     rows repeat each other and lose their texts."""
-    rows = _marked(spark, docs, length).select(*(F.col(f"d.{c}").cast("string").alias(c) if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns), F.col("m.repeats").alias("\u0001repeats"))
-    return rows.mapInArrow(_without(length), docs.withColumn("text", F.col("text").cast("string")).schema)
+    plain = renamed(docs.withColumn("text", F.col("text").cast("string")))
+    rows = _marked(spark, plain, length).select(*(F.col(f"d.{c}") for c in plain.columns), F.col("m.repeats").alias("_repeats"))
+    return rows.mapInArrow(_without(length), plain.schema).toDF(*docs.columns)

@@ -32,6 +32,8 @@ from .words import WordTable, kept
 #: The bounded sample that is learnt from: documents of each class.
 TRAIN_DOCS = 3000
 ORDER, DISCOUNT, LEAST, SYMBOLS = 6, 0.75, 3, 62
+#: Letters of words scored at a time.
+CELLS = 1 << 18
 #: Part of the sample that fits the curve, not the counts.
 CURVE_PART = 3
 THRESHOLD = 0.7
@@ -134,8 +136,12 @@ class Model:
         out = np.zeros((len(words), 2), np.float32)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         get = self.symbol.get
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
+        at = 0
+        while at < len(order):
+            end = at + 1  # a long word stands in a table of its own
+            while end < min(len(order), at + 4096) and (end + 1 - at) * (len(words[order[end]]) + 1) <= CELLS:
+                end += 1
+            some, at = order[at:end], end
             width = len(words[some[-1]]) + 1
             ids = np.full((len(some), width), -1, np.int16)
             for k, i in enumerate(some):
