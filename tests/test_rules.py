@@ -126,13 +126,13 @@ def test_nearest_by_brute_force(spark):
         assert {(r.point_id, r["rank"], r.site_id) for r in P.knn_join(p, s, 5, planar=planar).collect()} == want
 
 
-@pytest.mark.parametrize("pivots,block", [(1, 4096), (16, 20), (64, 7)])
-def test_nearest_rows_by_brute_force(spark, pivots, block):
+@pytest.mark.parametrize("leaf,block", [(4096, 4096), (16, 20), (4, 7)])
+def test_nearest_rows_by_brute_force(spark, leaf, block):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(150, 3)), np.repeat([[1.0, 2.0, 3.0]], 50, 0), 0.01 * rng.normal(size=(40, 3))])
-    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(999, None, 0.0, 0.0)], "id long, a double, b double, c double")
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(999, None, 0.0, 0.0), (998, float("inf"), 0.0, 0.0), (997, float("nan"), 0.0, 0.0)], "id long, a double, b double, c double")
     got = {}
-    for r in P.knn_features(df, "id", ["a", "b", "c"], 4, block, pivots).collect():
+    for r in P.knn_features(df, "id", ["a", "b", "c"], 4, leaf, block).collect():
         got.setdefault(r.id, {})[r["rank"]] = r.neighbour
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     assert len(got) == len(x)
@@ -140,6 +140,25 @@ def test_nearest_rows_by_brute_force(spark, pivots, block):
         assert [got[i][n] for n in (1, 2, 3, 4)] == sorted(range(len(x)), key=lambda j: (d[i, j], j))[:4]
 
 
+def test_nearest_rows_meet_few_others():
+    """Rows of four features meet about as many others at eight times the rows; one value in most of a column, ties."""
+    rng, met = np.random.default_rng(3), []
+    for n in (2_000, 16_000):
+        y = rng.normal(size=(n, 4))
+        tree = P._tree(y, 64)
+        leaf = P._leaf(tree, y)
+        low, high = (np.array([f(y[leaf == i], axis=0) for i in range(leaf.max() + 1)]) for f in (np.min, np.max))
+        p, _, d = P._nearest(y, y, 5)
+        assert (np.bincount(p) == 5).all() and leaf.max() + 1 == (tree[0] < 0).sum()
+        met.append(sum(len(who) for who, _ in P._reached(tree, P._boxes(tree, low, high), y, d[4::5])) / n)
+    assert met[1] < 1.5 * met[0] and met[1] < 16_000 / 64 / 10
+    y = np.unique(np.where(rng.random((600, 3)) < 0.8, 0.0, rng.integers(0, 9, (600, 3))), axis=0)
+    p, at, d = P._nearest(y, y, 5, most=8)
+    far = np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2))
+    for i in range(len(y)):
+        assert list(at[p == i]) == sorted(range(len(y)), key=lambda j: (far[i, j], j))[:5]
+
+
 def test_quantiles_in_rounds(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=30_000), np.full(20_000, 0.25), rng.lognormal(0, 9, 10_000)])

@@ -114,78 +114,187 @@ def idw_features(neighbours: DataFrame, value: str) -> DataFrame:
     )
 
 
-def knn_features(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, block: int = 4096, pivots: int = 512) -> DataFrame:
+# -- nearest rows in feature space: boxes of a tree
+
+
+def _tree(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Halves of halves of points that all differ, at the median of their
+    widest column, until ``most`` are left: a node's column (-1: a leaf), its
+    cut, and the first of its two nodes (of a leaf: the leaf's number)."""
+    column, cut, after, todo, leaves = [-1], [0.0], [0], [(0, np.arange(len(x)))], 0
+    while todo:
+        at, rows = todo.pop()
+        if len(rows) <= most:
+            after[at], leaves = leaves, leaves + 1
+            continue
+        c = int(np.ptp(x[rows], axis=0).argmax())
+        v = x[rows, c]
+        middle = np.partition(v, (len(v) - 1) // 2)[(len(v) - 1) // 2]
+        middle = middle if middle < v.max() else v[v < middle].max()
+        column[at], cut[at], after[at] = c, middle, len(column)
+        todo += [(len(column), rows[v <= middle]), (len(column) + 1, rows[v > middle])]
+        column, cut, after = column + [-1, -1], cut + [0.0, 0.0], after + [0, 0]
+    return np.array(column), np.array(cut), np.array(after)
+
+
+def _leaf(tree: tuple, x: np.ndarray) -> np.ndarray:
+    """The leaf of each point."""
+    column, cut, after = tree
+    at, rows = np.zeros(len(x), int), np.arange(len(x))
+    while (column[at] >= 0).any():
+        at = np.where(column[at] < 0, at, after[at] + (x[rows, column[at]] > cut[at]))
+    return after[at]
+
+
+def _boxes(tree: tuple, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The boxes of all nodes from those of the leaves."""
+    column, _, after = tree
+    a, b = np.empty((len(column), low.shape[1])), np.empty((len(column), low.shape[1]))
+    for at in reversed(range(len(column))):
+        n = after[at]
+        a[at], b[at] = (low[n], high[n]) if column[at] < 0 else (np.minimum(a[n], a[n + 1]), np.maximum(b[n], b[n + 1]))
+    return a, b
+
+
+def _reached(tree: tuple, boxes: tuple, q: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Leaves whose box is within a point's bound, with all such points."""
+    (column, _, after), (low, high), todo = tree, boxes, [(0, np.arange(len(q)))]
+    while todo:
+        at, who = todo.pop()
+        gap = np.maximum(np.maximum(low[at] - q[who], q[who] - high[at]), 0)
+        who = who[np.sqrt((gap**2).sum(axis=1)) <= bound[who] * (1 + 1e-9) + 1e-12]
+        if len(who) and column[at] < 0:
+            yield who, int(after[at])
+        elif len(who):
+            todo += [(after[at], who), (after[at] + 1, who)]
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+
+
+def _nearest(q: np.ndarray, y: np.ndarray, k: int, bound: np.ndarray | None = None, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of ``y`` within each point's bound, nearest first, ties
+    in the order of ``y``: point, place in ``y``, distance. Without bounds the
+    points are ``y``, and the neighbours in a point's own leaf bound it."""
+    tree = _tree(y, max(most, 2 * k))
+    leaf = _leaf(tree, y)
+    order = np.argsort(leaf, kind="stable")
+    starts = np.searchsorted(leaf[order], np.arange(leaf.max() + 2))
+    boxes = _boxes(tree, np.minimum.reduceat(y[order], starts[:-1]), np.maximum.reduceat(y[order], starts[:-1]))
+    if bound is None:
+        bound = np.full(len(y), np.inf)
+        for a, b in zip(starts, starts[1:]):
+            near = order[a:b] if b - a >= k else np.union1d(order[a:b], order[: 2 * k])
+            if len(near) >= k:
+                bound[order[a:b]] = np.partition(_apart(y[order[a:b]], y[near]), k - 1, axis=1)[:, k - 1]
+    out, step = [], max(64, 2**22 // (max(most, 2 * k) * y.shape[1]))
+    for i in range(0, len(q), step):
+        hits = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+        for who, n in _reached(tree, boxes, q[i : i + step], bound[i : i + step]):
+            there = order[starts[n] : starts[n + 1]]
+            d = _apart(q[i + who], y[there])
+            r, c = np.nonzero(d <= bound[i + who][:, None] * (1 + 1e-9) + 1e-12)
+            hits.append((i + who[r], there[c], d[r, c]))
+        p, at, d = map(np.concatenate, zip(*hits))
+        by = np.lexsort((at, d, p))
+        p, at, d = p[by], at[by], d[by]
+        top = np.arange(len(p)) - np.searchsorted(p, p) < k
+        out.append((p[top], at[top], d[top]))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+#: Numbers of the sampled rows that go through the driver to cut the space.
+CUT_NUMBERS = 2**22
+
+
+def knn_features(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, leaf: int = 4096, block: int = 65_536, leaves: int = 16_384) -> DataFrame:
     """The ``k`` nearest rows of each row in feature space, itself included: id,
-    neighbour, distance, rank; ties to the smaller id. Rows with a null take no part.
-
-    Exact, by pivots: each row lies in the cell of its nearest pivot. A row's
-    distance to a pivot plus that of the pivot's ``k`` nearest members bounds
-    its ``k``-th neighbour, so it asks only cells that reach into the bound; the
-    fewer features, the fewer cells. Equal rows are searched once. What goes
-    through the driver are ``pivots`` rows and ``k`` numbers of each.
+    neighbour, distance, rank; ties to the smaller id. Rows with a null, NaN or
+    infinite value take no part. Equal rows are searched once.
+
+    Exact, in two rounds. A sample by hash cuts the space into leaves of about
+    ``leaf`` rows (at most ``leaves`` of them; those of over ``block`` rows are
+    cut by hash too), and each leaf's box of least and largest values is known.
+    First each row finds the nearest in its own leaf, which bounds its ``k``-th
+    neighbour closely; then it asks only the other leaves whose box is within
+    that bound. In a leaf a tree of the same kind finds them, so a row is
+    compared with few others however many there are. What goes through the
+    driver are the sample (at most :data:`CUT_NUMBERS` values) and the boxes.
     """
     x = F.array(*(F.col(c).cast("double") for c in columns))
-    rows = df.select(F.col(key).alias("id"), x.alias("x")).where(F.col("id").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    rows = df.select(F.col(key).alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.forall("x", X.finite))
     same = Window.partitionBy("x").orderBy("id")
     few = rows.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k)
-    one = few.groupBy("x").agg(F.min("id").alias("place"), F.sort_array(F.collect_list("id")).alias("ids"))  # ``k`` ids at most
-    centres = np.array([r.x for r in one.orderBy(F.xxhash64("place"), "place").select("x").limit(pivots).collect()], float).reshape(-1, len(columns))
-
-    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(((a[:, None] - b[None]) ** 2).sum(axis=2), 0))
+    one = settle(few.groupBy("x").agg(F.min("id").alias("place"), F.sort_array(F.collect_list("id")).alias("ids")))  # ``k`` ids at most
+    n, each = one.count(), max(16, 4 * k)
+    wanted = max(1, min(leaves, -(-n // leaf), CUT_NUMBERS // (each * len(columns))))
+    drawn = one.where(F.pmod(F.xxhash64("place"), F.lit(2**30)) < F.lit(int(2**30 * min(1.0, each * wanted / max(1, n))))).select("x").collect() if wanted > 1 else []
+    tree = _tree(np.array([r.x for r in drawn], float).reshape(-1, len(columns)), each)
 
-    def celled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i in range(0, len(f), 1024):
-                g = f.iloc[i : i + 1024]
-                d = apart(np.stack(g.x.to_numpy()), centres)
-                at = d.argmin(axis=1)
-                yield g.assign(cell=at.astype("int32"), off=d[np.arange(len(g)), at])
-
-    cells = one.mapInPandas(celled, "x array<double>, place long, ids array<long>, cell int, off double")
-    counted = Window.partitionBy("cell").orderBy("off", "place")
-    inner = cells.withColumn("_n", F.row_number().over(counted)).where(F.col("_n") <= k).select("cell", "off")  # ``k`` rows a cell
-    stats = {r.cell: (r.far, r.n) for r in cells.groupBy("cell").agg(F.max("off").alias("far"), F.count("*").alias("n")).collect()}
-    offs = np.array([(r.cell, r.off) for r in inner.collect()], float).reshape(-1, 2)
-    far = np.array([stats.get(c, (-np.inf, 0))[0] for c in range(len(centres))])
-    parts = np.array([-(-stats.get(c, (0, 0))[1] // block) for c in range(len(centres))])
-
-    def asking(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for i in range(0, len(f), 256):
-                g = f.iloc[i : i + 256]
-                d = apart(np.stack(g.x.to_numpy()), centres)
-                sums = d[:, offs[:, 0].astype(int)] + offs[:, 1]
-                n = min(k, sums.shape[1])
-                bound = np.partition(sums, n - 1, axis=1)[:, n - 1] if sums.shape[1] >= k else np.full(len(g), np.inf)
-                ask, cell = np.nonzero(d - far <= bound[:, None] * (1 + 1e-9) + 1e-12)
-                times = parts[cell]
-                ask, cell = np.repeat(ask, times), np.repeat(cell, times)
-                part = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
-                yield pd.DataFrame({"x": g.x.to_numpy()[ask], "place": g.place.to_numpy()[ask], "ids": g.ids.to_numpy()[ask], "cell": cell.astype("int32"), "part": part.astype("int32"), "asks": True})
-
-    shape = "x array<double>, place long, ids array<long>, cell int, part int, asks boolean"
-    sizes = F.array(*(F.lit(int(max(1, n))) for n in parts)) if len(parts) else F.array(F.lit(1))
-    has = cells.select("x", "place", "ids", "cell", F.pmod(F.xxhash64("place"), F.element_at(sizes, F.col("cell") + 1)).cast("int").alias("part"), F.lit(False).alias("asks"))
-    both = cells.select("x", "place", "ids").mapInPandas(asking, shape).unionByName(has)
-
-    def best(f: pd.DataFrame) -> pd.DataFrame:
-        q, d = f[f.asks], f[~f.asks].sort_values("place")
-        out = [pd.DataFrame({"place": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
-        if len(q) and len(d):
-            y, ids = np.stack(d.x.to_numpy()), d.ids.to_numpy()
-            for i in range(0, len(q), 64):
-                dist = apart(np.stack(q.x.to_numpy()[i : i + 64]), y)
-                n = min(k, dist.shape[1])
-                r, c = np.nonzero(dist <= np.partition(dist, n - 1, axis=1)[:, n - 1 : n])
-                size = np.array([len(ids[j]) for j in c])
-                out.append(pd.DataFrame({"place": np.repeat(q.place.to_numpy()[i : i + 64][r], size), "neighbour": np.concatenate([ids[j] for j in c]), "distance": np.repeat(dist[r, c], size)}))
-        return pd.concat(out)
-
-    # the rows of a cell's part, and all that ask it: a crowd of these is cut, with the part's rows repeated
-    crowd = both.where("asks").groupBy("cell", "part").count().select("cell", "part", F.ceil(F.col("count") / (16 * block)).cast("int").alias("cuts"))
-    cut = both.join(crowd, ["cell", "part"]).withColumn("cut", F.explode(F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("place"), F.col("cuts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))))
-    found = cut.drop("cuts").groupBy("cell", "part", "cut").applyInPandas(best, "place long, neighbour long, distance double")
+            yield f.assign(cell=_leaf(tree, np.stack(f.x.to_numpy())).astype("int32") if len(f) else 0)
+
+    cells = settle(one.mapInPandas(placed, "x array<double>, place long, ids array<long>, cell int"))
+    ends = [f(F.col("x")[i]).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(len(columns))]
+    held = {r[0]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), *ends).collect()}
+    total, w = int((tree[0] < 0).sum()), len(columns)
+    size = np.array([held[c][1] if c in held else 0 for c in range(total)])
+    low = np.array([held[c][2 : 2 + w] if c in held else [np.inf] * w for c in range(total)], float)
+    high = np.array([held[c][2 + w :] if c in held else [-np.inf] * w for c in range(total)], float)
+    boxes, parts = _boxes(tree, low, high), np.maximum(1, -(-size // block))
+
+    def corner(q: np.ndarray) -> float:
+        """A bound of a row in a leaf of fewer than ``k``: the far corners of the nearest boxes that hold as many."""
+        far = np.sqrt((np.maximum(np.abs(q - low), np.abs(high - q)) ** 2).sum(axis=1))
+        by = np.argsort(far)
+        enough = np.searchsorted(np.cumsum(size[by]), k)
+        return far[by[enough]] if enough < len(by) else np.inf
+
+    shape = "place long, neighbour long, distance double, x array<double>, bound double, cell int, part int"
+    names = ["place", "neighbour", "distance", "x", "bound", "cell", "part"]
+
+    def spread(p: np.ndarray, at: np.ndarray, d: np.ndarray, f: pd.DataFrame, places: np.ndarray) -> pd.DataFrame:
+        """A row for each id of a neighbour."""
+        many = np.array([len(f.ids.iloc[j]) for j in at], int)
+        ids = np.concatenate([f.ids.iloc[j] for j in at]) if len(at) else np.empty(0, "int64")
+        return pd.DataFrame({"place": np.repeat(places[p], many), "neighbour": ids, "distance": np.repeat(d, many)})
+
+    def first(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("place")
+        y, places, own = np.stack(f.x.to_numpy()), f.place.to_numpy(), (f.cell.iloc[0], f.part.iloc[0])
+        p, at, d = _nearest(y, y, k)
+        bound = np.full(len(y), np.inf)
+        last = np.searchsorted(p, np.arange(len(y)), "right") - 1
+        whole = np.bincount(p, minlength=len(y)) >= k
+        bound[whole] = d[last[whole]]
+        for i in np.flatnonzero(~whole):
+            bound[i] = corner(y[i])
+        out = [spread(p, at, d, f, places).assign(x=None)]
+        for who, c in _reached(tree, boxes, y, bound):
+            for part in range(parts[c]):
+                if (c, part) != own:
+                    out.append(pd.DataFrame({"place": places[who], "x": list(y[who]), "bound": bound[who], "cell": c, "part": part}))
+        return pd.concat(out).reindex(columns=names).astype({"neighbour": "Int64", "cell": "Int32", "part": "Int32"})
+
+    def second(f: pd.DataFrame) -> pd.DataFrame:
+        q, d = f[f.ids.isna()], f[f.ids.notna()].sort_values("place")
+        if not len(q) or not len(d):
+            return pd.DataFrame({"place": [], "neighbour": [], "distance": []}).astype({"place": "int64", "neighbour": "int64"})
+        p, at, far = _nearest(np.stack(q.x.to_numpy()), np.stack(d.x.to_numpy()), k, q.bound.to_numpy())
+        return spread(p, at, far, d, q.place.to_numpy())
+
+    sizes = F.array(*(F.lit(int(c)) for c in parts))
+    has = cells.withColumn("part", F.pmod(F.xxhash64("place"), F.element_at(sizes, F.col("cell") + 1)).cast("int"))
+    near = settle(has.groupBy("cell", "part").applyInPandas(first, shape))
+    asks = near.where("cell is not null").select("place", "x", "bound", "cell", "part")
+    # all that ask a leaf's part: a crowd of these is cut, with the part's rows repeated
+    crowd = asks.groupBy("cell", "part").count().select("cell", "part", F.ceil(F.col("count") / (4 * block)).cast("int").alias("cuts"))
+    both = asks.join(crowd, ["cell", "part"]).withColumn("cut", F.pmod(F.xxhash64("place"), F.col("cuts")).cast("int")).drop("cuts")
+    sides = has.join(crowd, ["cell", "part"]).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    more = both.unionByName(sides, allowMissingColumns=True).groupBy("cell", "part", "cut").applyInPandas(second, "place long, neighbour long, distance double")
+    found = near.where("cell is null").select("place", "neighbour", "distance").unionByName(more)
     by = Window.partitionBy("place").orderBy("distance", "neighbour")
     top = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     own = rows.join(one.select("x", "place"), "x").select("id", "place")
