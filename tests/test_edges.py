@@ -162,3 +162,21 @@ def test_metrics_without_positives(spark):
     r = M.classification_metrics(df, "y", "p").first()
     assert (r.tp, r.tn, r.precision, r.recall, r.f1, r.accuracy) == (0, 2, None, None, None, 1.0)
     assert M.histogram(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x", 3).orderBy("bin").collect()[0].n == 2
+
+
+def test_profile_database_in_parts(spark, tmp_path):
+    """Four connections read each row once, nulls too; an upsert replaces by key; a table of one key or none."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "createTableColumnTypes": "name VARCHAR(20)"}
+    rows = [(i, f"n{i}") for i in range(1, 101)] + [(None, "none"), (10**12, "far")]
+    io.write_profile(spark.createDataFrame(rows, "id long, name string"), "people", url, **options)
+    for bounds in (None, (20, 60)):
+        back = io.read_profile(spark, "people", url, "id", bounds, 4, **options)
+        assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    io.upsert_profile(spark.createDataFrame([(5, "five"), (500, "new")], "id long, name string"), "people", url, ["id"], "id", 4, **options)
+    got = sorted(map(tuple, io.read_profile(spark, "people", url, "id", parts=4, **options).collect()), key=str)
+    assert got == sorted([r for r in rows if r[0] != 5] + [(5, "five"), (500, "new")], key=str)
+    one = spark.createDataFrame([(7, "a")], "id long, name string")
+    for part in (one, one.where("false")):
+        io.write_profile(part, "few", url, **options)
+        assert io.read_profile(spark, "few", url, "id", parts=4, **options).collect() == part.collect()

@@ -61,6 +61,11 @@ def test_logons_of_any_kind_count(spark):
     prim = spark.createDataFrame([("a", "P")], "account string, primary_host string")
     assert L.activity_counters(j, prim).first().logon_own_normal == 3
     assert L.inject_default_logon(j.where("activity in ('Unlock', 'Lock')")).count() == 2
+    for some in ("true", "activity = 'Lock'", "activity in ('Lock', 'Unlock')"):
+        for host in ("P", "Q"):
+            here = prim.withColumn("primary_host", F.lit(host))
+            once = L.activity_counters(j.where(some), here, default_logon=True).collect()
+            assert once == L.activity_counters(L.inject_default_logon(j.where(some)), here).collect() and len(once) == 1
     assert L.inject_default_logon(j.where("activity = 'Lock'")).where("activity = 'Logon' and ts = unlock_time").count() == 1
 
 

@@ -105,10 +105,11 @@ def web_counters(joined: DataFrame, start: str = "08:00:00", end: str = "19:00:0
     )
 
 
-def activity_counters(joined: DataFrame, primary: DataFrame, start: str = "08:00:00", end: str = "19:00:00") -> DataFrame:
+def activity_counters(joined: DataFrame, primary: DataFrame, start: str = "08:00:00", end: str = "19:00:00", default_logon: bool = False) -> DataFrame:
     """Sixteen counters of a session: logon (of any kind, unlocks too), device,
     document and executable events, on the account's own or another host, in
-    or out of hours."""
+    or out of hours. With ``default_logon`` a session without a logon counts
+    that of :func:`inject_default_logon`, in the same pass."""
     off = X.off_hour(F.col("ts"), start, end)
     own = F.col("host").eqNullSafe(F.col("primary_host"))
     kinds = {
@@ -123,7 +124,14 @@ def activity_counters(joined: DataFrame, primary: DataFrame, start: str = "08:00
         for pc in ("own", "other")
         for part in ("normal", "off")
     ]
-    return joined.join(primary, "account", "left").groupBy(*SESSION).agg(*counters)
+    ranked = joined.join(primary, "account", "left")
+    if not default_logon:
+        return ranked.groupBy(*SESSION).agg(*counters)
+    out = ranked.groupBy(*SESSION, "primary_host").agg(*counters, F.count_if(kinds["logon"]).alias("_logons"))  # one primary host an account
+    begun = X.off_hour(F.col("unlock_time"), start, end)
+    one = lambda pc, part: (F.col("_logons") == 0) & (own if pc == "own" else ~own) & (begun if part == "off" else ~begun)
+    names = [(f"logon_{pc}_{part}", one(pc, part)) for pc in ("own", "other") for part in ("normal", "off")]
+    return out.withColumns({n: F.col(n) + F.when(c, 1).otherwise(0) for n, c in names}).drop("primary_host", "_logons")
 
 
 def inject_default_logon(joined: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def _injected(table):
 
 @add(with_(ACC, NEAR, SESS, JOINED_LEFT, _injected("joined_left"), PRIM, _ACTC) + f"SELECT {_SK}, {', '.join(_ACTN)} FROM actc")
 def a3_activity_counters(spark, d):
-    return _texts(L.activity_counters(L.inject_default_logon(_joined(spark, d, "left")), L.primary_host(access_events(spark, d))))
+    return _texts(L.activity_counters(_joined(spark, d, "left"), L.primary_host(access_events(spark, d)), default_logon=True))
 
 
 @add(with_(ACC, NEAR, SESS, JOINED, JOINED_LEFT, _injected("joined_left"), PRIM, _WEBC, _ACTC) + "SELECT w.account, w.host, " + ", ".join(_FMT.format("w." + c, c) for c in _S) + ", hour(w.unlock_time) AS logon_hour, isodow(w.unlock_time) - 1 AS weekday, " + ", ".join(_WEBN) + ", " + ", ".join(f"coalesce({c}, -1) AS {c}" for c in _ACTN) + " FROM webc w LEFT JOIN actc a ON w.account = a.account AND w.host = a.host AND w.unlock_time = a.unlock_time AND w.lock_time = a.lock_time")
@@ -139,7 +139,7 @@ def j8_combine_features(spark, d):
     e = access_events(spark, d)
     s = L.match_sessions(e)
     web = L.web_counters(L.events_in_sessions(e, s))
-    act = L.activity_counters(L.inject_default_logon(L.events_in_sessions(e, s, "left")), L.primary_host(e))
+    act = L.activity_counters(L.events_in_sessions(e, s, "left"), L.primary_host(e), default_logon=True)
     out = L.attach_counts(web, act, -1).withColumn("logon_hour", F.hour("unlock_time")).withColumn("weekday", F.weekday("unlock_time"))
     return _texts(out)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import expressions as X
+from ..operators.records import upsert
+from ..session import settle
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType, sep: str = ",", header: bool = True, ts_format: str | None = None) -> DataFrame:
@@ -54,9 +56,35 @@ def read_labelled_files(spark: SparkSession, csv: str, folder: str, schema: str,
     return read_csv(spark, csv, schema).join(files, name)
 
 
-def read_profile(spark: SparkSession, table: str, url: str | None = None, **options: str) -> DataFrame:
-    """A profile table from a database, or from Parquet if there is no url."""
-    return spark.read.options(**options).jdbc(url, table) if url else spark.read.parquet(table)
+def read_profile(spark: SparkSession, table: str, url: str | None = None, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A profile table from a database, or from Parquet if there is no url.
+
+    With a numeric ``column`` the table is read over ``parts`` connections, each
+    a range of it between ``bounds`` (asked for over one connection if none);
+    rows beyond them and rows without a value come with the first or last range."""
+    if not url:
+        return spark.read.parquet(table)
+    read = spark.read.options(**options)
+    if column is None:
+        return read.jdbc(url, table)
+    low, high = bounds or spark.read.options(**options).jdbc(url, table).agg(F.min(column), F.max(column)).first()
+    if low is None or low == high:
+        return read.jdbc(url, table)
+    return read.options(partitionColumn=column, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=parts).jdbc(url, table)
+
+
+def write_profile(df: DataFrame, table: str, url: str, mode: str = "overwrite", parts: int = 8, **options: str) -> None:
+    """``df`` as a table of a database, over at most ``parts`` connections; an
+    overwritten table keeps its columns where the database can empty it."""
+    df.write.options(truncate=True, numPartitions=parts, **options).mode(mode).jdbc(url, table)
+
+
+def upsert_profile(updates: DataFrame, table: str, url: str, keys: Sequence[str], column: str | None = None, parts: int = 8, **options: str) -> None:
+    """Rows of ``updates`` replace those with their keys in the database. The new
+    table stands in the shared folder before the old one is emptied, so a task
+    that is lost while writing reads it from there."""
+    old = read_profile(updates.sparkSession, table, url, column, parts=parts, **options)
+    write_profile(settle(upsert(old, updates, keys)), table, url, parts=parts, **options)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
