@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..session import settle
 
 # -- order statistics and running sums of whole tables
 
@@ -49,19 +50,19 @@ def quantiles(df: DataFrame, wanted: Sequence[tuple[str, float]], most: int = EX
     return list(df.agg(*(F.percentile(within(i), F.lit(share(i))).alias(f"q{i}") for i in range(len(v)))).first())
 
 
-def running_sums(df: DataFrame, by: str, sums: Mapping[str, str], descending: bool = False, cuts: int = 256) -> DataFrame:
+def running_sums(df: DataFrame, by: str, sums: Mapping[str, str], descending: bool = False, cuts: int | None = None) -> DataFrame:
     """``df``, a row a value of ``by``, with sums (new name: column) over all
-    rows up to each in that order. Ranges between sampled values are summed up
-    by themselves, so no task sorts the whole table."""
-    drawn = df.select(by).where(F.col(by).isNotNull()).orderBy(F.xxhash64(by), by).limit(cuts).orderBy(by).collect()
-    own = F.size(F.filter(F.array(*(F.lit(r[0]) for r in drawn)), lambda e: e < F.col(by))) if drawn else F.lit(0)
-    ranged = df.withColumn("_r", own)
+    rows up to each in that order. ``df`` is made once and written in ranges of
+    ``by`` (``cuts`` of them, else as many as adaptive execution finds fit);
+    each is summed up by itself, so no task sorts the whole table."""
+    ranges = df.repartitionByRange(cuts, by) if cuts else df.repartitionByRange(by)
+    ranged = settle(ranges.withColumn("_r", F.spark_partition_id()))
     down = F.desc if descending else F.asc
     ahead = Window.orderBy(down("_r")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     totals = ranged.groupBy("_r").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
     totals = totals.select("_r", *(F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_t_{n}") for n in sums))
     here = Window.partitionBy("_r").orderBy(down(by)).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(totals), "_r")  # ``cuts`` + 1 rows
+    out = ranged.join(F.broadcast(totals), "_r")  # a row a range: at most spark.sql.shuffle.partitions or ``cuts``
     return out.select(*df.columns, *((F.sum(c).over(here) + F.col(f"_t_{n}")).alias(n) for n, c in sums.items()))
 
 
