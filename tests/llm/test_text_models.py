@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +181,69 @@ def test_toxicity_odd_rows(spark, docs_of):
     assert toxicity.score(spark, d.where("false"), labels).count() == 0
 
 
+def plain_kneser_ney(toxic, ordinary, encode, size, word):
+    """Log-likelihood ratio of a word up to its first rare context, from the definition of each probability."""
+    longest = toxicity.ORDER - 1
+    counts = []
+    for words in (toxic, ordinary):
+        c = Counter()
+        for w, n in words.items():
+            s = encode(w)
+            for i in range(1, len(s)):
+                c[s[max(0, i - longest) : i], s[i]] += n
+        counts.append(c)
+    whole = set(counts[0]) | set(counts[1])
+    levels = {longest: {x: 1 for x in whole if len(x[0]) == longest}}
+    for n in reversed(range(longest)):
+        levels[n] = Counter({x: 1 for x in whole if len(x[0]) == n}) + Counter((h[1:], w) for h, w in levels[n + 1])
+
+    def mixed(table, h, w, below):
+        row = {x: n for (g, x), n in table.items() if g == h}
+        if not row:
+            return below
+        total = sum(row.values())
+        return max(row.get(w, 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(row) / total * below
+
+    def shared(h, w):
+        return mixed(levels[len(h)], h, w, shared(h[1:], w) if h else 1 / size)
+
+    s, out = encode(word), 0.0
+    for i in range(1, len(s)):
+        h = s[max(0, i - longest) : i]
+        if sum(n for c in counts for (g, _), n in c.items() if g == h) < toxicity.LEAST:
+            break
+        a, b = (mixed(c, h, s[i], shared(h[1:], s[i])) for c in counts)
+        out += np.log(a) - np.log(b)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, toxicity.LEAST])
+def test_ratios_equal_plain_kneser_ney(monkeypatch, least):
+    """Of seen, unseen, long and odd words; also where a rare context stands inside a word."""
+    monkeypatch.setattr(toxicity, "LEAST", least)
+    rng = np.random.default_rng(4)
+    some = lambda n, letters: Counter({"".join(rng.choice(list(letters), rng.integers(1, 12))): int(rng.integers(1, 9)) for _ in range(n)})
+    toxic, ordinary = some(60, "abcd"), some(60, "abce")
+    toxic["abcabcabcabc"] = ordinary["cbacbacba"] = 7
+    model = toxicity.Model(toxic, ordinary)
+    words = [*list(toxic)[:10], *list(ordinary)[:10], "a", "zz", "abcabczabcabcabc", "cbacbaéabcabcabcabcab", "d" * 40, *some(20, "abcde")]
+    want = [plain_kneser_ney(toxic, ordinary, model.encode, toxicity.SYMBOLS + 3, w) for w in words]
+    got = model.ratios(words)
+    assert np.allclose(got[:, 0], want, atol=1e-4)
+    assert got[:, 1].tolist() == [len(w) + 1 for w in words]
+    assert np.abs(want).max() > 1
+
+
+def test_toxicity_of_few_labels_repeated_ids_and_a_long_text(spark, docs_of):
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} words here {i}") for i in range(40)]
+    d = docs_of([*rows, *[(1, f"vile again {i}") for i in range(300)], (100, "kind words " * 100_000), (101, "k" * 300_000)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for n in (4, 40):
+        out = toxicity.score(spark, d, labels.where(f"doc_id < {n}")).toPandas()
+        assert len(out) == 342 and out.score.between(0, 1).all()
+    assert out[(out.doc_id < 40) & (out.doc_id % 2 == 1)].score.min() > out[(out.doc_id < 40) & (out.doc_id % 2 == 0)].score.max()
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(50):

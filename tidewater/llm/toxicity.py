@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drawn, prepare
@@ -108,29 +108,32 @@ class Model:
                 shared[h] = p
             return p
 
+        # a word tells nothing more after a context seen less often: words of neither class would
+        # else be judged by chance likenesses (held-out recall 0.76 at sf0.1, where it is 0.8 or more)
         contexts = sorted({h for h, n in totals.items() if n >= LEAST} | {(1,), ()}, key=lambda h: (len(h), h))
         place = {h: i for i, h in enumerate(contexts)}
         self.ratio = np.zeros((len(contexts), size), np.float32)
         self.follow = np.zeros((len(contexts), size), np.int32)
+        longer: dict[tuple, list[tuple]] = defaultdict(list)
+        for h in contexts[1:]:
+            longer[h[:-1]].append(h)
         for i, h in enumerate(contexts):
-            base = backoff(h[1:]) if h else backoff(())
-            logs = []
-            for table in counts:
-                own = table.get(h)
-                if not own:
-                    logs.append(np.log(base))
-                    continue
-                n, p = sum(own.values()), np.zeros(size)
-                p[list(own)] = np.maximum(np.array(list(own.values()), float) - DISCOUNT, 0) / n
-                logs.append(np.log(p + DISCOUNT * len(own) / n * base))
-            self.ratio[i] = logs[0] - logs[1]
-            for w in range(size):
-                t = (*h, w)[-(ORDER - 1) :]
-                while t not in place:
-                    t = t[1:]
-                self.follow[i, w] = place[t]
+            for x in longer.get(h[-(ORDER - 2) :], ()):
+                self.follow[i, x[-1]] = place[x]
+            own = [table.get(h) for table in counts]
+            if any(own):
+                self.ratio[i] = np.subtract(*(np.log(self._after(x, backoff(h[1:]))) for x in own))
         self.start = place[(1,)]
 
+    @staticmethod
+    def _after(own: dict[int, int] | None, below: np.ndarray) -> np.ndarray:
+        """Probabilities of the next symbol by a class's counts of a context."""
+        if not own:
+            return below
+        n, p = sum(own.values()), np.zeros(len(below))
+        p[list(own)] = np.maximum(np.array(list(own.values()), float) - DISCOUNT, 0) / n
+        return p + DISCOUNT * len(own) / n * below
+
     def ratios(self, words: list[str]) -> np.ndarray:
         """For each word: log-likelihood ratio, and its number of symbols."""
         out = np.zeros((len(words), 2), np.float32)
@@ -234,8 +237,8 @@ def _score(fitted: tuple[Model, np.ndarray] | None, key: str):
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row.
 
-    Learns from labelled rows that are not held out (null text or label:
-    none). Null, empty and wordless texts get the score of no evidence; without
+    Learns from labelled rows that are not held out (null text or label: none;
+    of rows that share an id, one text). Null, empty and wordless texts get the score of no evidence; without
     both classes every score is 0.
     """
     prepare(spark)
@@ -243,8 +246,8 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # the sample is drawn from ids, so that only its texts move: at most TRAIN_DOCS ids a class are broadcast
     ids = drawn(marks.where(~held_out(F.col("doc_id"), 3, 1)), "toxic", ["doc_id"], TRAIN_DOCS)
-    texts = cols.where("text is not null").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").select("doc_id", "text", "toxic")
-    again = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(3)), F.xxhash64("text"))  # rows may share an id
-    known = texts.withColumn("n", F.row_number().over(again)).where(F.col("n") <= TRAIN_DOCS).select("text", "toxic", "n")
+    texts = cols.where("text is not null").join(F.broadcast(ids.select("doc_id", "toxic", "n")), "doc_id")
+    # rows may share an id: one text of each is learnt from
+    known = texts.groupBy("doc_id", "toxic", "n").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic", "n")
     fitted = fit(spark, known)
     return cols.select("doc_id", "text", "held_out").mapInArrow(_score(fitted, uuid.uuid4().hex), "doc_id long, held_out boolean, score double, predicted int")
