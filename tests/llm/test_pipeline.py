@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidewater.llm import simhash
 
@@ -91,3 +93,9 @@ def test_pairs_just_above_the_limit_all_meet(spark, docs_of):
     assert kept_ids(spark, docs_of, texts) == want
     body, line = " ".join(f"b{i}" for i in range(300)), " ".join(f"b{i}" for i in range(10, 20))
     assert kept_ids(spark, docs_of, [body, body + (" " + line) * 100]) == {0}  # a line that repeats is one set of shingles
+
+
+def test_texts_that_share_an_identity_are_told_apart(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(simhash, "_identity", lambda text: F.length(text).cast("long"))
+    texts = ["one two three four five six", "six five four three two one", "seven", "eight", "seven", None, ""]
+    assert kept_ids(spark, docs_of, texts) == near_groups(texts) == {0, 1, 2, 3, 5}

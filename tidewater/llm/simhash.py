@@ -360,6 +360,17 @@ def _common(spark: SparkSession, texts: DataFrame, words: int) -> tuple[np.ndarr
     return key[order], seen[order]
 
 
+def _identity(text: F.Column) -> F.Column:
+    return F.xxhash64(text)
+
+
+def _told_apart(text: F.Column, clashes: list[int]) -> F.Column:
+    """64 bits that differ between different texts: ``clashes`` are the
+    identities that several of them share."""
+    wide = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.when(_identity(text).isin(clashes), wide).otherwise(_identity(text)) if clashes else _identity(text)
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document (the least doc_id) of each group of near
     copies: texts that are equal, or linked by a Jaccard similarity of
@@ -371,14 +382,19 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     Where many texts share a shingle, rounds of stars around a few of them come
     first; what these have joined is not compared again, and at last every
     text outside the largest component of its shingle meets all others there.
-    Wordless and null texts are all alike. Rows stay unchanged, with all their
+    Equal texts are one node with a 64-bit identity; where 128 bits tell texts
+    of one identity apart (a few in 10^10), these take another. Wordless and
+    null texts are all alike. Rows stay unchanged, with all their
     columns, whatever they are called; of whole rows that repeat one stays; an
     empty table stays empty.
     """
     scratch = Scratch(prepare(spark))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    node = F.xxhash64(text)
-    read = docs.select(F.col("doc_id").cast("long"), node.alias("node"), text.alias("text"))
+    ids = docs.select(_identity(text).alias("node"), F.unhex(F.md5(text)).alias("wide"))
+    ids = ids.groupBy("node").agg(F.min("wide").alias("a"), F.max("wide").alias("b"))
+    # expected: texts squared / 2^65 of them
+    clashes = [r.node for r in ids.where("a <> b").select("node").collect()]
+    read = docs.select(F.col("doc_id").cast("long"), _told_apart(text, clashes).alias("node"), text.alias("text"))
     common, seen = _common(spark, read.select("node", "text"), words)
     maps = [f"f{j}" for j in range(MAP_WORDS)]
     each = read.mapInArrow(_sets(words, similarity, common, seen), "doc_id long, node long, size int, keys array<long>, " + ", ".join(f"{c} long" for c in maps))
@@ -406,7 +422,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     ends = scratch.keep(ends.join(nodes.select("node", "doc_id"), "node").select("node", F.col("doc_id").alias("id")), "ends")
     # columns of docs may have any name: they are read as d's
     own_text = F.coalesce(F.col("d.text").cast("string"), F.lit(""))
-    own, own_id = F.xxhash64(own_text), F.col("d.doc_id").cast("long")
+    own, own_id = _told_apart(own_text, clashes), F.col("d.doc_id").cast("long")
     texts = docs.alias("d").join(ends.alias("e"), (own == F.col("e.node")) & own_id.eqNullSafe(F.col("e.id"))).select(F.col("e.node").alias("node"), own_text.alias("text")).dropDuplicates(["node"])
     texts = scratch.keep(texts, "texts")
 
