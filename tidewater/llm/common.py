@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 _ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes that Spark hands to a Python worker at a time.
 BATCH_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _live: list[tuple[SparkSession, str]] = []
 
 
@@ -51,8 +52,10 @@ class Scratch:
     result may still read them.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = prepare(spark)
+    def __init__(self, spark: SparkSession, tidy: bool = False):
+        """``tidy``: shuffle files of a table go once it is written, not when the
+        driver collects garbage. For jobs of many tables."""
+        self.spark, self.tidy = prepare(spark), tidy
         self.folder = f"{shared_folder(spark)}/tidewater-{uuid.uuid4().hex}"
         _live.append((spark, self.folder))
 
@@ -61,8 +64,14 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` once and return it as read from there."""
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        path, before = self.path(name), self.spark.conf.get(_CLEANUP, "false")
+        if self.tidy:
+            self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

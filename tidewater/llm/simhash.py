@@ -388,7 +388,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     columns, whatever they are called; of whole rows that repeat one stays; an
     empty table stays empty.
     """
-    scratch = Scratch(prepare(spark))
+    scratch = Scratch(spark, tidy=True)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ids = docs.select(_identity(text).alias("node"), F.unhex(F.md5(text)).alias("wide"))
     ids = ids.groupBy("node").agg(F.min("wide").alias("a"), F.max("wide").alias("b"))
