@@ -346,18 +346,18 @@ def f23_site_interactions(spark, d):
 
 
 _BANDS = "bands AS (SELECT o_orderkey, (o_orderkey % 97 + 3) / 1e3 AS nir, (o_orderkey % 89 + 5) / 1e3 AS green, (o_orderkey % 83) / 1e3 AS swir16, (o_orderkey % 79) / 1e3 AS swir22, CAST(o_orderkey % 53 AS DOUBLE) AS pet, CAST(o_orderdate AS DATE) AS sample_date FROM orders)"
-_WATER = {
+_WATER_OF = {
     "ndwi": "(green - nir) / (green + nir)", "ndmi": "(nir - swir16) / (nir + swir16)", "mndwi": "(green - swir16) / (green + swir16)", "nir_swir16": "nir / nullif(swir16, 0)", "green_swir22": "green / nullif(swir22, 0)",
     "pet_ndmi": "pet * (nir - swir16) / (nir + swir16)", "pet_mndwi": "pet * (green - swir16) / (green + swir16)", "ndmi_squared": "pow((nir - swir16) / (nir + swir16), 2)", "mndwi_squared": "pow((green - swir16) / (green + swir16), 2)",
     "log_nir": "ln(1 + nir)", "log_green": "ln(1 + green)", "log_pet": "ln(1 + pet)", "day_sin": "sin(2 * pi() * dayofyear(sample_date) / 365.25)", "day_cos": "cos(2 * pi() * dayofyear(sample_date) / 365.25)",
 }
 
 
-@add(with_(_BANDS) + "SELECT o_orderkey, " + ", ".join(f"round({e} + 1.3e-7, 5) + 0.0 AS {n}" for n, e in _WATER.items()) + " FROM bands")
+@add(with_(_BANDS) + "SELECT o_orderkey, " + ", ".join(f"round({e} + 1.3e-7, 5) + 0.0 AS {n}" for n, e in _WATER_OF.items()) + " FROM bands")
 def f25_water_bands(spark, d):
     k = F.col("o_orderkey")
     b = load(spark, d, "orders").select(k, ((k % 97 + 3) / 1e3).alias("nir"), ((k % 89 + 5) / 1e3).alias("green"), ((k % 83) / 1e3).alias("swir16"), ((k % 79) / 1e3).alias("swir22"), (k % 53).cast("double").alias("pet"), F.col("o_orderdate").cast("date").alias("sample_date"))
-    return P.water_features(b).select("o_orderkey", *((F.round(F.col(c) + 1.3e-7, 5) + 0.0).alias(c) for c in _WATER))
+    return P.water_features(b).select("o_orderkey", *((F.round(F.col(c) + 1.3e-7, 5) + 0.0).alias(c) for c in _WATER_OF))
 
 
 _KEYED = "-74.02 + (o_custkey * 7919 % 2000) / 10000.0 AS lon, 40.70 + (o_custkey * 6007 % 2000) / 10000.0 AS lat, strftime(o_orderdate, '%d-%m-%Y') AS sample_date"
