@@ -45,7 +45,7 @@ _DIST = "sqrt(pow(lon - site_lon, 2) + pow(lat - site_lat, 2))"
 
 @add(with_(POINTS, SITES) + f"SELECT point_id, site_id, round({_DIST}, 6) AS distance FROM points, sites WHERE abs(lon - site_lon) <= 0.0051 AND {_DIST} <= 0.005")
 def j19_radius_join(spark, d):
-    return P.radius_join(geo_points(spark, d), sites(spark, d), 0.005).select("point_id", "site_id", r6("distance").alias("distance"))
+    return P.radius_join(geo_points(spark, d), sites(spark, d), 0.005, 6).select("point_id", "site_id", "distance")
 
 
 @add(with_(POINTS, SITES) + f"SELECT point_id, site_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, site_id) AS rank FROM (SELECT point_id, site_id, {_hav('lon', 'lat', 'site_lon', 'site_lat')} AS distance FROM points, sites)) WHERE rank <= 5")
