@@ -78,16 +78,17 @@ def _win(size, extra=""):
     )
 
 
-def _window(spark, d, size):
-    return P.raster_window(geo_points(spark, d), pixels(spark, d).select("row", "col", "value"), size, AFFINE, _SHAPE)
+def _window(spark, d, size, figures):
+    """``figures`` of each point's window."""
+    raster = pixels(spark, d).select("row", "col", "value")
+    return P.by_pixel(geo_points(spark, d), AFFINE, lambda points: figures(P.raster_window(points, raster, size, AFFINE, _SHAPE)))
 
 
 @add(_win(5) + "SELECT point_id, count(*) FILTER (WHERE near) AS n3, count(*) AS n5, round(sum(CASE WHEN near THEN v ELSE 0 END), 4) AS total3, round(sum(v), 4) AS total FROM (SELECT *, r - greatest(0, pr - 1) BETWEEN 0 AND 2 AND c - greatest(0, pc - 1) BETWEEN 0 AND 2 AS near FROM win) GROUP BY point_id")
 def j23_raster_window(spark, d):
     """Windows of five and, as a part of them, three pixels."""
-    w = _window(spark, d, 5)
     sums = lambda df, n: df.groupBy("point_id").agg(F.count("*").alias(f"n{n}"), F.round(F.sum("value"), 4).alias("total" if n == 5 else "total3"))
-    return sums(w, 5).join(sums(P.sub_window(w, 3), 3), "point_id")
+    return _window(spark, d, 5, lambda w: sums(w, 5).join(sums(P.sub_window(w, 3), 3), "point_id"))
 
 
 @add(_win(5) + """SELECT point_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.5), 6) AS median, round(min(v), 6) AS least, round(max(v), 6) AS most,
@@ -95,14 +96,14 @@ def j23_raster_window(spark, d):
  round(CASE WHEN min(v) < max(v) THEN avg(pow(v - m, 3)) / pow(avg(pow(v - m, 2)), 1.5) ELSE 0 END, 5) AS skew, round(CASE WHEN min(v) < max(v) THEN avg(pow(v - m, 4)) / pow(avg(pow(v - m, 2)), 2) - 3 ELSE 0 END, 5) AS kurt
  FROM (SELECT *, avg(v) OVER (PARTITION BY point_id) AS m FROM win) GROUP BY point_id""")
 def a23_window_stats(spark, d):
-    out = P.window_stats(_window(spark, d, 5), "value")
+    out = _window(spark, d, 5, lambda w: P.window_stats(w, "value"))
     digits = {"energy": 2, "contrast": 3, "entropy": 3, "skew": 5, "kurt": 5}  # sums in another order may differ in their last bits
     return out.select("point_id", *(F.round(F.col(c) + (1.3e-6 if digits.get(c, 6) < 5 else 0), digits.get(c, 6)).alias(c) for c in out.columns[1:]))
 
 
 @add(_win(3) + "SELECT point_id, round(-sum(v * log2(v + 1e-10)) + 1.3e-6, 3) AS entropy FROM win GROUP BY point_id")
 def a23_window_entropy(spark, d):
-    o = P.window_stats(P.sub_window(_window(spark, d, 5), 3), "value")
+    o = _window(spark, d, 5, lambda w: P.window_stats(P.sub_window(w, 3), "value"))
     return o.select("point_id", F.round(F.col("entropy") + 1.3e-6, 3).alias("entropy"))
 
 
@@ -111,7 +112,7 @@ _DISC = {"mean": "avg(v)", "std": "stddev_pop(v)", "median": "quantile_cont(v, 0
 
 @add(_win(5) + "SELECT point_id, " + ", ".join(f"CASE WHEN count(*) = 13 THEN round({e}, 5) ELSE 0 END AS {n}" for n, e in _DISC.items()) + " FROM (SELECT *, avg(v) OVER (PARTITION BY point_id) AS m FROM win WHERE pow(y - 2, 2) + pow(x - 2, 2) <= 4) GROUP BY point_id")
 def a24_disc_stats(spark, d):
-    o = P.disc_stats(_window(spark, d, 7), "value", 2)
+    o = _window(spark, d, 7, lambda w: P.disc_stats(w, "value", 2))
     return o.select("point_id", *(F.round(c, 5).alias(c) for c in o.columns[1:]))
 
 
@@ -133,7 +134,7 @@ def _texture_sql(size):
 
 @add(_texture_sql(7))
 def a25_window_texture(spark, d):
-    o = P.window_texture(_window(spark, d, 7), "value")
+    o = _window(spark, d, 7, lambda w: P.window_texture(w, "value"))
     return o.select("point_id", *((F.round(F.col(c) + (1.3e-7 if c == "laplace_mean" else 0), 4) + 0.0).alias(c) for c in o.columns[1:]))
 
 
