@@ -337,9 +337,11 @@ def m5_min_max_by_key(spark, d):
 
 @add(with_(ACC) + "SELECT event_id, account, 1 AS prediction FROM acc WHERE value * 0.01 + k * (CAST(substr(account, 2) AS BIGINT) % 5 - 2) * 0.02 - 0.5 > 0")
 def m11_score_per_user(spark, d):
-    e = access_events(spark, d)
-    m = e.select("account").distinct().select("account", F.array(F.lit(0.01), (F.substring("account", 2, 20).cast("long") % 5 - 2) * 0.02).alias("weights"), F.lit(-0.5).alias("bias"))
-    return L.score_per_user(e, m, ["value", "k"]).select("event_id", "account", "prediction")
+    """k counts in fiftieths, so a weight of 0.02 a unit is a whole number: its
+    product is the double nearest to the exact one, as in the SQL, also on a tie."""
+    e = access_events(spark, d).withColumn("fiftieths", F.col("k") / 50)
+    m = e.select("account").distinct().select("account", F.array(F.lit(0.01), (F.substring("account", 2, 20).cast("long") % 5 - 2).cast("double")).alias("weights"), F.lit(-0.5).alias("bias"))
+    return L.score_per_user(e, m, ["value", "fiftieths"]).select("event_id", "account", "prediction")
 
 
 @add(with_(ACC) + "SELECT event_id, 0 AS target FROM acc")
