@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater import plans
 from tidewater.operators import models as M
 from tidewater.operators import places as P
+from tidewater.streaming import streams as S
 
 
 def test_thermal_features_have_their_own_water(spark, sf):
@@ -84,3 +85,12 @@ def test_users_are_fitted_alike_alone_and_side_by_side(spark):
         p = 1 / (1 + np.exp(-(z @ w)))
         w += np.linalg.solve((z.T * (p * (1 - p) + 1e-6)) @ z + 0.1 * np.eye(3), z.T @ (y[:, 0] - p) - 0.1 * w)
     assert abs(bias[0] - w[2]) < 1e-9
+
+
+def test_sliding_windows_from_panes(spark):
+    rows = [(u, f"2024-01-01 {i % 3:02d}:{(i * 7) % 60:02d}:01") for u in (1, 2) for i in range(40)]
+    e = spark.createDataFrame(rows, "u int, t string").select("u", F.col("t").cast("timestamp").alias("ts"))
+    panes = S.stream_counts(e, "ts", "u", "15 minutes")
+    assert panes.count() <= 2 * 12
+    got, want = S.sliding_counts(panes, "u", 3600, 900), S.stream_counts(e, "ts", "u", "1 hour", "15 minutes")
+    assert sorted(got.select("u", "start", "end", "n").collect()) == sorted(want.select("u", "start", "end", "n").collect())

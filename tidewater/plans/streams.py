@@ -63,7 +63,8 @@ def x2_stream_counts(spark, d):
 @add("SELECT user_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT user_id, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS s FROM events, (SELECT unnest(range(4)) AS k)) GROUP BY 1, 2")
 def x2_stream_sliding_counts(spark, d):
     e = load(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    o = _drained(spark, S.stream_counts(_source(spark, e), "ts", "user_id", "1 hour", "15 minutes", _HOLD), "complete")
+    panes = _drained(spark, S.stream_counts(_source(spark, e), "ts", "user_id", "15 minutes", None, _HOLD), "complete")
+    o = S.sliding_counts(panes, "user_id", 3600, 900)
     return o.select("user_id", text("start").alias("start"), "n")
 
 

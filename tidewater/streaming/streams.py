@@ -22,6 +22,18 @@ def stream_counts(events: DataFrame, ts: str, key: str, size: str = "1 hour", sl
     return counts.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def sliding_counts(panes: DataFrame, key: str, size_s: int, slide_s: int) -> DataFrame:
+    """Counts of sliding windows from those of their panes, windows of
+    ``slide_s`` seconds without overlap: key, start, end, n. A stream that
+    counts panes keeps a row a pane, not one for each window that covers it."""
+    if size_s % slide_s:
+        raise ValueError("a window has to be a whole number of panes")
+    ago = F.explode(F.sequence(F.lit(0), F.lit(size_s // slide_s - 1)))
+    starts = panes.select(key, "start", "n", ago.alias("_ago")).withColumn("start", F.timestamp_micros(F.unix_micros("start") - F.col("_ago").cast("long") * slide_s * 1_000_000))
+    counts = starts.groupBy(key, "start").agg(F.sum("n").alias("n"))
+    return counts.select(key, "start", F.timestamp_micros(F.unix_micros("start") + size_s * 1_000_000).alias("end"), "n")
+
+
 def stream_gap_sessions(events: DataFrame, ts: str, key: str, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
     counts = events.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return counts.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
