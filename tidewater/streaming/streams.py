@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,9 +80,9 @@ def _pair(limit: int):
             timers += [opens[0] + limit] if opens else []
             state.setTimeoutTimestamp(max(min(timers), mark) // 1000 + 1)
         if out:
-            start, end = (pd.Series([x[i] for x in out], dtype="Int64") for i in (0, 1))
-            at = lambda x: pd.to_datetime(x.astype("float64"), unit="us") if x.isna().all() else pd.to_datetime(x, unit="us")
-            yield pd.DataFrame({"account": key[0], "host": key[1], "unlock_time": at(start), "lock_time": at(end), "duration_ts": end // 1_000_000 - start // 1_000_000})
+            start, end = (np.array([np.datetime64(x[i], "us") if x[i] is not None else np.datetime64("NaT") for x in out], "datetime64[us]") for i in (0, 1))
+            seconds = pd.array([x[1] // 1_000_000 - x[0] // 1_000_000 if x[1] is not None else None for x in out], "Int64")
+            yield pd.DataFrame({"account": key[0], "host": key[1], "unlock_time": start, "lock_time": end, "duration_ts": seconds})
 
     return run
 
