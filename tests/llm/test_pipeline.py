@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -99,3 +101,42 @@ def test_texts_that_share_an_identity_are_told_apart(spark, docs_of, monkeypatch
     monkeypatch.setattr(simhash, "_identity", lambda text: F.length(text).cast("long"))
     texts = ["one two three four five six", "six five four three two one", "seven", "eight", "seven", None, ""]
     assert kept_ids(spark, docs_of, texts) == near_groups(texts) == {0, 1, 2, 3, 5}
+
+
+def test_balls_find_near_copies_before_the_exact_pass(spark, docs_of, monkeypatch):
+    rng = random.Random(11)
+    texts = []
+    for g in range(40):
+        w = [f"g{g}w{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(w), " ".join([*w[:-1], "other"])]
+    texts += ["two words", "other words"]
+
+    def nothing(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    monkeypatch.setattr(simhash, "_meeting", lambda least: nothing)
+    assert kept_ids(spark, docs_of, texts) == near_groups(texts) == {*range(0, 80, 2), 80, 81}
+
+
+def test_maps_of_long_sets_tell_them_apart():
+    rng = np.random.default_rng(1)
+    differ = lambda u, v: int(np.bitwise_count((u ^ v).view(np.uint64)).sum())
+    for n in (40, 600, 3000, 50_000):
+        h = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        a, b, c = h[:n], h[n // 2 : n + n // 2], np.r_[h[: n - n // 20], h[n : n + n // 20]]
+        most = 2 * n - 2 * np.ceil(0.8 / 1.8 * 2 * n - 1e-9)
+        assert differ(simhash.parity(a), simhash.parity(b)) > most  # half in common
+        assert differ(simhash.parity(a), simhash.parity(c)) <= 2 * (n // 20) <= most
+    x, y = simhash.parity(h[:512]), simhash.parity(h[:513])
+    assert 2 * len(x) == len(y) and differ(x, y[: len(x)] ^ y[len(x) :]) == 1
+
+
+def test_near_copies_with_maps_of_unlike_sizes(spark, docs_of):
+    texts = []
+    for g in range(12):
+        w = [f"g{g}w{i}" for i in range(616)]
+        texts += [" ".join(w[:516]), " ".join(w), " ".join(w[:516] + w[:4] * 35)]
+    want = near_groups(texts)
+    assert len(want) == 12
+    assert kept_ids(spark, docs_of, texts) == want

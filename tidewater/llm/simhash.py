@@ -214,11 +214,11 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, words: int = 3, radius:
     return each.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the corpus stage: 64-bit words of a parity map; members of a bucket whose
-#: pairs are all compared at once; centres of a larger bucket in each round of
-#: stars, and rounds; texts that tell which shingles are common, and how many of
-#: these are told to the tasks (all of these steer the work, not the result).
-MAP_WORDS, BUCKET_FEW, CENTRES, ROUNDS, SAMPLE_TEXTS, COMMON_MOST = 16, 32, 8, 6, 10_000, 100_000
+#: Of the corpus stage: members of a bucket whose pairs are all compared at
+#: once; centres of a larger bucket in each round of stars, and rounds; texts
+#: that tell which shingles are common, and how many of these are told to the
+#: tasks (all of these steer the work, not the result).
+BUCKET_FEW, CENTRES, ROUNDS, SAMPLE_TEXTS, COMMON_MOST = 32, 8, 6, 10_000, 100_000
 _ROUND = 1e-9
 
 
@@ -239,10 +239,21 @@ def shingles(text: bytes | None, words: int) -> set[int]:
     return set(_hashes(text, words).tolist())
 
 
+def sketch(h: np.ndarray) -> np.int64:
+    """SimHash of a set: bits set in over half of its members."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), _CHUNK):
+        ones += np.unpackbits(h[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0]
+
+
 def parity(h: np.ndarray) -> np.ndarray:
     """Map of a set: of each bit, whether an odd number of members falls on it.
-    Two maps differ in no more bits than the sets differ in members."""
-    odd = np.bincount(((h * _MIX) >> np.uint64(32)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+    Two maps differ in no more bits than the sets differ in members. It has two
+    to four bits a member, so that unlike sets of any size show: a power of two,
+    and the exclusive or of its halves is the map of half the size."""
+    bits = max(64, 1 << max(2 * len(h) - 1, 0).bit_length())
+    odd = np.bincount(((h * _MIX) >> np.uint64(32)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -260,22 +271,25 @@ def prefix(h: np.ndarray, common: np.ndarray, seen: np.ndarray, least: float) ->
     return h[np.lexsort((h, count))[:n]].view(np.int64)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
 def _sets(words: int, least: float, common: np.ndarray, seen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            size, maps, first = [], [], []
+            size, f0, maps, first = [], [], [], []
             for x in batch.column("text").cast(pa.large_binary()):
                 h = _hashes(x.as_py(), words)
                 size.append(len(h))
+                f0.append(sketch(h))
                 maps.append(parity(h))
                 first.append(prefix(h, common, seen, least))
-            maps = np.array(maps, np.int64).reshape(-1, MAP_WORDS)
-            ends = pa.array(np.r_[0, np.cumsum([len(x) for x in first])].astype(np.int32))
-            keys = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("node"), pa.array(size, pa.int32()), keys, *(pa.array(maps[:, j]) for j in range(MAP_WORDS))],
-                ["doc_id", "node", "size", "keys", *(f"f{j}" for j in range(MAP_WORDS))],
+                [batch.column("doc_id"), batch.column("node"), pa.array(size, pa.int32()), pa.array(f0, pa.int64()), _lists(first), _lists(maps)],
+                ["doc_id", "node", "size", "f0", "keys", "map"],
             )
 
     return run
@@ -326,8 +340,7 @@ def _meeting(least: float):
             a.append(node[met])
             b.append(node[met + d])
         a, b = np.concatenate(a), np.concatenate(b)
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-        yield pa.RecordBatch.from_arrays([pa.array(out.a.to_numpy()), pa.array(out.b.to_numpy())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return _buckets(["key", "size", "node"], solve)
 
@@ -376,12 +389,16 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     copies: texts that are equal, or linked by a Jaccard similarity of
     ``words``-word shingles of ``similarity`` or more.
 
-    No pair is left to chance: two sets so similar share one of their first
-    shingles (prefix filter), and pairs that share one are sorted out by bounds
-    that hold for all (sizes, parity maps), then verified on their whole texts.
-    Where many texts share a shingle, rounds of stars around a few of them come
-    first; what these have joined is not compared again, and at last every
-    text outside the largest component of its shingle meets all others there.
+    SimHash balls come first: texts whose fingerprints (of their sets of
+    shingles) the half-radius balls of :func:`links` bring together are verified
+    on their whole texts, and what is near is one component from then on. An
+    exact pass follows, so no pair is left to chance: two sets so similar share
+    one of their first shingles (prefix filter), and pairs that share one, and
+    that the balls have not joined, are sorted out by bounds that hold for all
+    (sizes, parity maps), then verified on their whole texts. Where many texts
+    share a shingle, rounds of stars around a few of them come first; what these
+    have joined is not compared again, and at last every text outside the
+    largest component of its shingle meets all others there.
     Equal texts are one node with a 64-bit identity; where 128 bits tell texts
     of one identity apart (a few in 10^10), these take another. Wordless and
     null texts are all alike. Rows stay unchanged, with all their
@@ -396,11 +413,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     clashes = [r.node for r in ids.where("a <> b").select("node").collect()]
     read = docs.select(F.col("doc_id").cast("long"), _told_apart(text, clashes).alias("node"), text.alias("text"))
     common, seen = _common(spark, read.select("node", "text"), words)
-    maps = [f"f{j}" for j in range(MAP_WORDS)]
-    each = read.mapInArrow(_sets(words, similarity, common, seen), "doc_id long, node long, size int, keys array<long>, " + ", ".join(f"{c} long" for c in maps))
+    each = read.mapInArrow(_sets(words, similarity, common, seen), "doc_id long, node long, size int, f0 long, keys array<long>, map array<long>")
     each = scratch.keep(each, "sets")
-    nodes = scratch.keep(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "keys", *maps))), "nodes")
-    slim = nodes.select("node", "size", *maps)
+    nodes = scratch.keep(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "f0", "keys", "map"))), "nodes")
+    same = scratch.keep(each.groupBy("node", "doc_id").count().where("count > 1"), "same")
+    scratch.drop(each)
+    slim = nodes.select("node", "size", "map")
     keys = nodes.select(F.explode("keys").alias("key"), "size", "node")
     met = scratch.keep(keys.groupBy("key").count().where("count > 1"), "met")
     # read twice: all first shingles move once for it, those that meet nobody stay behind
@@ -412,13 +430,29 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     def near(x: str, y: str) -> F.Column:
         """Whether the sizes and maps of two nodes allow the similarity."""
         n, m = F.col(f"{x}size"), F.col(f"{y}size")
-        differ = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in maps), F.lit(0))
+        u, v = F.col(f"{x}map"), F.col(f"{y}map")
+        both = F.least(F.size(u), F.size(v))
+        half = lambda w: F.when(F.size(w) == 2 * both, F.zip_with(F.slice(w, F.lit(1), both), F.slice(w, both + 1, both), lambda i, j: i.bitwiseXOR(j))).otherwise(w)
+        differ = F.aggregate(F.zip_with(half(u), half(v), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda i, j: i + j)
         most = n + m - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(_ROUND))
-        return (F.least(n, m) >= similarity * F.greatest(n, m) - F.lit(_ROUND)) & (differ <= most)
-
-    few = scratch.keep(few.join(a, "a").join(b, "b").where(near("a", "b")).select("a", "b"), "few")
-    large = scratch.keep(rows.where(F.col("count") > BUCKET_FEW).select("key", "node").join(slim, "node"), "large")
-    ends = few.select(F.col("a").alias("node")).union(few.select("b")).union(large.select("node")).distinct()
+        # maps of very unlike sizes meet below a similarity of one half only: they tell nothing
+        unlike = F.greatest(F.size(u), F.size(v)) > 2 * both
+        return (F.least(n, m) >= similarity * F.greatest(n, m) - F.lit(_ROUND)) & (unlike | (differ <= most))
+
+    def possible(pairs: DataFrame, name: str) -> DataFrame:
+        return scratch.keep(pairs.join(a, "a").join(b, "b").where(near("a", "b")).select("a", "b"), name)
+
+    names = scratch.keep(nodes.groupBy("f0").agg(F.min("node").alias("first"), F.count("*").alias("n")), "names")
+    found = scratch.keep(links(spark, names.select("f0"), scratch, 3, 1, 32, BUCKET_FEW), "balls")
+    end = lambda i: names.select(F.col("f0").alias(f"{i}0"), F.col("first").alias(i))
+    equal = nodes.select("f0", "node").join(names.where("n > 1"), "f0").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    balls = possible(found.join(end("a"), "a0").join(end("b"), "b0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(equal), "balls")
+    few = possible(few, "few")
+    large = scratch.keep(rows.where(F.col("count") > BUCKET_FEW).select("key", "node"), "large")
+    for old in (met, rows):
+        scratch.drop(old)
+    pairs = few.union(balls)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
     ends = scratch.keep(ends.join(nodes.select("node", "doc_id"), "node").select("node", F.col("doc_id").alias("id")), "ends")
     # columns of docs may have any name: they are read as d's
     own_text = F.coalesce(F.col("d.text").cast("string"), F.lit(""))
@@ -443,15 +477,19 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
         pairs = mine.join(other, "key").where((F.col("aroot") != F.col("broot")) & near("a", "b"))
         return scratch.keep(pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct(), "pairs")
 
-    # first each node's least partner, then what these have not joined: pairs inside a component need no look
-    parts = spark.createDataFrame([], "node long, root long")
-    for turn in range(3):
-        some = few.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if turn < 2 else few
-        parts = grown(verified(some), parts)
-        if turn < 2:
-            root = lambda end: parts.select(F.col("node").alias(end), F.col("root").alias(f"{end}r"))
-            rest = few.join(some.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done is null").join(root("a"), "a", "left").join(root("b"), "b", "left")
-            few = scratch.keep(rest.where(F.coalesce("ar", "a") != F.coalesce("br", "b")).select("a", "b"), "few")
+    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs that no component holds: the others need no look."""
+        root = lambda end: parts.select(F.col("node").alias(end), F.col("root").alias(f"{end}r"))
+        rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return scratch.keep(rest.where(F.coalesce("ar", "a") != F.coalesce("br", "b")).select("a", "b"), "few")
+
+    # what the balls have brought together, then each other node's least partner, then what is still apart
+    parts = grown(verified(balls), spark.createDataFrame([], "node long, root long"))
+    few = apart(few, parts)
+    some = few.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    parts = grown(verified(some), parts)
+    few = apart(few.join(some, ["a", "b"], "left_anti"), parts)
+    parts = grown(verified(few), parts)
     useful = True
     for turn in range(ROUNDS + 1):
         joined = large.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -462,25 +500,26 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
         rest, todo, members = mixed.agg(F.sum(F.col("n") - F.col("most")), F.sum((F.col("n") - F.col("most")) * F.col("n")), F.sum("n")).first()
         if not rest:
             break
-        left = scratch.keep(joined.join(mixed.select("key", "big"), "key"), "crowd")
+        left = scratch.keep(joined.join(mixed.select("key", "big"), "key").join(slim, "node"), "crowd")
         last = turn == ROUNDS or not useful or todo <= CENTRES * members
         if last:
-            links = verified(crossing(left.where("root <> big").drop("big"), left.drop("big")))
+            linked = verified(crossing(left.where("root <> big").drop("big"), left.drop("big")))
         else:
             first = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
             centres = left.withColumn("place", F.row_number().over(first)).where(F.col("place") <= CENTRES).drop("place", "big")
-            links = verified(crossing(left.drop("big"), centres))
-            useful = 64 * links.count() >= members
-        parts = grown(links, parts)
+            linked = verified(crossing(left.drop("big"), centres))
+            useful = 64 * linked.count() >= members
+        parts = grown(linked, parts)
         if last:
             break
     grouped = nodes.select("node", "doc_id", "n").join(parts, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
     # null ids come last: a document with an id stays before one without
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("one")
     stay = scratch.keep(grouped.groupBy("root").agg(first, F.sum("n").alias("n")).select(F.col("one.node").alias("node"), F.col("one.doc_id").alias("id")), "stay")
+    for old in (nodes, texts, large):  # all texts move in the last join: the disk is theirs then
+        scratch.drop(old)
     out = docs.alias("d").join(stay.alias("s"), (own == F.col("s.node")) & own_id.eqNullSafe(F.col("s.id")))
-    same = each.groupBy("node", "doc_id").count().where("count > 1").alias("e")
-    again = same.join(stay.alias("s"), (F.col("e.node") == F.col("s.node")) & F.col("e.doc_id").eqNullSafe(F.col("s.id")))
+    again = same.alias("e").join(stay.alias("s"), (F.col("e.node") == F.col("s.node")) & F.col("e.doc_id").eqNullSafe(F.col("s.id")))
     if again.limit(1).count():  # whole rows repeat: one of each goes on
         columns = [F.col(f"d.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
         out = out.select(*columns, own.alias("node"), own_id.alias("id")).dropDuplicates(["node", "id"])
