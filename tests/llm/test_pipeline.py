@@ -119,6 +119,49 @@ def test_balls_find_near_copies_before_the_exact_pass(spark, docs_of, monkeypatc
     assert kept_ids(spark, docs_of, texts) == near_groups(texts) == {*range(0, 80, 2), 80, 81}
 
 
+def alike(n, rng):
+    """Texts around one, near each other or just not."""
+    base, out = [f"b{i}" for i in range(200)], []
+    for i in range(n):
+        w, at, long = list(base), rng.randrange(190), rng.randint(6, 10)
+        w[at : at + long] = [f"own{i}x{j}" for j in range(long)]
+        out.append(" ".join(w))
+    return out
+
+
+def test_texts_that_share_many_shingles_meet_once(spark, docs_of, monkeypatch):
+    made, keep, distinct = [], simhash.Scratch.keep, type(spark.range(0)).distinct
+
+    def counted(df):
+        if df.columns == ["a", "b"]:
+            made.append([df.count(), distinct(df).count()])
+        return distinct(df)
+
+    def kept(self, df, name="t"):
+        if name == "pairs":
+            made[-1].append("crossing")
+        return keep(self, df, name)
+
+    monkeypatch.setattr(type(spark.range(0)), "distinct", counted)
+    monkeypatch.setattr(simhash.Scratch, "keep", kept)
+    texts = alike(80, random.Random(12))
+    assert kept_ids(spark, docs_of, texts) == near_groups(texts)
+    rows, pairs = np.array([x[:2] for x in made if x[2:]]).sum(axis=0)
+    assert 0 < pairs <= rows <= 1.5 * pairs
+
+
+def test_pairs_that_meet_once_are_all_there(spark, docs_of, monkeypatch):
+    rng = random.Random(13)
+    texts = alike(60, rng) + [" ".join(rng.sample(t.split(), 60)) for t in alike(5, rng)]
+    want = near_groups(texts)
+    monkeypatch.setattr(simhash, "BUCKET_FEW", 2)
+    for rounds, earlier in ((0, 8), (6, 1)):
+        monkeypatch.setattr(simhash, "ROUNDS", rounds)
+        monkeypatch.setattr(simhash, "EARLIER", earlier)
+        monkeypatch.setattr(simhash, "PAIRS_A_TASK", 1000)
+        assert kept_ids(spark, docs_of, texts) == want
+
+
 def test_maps_of_long_sets_tell_them_apart():
     rng = np.random.default_rng(1)
     differ = lambda u, v: int(np.bitwise_count((u ^ v).view(np.uint64)).sum())

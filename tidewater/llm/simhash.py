@@ -217,8 +217,9 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, words: int = 3, radius:
 #: Of the corpus stage: members of a bucket whose pairs are all compared at
 #: once; centres of a larger bucket in each round of stars, and rounds; texts
 #: that tell which shingles are common, and how many of these are told to the
-#: tasks (all of these steer the work, not the result).
-BUCKET_FEW, CENTRES, ROUNDS, SAMPLE_TEXTS, COMMON_MOST = 32, 8, 6, 10_000, 100_000
+#: tasks; earlier keys that a row of a large bucket names; pairs that a task
+#: compares (all of these steer the work, not the result).
+BUCKET_FEW, CENTRES, ROUNDS, SAMPLE_TEXTS, COMMON_MOST, EARLIER, PAIRS_A_TASK = 32, 8, 6, 10_000, 100_000, 8, 1_000_000
 _ROUND = 1e-9
 
 
@@ -470,11 +471,20 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
     def grown(links: DataFrame, parts: DataFrame) -> DataFrame:
         return scratch.keep(components(spark, links.union(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch), "parts")
 
-    def crossing(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of unlike roots that share a key, of ``left`` and ``right``."""
-        other = right.select("key", *(F.col(c).alias(f"b{c}") for c in right.columns if c != "key"))
-        mine = left.select("key", *(F.col(c).alias(f"a{c}") for c in left.columns if c != "key"))
-        pairs = mine.join(other, "key").where((F.col("aroot") != F.col("broot")) & near("a", "b"))
+    def crossing(crowd: DataFrame, work: int) -> DataFrame:
+        """Pairs of unlike roots that share a key under which one of them asks.
+
+        Texts that are alike share many keys: a pair is made under the first of
+        these, and not again where both have lately met. What they name as
+        earlier are keys under which they are compared, so no pair is lost."""
+        before = Window.partitionBy("node").orderBy("key").rowsBetween(-EARLIER, -1)
+        crowd = crowd.withColumn("met", F.collect_list("key").over(before)).withColumn("asked", F.collect_list(F.when(F.col("asks"), F.col("key"))).over(before))
+        # few rows may make many pairs: they are dealt by these
+        crowd = scratch.keep(crowd.join(slim, "node").repartition(min(10_000, 1 + work // PAIRS_A_TASK), "node"), "crowd")
+        mine = crowd.where("asks").select("key", *(F.col(c).alias(f"a{c}") for c in ("node", "root", "size", "map", "asked")))
+        other = crowd.select("key", *(F.col(c).alias(f"b{c}") for c in ("node", "root", "size", "map", "met", "asks")))
+        once = (~F.col("basks") | (F.col("anode") < F.col("bnode"))) & near("a", "b") & ~F.arrays_overlap("aasked", "bmet")
+        pairs = mine.join(other, "key").where((F.col("aroot") != F.col("broot")) & once)
         return scratch.keep(pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct(), "pairs")
 
     def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -500,14 +510,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: f
         rest, todo, members = mixed.agg(F.sum(F.col("n") - F.col("most")), F.sum((F.col("n") - F.col("most")) * F.col("n")), F.sum("n")).first()
         if not rest:
             break
-        left = scratch.keep(joined.join(mixed.select("key", "big"), "key").join(slim, "node"), "crowd")
+        crowd = joined.join(mixed.select("key", "big"), "key")
         last = turn == ROUNDS or not useful or todo <= CENTRES * members
         if last:
-            linked = verified(crossing(left.where("root <> big").drop("big"), left.drop("big")))
+            linked = verified(crossing(crowd.select("key", "node", "root", (F.col("root") != F.col("big")).alias("asks")), todo))
         else:
             first = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-            centres = left.withColumn("place", F.row_number().over(first)).where(F.col("place") <= CENTRES).drop("place", "big")
-            linked = verified(crossing(left.drop("big"), centres))
+            linked = verified(crossing(crowd.select("key", "node", "root", (F.row_number().over(first) <= CENTRES).alias("asks")), CENTRES * members))
             useful = 64 * linked.count() >= members
         parts = grown(linked, parts)
         if last:
