@@ -1,6 +1,8 @@
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +160,53 @@ def test_network_by_plain_steps():
         assert np.allclose(row, [*total, n], atol=1e-3)
 
 
+def test_language_is_learnt_from_all_words_of_all_texts(spark, monkeypatch):
+    """Each of 600 texts has a word of its own; half of all words are drawn where the steps take no more."""
+    learnt = []
+    monkeypatch.setattr(langid.Network, "train", lambda self, words, label, count: learnt.append(dict(zip(words, count))))
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    docs = spark.createDataFrame([(i, f"der die das der {letters(i)}", "de") for i in range(600)], "doc_id long, text string, lang string")
+    langid.fit(spark, docs)
+    assert learnt[0] == {b"der": 1200, b"die": 600, b"das": 600, **{letters(i).encode(): 1 for i in range(600)}}
+    monkeypatch.setattr(langid, "STEPS", 1500)
+    monkeypatch.setattr(langid, "BATCH", 1)
+    langid.fit(spark, docs)
+    assert learnt[1][b"der"] == 600 and learnt[1][b"die"] == learnt[1][b"das"] == 300 and 250 < len(learnt[1]) - 3 < 350
+
+
+def test_batches_take_every_word_as_often_as_it_was_drawn(monkeypatch):
+    """A step has as many words of each language; all come before any comes again."""
+    taken = []
+    net = langid.Network(2, hidden=2)
+    monkeypatch.setattr(langid, "BATCH", 6)
+    monkeypatch.setattr(langid, "as_columns", lambda words: (taken.extend(words), None))
+    monkeypatch.setattr(net, "gradients", lambda ids, mask, label: (0.0, {}))
+    net.train([b"a", b"b", b"x"], np.array([0, 0, 1]), np.array([5, 1, 2]), steps=4)
+    assert sorted(taken) == sorted([b"a"] * 10 + [b"b"] * 2 + [b"x"] * 12)
+
+
+def test_every_labelled_text_held_out_sets_the_limit(spark, monkeypatch):
+    """The one that is read worst among 1,500 of a language."""
+    limits = []
+
+    def shares(net, key):
+        def run(batches):
+            for b in batches:
+                low = [0.2 if "schlecht" in t else 0.9 for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array([500.0] * len(low))], ["share", "n"])
+
+        return run
+
+    plain = langid._keep
+    monkeypatch.setattr(langid, "_shares", shares)
+    monkeypatch.setattr(langid, "_keep", lambda languages, net, key, least: (limits.append(least), plain(languages, net, key, least))[1])
+    monkeypatch.setattr(langid, "STEPS", 5)
+    held = [i for i in range(6200) if zlib.crc32(str(i).encode()) % 4 == 2][:1500]
+    docs = spark.createDataFrame([(i, "der die das" + " schlecht" * (i == held[700]), "de") for i in range(6200)], "doc_id long, text string, lang string")
+    langid.keep_identified(spark, docs)
+    assert limits == [langid.SLACK * 0.2]
+
+
 def test_language_without_anything_to_learn(spark, docs_of):
     d = docs_of(["a b", None]).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(spark, d).collect()} == {"und"}

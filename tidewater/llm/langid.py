@@ -3,8 +3,8 @@
 The network reads each word's bytes between two spaces, in both directions,
 from a fresh state, and labels every byte position. A text's label pools the
 log-probabilities of all positions of its words with a letter. It is trained in
-numpy by backpropagation through time on whole texts of a bounded sample,
-``TRAIN_DOCS`` documents a language.
+numpy by backpropagation through time; the words of its steps are drawn from all
+words of all texts to learn from, as often as they occur there.
 
 White space resets the state so that a word is read once for all texts that
 hold it: one state over whole texts reads some 1.2 MB a second and core in
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drawn, prepare, renamed
+from .common import Scratch, prepare, renamed
 from .words import WordTable, kept
 
-TRAIN_DOCS = 250
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 500, 384, 0.01, 5
 #: Bytes read from one state; longer words are read in pieces of so many.
 SPAN = 30
+#: Words whose counts a task holds before it hands them on.
+COUNTED = 200_000
 #: Positions after which more text no longer raises the certainty.
 EVIDENCE = 48
 #: A text is rejected if, of so many positions or more, less than this part
@@ -125,15 +127,17 @@ class Network:
         return loss, grads
 
     def train(self, words: list[bytes], label: np.ndarray, count: np.ndarray, steps: int = STEPS, seed: int = SEED) -> list[float]:
-        """Adam on batches drawn evenly from the languages, and from a
-        language's words as often as they occur. Bytes never seen stay mute."""
+        """Adam on batches with as many words of each language; a language's
+        words, each ``count`` times, come in a mixed order, and again when all
+        have come. Bytes never seen stay mute."""
         rng = np.random.Generator(np.random.PCG64(seed + 1))
         of = [np.flatnonzero(label == k) for k in range(len(self.w["c"]))]
-        often = [np.cumsum(count[x]) / max(1, count[x].sum()) for x in of]
+        mixed = [rng.permutation(np.repeat(x, count[x])) for x in of]
+        each = a_step(len(of))
         m1, m2 = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         losses = []
         for step in range(1, steps + 1):
-            at = np.concatenate([x[np.searchsorted(c, rng.random(max(1, BATCH // len(of))))] for x, c in zip(of, often) if len(x)])
+            at = np.concatenate([np.take(x, np.arange((step - 1) * each, step * each), mode="wrap") for x in mixed if len(x)])
             loss, grads = self.gradients(*as_columns([words[i] for i in at]), label[at])
             losses.append(loss)
             rate = RATE * (1 - 0.9 * step / steps)
@@ -148,6 +152,11 @@ class Network:
         return losses
 
 
+def a_step(languages: int) -> int:
+    """Words of a language in a step."""
+    return max(1, BATCH // languages)
+
+
 def as_columns(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and mask, time x batch, of words of at most SPAN bytes, each between two spaces."""
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -198,34 +207,52 @@ def read_share(rows: np.ndarray) -> tuple[float, float]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with a letter of whole texts, by language, in pieces of SPAN bytes."""
-    seen: dict[tuple[str, bytes], int] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            for w in text.split():
+    """Words with a letter of whole texts, by language, in pieces of SPAN bytes;
+    a word may come again with a further count."""
+    seen: dict[str, Counter] = {}
+
+    def rows() -> pa.RecordBatch:
+        lang, word, n = [], [], []
+        for k, words in seen.items():
+            for w, c in words.items():
                 if _lettered(w):
-                    for x in spans(w):
-                        seen[lang, x] = seen.get((lang, x), 0) + 1
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+                    own = spans(w)
+                    lang += [k] * len(own)
+                    word += own
+                    n += [c] * len(own)
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-
-def _sample(labelled: DataFrame) -> DataFrame:
-    """lang and text of at most TRAIN_DOCS rows a language."""
-    # ids are drawn first, so that only the sample's texts move: at most TRAIN_DOCS ids a language are broadcast
-    named = labelled.select("lang", "doc_id", "text", F.xxhash64("text").alias("th"))
-    ids = drawn(named.select("lang", "doc_id", "th"), "lang", ["doc_id", "th"], TRAIN_DOCS).dropDuplicates(["lang", "doc_id", "th"])
-    some = named.join(F.broadcast(ids.drop("n")), ["lang", "doc_id", "th"]).dropDuplicates(["lang", "doc_id", "th"])  # whole rows may repeat
-    return some.select("lang", "text")
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            seen.setdefault(lang, Counter()).update(text.split())
+            if sum(map(len, seen.values())) > COUNTED:
+                yield rows()
+    yield rows()
+
+
+def _drawn_words(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], list[tuple[str, bytes, int]]]:
+    """The languages, and lang, word and how often it is drawn: of all words of
+    all texts as many a language as the steps take, each as often as it occurs
+    in proportion; all of them if there are fewer."""
+    counted = labelled.select("lang", "text").mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = Scratch(spark).keep(counted, "words")  # read twice
+    totals = words.groupBy("lang").agg(F.sum("n").alias("all"))
+    languages = sorted(r.lang for r in totals.select("lang").collect())
+    wanted = STEPS * a_step(max(1, len(languages)))
+    # n * wanted / all times on average, rounded up or down by a hash
+    chance = F.pmod(F.xxhash64("lang", "word", F.lit(SEED)), F.lit(2**32)) / 2.0**32
+    times = F.floor(F.col("n") * F.least(F.lit(1.0), F.lit(float(wanted)) / F.col("all")) + chance).alias("n")
+    some = words.join(totals, "lang").select("lang", "word", times).where("n > 0").toArrow()
+    return languages, sorted(zip(*(some.column(c).to_pylist() for c in ("lang", "word", "n"))))
 
 
 def fit(spark: SparkSession, labelled: DataFrame) -> tuple[list[str], Network | None]:
     """Train on rows (doc_id, text, lang), none of them null."""
     prepare(spark)
-    words = _sample(labelled).mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    rows = sorted(zip(*(words.column(c).to_pylist() for c in ("lang", "word", "n"))))  # the distinct words of the sample
+    languages, rows = _drawn_words(spark, labelled)
     if not rows:
         return [], None
-    languages = sorted({r[0] for r in rows})
     place = {x: i for i, x in enumerate(languages)}
     net = Network(len(languages))
     net.train([r[1] for r in rows], np.array([place[r[0]] for r in rows]), np.array([r[2] for r in rows]))
@@ -305,7 +332,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if net is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     key = uuid.uuid4().hex
-    read = _sample(cols.where("held_out and text is not null and lang is not null")).mapInArrow(_shares(net, key), "share double, n double")
+    read = cols.where("held_out and text is not null and lang is not null").select("text").mapInArrow(_shares(net, key), "share double, n double")
     worst = read.where(F.col("n") >= LEAST_POSITIONS).agg(F.min("share")).first()[0]
     least = LEAST_READ if worst is None else min(LEAST_READ, SLACK * worst)
     plain = renamed(docs.withColumn("text", F.col("text").cast("string")))
