@@ -87,6 +87,30 @@ def test_users_are_fitted_alike_alone_and_side_by_side(spark):
     assert abs(bias[0] - w[2]) < 1e-9
 
 
+def test_users_of_many_rows_are_fitted_from_all_of_them(spark, monkeypatch):
+    """In blocks over tasks as in one task: the same models and the same metrics, in one group of users or more."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for u in range(6):
+        for i in range(40 if u == 5 else 300 + 150 * u):
+            a, b = rng.normal(size=2)
+            y = [a + b + rng.normal() > 0, abs(a) < 0.7, a > 0.3, a > 0.3 or b < -1, rng.random() < 0.4, a > 0][u] != (rng.random() < 0.05)
+            rows.append((f"{u}-{i}", f"u{u}", float(a), float(round(b, 1)), 3.0, int(y)))
+    df = spark.createDataFrame(rows, "id string, user string, a double, b double, c double, y int")
+    plain = {r.user: r for r in M.choose_per_user(df, "id", "user", ["a", "b", "c"], "y").collect()}
+    monkeypatch.setattr(M, "LARGE_AT_ONCE", 3, raising=False)
+    blocks = M.choose_per_user(df.repartition(7), "id", "user", ["a", "b", "c"], "y", most=100).cache()
+    assert blocks.count() == 6
+    for r in blocks.collect():
+        want = plain[r.user]
+        assert (r.n, r.n_unseen, r.chosen, r.feature) == (want.n, want.n_unseen, want.chosen, want.feature)
+        assert r.n + r.n_unseen == (40 if r.user == "u5" else 300 + 150 * int(r.user[1]))
+        for c in ("score", "precision", "recall", "f1", "weights", "bias", "squares", "linear", "base", "edge", "amount", "level"):
+            assert np.allclose(r[c], want[c], rtol=1e-7, atol=1e-7), (r.user, c)
+    every = M.choose_per_user(df.where("user = 'u0'"), "id", "user", ["a", "b", "c"], "y", most=100, unseen=1.0).first()
+    assert (every.n, every.n_unseen) == (300, 0)  # held out all, so none
+
+
 def test_sliding_windows_from_panes(spark):
     rows = [(u, f"2024-01-01 {i % 3:02d}:{(i * 7) % 60:02d}:01") for u in (1, 2) for i in range(40)]
     e = spark.createDataFrame(rows, "u int, t string").select("u", F.col("t").cast("timestamp").alias("ts"))

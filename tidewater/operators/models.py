@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.expressions import CASES
+from ..session import settle
+from .large_users import Blocks, runs
+from .large_users import fit as large_fit
 from .logs import LOCKS, UNLOCKS, assign_scenario, day_profile, hour_profile, unlock_ratio, weekday_class
 from .measures import beta_variate, bucket, folds, normal_variate, quantiles, regression_metrics, split_stratified, uniform, weighted_sample
 from .places import knn_features
@@ -245,15 +248,20 @@ def _choose(x: np.ndarray, y: np.ndarray, real: np.ndarray, held: np.ndarray, fo
         total += np.stack([_metrics(y, said[name], test)[2] for name in names], axis=1) * ok[:, None]
         many += ok
     mean = total / np.maximum(many, 1)[:, None]
-    best = np.argmax(np.round(mean, 9), axis=1)
     (w, b), (sq, li, base), stumps = models(own)
     said = _says(z, (w, b), (sq, li, base), stumps)
-    who = np.arange(len(x))
-    precision, recall, f1 = _metrics(y, np.stack([said[name] for name in names])[best, who], held)
-    feature, edge, amount, level, _ = stumps
+    made = [_metrics(y, said[name], held) for name in names]
+    precision, recall, f1 = (np.stack([a[i] for a in made], axis=1) for i in range(3))
+    return _chosen({"mean": mean, "precision": precision, "recall": recall, "f1": f1, "n": own.sum(axis=1), "n_unseen": held.sum(axis=1), "m": m, "s": s, "logistic": (w, b), "bayes": (sq, li, base), "stumps": stumps[:4]})
+
+
+def _chosen(fits: dict) -> dict[str, list]:
+    """The best of the candidates and their vote by ``mean``, and the models as features come."""
+    names, best, who, m, s = [*CANDIDATES, "vote"], np.argmax(np.round(fits["mean"], 9), axis=1), np.arange(len(fits["mean"])), fits["m"], fits["s"]
+    (w, b), (sq, li, base), (feature, edge, amount, level) = fits["logistic"], fits["bayes"], fits["stumps"]
     flat = w / s  # back to features as they come
     return {
-        "chosen": [names[i] for i in best], "score": mean[who, best], "precision": precision, "recall": recall, "f1": f1, "n": own.sum(axis=1), "n_unseen": held.sum(axis=1),
+        "chosen": [names[i] for i in best], "score": fits["mean"][who, best], **{c: fits[c][who, best] for c in ("precision", "recall", "f1")}, "n": fits["n"], "n_unseen": fits["n_unseen"],
         "weights": list(flat), "bias": b - (flat * m).sum(axis=1),
         "squares": list(sq / s**2), "linear": list(li / s - 2 * sq * m / s**2), "base": base + (sq * m**2 / s**2 - li * m / s).sum(axis=1),
         "feature": list(feature.astype("int32")), "edge": list(edge * s[who[:, None], feature] + m[who[:, None], feature]), "amount": list(amount), "level": level,
@@ -278,13 +286,18 @@ def choose_per_user(df: DataFrame, key: str, user: str, columns: Sequence[str],
 
     Candidates are a logistic model, naive Bayes, boosted stumps and the vote of
     the three, on features scaled by the training rows; on a tie the earlier
-    one, the vote last. A hash sample bounds what one user brings to a task; it
-    is drawn before the grouping. Rows with a null or NaN take no part.
+    one, the vote last. All rows take part but those with a null or NaN. Users
+    of up to ``most`` rows are fitted whole in a task; the rows of larger ones
+    lie in blocks of about so many, see :mod:`.large_users`.
     """
-    whole = df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (*columns, label))))
-    share = whole.groupBy(user).count().select(user, (F.lit(most) / F.greatest("count", F.lit(most))).alias("_s"))
-    some = whole.join(share, user).where(bucket(key, seed, 1_000_000) < F.col("_s") * 1_000_000)
-    some = some.withColumns({"_held": bucket(key, seed + 1, 10_000) < int(round(unseen * 10_000)), "_fold": bucket(key, seed + 2, k), "_key": F.col(key).cast("string")})
+    whole = df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (*columns, label)), F.col(user).isNotNull()))
+    drawn = {"_held": bucket(key, seed + 1, 10_000) < int(round(unseen * 10_000)), "_fold": bucket(key, seed + 2, k), "_key": F.col(key).cast("string")}
+    some = settle(whole.select(user, label, *columns, *(c.alias(n) for n, c in drawn.items())))  # read twice
+    sizes = some.groupBy(user).agg(F.count("*").alias("_n"), F.count_if("_held").alias("_unseen"))
+    large = settle(sizes.where(F.col("_n") > most))
+    n_large = large.count()
+    if n_large:
+        some, rest = some.join(large.select(user), user, "left_anti"), some
 
     def fit(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Whole users, their rows in one order: the same sums wherever they come from."""
@@ -303,24 +316,37 @@ def choose_per_user(df: DataFrame, key: str, user: str, columns: Sequence[str],
                 yield pd.DataFrame({user: names[starts[some]]} | made)
 
     def users(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-        for f in frames:
-            if not len(f):
-                continue
-            last = f[user].iloc[-1]
-            own = (f[user] == last).to_numpy()
-            if own.all() and (not rest or rest[0][user].iloc[0] == last):
-                rest.append(f)
-                continue
-            yield from fit(pd.concat([*rest, f[~own]]))
-            rest = [f[own]]
-        if rest:
-            yield from fit(pd.concat(rest))
+        for f in runs(frames, [user]):
+            yield from fit(f)
 
     kind = df.schema[user].dataType.simpleString()
     # dealt by a hash of its own: rows that a join has dealt by user would be left where that join's tasks read them
     dealt = some.select("_key", "_held", "_fold", user, label, *columns).repartition(F.xxhash64(user)).sortWithinPartitions(user, "_key")
-    return dealt.mapInPandas(users, f"{user} {kind}, {_CHOSEN}")
+    out = dealt.mapInPandas(users, f"{user} {kind}, {_CHOSEN}")
+    return out.unionByName(_choose_large(rest, large, n_large, user, columns, label, most, k)) if n_large else out
+
+
+#: Large users whose models the driver holds at a time, about.
+LARGE_AT_ONCE = 1000
+
+
+def _choose_large(rows: DataFrame, large: DataFrame, n: int, user: str, columns: Sequence[str], label: str, most: int, k: int) -> DataFrame:
+    """The rows of :func:`choose_per_user` for the ``n`` users of ``large``."""
+    groups = -(-n // LARGE_AT_ONCE)
+    by = Window.partitionBy("_group").orderBy(user)  # of a row a large user
+    large = settle(large.withColumn("_group", F.pmod(F.xxhash64(user), F.lit(groups))).withColumn("_i", F.row_number().over(by) - 1))
+    own = rows.join(large, user).select(
+        "_group", "_i", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_n") / most)).cast("int").alias("_block"), "_key", (F.col("_held") & (F.col("_unseen") < F.col("_n"))).alias("_held"), "_fold",
+        F.col(label).cast("double").alias("_y"), *(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)),
+    )
+    out = None
+    for r in large.groupBy("_group").count().orderBy("_group").collect():
+        here = F.col("_group") == r["_group"]
+        made = _chosen(large_fit(Blocks(own.where(here), r["count"], len(columns), k), [*CANDIDATES, "vote"]))
+        models = rows.sparkSession.createDataFrame(list(zip(range(r["count"]), *(np.array(v).tolist() for v in made.values()))), f"_i int, {_CHOSEN}")
+        part = settle(large.where(here).select(user, "_i").join(models, "_i").drop("_i"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def score_chosen(df: DataFrame, models: DataFrame, user: str, columns: Sequence[str]) -> DataFrame:
