@@ -111,6 +111,22 @@ def test_users_of_many_rows_are_fitted_from_all_of_them(spark, monkeypatch):
     assert (every.n, every.n_unseen) == (300, 0)  # held out all, so none
 
 
+def test_the_driver_lists_some_files_at_a_time(spark, sf, monkeypatch):
+    """And its plan names none of them afterwards; the rows are those of one part."""
+    from tidewater.plans import sources
+
+    listed = []
+    plain = sources.io.read_files if hasattr(sources.io, "read_files") else None
+    monkeypatch.setattr(sources.io, "read_files", lambda s, folder: (listed.append(plain(s, folder)), listed[-1])[1], raising=False)
+    want = sorted((r.page_id, r.page_id % 10, len((r.html or "").encode())) for r in spark.read.parquet(f"{sf}/pages.parquet").collect())
+    monkeypatch.setattr(sources, "FILES_AT_ONCE", 10, raising=False)
+    got = plans.QUERIES["s6_read_labelled_files"](spark, sf)
+    assert not [f for f in got.inputFiles() if "/page=" in f]
+    assert sorted(got.collect()) == want
+    pages = [len([f for f in x.inputFiles() if "/page=" in f]) for x in listed]
+    assert sum(pages) == len(want) and len(pages) == -(-len(want) // 10) and max(pages) < len(want)
+
+
 def test_sliding_windows_from_panes(spark):
     rows = [(u, f"2024-01-01 {i % 3:02d}:{(i * 7) % 60:02d}:01") for u in (1, 2) for i in range(40)]
     e = spark.createDataFrame(rows, "u int, t string").select("u", F.col("t").cast("timestamp").alias("ts"))
